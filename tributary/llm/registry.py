@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import packing, vbyte
+from . import mixing, packing, vbyte
 
 QUERIES = {
+    "op1_source_mixing": mixing.op1_source_mixing,
     "op6_token_vbyte": vbyte.op6_token_vbyte,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_source_mixing": mixing.ORACLE}

@@ -37,8 +37,15 @@ def pack_values(values: np.ndarray) -> tuple[bytes, bytes]:
     code = np.zeros(-(-len(v) // 4) * 4, np.uint8)
     code[: len(v)] = size - 1
     control = (code.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1, dtype=np.uint8)
-    keep = np.arange(4) < size[:, None]
-    return control.tobytes(), v.view(np.uint8).reshape(-1, 4)[keep].tobytes()
+    end = np.cumsum(size)
+    data = np.empty(int(end[-1]) if len(v) else 0, np.uint8)
+    begin = end - size
+    data[begin] = v & 0xFF
+    for i in range(1, 4):
+        more = np.flatnonzero(size > i)
+        if len(more):
+            data[begin[more] + i] = v[more] >> np.uint32(8 * i) & np.uint32(0xFF)
+    return control.tobytes(), data.tobytes()
 
 
 def unpack_values(control: np.ndarray, data: np.ndarray, n: int) -> tuple[np.ndarray, int]:
