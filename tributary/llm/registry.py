@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, vbyte
+from . import langid, mixing, packing, vbyte
 
 QUERIES = {
     "op1_source_mixing": mixing.op1_source_mixing,
     "op6_token_vbyte": vbyte.op6_token_vbyte,
+    "op7_language_id": langid.op7_language_id,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
 }
 ORACLES: dict[str, str] = {"op1_source_mixing": mixing.ORACLE}
