@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, packing, pii, vbyte
+from . import jaccard, langid, mixing, packing, pii, vbyte
 
 QUERIES = {
     "op1_source_mixing": mixing.op1_source_mixing,
+    "op4_ngram_jaccard_join": jaccard.op4_ngram_jaccard_join,
     "op5_pii_sanitise": pii.op5_pii_sanitise,
     "op6_token_vbyte": vbyte.op6_token_vbyte,
     "op7_language_id": langid.op7_language_id,
