@@ -177,39 +177,51 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def _pairs(keys: tuple[np.ndarray, ...], own: np.ndarray, most: int = 100_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of all pairs of rows with equal keys (.., i, j), the earlier row first: inside of a block, or across two blocks."""
+    change = np.ones(len(own), bool)
+    change[1:] = False
+    for k in keys:
+        change[1:] |= k[1:] != k[:-1]
+    begin = np.flatnonzero(change)
+    size = np.diff(np.append(begin, len(own)))
+    after = np.repeat(begin + size, size) - np.arange(len(own)) - 1
+    total = np.cumsum(after)
+    for lo in range(0, int(total[-1]), most):
+        p = np.arange(lo, min(lo + most, int(total[-1])))
+        left = np.searchsorted(total, p, side="right")
+        right = left + 1 + p - (total[left] - after[left])
+        ok = (keys[-2][left] == keys[-1][left]) | (own[left] != own[right])
+        yield left[ok], right[ok]
+
+
+def blocks(rows: DataFrame, payload: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Of rows (tree, prefix, c): the members of each prefix that two or more share, in pairs of blocks: tree, prefix, i, j, own, c, payload.
+
+    Prefixes with the same members are kept once, in the first tree. A prefix of n members makes n * ceil(n / block) rows.
+    """
+    sets = rows.groupBy("tree", "prefix").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("c")).alias("x"), F.bit_xor(F.xxhash64("c", F.lit(1))).alias("y")).where("n > 1")
+    kept = sets.groupBy("n", "x", "y").agg(F.min(F.struct("tree", "prefix")).alias("at")).select("at.*", "n")
+    members = rows.join(kept, ["tree", "prefix"]).join(payload, "c").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    members = members.withColumn("own", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    extra = [c for c in payload.columns if c != "c"]
+    return members.select("tree", "prefix", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "c", *extra)
+
+
 def candidates(classes: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """Pairs of classes (a, b) whose signatures agree enough, each once."""
     depth = stop_depth(threshold, recall)
     width = TREES * DEPTH
     least = int(width * (threshold - SIGMAS * (threshold * (1 - threshold) / width) ** 0.5))
     rows = prefixes(classes, depth)
-    sets = rows.groupBy("tree", "prefix").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("c")).alias("x"), F.bit_xor(F.xxhash64("c", F.lit(1))).alias("y")).where("n > 1")
-    kept = sets.groupBy("n", "x", "y").agg(F.min(F.struct("tree", "prefix")).alias("at")).select("at.*", "n")
-    members = rows.join(kept, ["tree", "prefix"]).join(classes.select("c", "sig"), "c")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    members = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    members = members.select("tree", "prefix", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "c", "sig")
+    members = blocks(rows, classes.select("c", "sig"))
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches, 4):
             tree, prefix, i, j, own, c = (t.column(k).to_numpy() for k in range(6))
             sig = np.frombuffer(b"".join(t.column(6).to_pylist()), np.uint8).reshape(-1, width)
-            change = np.ones(len(c), bool)
-            change[1:] = (tree[1:] != tree[:-1]) | (prefix[1:] != prefix[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
-            begin = np.flatnonzero(change)
-            size = np.diff(np.append(begin, len(c)))
-            # all pairs of a group, the earlier row first: row r pairs with the rows after it in its group
-            after = np.repeat(begin + size, size) - np.arange(len(c)) - 1
-            total = np.cumsum(after)
-            for lo in range(0, int(total[-1]), 100_000):
-                p = np.arange(lo, min(lo + 100_000, int(total[-1])))
-                left = np.searchsorted(total, p, side="right")
-                right = left + 1 + p - (total[left] - after[left])
-                # between two blocks, only pairs across; inside of one, all
-                ok = (i[left] == j[left]) | (own[left] != own[right])
-                left, right = left[ok], right[ok]
+            for left, right in _pairs((tree, prefix, i, j), own):
                 same = sig[left] == sig[right]
                 ok = same.sum(axis=1) >= least
                 left, right, same = left[ok], right[ok], same[ok].reshape(-1, TREES, DEPTH)[:, :, :depth].all(axis=2)

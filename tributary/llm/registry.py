@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, langid, mixing, packing, pii, vbyte
+from . import jaccard, langid, mixing, neardup, packing, pii, vbyte
 
 QUERIES = {
     "op1_source_mixing": mixing.op1_source_mixing,
@@ -11,5 +11,6 @@ QUERIES = {
     "op6_token_vbyte": vbyte.op6_token_vbyte,
     "op7_language_id": langid.op7_language_id,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
+    "op9_embedding_near_dedup": neardup.op9_embedding_near_dedup,
 }
 ORACLES: dict[str, str] = {"op1_source_mixing": mixing.ORACLE}
