@@ -98,9 +98,10 @@ def decide(
     b1, b2 = F.substring("h", 1, 2), F.substring("h", 3, 2)
     live = rows.where("rest > 0")
     first = _cut(live, names, b1).withColumnsRenamed({"cut": "cut1", "inner": "rest1"})
-    edge = live.join(first, names).where(b1 == F.col("cut1")).drop("rest", "cut1").withColumnRenamed("rest1", "rest")
+    # the digit is part of the key, so that a hot leaf is dealt out
+    edge = live.withColumn("cut1", b1).join(first, [*names, "cut1"]).drop("rest", "cut1").withColumnRenamed("rest1", "rest")
     second = _cut(edge, names, b2).withColumnsRenamed({"cut": "cut2", "inner": "rest2"})
-    last = edge.join(second, names).where(b2 == F.col("cut2"))
+    last = edge.withColumn("cut2", b2).join(second, [*names, "cut2"])
     order = Window.partitionBy(*names).orderBy("h", "doc_id", "text_hash")
     last = last.withColumn("room", F.col("rest2") - F.sum("n").over(order) + F.col("n"))
     last = last.select("doc_id", "text_hash", *names, F.greatest(F.lit(0), F.least("n", "room")).alias("inner_tokens"))

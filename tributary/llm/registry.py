@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import jaccard, langid, mixing, neardup, packing, pii, vbyte
+from . import flac, jaccard, langid, lm, mixing, neardup, packing, pii, vbyte
 
 QUERIES = {
     "op1_source_mixing": mixing.op1_source_mixing,
+    "op3_lm_scoring": lm.op3_lm_scoring,
     "op4_ngram_jaccard_join": jaccard.op4_ngram_jaccard_join,
     "op5_pii_sanitise": pii.op5_pii_sanitise,
     "op6_token_vbyte": vbyte.op6_token_vbyte,
     "op7_language_id": langid.op7_language_id,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_embedding_near_dedup": neardup.op9_embedding_near_dedup,
+    "op10_flac_media": flac.op10_flac_media,
 }
 ORACLES: dict[str, str] = {"op1_source_mixing": mixing.ORACLE}
