@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import flac, jaccard, langid, lm, mixing, neardup, packing, pii, vbyte
+from . import flac, html, jaccard, langid, lm, mixing, neardup, packing, pii, vbyte
 
 QUERIES = {
     "op1_source_mixing": mixing.op1_source_mixing,
+    "op2_html_extraction": html.op2_html_extraction,
     "op3_lm_scoring": lm.op3_lm_scoring,
     "op4_ngram_jaccard_join": jaccard.op4_ngram_jaccard_join,
     "op5_pii_sanitise": pii.op5_pii_sanitise,
