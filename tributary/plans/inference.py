@@ -78,7 +78,7 @@ class Results:
 
     @property
     def table(self) -> DataFrame:
-        return self.spark.createDataFrame(self.rows, SCHEMA)
+        return self.spark.createDataFrame([tuple(float(x) if isinstance(x, np.floating) else x for x in r) for r in self.rows], SCHEMA)
 
     def result(self, threshold: float = 0.01, with_sign: bool = False, test: str = "f") -> DataFrame:
         """effect, cause, value: 0 or 1, or the sign where significant."""

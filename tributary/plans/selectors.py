@@ -220,7 +220,7 @@ def segment_moments(panel: Panel, longest: int):
 def lag_matrix(panel: Panel, selector, targets: Sequence[int]) -> np.ndarray:
     """The longest lag of each (target, predictor) over all segments, 0 for rows that aren't targets."""
     d, top = len(panel.variables), selector.max_lag
-    schema = "target int, predictor int, lag int"
+    schema, names = "target int, predictor int, lag int", list(panel.variables)
 
     def table(m: np.ndarray) -> pd.DataFrame:
         i, j = np.indices(m.shape)
@@ -229,7 +229,7 @@ def lag_matrix(panel: Panel, selector, targets: Sequence[int]) -> np.ndarray:
     if isinstance(selector, CVLagSelector):
 
         def by_rows(pdf: pd.DataFrame) -> pd.DataFrame:
-            x = pdf.sort_values(TIME)[list(panel.variables)].to_numpy(float)
+            x = pdf.sort_values(TIME)[names].to_numpy(float)
             mo = type("Rows", (), {"d": d, "rows": x - x.mean(axis=0) if selector.center else x, "total": len(x)})
             return table(selector.select(mo, targets))
 

@@ -363,9 +363,9 @@ def signed_matrix(spark, sf_dir):
     return _matrix(spark, sf_dir, signed=True)
 
 
-@query(_hit.format("1") + f" SELECT effect, {', '.join(f'''max(CASE WHEN cause = '{c}' THEN value END) AS {c}''' for c in TYPES)} FROM m GROUP BY effect")
+@query(_hit.format("1") + f" SELECT effect, {', '.join(f'''CAST(coalesce(max(CASE WHEN cause = '{c}' THEN value END), 0) AS INTEGER) AS {c}''' for c in TYPES)} FROM m GROUP BY effect")
 def matrix_pivot(spark, sf_dir):
-    return inference.wide(_matrix(spark, sf_dir), TYPES)
+    return inference.wide(_matrix(spark, sf_dir), TYPES).na.fill(0)
 
 
 _counts = "c AS (SELECT " + ", ".join(f"count(*) FILTER (value = {p} AND gt = {g}) AS {n}" for n, p, g in (("tp", 1, 1), ("fp", 1, 0), ("tn", 0, 0), ("fn", 0, 1))) + " FROM m JOIN truth USING (effect, cause))"
@@ -384,12 +384,12 @@ def metric_scores(spark, sf_dir):
     return rounded(metrics.scores(metrics.confusion(_gt(spark), _matrix(spark, sf_dir))), "fdr", "tpr", "fpr", "accuracy", "precision", "recall", "f1", digits=6)
 
 
-@query(f"{_hit.format('1')}, {_truth}, d AS (SELECT effect, cause, value - gt AS d FROM m JOIN truth USING (effect, cause)), s AS (SELECT a.effect, a.cause, least(a.d + b.d, 1) AS s FROM d a JOIN d b ON a.effect = b.cause AND a.cause = b.effect) SELECT CAST(floor(sum(abs(s)) / 2) AS INTEGER) AS shd FROM s")
+@query(f"{_hit.format('1')}, {_truth}, e1 AS (SELECT effect, cause, value - gt AS d FROM m JOIN truth USING (effect, cause)), s2 AS (SELECT a.effect, a.cause, least(a.d + b.d, 1) AS s FROM e1 a JOIN e1 b ON a.effect = b.cause AND a.cause = b.effect) SELECT CAST(floor(sum(abs(s)) / 2) AS INTEGER) AS shd FROM s2")
 def shd_compat(spark, sf_dir):
     return metrics.shd(_gt(spark), _matrix(spark, sf_dir))
 
 
-@query(f"{_hit.format('1')}, {_truth}, d AS (SELECT least(effect, cause) AS a, greatest(effect, cause) AS b, max(abs(value - gt)) AS d FROM m JOIN truth USING (effect, cause) GROUP BY 1, 2) SELECT CAST(sum(d) AS INTEGER) AS shd FROM d")
+@query(f"{_hit.format('1')}, {_truth}, e1 AS (SELECT least(effect, cause) AS x, greatest(effect, cause) AS y, max(abs(value - gt)) AS d FROM m JOIN truth USING (effect, cause) GROUP BY 1, 2) SELECT CAST(sum(d) AS INTEGER) AS shd FROM e1")
 def shd_standard(spark, sf_dir):
     return metrics.shd(_gt(spark), _matrix(spark, sf_dir), compat=False)
 
