@@ -184,7 +184,7 @@ def test_ic_selection_equals_direct_fits(spark):
     s = selectors.ICLagSelector(max_lag=4, min_lag=1)
     sums, head, k = selectors.segment_moments(p, 4)
     cells = {(r["segment_id"], r["i"]): r["value"] for r in sums.collect()}
-    m = np.zeros(k * 0 + (k + 1) * (k + 2) // 2)
+    m = np.zeros((k + 1) * (k + 2) // 2)
     for (seg, i), v in cells.items():
         if seg == 0:
             m[i] = v
@@ -201,7 +201,7 @@ def test_ic_selection_equals_direct_fits(spark):
     strict = selectors.lag_matrix(p, selectors.ICLagSelector(max_lag=4, min_lag=1, prune_lags=False, delta_min_ic=50.0), [0, 1, 2])
     off = ~np.eye(3, dtype=bool)
     assert (strict[off] <= loose[off]).all()
-    cv = selectors.lag_matrix(p, selectors.CVLagSelector(max_lag=4, min_lag=1, cv_metric="mae"), [0])
+    cv = selectors.lag_matrix(P.from_frames(spark, f), selectors.CVLagSelector(max_lag=4, min_lag=1, cv_metric="mae"), [0])
     assert cv[0, 1] == 2
     var = selectors.lag_matrix(p, selectors.VARLagSelector(max_lag=4), [0])
     assert (var == var[0, 0]).all() and 1 <= var[0, 0] <= 4
