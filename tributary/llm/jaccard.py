@@ -11,13 +11,13 @@ several trees are kept once, in the first. Members of a prefix are compared in b
 task holds a whole hot prefix; a pair is looked at in the first tree that joins it, and goes on if its signatures agree in
 as many places as all but about one in a thousand of pairs at the threshold do.
 
-The pairs that go on form clusters. Each cluster's shingle sets are laid out in blocks as well, and each pair is verified
-by the exact Jaccard similarity. Verification returns, per class and block, the number of documents linked and the edges
+The pairs that go on travel as packed lists, not as rows, and form clusters. Each cluster's shingle sets are laid out in
+blocks of `VERIFY` classes, and each pair is verified by the exact Jaccard similarity where its two blocks meet. Verification returns, per class and block, the number of documents linked and the edges
 of a spanning forest: no row per pair.
 
 Result per document: class_id (the smallest doc_id of its class), n_links (other documents with a similarity of at least
 the threshold, copies included), component_id (smallest doc_id reachable by links), kept (doc_id = component_id). Null or
-empty text: a class of its own. Repeated rows count as copies. Extra columns are ignored. An empty table gives no rows.
+empty text, or a null doc_id: a class of its own. Repeated rows count as copies. Extra columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from . import common, graph, tokens
 
 WORDS, THRESHOLD = 5, 0.8
 TREES, DEPTH, RECALL = 32, 8, 0.999
-BLOCK = 128
+BLOCK, VERIFY = 512, 1024
 SIGMAS = 3.0
 SEED = 20240501
 
@@ -134,7 +134,8 @@ def sketch(docs: DataFrame) -> DataFrame:
         for part, texts in _each(batches):
             s, bounds, keys = shingler.many(texts)
             sig = signatures(s, bounds)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys.astype(np.int64)), pa.array(np.diff(bounds).astype(np.int32)), pa.array([x.tobytes() for x in sig], pa.binary())], schema=schema)
+            named = np.asarray(part.column(0).is_valid())
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys.astype(np.int64)), pa.array(np.where(named, np.diff(bounds), 0).astype(np.int32)), pa.array([x.tobytes() for x in sig], pa.binary())], schema=schema)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return common.saved(rows.mapInArrow(run, "doc_id long, c long, n int, sig binary"), "sketch")
@@ -209,37 +210,74 @@ def blocks(rows: DataFrame, payload: DataFrame, block: int = BLOCK) -> DataFrame
 
 
 def candidates(classes: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """Pairs of classes (a, b) whose signatures agree enough, each once."""
+    """Pairs of classes whose signatures agree enough, each once, packed: rows (c, d, pairs).
+
+    Where `pairs` is null, c and d are in one cluster of pairs. Otherwise it holds pairs (a, b) of one cluster, that of c, as longs.
+    """
     depth = stop_depth(threshold, recall)
     width = TREES * DEPTH
     least = int(width * (threshold - SIGMAS * (threshold * (1 - threshold) / width) ** 0.5))
     rows = prefixes(classes, depth)
     members = blocks(rows, classes.select("c", "sig"))
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    schema = pa.schema([("c", pa.int64()), ("d", pa.int64()), ("pairs", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches, 4):
             tree, prefix, i, j, own, c = (t.column(k).to_numpy() for k in range(6))
             sig = np.frombuffer(b"".join(t.column(6).to_pylist()), np.uint8).reshape(-1, width)
+            lefts, rights = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for left, right in _pairs((tree, prefix, i, j), own):
                 same = sig[left] == sig[right]
                 ok = same.sum(axis=1) >= least
                 left, right, same = left[ok], right[ok], same[ok].reshape(-1, TREES, DEPTH)[:, :, :depth].all(axis=2)
                 ok = same.argmax(axis=1) == tree[left]
-                x, y = c[left[ok]], c[right[ok]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], schema=schema)
+                lefts.append(left[ok])
+                rights.append(right[ok])
+            left, right = np.concatenate(lefts), np.concatenate(rights)
+            if not len(left):
+                continue
+            up = _united(left, right)
+            root = np.array([_top(up, x) for x in left.tolist()])
+            order = np.argsort(root, kind="stable")
+            left, right, root = left[order], right[order], root[order]
+            packed = np.column_stack([c[left], c[right]]).astype("<i8")
+            cuts = [0, *(np.flatnonzero(np.diff(root)) + 1).tolist(), len(root)]
+            nodes = list(up)
+            tops = [_top(up, x) for x in nodes]
+            out_c = [*c[nodes].tolist(), *c[root[cuts[:-1]]].tolist()]
+            out_d = [*c[tops].tolist(), *[None] * (len(cuts) - 1)]
+            lists = [*[None] * len(nodes), *(packed[x:y].tobytes() for x, y in zip(cuts, cuts[1:], strict=False))]
+            yield pa.RecordBatch.from_arrays([pa.array(out_c, pa.int64()), pa.array(out_d, pa.int64()), pa.array(lists, pa.binary())], schema=schema)
 
     keys = ["tree", "prefix", "i", "j"]
-    return members.repartition(*keys).sortWithinPartitions(*keys, "c").mapInArrow(run, "a long, b long")
+    return members.repartition(*keys).sortWithinPartitions(*keys, "c").mapInArrow(run, "c long, d long, pairs binary")
+
+
+def _top(up: dict[int, int], v: int) -> int:
+    while up.get(v, v) != v:
+        up[v] = up.get(up[v], up[v])
+        v = up[v]
+    return v
+
+
+def _united(left: np.ndarray, right: np.ndarray) -> dict[int, int]:
+    """Each node's parent in a forest that joins all pairs."""
+    up: dict[int, int] = {}
+    for x, y in zip(left.tolist(), right.tolist(), strict=True):
+        u, v = _top(up, x), _top(up, y)
+        up.setdefault(u, u)
+        up.setdefault(v, min(u, v))
+        up[max(u, v)] = min(u, v)
+    return up
 
 
 def verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Exact links among the pairs: rows (c, links, root): documents linked to c, and a smaller linked class or c itself; several rows a class."""
-    clusters = graph.components(pairs)
-    size = clusters.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = clusters.join(size, "root").select(F.col("node").alias("c"), "root", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own"))
+    """Exact links among packed pairs: rows (c, links, root): documents linked to c, and a smaller linked class or c; several rows a class."""
+    clusters = graph.components(pairs.where("pairs is null").select(F.col("c").alias("a"), F.col("d").alias("b")))
+    size = clusters.groupBy("root").agg(F.ceil(F.count("*") / VERIFY).cast("int").alias("blocks"))
+    placed = clusters.join(size, "root").select(F.col("node").alias("c"), "root", "blocks")
     placed = common.saved(placed.join(classes.select("c", "rep", "copies"), "c"), "placed")
-    schema = pa.schema([("c", pa.int64()), ("root", pa.int64()), ("blocks", pa.int32()), ("own", pa.int32()), ("copies", pa.int64()), ("shingles", pa.binary())])
+    schema = pa.schema([("c", pa.int64()), ("root", pa.int64()), ("blocks", pa.int32()), ("copies", pa.int64()), ("shingles", pa.binary())])
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
@@ -248,48 +286,58 @@ def verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, threshold: flo
             mine = keys.astype(np.int64) == part.column(0).to_numpy()  # an id may occur with several texts
             at = np.flatnonzero(mine)
             out = part.take(pa.array(at))
-            yield pa.RecordBatch.from_arrays([*out.columns[:5], pa.array([s[bounds[k] : bounds[k + 1]].tobytes() for k in at], pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([*out.columns[:4], pa.array([s[bounds[k] : bounds[k + 1]].tobytes() for k in at], pa.binary())], schema=schema)
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    sets = texts.join(placed, F.col("doc_id").eqNullSafe(F.col("rep"))).select("c", "root", "blocks", "own", "copies", "text").mapInArrow(shingles, "c long, root long, blocks int, own int, copies long, shingles binary")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    sets = sets.select("root", "own", "c", "copies", "shingles", other).select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.lit(0).alias("kind"), "c", F.lit(0).cast("long").alias("b"), "copies", "shingles")
-    place = placed.select("c", "root", "own")
-    asked = pairs.join(place.select(F.col("c").alias("a"), "root", F.col("own").alias("p")), "a").join(place.select(F.col("c").alias("b"), F.col("own").alias("q")), "b")
-    asked = asked.select("root", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), F.lit(1).alias("kind"), F.col("a").alias("c"), "b", F.lit(0).cast("long").alias("copies"), F.lit(None).cast("binary").alias("shingles"))
+    # always a merge join: the plan, and so its growth, doesn't hinge on whether a table happens to fit a broadcast
+    sets = texts.join(placed.hint("merge"), texts["doc_id"] == placed["rep"]).select("c", "root", "blocks", "copies", "text").mapInArrow(shingles, "c long, root long, blocks int, copies long, shingles binary")
+    sets = sets.withColumn("own", F.pmod("c", F.col("blocks").cast("long")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sets = sets.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.lit(0).alias("kind"), "c", "copies", F.col("shingles").alias("data"))
+    routed = pa.schema([("root", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("c", pa.int64()), ("data", pa.binary())])
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for root, n, c, raw in zip(*(col.to_pylist() for col in batch.columns), strict=True):
+                if n == 1:
+                    rows.append((root, 0, 0, c, raw))
+                    continue
+                p = np.frombuffer(raw, "<i8").reshape(-1, 2)
+                own = np.sort(p % n, axis=1)
+                for i, j in np.unique(own, axis=0).tolist():
+                    rows.append((root, i, j, c, p[(own[:, 0] == i) & (own[:, 1] == j)].tobytes()))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), routed, strict=True)], schema=routed)
+
+    asked = pairs.where("pairs is not null").join(placed.select("c", "root", "blocks"), "c").select("root", "blocks", "c", "pairs").mapInArrow(route, "root long, i int, j int, c long, data binary")
+    asked = asked.select("root", "i", "j", F.lit(1).alias("kind"), "c", F.lit(0).cast("long").alias("copies"), "data")
     result = pa.schema([("c", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches, 3):
             for rows in _runs(t, 3):
-                kind, c, b = (rows.column(k).to_numpy() for k in (3, 4, 5))
-                pairs_ = np.flatnonzero(kind == 1)
-                if not len(pairs_):
+                kind, c = rows.column(3).to_numpy(), rows.column(4).to_numpy()
+                lists = [np.frombuffer(rows.column(6)[k].as_py(), "<i8").reshape(-1, 2) for k in np.flatnonzero(kind == 1).tolist()]
+                if not lists:
                     continue
-                held, copies, links, up = {}, {}, {}, {}
-                for k in np.flatnonzero(kind == 0).tolist():
-                    held[int(c[k])] = np.frombuffer(rows.column(7)[k].as_py(), np.uint64)
-                    copies[int(c[k])] = rows.column(6)[k].as_py()
-
-                def top(v: int, up: dict = up) -> int:
-                    while up.get(v, v) != v:
-                        up[v] = up.get(up[v], up[v])
-                        v = up[v]
-                    return v
-
-                for k in pairs_.tolist():
-                    x, y = int(c[k]), int(b[k])
-                    both = len(np.intersect1d(held[x], held[y], assume_unique=True))
-                    if both >= threshold * (len(held[x]) + len(held[y]) - both):
+                sets_at = np.flatnonzero(kind == 0)
+                held = {int(c[k]): np.frombuffer(rows.column(6)[k].as_py(), np.uint64) for k in sets_at.tolist()}
+                copies = dict(zip(c[sets_at].tolist(), rows.column(5).to_numpy()[sets_at].tolist(), strict=True))
+                links: dict[int, int] = {}
+                up: dict[int, int] = {}
+                for x, y in np.concatenate(lists).tolist():
+                    a, b = held[x], held[y]
+                    both = len(np.intersect1d(a, b, assume_unique=True))
+                    if both >= threshold * (len(a) + len(b) - both):
                         links[x] = links.get(x, 0) + copies[y]
                         links[y] = links.get(y, 0) + copies[x]
-                        u, v = sorted((top(x), top(y)))
+                        u, v = sorted((_top(up, x), _top(up, y)))
                         up[v] = u
                 if links:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(links), pa.int64()), pa.array(list(links.values()), pa.int64()), pa.array([top(v) for v in links], pa.int64())], schema=result)
+                    yield pa.RecordBatch.from_arrays([pa.array(list(links), pa.int64()), pa.array(list(links.values()), pa.int64()), pa.array([_top(up, v) for v in links], pa.int64())], schema=result)
 
     keys = ["root", "i", "j"]
-    return sets.unionByName(asked).repartition(*keys).sortWithinPartitions(*keys, "kind", "c", "b").mapInArrow(run, "c long, links long, root long")
+    return sets.unionByName(asked).repartition(*keys).sortWithinPartitions(*keys, "kind", "c").mapInArrow(run, "c long, links long, root long")
 
 
 def _runs(t: pa.Table, keys: int) -> Iterator[pa.Table]:
