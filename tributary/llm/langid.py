@@ -51,8 +51,9 @@ def grams(chars: np.ndarray, doc: np.ndarray, max_n: int = MAX_N) -> tuple[np.nd
     blank = chars == 0
     keep = np.ones(len(chars), bool)
     keep[1:] = ~(blank[1:] & blank[:-1] & (doc[1:] == doc[:-1]))  # a run of others is one blank
-    c, d = chars[keep].astype(np.uint64), doc[keep]
-    keys, docs = [c[c > 0]], [d[c > 0]]
+    # a blank is symbol 1, so that n-grams of different lengths have different keys
+    c, d = np.maximum(chars[keep], 1).astype(np.uint64), doc[keep]
+    keys, docs = [c[c > 1]], [d[c > 1]]
     key = c
     for n in range(2, max_n + 1):
         if len(c) < n:
@@ -61,8 +62,8 @@ def grams(chars: np.ndarray, doc: np.ndarray, max_n: int = MAX_N) -> tuple[np.nd
         # two blanks only meet across a letter, and none lies inside of an n-gram
         ok = d[: len(key)] == d[n - 1 :]
         for inner in range(1, n - 1):
-            ok &= c[inner : inner + len(key)] > 0
-        keys.append(key[ok] | np.uint64(0))
+            ok &= c[inner : inner + len(key)] > 1
+        keys.append(key[ok])
         docs.append(d[: len(key)][ok])
     return np.concatenate(keys), np.concatenate(docs)
 
