@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import flac, html, jaccard, langid, lm, mixing, neardup, packing, pii, vbyte
+from . import flac, html, jaccard, langid, lm, mixing, neardup, oracles, packing, pii, vbyte
 
 QUERIES = {
     "op1_source_mixing": mixing.op1_source_mixing,
@@ -16,4 +16,4 @@ QUERIES = {
     "op9_embedding_near_dedup": neardup.op9_embedding_near_dedup,
     "op10_flac_media": flac.op10_flac_media,
 }
-ORACLES: dict[str, str] = {"op1_source_mixing": mixing.ORACLE}
+ORACLES: dict[str, str] = oracles.ORACLES
