@@ -257,3 +257,23 @@ def test_runner(spark, tmp_path):
     assert len(list((tmp_path / "out").glob("*.csv"))) == 13
     again = runner.recalculate(spark, str(tmp_path / "out"), str(tmp_path / "truth.csv"), keep=True)
     assert again[0]["tp"] == rows[0]["tp"]
+
+
+@pytest.mark.parametrize("loss", ["mse", "mae", "huber"])
+def test_robust_losses(spark, loss):
+    from tributary.operators import lagging
+    from tributary.plans import robust
+
+    f = dgp(120, 3)
+    f.loc[::17, "y"] += 5
+    lay = layout.fixed(("x", "y"), layout.LagConfiguration(2))
+    w, b = robust.fit(lagging.lag_features(P.from_frames(spark, f), [1, 1], [2, 2], ["y"]), lay, ["y"], loss, delta=0.1)
+    x, y, n = design(f, 2)
+    z, y = np.hstack([np.ones((n, 1)), x]), y[:, 1]
+    kind = {"mse": lambda r: r * r, "mae": np.abs, "huber": lambda r: np.where(np.abs(r) <= 0.1, r * r / 2, 0.1 * (np.abs(r) - 0.05))}[loss]
+    best = kind(y - z @ np.array([b[0], *w[0]])).sum()
+    rng = np.random.default_rng(0)
+    for _ in range(200):  # a convex loss: no small step improves it
+        assert kind(y - z @ (np.array([b[0], *w[0]]) + rng.standard_normal(5) * 0.02)).sum() >= best - 1e-3
+    with pytest.raises(ConfigError):
+        robust.fit(lagging.lag_features(P.from_frames(spark, f), [1, 1], [2, 2], ["y"]), lay, ["y"], "nope")

@@ -42,6 +42,13 @@ def shd(truth: DataFrame, predicted: DataFrame, double_edges: bool = False, comp
     return sums.agg(F.floor(F.coalesce(F.sum(F.abs("s")), F.lit(0)) / 2).cast("int").alias("shd"))
 
 
+def square(matrix: DataFrame) -> DataFrame:
+    """The long matrix over all pairs of its nodes, 0 where it has no row, 1 where it isn't 0; as many rows as pairs of nodes."""
+    nodes = matrix.select(F.col("effect").alias("n")).union(matrix.select("cause")).distinct()
+    pairs = nodes.select(F.col("n").alias("effect")).crossJoin(nodes.select(F.col("n").alias("cause")))
+    return pairs.join(matrix.select("effect", "cause", "value"), ["effect", "cause"], "left").select("effect", "cause", F.when(F.coalesce("value", F.lit(0)) != 0, 1).otherwise(0).alias("value"))
+
+
 def scores(counts: DataFrame) -> DataFrame:
     """fdr, tpr, fpr, accuracy, precision, recall, f1 from tp, fp, tn, fn; 0 where a denominator is 0."""
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)

@@ -10,10 +10,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .functions import columns
 from .operators import gram as G
 from .operators import lagging, metrics, scaling
 from .operators.stationarity import StationarityTransformer
-from .plans import engine, inference, layout, selectors
+from .plans import engine, inference, layout, robust, selectors
 from .sources import panel as P
 
 TYPES = ("click", "error", "purchase", "signup", "view")
@@ -394,9 +395,44 @@ def shd_standard(spark, sf_dir):
     return metrics.shd(_gt(spark), _matrix(spark, sf_dir), compat=False)
 
 
+@query(f"{_hit.format('sign(w)')}, u AS (SELECT unnest([{', '.join(repr(t) for t in TYPES)}]) AS n) SELECT a.n AS effect, b.n AS cause, CAST(coalesce(value, 0) <> 0 AS INTEGER) AS value FROM u a CROSS JOIN u b LEFT JOIN m ON m.effect = a.n AND m.cause = b.n")
+def square_matrix(spark, sf_dir):
+    return metrics.square(_matrix(spark, sf_dir, signed=True))
+
+
+@query(f"SELECT DISTINCT cause AS node FROM ({ORACLES['threshold_matrix']}) WHERE value = 1 EXCEPT SELECT effect FROM ({ORACLES['threshold_matrix']}) WHERE value = 1")
+def pure_causes(spark, sf_dir):
+    hits = _matrix(spark, sf_dir).where("value = 1")
+    return hits.select(F.col("cause").alias("node")).distinct().join(hits.select(F.col("effect").alias("node")), "node", "left_anti")
+
+
 # Whole analyses: no SQL
 
 
+@query()
+def pairwise_p_values_lag1(spark, sf_dir):
+    rows = _pair_lag1(spark, sf_dir).selectExpr("effect", "cause", "n", "(rss_r - rss_u) / (rss_u / (n - 3)) AS f_stat", "n * (rss_r - rss_u) / rss_u AS chi2_stat")
+    return rows.select("effect", "cause", columns.f_tail("f_stat", F.lit(1), F.col("n") - 3).alias("f_p_value"), columns.chi2_tail("chi2_stat", F.lit(1)).alias("chi2_p_value"))
+
+
+def _robust(spark, sf_dir, loss: str) -> DataFrame:
+    p = lagging.difference(hourly(spark, sf_dir), 1)
+    lay = layout.fixed(TYPES, layout.LagConfiguration(max_lag=1))
+    rows = lagging.lag_features(p, lay.min_lags, lay.max_lags, ["purchase"])
+    w, b = robust.fit(rows, lay, ["purchase"], loss, delta=50.0)
+    return spark.createDataFrame([("purchase", n, float(v)) for n, v in zip([*lay.names, "intercept"], [*w[0], b[0]], strict=True)], "effect string, feature string, weight double")
+
+
+@query()
+def huber_fit(spark, sf_dir):
+    return _robust(spark, sf_dir, "huber")
+
+
+@query()
+def absolute_loss_fit(spark, sf_dir):
+    return _robust(spark, sf_dir, "mae")
+
+
 def _fit(spark, sf_dir, **args) -> inference.Results:
     defaults = {"lag_config": layout.LagConfiguration(max_lag=2), "stationarity_transformer": StationarityTransformer(max_order=1)}
     return engine.MultiTaskCausality(args.pop("backend", None)).fit(hourly(spark, sf_dir), **defaults | args)
