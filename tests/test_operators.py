@@ -127,6 +127,13 @@ def test_panels(spark, tmp_path):
     assert P.drop_nulls(P.from_frames(spark, pd.DataFrame({"x": [1.0, None, 2]}))).df.count() == 2
 
 
+def test_head_by_numbering(spark, monkeypatch):
+    monkeypatch.setattr(P, "TOP_ROWS", 0)
+    df = P.from_frames(spark, frames(np.random.default_rng(4), 10, 2)).df.repartition(5)
+    got = sorted((r["segment_id"], r["t"]) for r in P.head_sample(df, 0.6).collect())
+    assert got == [(0, t) for t in range(10)] + [(1, 0), (1, 1)]
+
+
 def test_roles_and_head(spark):
     assert P.check_roles(("a", "b"), [], "a", None) == (["a", "b"], ["a"], ["a", "b"])
     with pytest.raises(DataValidationError):

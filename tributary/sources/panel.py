@@ -113,39 +113,53 @@ def resolve(path: str, base: str = ".") -> str:
     return full
 
 
-def dense_time(panel: Panel) -> Panel:
-    """t becomes 0, 1, .. within each segment, without gathering a segment: rows are dealt by ranges of (segment, t), numbered
-    where they lie, and moved up by the counts of the ranges before them."""
+def _numbered(df: DataFrame, keys: list[str], per: str | None) -> DataFrame:
+    """df plus __n: 0, 1, .. in order of the keys, within each value of `per` or over all rows, without gathering either: rows are
+    dealt by ranges of the keys, numbered where they lie, and moved up by the counts of the ranges before them."""
     import pyarrow as pa
 
-    df = panel.df.repartitionByRange(SEGMENT, TIME).sortWithinPartitions(SEGMENT, TIME)
-    schema = df.schema
+    df = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    at = None if per is None else df.columns.index(per)
 
     def number(batches):
         from pyspark import TaskContext
 
-        part, last, n = TaskContext.get().partitionId(), object(), 0
+        part, last, n = TaskContext.get().partitionId(), object(), -1
         for b in batches:
-            places = []
-            for s in b.column(0).to_pylist():
-                n = n + 1 if s == last else 0
-                last = s
-                places.append(n)
+            if at is None:
+                places = range(n + 1, n + 1 + b.num_rows)
+                n += b.num_rows
+            else:
+                places = []
+                for s in b.column(at).to_pylist():
+                    n = n + 1 if s == last else 0
+                    last = s
+                    places.append(n)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([part] * b.num_rows, pa.int32()), pa.array(places, pa.int64())], names=[*b.schema.names, "__part", "__place"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
     placed = df.mapInArrow(number, f"{fields}, __part int, __place long")
-    counts = placed.groupBy(SEGMENT, "__part").agg(F.count("*").alias("__n"))  # a row for each range and segment
-    before = Window.partitionBy(SEGMENT).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(SEGMENT, "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    out = placed.join(counts, [SEGMENT, "__part"]).withColumn(TIME, F.col("__place") + F.col("__before"))
-    return panel.with_df(out.select(SEGMENT, TIME, *panel.variables))
+    by = [] if per is None else [per]
+    counts = placed.groupBy(*by, "__part").agg(F.count("*").alias("__c"))  # a row for each range (and value)
+    before = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*by, "__part", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__before"))
+    return placed.join(counts, [*by, "__part"]).select(*df.columns, (F.col("__place") + F.col("__before")).alias("__n"))
+
+
+def dense_time(panel: Panel) -> Panel:
+    """t becomes 0, 1, .. within each segment; no segment is gathered in one task."""
+    out = _numbered(panel.df, [SEGMENT, TIME], SEGMENT)
+    return panel.with_df(out.select(SEGMENT, F.col("__n").alias(TIME), *panel.variables))
+
+
+#: Up to so many rows, the first ones are found by a top-k; beyond it, all rows are numbered in place.
+TOP_ROWS = 100_000
 
 
 def head_sample(df: DataFrame, fraction: float = 1.0, most: int | None = None, segment: str = SEGMENT, order: str = TIME, total: int | None = None) -> DataFrame:
     """The first floor(fraction * n) rows (one at least), `most` at most, in order of (segment, t); not a random sample.
 
-    Rows are only counted and ranked if something is to be left out; the k-th row is found by the k smallest keys.
+    Rows are only counted and ranked if something is to be left out.
     """
     if not 0 < fraction <= 1:
         raise DataValidationError("the fraction must be in (0, 1]")
@@ -156,7 +170,11 @@ def head_sample(df: DataFrame, fraction: float = 1.0, most: int | None = None, s
     n = df.count() if total is None else total
     keep = max(1, int(fraction * n))
     keep = keep if most is None else min(keep, most)
-    return df if keep >= n else df.orderBy(segment, order).limit(keep)
+    if keep >= n:
+        return df
+    if keep <= TOP_ROWS:
+        return df.orderBy(segment, order).limit(keep)
+    return _numbered(df, [segment, order], None).where(F.col("__n") < keep).drop("__n")
 
 
 def require_columns(available: Sequence[str], required: Sequence[str], context: str) -> None:
