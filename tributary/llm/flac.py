@@ -30,7 +30,7 @@ from . import common, tokens
 BLOCK = 576
 BITS = 8
 #: Frames that are coded at once.
-LANES = 6000
+LANES = 2500
 MAX_RICE = 7
 #: Coefficients of the fixed predictors by order: fixed values of the format.
 FIXED = ((), (1,), (2, -1), (3, -3, 1), (4, -6, 4, -1))
@@ -454,19 +454,19 @@ def payload(text: str | None) -> bytes:
 
 
 def media(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes and media: each text's payload as a FLAC stream, stored in the shared folder."""
+    """doc_id, n_bytes and media: each text's payload as a FLAC stream, a binary column that can be written to any table."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.large_binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for a, b in tokens.chunks([len(t) for t in texts], 2 * tokens.CHUNK_CHARS):
+            for a, b in tokens.chunks([len(t) for t in texts], tokens.CHUNK_CHARS):
                 sizes = [len(t.encode("utf-8", "replace")) for t in texts[a:b]]
                 made = encode_payloads([payload(t) for t in texts[a:b]])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(made, pa.binary())], names=schema.names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return common.saved(rows.mapInArrow(run, "doc_id long, n_bytes long, media binary"), "media", "none")
+    return rows.mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
 def features(stored: DataFrame) -> DataFrame:
@@ -477,7 +477,7 @@ def features(stored: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, sizes, streams = (batch.column(i).to_pylist() for i in range(3))
-            for a, b in tokens.chunks([len(s) for s in streams], 2 * tokens.CHUNK_CHARS):
+            for a, b in tokens.chunks([len(s) for s in streams], tokens.CHUNK_CHARS):
                 rows = []
                 for k, (raw, frames) in enumerate(decode_many(streams[a:b]), a):
                     x = np.frombuffer(raw, np.uint8).astype(np.int64) - 128
@@ -490,5 +490,5 @@ def features(stored: DataFrame) -> DataFrame:
 
 
 def op10_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents stored as FLAC and read back."""
+    """All documents as a FLAC column and read back from it; Rice codes hardly shrink text, so the column stays off the disk."""
     return features(media(common.table(spark, sf_dir, "documents").select("doc_id", "text")))
