@@ -7,9 +7,10 @@ the number of collisions of a pair is binomial, and the count that a pair must r
 10,000 pairs at the threshold (`least_count`). Pairs that reach it are verified by their cosine in double precision.
 
 Counting every pair that collides on one direction would be quadratic, so counters are only kept where it pays: each of
-`TABLES` sorts cuts `JOINT` directions at once into windows of `WIDTH` deviations with random offsets, and pairs are
-counted inside of a joint window, in blocks of at most `jaccard.BLOCK` a side, in the first table that joins them.
-A pair at the threshold shares a joint window with probability 0.998, one at a cosine of 0.99 with 1 - 1e-11.
+several tables cuts some directions at once into windows of `WIDTH` deviations with random offsets, and pairs are
+counted inside of a joint window, in blocks of at most `jaccard.BLOCK` a side, in the first table that joins them. For n
+vectors, `design` takes as many directions as leave an unrelated vector `MATES` companions in its window, and as many tables as
+join a pair at the threshold with probability `JOINED`: rows grow as n to the power 1.2, and recall stays the same.
 
 Equal vectors form a class and are compared once. Vectors that are null, empty, zero, or hold null or non-finite components
 link with nothing; vectors of different lengths neither. Repeated rows count as copies. Extra columns are ignored.
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from . import common, graph, jaccard, tokens
 
 THRESHOLD = 0.95
-TABLES, JOINT, WIDTH = 48, 12, 5.0
+WIDTH, MATES, JOINED = 5.0, 0.1, 0.998
 COUNTING, WINDOW, RECALL = 64, 2.0, 0.9999
 SEED = 20240901
 
@@ -44,11 +45,37 @@ def least_count(n: int = COUNTING, window: float = WINDOW, recall: float = RECAL
     return 0
 
 
-def directions(dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """Random unit directions (dim x tables * joint) and offsets of their windows, in windows."""
+def design(n: int, threshold: float) -> tuple[int, int]:
+    """Tables, and directions of each.
+
+    In units of a pair's deviation r / sqrt(d), a pair at the threshold differs by N(0, 1) and unrelated unit vectors by
+    N(0, sqrt(2) / r); within a window of width w at a random offset, N(0, s) stays with the probability `stays`.
+    """
+    r = math.sqrt(max(2 - 2 * threshold, 1e-6))
+
+    def stays(s: float) -> float:
+        z = WIDTH / s
+        return math.erf(z / math.sqrt(2)) - math.sqrt(2 / math.pi) / z * (1 - math.exp(-z * z / 2))
+
+    joint = max(4, math.ceil(math.log(max(n, 2) / MATES) / -math.log(stays(math.sqrt(2) / r))))
+    return math.ceil(math.log(1 - JOINED) / math.log(1 - stays(1.0) ** joint)), joint
+
+
+def directions(dim: int, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Random unit directions (dim x count) and offsets of their windows, in windows."""
     rng = np.random.default_rng((SEED, dim))
-    d = rng.standard_normal((dim, TABLES * JOINT))
-    return d / np.linalg.norm(d, axis=0), rng.random(TABLES * JOINT)
+    d = rng.standard_normal((count, dim)).T
+    return d / np.linalg.norm(d, axis=0), np.random.default_rng((SEED, dim, 1)).random(count)
+
+
+def cells_of(v: np.ndarray, direction: np.ndarray, offset: np.ndarray, tables: int, joint: int, threshold: float) -> np.ndarray:
+    """The joint window of each table for unit vectors v, as longs."""
+    dim = v.shape[1]
+    w = np.floor(v @ direction / (WIDTH * deviation(dim, threshold)) + offset).astype(np.int64).astype(np.uint64).reshape(-1, tables, joint)
+    h = np.full(w.shape[:2], dim, np.uint64)
+    for k in range(joint):
+        h = tokens._mix(h ^ w[:, :, k])
+    return h.view(np.int64)
 
 
 def deviation(dim: int, threshold: float) -> float:
@@ -82,93 +109,82 @@ def classes_of(rows: DataFrame) -> DataFrame:
     return rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(run, "vec_id long, c long, vec binary")
 
 
-def with_cells(classes: DataFrame, threshold: float) -> DataFrame:
-    """classes plus cells: the joint window of each table, as bytes of longs."""
-    schema = pa.schema([("c", pa.int64()), ("vec", pa.binary()), ("cells", pa.binary())])
+def _unit(raw: list[bytes], dim: int) -> np.ndarray:
+    v = np.frombuffer(b"".join(raw)).reshape(-1, dim)
+    # scaled by the largest component first, so that squares of very small ones don't vanish
+    v = v / np.abs(v).max(axis=1, keepdims=True)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def spread(classes: DataFrame, tables: int, joint: int, threshold: float) -> DataFrame:
+    """tree (the table), prefix (its joint window) and c for each class and table."""
+    schema = pa.schema([("tree", pa.int32()), ("prefix", pa.int64()), ("c", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for batch in batches:
-            raw = batch.column(1).to_pylist()
-            cells: list[bytes] = [b""] * len(raw)
-            for dim in {len(x) // 8 for x in raw}:
-                if dim not in known:
-                    known[dim] = directions(dim)
-                direction, offset = known[dim]
-                at = [k for k, x in enumerate(raw) if len(x) == 8 * dim]
-                v = np.frombuffer(b"".join(raw[k] for k in at)).reshape(-1, dim)
-                v = v / np.linalg.norm(v, axis=1, keepdims=True)
-                w = np.floor(v @ direction / (WIDTH * deviation(dim, threshold)) + offset).astype(np.int64).astype(np.uint64).reshape(-1, TABLES, JOINT)
-                h = np.full(w.shape[:2], dim, np.uint64)
-                for k in range(JOINT):
-                    h = tokens._mix(h ^ w[:, :, k])
-                for k, x in zip(at, h, strict=True):
-                    cells[k] = x.tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cells, pa.binary())], schema=schema)
-
-    return classes.select("c", "vec").mapInArrow(run, "c long, vec binary, cells binary")
+        for whole in batches:
+            for a in range(0, whole.num_rows, 2000):
+                batch = whole.slice(a, 2000)
+                raw, c = batch.column(1).to_pylist(), batch.column(0).to_numpy()
+                sizes = np.array([len(x) // 8 for x in raw])
+                for dim in np.unique(sizes).tolist():
+                    if dim not in known:
+                        known[dim] = directions(dim, tables * joint)
+                    at = np.flatnonzero(sizes == dim)
+                    cells = cells_of(_unit([raw[k] for k in at], dim), *known[dim], tables, joint, threshold)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(tables, dtype=np.int32), len(at))), pa.array(cells.reshape(-1)), pa.array(np.repeat(c[at], tables))], schema=schema)
+
+    return classes.select("c", "vec").mapInArrow(run, "tree int, prefix long, c long")
 
 
 def links(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Rows (c, links, root): vectors linked to c (copies counted), and a smaller linked class or c; several rows a class."""
-    placed = common.saved(with_cells(classes, threshold).join(classes.select("c", "copies"), "c"), "cells")
-    schema = pa.schema([("tree", pa.int32()), ("prefix", pa.int64()), ("c", pa.int64())])
+    tables, joint = design(classes.count(), threshold)
     result = pa.schema([("c", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.num_rows
-            if n:
-                cells = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(TABLES, dtype=np.int32), n)), pa.array(cells), pa.array(np.repeat(batch.column(0).to_numpy(), TABLES))], schema=schema)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         need = least_count()
-        known: dict[int, np.ndarray] = {}
+        known: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for t in jaccard._groups(batches, 4):
             table, prefix, i, j, own, c = (t.column(k).to_numpy() for k in range(6))
-            raw, copies = t.column(6).to_pylist(), t.column(8).to_numpy()
-            cells = np.frombuffer(b"".join(t.column(7).to_pylist()), np.int64).reshape(-1, TABLES)
+            raw, copies = t.column(6).to_pylist(), t.column(7).to_numpy()
             dims = np.array([len(x) // 8 for x in raw])
             count: dict[int, int] = {}
             up: dict[int, int] = {}
-
-            def top(v: int, up: dict = up) -> int:
-                while up.get(v, v) != v:
-                    up[v] = up.get(up[v], up[v])
-                    v = up[v]
-                return v
-
             vec, proj, slot = {}, {}, np.zeros(len(raw), np.int64)
             for dim in np.unique(dims).tolist():
                 at = np.flatnonzero(dims == dim)
                 slot[at] = np.arange(len(at))
-                v = np.frombuffer(b"".join(raw[k] for k in at)).reshape(-1, dim)
-                vec[dim] = v / np.linalg.norm(v, axis=1, keepdims=True)
+                vec[dim] = _unit([raw[k] for k in at], dim)
                 if dim not in known:
-                    known[dim] = directions(dim)[0][:, :COUNTING].astype(np.float32)
-                proj[dim] = vec[dim].astype(np.float32) @ known[dim]
+                    known[dim] = (directions(dim, COUNTING)[0].astype(np.float32), *directions(dim, tables * joint))
+                proj[dim] = vec[dim].astype(np.float32) @ known[dim][0]
             for left, right in jaccard._pairs((table, prefix, i, j), own, 50_000):
-                ok = (dims[left] == dims[right]) & ((cells[left] == cells[right]).argmax(axis=1) == table[left])
-                left, right = left[ok], right[ok]
                 for dim in np.unique(dims[left]).tolist():
-                    mine = dims[left] == dim
+                    mine = (dims[left] == dim) & (dims[right] == dim)
                     x, y = left[mine], right[mine]
                     near = np.abs(proj[dim][slot[x]] - proj[dim][slot[y]]) <= WINDOW * deviation(dim, threshold)
                     ok = near.sum(axis=1) >= need
                     x, y = x[ok], y[ok]
                     ok = np.einsum("ij,ij->i", vec[dim][slot[x]], vec[dim][slot[y]]) >= threshold
+                    x, y = x[ok], y[ok]
+                    if not len(x):
+                        continue
+                    # a pair counts in the first table that joins it
+                    rows, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+                    cells = cells_of(vec[dim][slot[rows]], *known[dim][1:], tables, joint, threshold)
+                    ok = (cells[at[: len(x)]] == cells[at[len(x) :]]).argmax(axis=1) == table[x]
                     for p, q in zip(x[ok].tolist(), y[ok].tolist(), strict=True):
                         a, b = int(c[p]), int(c[q])
                         count[a] = count.get(a, 0) + int(copies[q])
                         count[b] = count.get(b, 0) + int(copies[p])
-                        u, v = sorted((top(a), top(b)))
+                        u, v = sorted((jaccard._top(up, a), jaccard._top(up, b)))
                         up[v] = u
             if count:
-                yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.int64()), pa.array(list(count.values()), pa.int64()), pa.array([top(v) for v in count], pa.int64())], schema=result)
+                yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.int64()), pa.array(list(count.values()), pa.int64()), pa.array([jaccard._top(up, v) for v in count], pa.int64())], schema=result)
 
     keys = ["tree", "prefix", "i", "j"]
-    members = jaccard.blocks(placed.select("c", "cells").mapInArrow(spread, "tree int, prefix long, c long"), placed.select("c", "vec", "cells", "copies"))
+    members = jaccard.blocks(spread(classes, tables, joint, threshold), classes.select("c", "vec", "copies"))
     return members.repartition(*keys).sortWithinPartitions(*keys, "c").mapInArrow(run, "c long, links long, root long")
 
 
