@@ -22,7 +22,6 @@ Extra columns are ignored. Empty tables give no rows.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import common, jaccard, tokens
 
-BLOCK_BYTES = 6_000_000
+BLOCK_BYTES = 4_000_000
 ADD, MU = 0.1, 20.0
 #: Stand-ins for the hashes of a document's end and begin.
 END, BEGIN = np.uint64(0x1F83D9ABFB41BD6B), np.uint64(0x5BE0CD19137E2179)
