@@ -106,7 +106,9 @@ def decide(
     last = last.withColumn("room", F.col("rest2") - F.sum("n").over(order) + F.col("n"))
     last = last.select("doc_id", "text_hash", *names, F.greatest(F.lit(0), F.least("n", "room")).alias("inner_tokens"))
     cuts = first.select(*names, "cut1").join(second.select(*names, "cut2"), names, "left")
-    rows = rows.join(cuts, names, "left").join(last, ["doc_id", "text_hash", *names], "left")
+    # a copy of the leaves' cuts for each first digit, so that a hot leaf's rows are dealt to sixteen tasks
+    cuts = cuts.withColumn("digit", F.explode(F.array(*map(F.lit, "0123456789abcdef"))))
+    rows = rows.withColumn("digit", F.substring("h", 1, 1)).join(cuts, [*names, "digit"], "left").join(last, ["doc_id", "text_hash", *names], "left")
     prefix = F.when(F.concat(b1, b2) < F.concat("cut1", "cut2"), F.col("n")).otherwise(F.coalesce("inner_tokens", F.lit(0))).cast("long")
     out = rows.withColumn("prefix_tokens", prefix)
     return out.select("doc_id", "text_hash", *(F.col(n).alias(a) for n, a in zip(names, levels, strict=True)), F.col("n").alias("n_tokens"), F.col("epochs").cast("long").alias("epochs"), "prefix_tokens", (F.col("epochs") * F.col("n") + F.col("prefix_tokens")).cast("long").alias("taken"))
