@@ -157,3 +157,18 @@ def test_media_rows(spark):
         assert (got[i]["n_bytes"], got[i]["payload_bytes"], got[i]["payload_sha256"], got[i]["tail_crc32"]) == (len(t or ""), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]))
     assert got[0]["media_sha256"] == got[3]["media_sha256"] and got[0]["feature"] == got[3]["feature"] and None in got
     assert flac.features(flac.media(df.limit(0))).count() == 0
+
+
+def test_query_reads_what_it_stored(spark, tmp_path):
+    from pathlib import Path
+
+    texts = ["some text", None, "", "é ü 日本" * 300, "y" * 3000]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    shared = Path(flac.common.shared_dir(spark).removeprefix("file://"))
+    before = set(shared.glob("media-*"))
+    df = flac.op10_flac_media(spark, str(tmp_path))
+    (folder,) = set(shared.glob("media-*")) - before
+    stored = {r["doc_id"]: bytes(r["media"]) for r in spark.read.parquet(str(folder)).collect()}
+    assert [flac.decode_many([stored[i]])[0][0] for i in range(len(texts))] == [flac.payload(t) for t in texts]
+    assert {r["doc_id"]: r["media_sha256"] for r in df.collect()} == {i: hashlib.sha256(s).hexdigest() for i, s in stored.items()}
+    assert all(str(folder) in f for f in df.inputFiles())

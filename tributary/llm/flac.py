@@ -490,5 +490,5 @@ def features(stored: DataFrame) -> DataFrame:
 
 
 def op10_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents as a FLAC column and read back from it; Rice codes hardly shrink text, so the column stays off the disk."""
-    return features(media(common.table(spark, sf_dir, "documents").select("doc_id", "text")))
+    """All documents stored as FLAC in the shared folder and read back from there."""
+    return features(common.saved(media(common.table(spark, sf_dir, "documents").select("doc_id", "text")), "media"))
