@@ -74,3 +74,44 @@ def test_packed_keys_round_trip():
     assert (lm._keys(lm._planes(keys)) == keys).all()
     for top in (3, 300, 70_000, 2**33):
         assert lm._large(lm._small(np.array([0, top]))).tolist() == [0, top]
+
+
+def brute_of_order(rows, order):
+    """The recursion over contexts as it is written down, shortest context first."""
+    grams, contexts, words = Counter(), Counter(), Counter()
+    for _, t, held in rows:
+        w = [] if held else tokens(t)
+        words.update(w)
+        seq = ["<", *w]
+        for i in range(1, len(seq)):
+            for k in range(1, min(order - 1, i) + 1):
+                contexts[tuple(seq[i - k : i])] += 1
+                grams[tuple(seq[i - k : i + 1])] += 1
+    n, v, out = sum(words.values()), len(words), []
+    for d, t, _ in rows:
+        seq, score = ["<", *tokens(t)], 0.0
+        for i in range(1, len(seq)):
+            p = (words[seq[i]] + lm.ADD) / (n + lm.ADD * (v + 1))
+            for k in range(1, min(order - 1, i) + 1):
+                if c := contexts[tuple(seq[i - k : i])]:
+                    p = (grams[tuple(seq[i - k : i + 1])] + lm.MU * p) / (c + lm.MU)
+            score += math.log10(p)
+        out.append((str(d), len(seq) - 1, score))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("order, size", [(2, 300), (3, 300), (3, 10**7), (5, 300)])
+def test_longer_contexts_equal_brute_force(spark, order, size):
+    df = spark.createDataFrame(rows(), "doc_id long, text string, held_out boolean")
+    got = sorted((str(r["doc_id"]), r["n_tokens"], r["score"]) for r in lm.score(df, block_bytes=size, order=order).collect())
+    for a, b in zip(got, brute_of_order(rows(), order), strict=True):
+        assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], rel=1e-9)
+
+
+def test_query_is_of_order_three(spark, tmp_path):
+    text = [(i, t, False) for i, (_, t, _) in enumerate(rows())]
+    spark.createDataFrame([x[:2] for x in text], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((str(r["doc_id"]), r["held_out"], r["score"]) for r in lm.op3_lm_scoring(spark, str(tmp_path)).collect())
+    held = {d: h for d, h, _ in got}
+    for a, b in zip(got, brute_of_order([(d, t, held[str(d)]) for d, t, _ in text], 3), strict=True):
+        assert a[0] == b[0] and a[2] == pytest.approx(b[2], rel=1e-9)

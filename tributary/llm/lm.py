@@ -1,16 +1,17 @@
 """Language-model scores from a weighted backoff automaton.
 
-The model is a smoothed bigram model of the training documents: with N tokens, V distinct tokens and counts c,
+The model is a smoothed n-gram model of the training documents: with N tokens, V distinct tokens, counts c, and h' for a
+context h without its first word,
 
     P(v)     = (c(v) + 0.1) / (N + 0.1 (V + 1))
-    P(v | u) = (c(u, v) + MU P(v)) / (c(u) + MU)        for contexts u seen in training (a document's begin is one)
+    P(v | h) = (c(h, v) + MU P(v | h')) / (c(h) + MU)   for contexts h of up to n - 1 words seen in training, else P(v | h')
 
-As an automaton: each context is a state with an arc for every word that followed it, and a failure arc of weight
-MU / (c(u) + MU) to the root, whose arcs hold P(v). One traversal from left to right carries the state and adds log10
-weights; each document ends with an end token.
+A document's begin counts as a word of contexts. As an automaton: each context is a state with an arc for every word that
+followed it, and a failure arc of weight MU / (c(h) + MU) to the state of h', down to the root, whose arcs hold P(v). One
+traversal from left to right carries the state and adds log10 weights; each document ends with an end token.
 
 The automaton of a corpus doesn't fit a worker, and isn't sent to one. Documents are dealt to blocks of about
-`BLOCK_BYTES` of text; each block sends the sorted hashes of the words and bigrams it has, with its training counts, cut
+`BLOCK_BYTES` of text; each block sends the sorted hashes of the words and n-grams it has, with its training counts, cut
 into key ranges; each range sums the counts over all blocks and answers each block in the order it asked. So a block gets
 just the part of the automaton that its texts can reach. Keys are 64-bit hashes; bytes, not code points, are hashed. Counts
 cover all training documents; what is exchanged grows with the input.
@@ -22,7 +23,7 @@ Extra columns are ignored. Empty tables give no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +33,12 @@ from pyspark.sql import functions as F
 from . import common, jaccard, tokens
 
 BLOCK_BYTES = 4_000_000
+#: Words of the longest n-grams of the query.
+ORDER = 3
 ADD, MU = 0.1, 20.0
 #: Stand-ins for the hashes of a document's end and begin.
 END, BEGIN = np.uint64(0x1F83D9ABFB41BD6B), np.uint64(0x5BE0CD19137E2179)
-WORDS, PAIRS, BEGINS = 0, 1, 2
+WORDS, PAIRS, BEGINS = 0, 1, 2  # n-grams of n > 2 are of kind n
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -74,6 +77,14 @@ def pair_keys(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return tokens._mix(before * np.uint64(0x9E3779B97F4A7C15) + h), before
 
 
+def longer_keys(below: np.ndarray, h: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the n-grams (n > 2) that end at each place, from those of one word less, and whether the document has n words there (its begin is one)."""
+    keys = np.zeros_like(h)
+    keys[1:] = tokens._mix(below[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])
+    place = np.arange(len(h)) - np.searchsorted(doc, doc)
+    return keys, place >= n - 2
+
+
 def _small(counts: np.ndarray) -> bytes:
     """Counts in the least width that holds them; the width is the first byte."""
     top = int(counts.max()) if len(counts) else 0
@@ -95,17 +106,28 @@ def _keys(raw: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").reshape(-1), dtype=np.uint64)
 
 
-def _asked(h: np.ndarray, doc: np.ndarray, held: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
+def _grams(h: np.ndarray, doc: np.ndarray, order: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(kind, places, sorted keys, first place of each, number of each place's key) of a block's words and n-grams."""
+    keys = h
+    for n in range(1, order + 1):
+        at = np.arange(len(h))
+        if n == 2:
+            keys = pair_keys(h, doc)[0]
+        elif n > 2:
+            keys, whole = longer_keys(keys, h, doc, n)
+            at = np.flatnonzero(whole)
+        unique, first, inverse = np.unique(keys[at], return_index=True, return_inverse=True)
+        yield {1: WORDS, 2: PAIRS}.get(n, n), at, unique, at[first], inverse
+
+
+def _asked(h: np.ndarray, doc: np.ndarray, held: np.ndarray, order: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(kind, sorted keys, training counts) of a block's tokens."""
     weight = (~held[doc]).astype(np.int64)
-    out = []
-    for kind, keys in ((WORDS, h), (PAIRS, pair_keys(h, doc)[0])):
-        unique, inverse = np.unique(keys, return_inverse=True)
-        out.append((kind, unique, np.bincount(inverse, weight, len(unique)).astype(np.int64)))
-    return out
+    for kind, at, unique, _, inverse in _grams(h, doc, order):
+        yield kind, unique, np.bincount(inverse, weight[at], len(unique)).astype(np.int64)
 
 
-def requests(blocked: DataFrame, ranges: int) -> DataFrame:
+def requests(blocked: DataFrame, ranges: int, order: int) -> DataFrame:
     """block, kind, range, keys, counts: what each block asks of each key range."""
     schema = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("range", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
     step = -(-(1 << 64) // ranges)
@@ -116,7 +138,7 @@ def requests(blocked: DataFrame, ranges: int) -> DataFrame:
             for rows in jaccard._runs(t, 1):
                 block = rows.column(0)[0].as_py()
                 held = np.array(rows.column(2).to_pylist(), bool)
-                asked = _asked(*tokenise(rows.column(3).to_pylist()), held)
+                asked = _asked(*tokenise(rows.column(3).to_pylist()), held, order)
                 out = []
                 for kind, keys, counts in asked:
                     part = (keys // np.uint64(step)).astype(np.int64) if ranges > 1 else np.zeros(len(keys), np.int64)
@@ -149,50 +171,87 @@ def answers(asked: DataFrame) -> DataFrame:
 
 
 class Automaton:
-    """States: one for each context word, BEGIN, and the root. Words are numbers below `words`."""
+    """States: one for each context word, BEGIN, the root, then one for each longer context. Words are numbers below `words`.
+
+    `longer` has for each n from 3 to the order the n-grams' prefixes and suffixes, as numbers of n-grams of one word less, and counts.
+    """
 
-    def __init__(self, count: np.ndarray, begins: int, pair_state: np.ndarray, pair_word: np.ndarray, pair_count: np.ndarray, total: int, distinct: int):
+    def __init__(self, count: np.ndarray, begins: int, pair_state: np.ndarray, pair_word: np.ndarray, pair_count: np.ndarray, total: int, distinct: int, longer: Sequence[tuple[np.ndarray, np.ndarray, np.ndarray]] = ()):
         words = len(count)
         self.words, self.begin, self.root = words, words, words + 1
         scale = total + ADD * (distinct + 1)
         p = (count + ADD) / scale if total else np.ones(words)
         self.base = np.log10(p)
-        context = np.append(count, begins).astype(float)
-        live = context > 0
-        self.fail = np.where(live, np.log10(MU / (context + MU)), 0.0).tolist()
-        seen = (pair_count > 0) & live[pair_state]
-        s, w = pair_state[seen], pair_word[seen]
-        weight = np.log10((pair_count[seen] + MU * p[w]) / (context[s] + MU))
-        self.arcs = dict(zip((s * words + w).tolist(), weight.tolist(), strict=True))
         self.root_arcs = self.base.tolist()
+        self.arcs: dict[int, float] = {}
+        self.after: dict[int, int] = {}
+        # counts and failure targets of the states
+        context, back = [np.append(count, [begins, 0]).astype(float)], [np.full(words + 2, self.root)]
+        below, states, state, word, number, grams = p[pair_word], pair_word, pair_state, pair_word, pair_count, list(longer)
+        for level in range(len(grams) + 1):
+            seen_as = np.concatenate(context)[state]
+            live = seen_as > 0
+            chance = np.where(live, (number + MU * below) / (seen_as + MU), below)
+            if level < len(grams):  # each n-gram is a context of those of one word more
+                own = len(np.concatenate(context)) + np.arange(len(number))
+                context.append(number.astype(float))
+                back.append(states)
+            else:
+                own = states
+            seen = np.flatnonzero((number > 0) & live)
+            keys = (state[seen] * words + word[seen]).tolist()
+            self.arcs.update(zip(keys, np.log10(chance[seen]).tolist(), strict=True))
+            self.after.update(zip(keys, own[seen].tolist(), strict=True))
+            if level < len(grams):
+                prefix, suffix, number = grams[level]
+                state, states, word, below = own[prefix], own[suffix], word[suffix], chance[suffix]
+        held = np.concatenate(context)
+        self.fail = np.where(held > 0, np.log10(MU / (held + MU)), 0.0).tolist()
+        self.back = np.concatenate(back).tolist()
 
     def score(self, text: list[int]) -> float:
         """log10 probability of a text's words."""
-        arcs, fail, root_arcs, words = self.arcs, self.fail, self.root_arcs, self.words
+        arcs, after, fail, back, root_arcs, words, root = self.arcs, self.after, self.fail, self.back, self.root_arcs, self.words, self.root
         state, total = self.begin, 0.0
         for w in text:
-            weight = arcs.get(state * words + w)
-            if weight is None:  # follow the failure arc; the root knows every word
-                weight = fail[state] + root_arcs[w]
-            total += weight
-            state = w
+            while state != root:
+                at = state * words + w
+                weight = arcs.get(at)
+                if weight is not None:
+                    total += weight
+                    state = after[at]
+                    break
+                total += fail[state]
+                state = back[state]
+            else:  # the root knows every word
+                total += root_arcs[w]
+                state = w
         return total
 
 
-def _score_block(rows: pa.Table, told: pa.Table, total: int, distinct: int, tokenise: Tokens) -> list[tuple]:
+def _score_block(rows: pa.Table, told: pa.Table, total: int, distinct: int, tokenise: Tokens, order: int) -> list[tuple]:
     ids, held, texts = rows.column("doc_id").to_pylist(), np.array(rows.column("held_out").to_pylist(), bool), rows.column("text").to_pylist()
     h, doc = tokenise(texts)
-    got: dict[int, list] = {WORDS: [], PAIRS: [], BEGINS: []}
+    got: dict[int, list] = {}
     for kind, _, counts in sorted(zip(told.column("kind").to_pylist(), told.column("range").to_pylist(), told.column("counts").to_pylist(), strict=True), key=lambda x: x[:2]):
-        got[kind].append(_large(counts))
-    words, word = np.unique(h, return_inverse=True)
-    keys, before = pair_keys(h, doc)
-    unique, first, pair = np.unique(keys, return_index=True, return_inverse=True)
-    count, pair_count = np.concatenate(got[WORDS]), np.concatenate(got[PAIRS])
-    if len(count) != len(words) or len(pair_count) != len(unique):
-        raise ValueError("a block's answers don't fit what it asked")
-    state = np.where(before[first] == BEGIN, len(words), np.minimum(np.searchsorted(words, before[first]), len(words) - 1))
-    automaton = Automaton(count, int(got[BEGINS][0][0]), state, word[first], pair_count, total, distinct)
+        got.setdefault(kind, []).append(_large(counts))
+    counts, longer = {}, []
+    before = pair_keys(h, doc)[1]
+    for kind, at, unique, first, inverse in _grams(h, doc, order):
+        counts[kind] = np.concatenate(got.get(kind, [np.zeros(0, np.int64)]))
+        if len(counts[kind]) != len(unique):
+            raise ValueError("a block's answers don't fit what it asked")
+        if kind == WORDS:
+            words, word = len(unique), inverse
+        elif kind == PAIRS:
+            pair_word = word[first]
+            state = np.where(before[first] == BEGIN, words, word[first - 1])
+        else:
+            longer.append((numbers[first - 1], numbers[first], counts[kind]))
+        numbers = np.full(len(h), -1)  # of the n-gram that ends at each place
+        numbers[at] = inverse
+    count = counts[WORDS]
+    automaton = Automaton(count, int(got[BEGINS][0][0]), state, pair_word, counts[PAIRS], total, distinct, longer)
     bounds = np.searchsorted(doc, np.arange(len(texts) + 1))
     known = np.add.reduceat((count[word] > 0).astype(np.int64), bounds[:-1])
     base = np.add.reduceat(automaton.base[word], bounds[:-1])
@@ -215,18 +274,20 @@ def totals(docs: DataFrame) -> tuple[int, int]:
     return row["n"], row["v"]
 
 
-def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs: doc_id, text (not null), held_out -> columns RESULT; learns from the rows that are not held out."""
+def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES, order: int = 2) -> DataFrame:
+    """docs: doc_id, text (not null), held_out -> columns RESULT; learns n-grams of up to `order` words from the rows that are not held out."""
+    if order < 2:
+        raise ValueError("the order is 2 at least")
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n_blocks = max(1, -(-size // block_bytes))
     total, distinct = totals(docs)
     blocked = docs.select(F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(n_blocks)).alias("block"), "doc_id", "held_out", "text")
     blocked = blocked.repartition(n_blocks, "block")
-    told = answers(requests(blocked.sortWithinPartitions("block"), n_blocks))
+    told = answers(requests(blocked.sortWithinPartitions("block"), n_blocks, order))
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def run(rows: pa.Table, answer: pa.Table) -> pa.Table:
-        out = _score_block(rows, answer, total, distinct, Tokens()) if len(rows) else []
+        out = _score_block(rows, answer, total, distinct, Tokens(), order) if len(rows) else []
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)] if out else [pa.array([], f.type) for f in schema], schema=schema)
 
     return blocked.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, RESULT)
@@ -235,4 +296,4 @@ def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents; those with crc32(doc_id) mod 10 = 0 are held out."""
     docs = common.table(spark, sf_dir, "documents")
-    return score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), (common.crc32_of_id() % 10 == 0).alias("held_out")))
+    return score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), (common.crc32_of_id() % 10 == 0).alias("held_out")), order=ORDER)
