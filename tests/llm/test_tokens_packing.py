@@ -121,3 +121,35 @@ def test_packing(spark, reference):
             at += n
         assert at <= 64
     assert packing.pack_documents(docs.limit(0), tokens.vocabulary()).count() == 0
+
+
+def test_search_goes_on_past_bins_that_cannot_give():
+    # the eight emptiest bins hold one piece each that fits nowhere; the others' pieces fill one bin less
+    bins = np.array([*range(8), *np.repeat(np.arange(8, 12), 3)])
+    n = np.array([70] * 8 + [25] * 12)
+    assert len(set(packing.local_search(n, bins, 100).tolist())) <= 11
+    gain, give, take = packing._exchange([6, 3, 2, 4], [0], [1, 2, 3], 1)
+    assert (gain, give, take) == (1, (0,), (1, 2))  # one for two
+
+
+def test_no_exchange_is_left():
+    from itertools import chain, combinations
+
+    rng = np.random.default_rng(5)
+    some = lambda own: chain(combinations(own, 1), combinations(own, 2))
+    ended = 0
+    for trial in range(40):
+        size = 60
+        n = rng.integers(14, 30, 50)
+        out = packing.local_search(n, packing.best_fit(n, size), size)
+        members = {b: n[out == b].tolist() for b in set(out.tolist())}
+        if len(members) <= -(-n.sum() // size):
+            continue
+        ended += 1
+        for b, mine in members.items():
+            for a, his in members.items():
+                if a == b or sum(his) < sum(mine):
+                    continue
+                left = [x for g in some(mine) for t in chain([()], some(his)) if 0 < (x := sum(g) - sum(t)) <= size - sum(his)]
+                assert not left, trial
+    assert ended

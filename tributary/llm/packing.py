@@ -3,8 +3,8 @@
 Texts longer than a sequence are cut into full pieces (the first may be shorter). Pieces are dealt by a hash to groups
 of about `GROUP_DOCS` documents; each group is packed alone, so memory is bounded and groups run in parallel, at a
 cost of less than one sequence a group. Within a group: best fit by decreasing length, then local search over the
-underfull bins. Only lengths matter, so the search works on counts of equal lengths. Moves, one-for-one and two-for-one
-exchanges are taken only if they raise the sum of squared fills; bins that become empty vanish.
+underfull bins. Only lengths matter, so the search looks at equal lengths once. Moves and exchanges of one or two pieces
+for one or two are taken only if they raise the sum of squared fills; bins that become empty vanish.
 
 A null text is an empty document (its end id alone, one piece). Repeated rows are packed as often as they occur; extra
 columns are ignored; an empty table gives no rows.
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import bisect
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,16 +56,71 @@ def best_fit(lengths: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def local_search(lengths: np.ndarray, bins: np.ndarray, size: int, width: int = 8) -> np.ndarray:
+class _Partners:
+    """Bins by the room they have left, and for each room the sums (0: nothing) that one of its bins can give back in an exchange."""
+
+    def __init__(self, size: int):
+        self.size = size
+        self.bins: dict[int, dict[int, dict[int, tuple[int, ...]]]] = {}
+        self.sums: dict[int, Counter] = {}
+        self.slot: dict[int, int] = {}
+        self.rooms = np.zeros(16, np.int64)
+        self.above = np.zeros((16, size + 1), np.int64)  # for each room and number the least sum that is not below it
+
+    def put(self, room: int, b: int, ways: dict[int, tuple[int, ...]]) -> None:
+        if room not in self.slot:
+            k = self.slot[room] = len(self.slot)
+            if k == len(self.rooms):
+                self.rooms, self.above = np.concatenate([self.rooms, self.rooms]), np.concatenate([self.above, self.above])
+            self.rooms[k], self.bins[room], self.sums[room] = room, {}, Counter([0])
+        self.bins[room][b] = ways
+        self.sums[room].update(ways.keys())
+        self._index(room)
+
+    def drop(self, room: int, b: int) -> None:
+        ways = self.bins[room].pop(b)
+        if self.bins[room]:
+            self.sums[room].subtract(ways.keys())
+            self._index(room)
+            return
+        k, last = self.slot.pop(room), len(self.slot)
+        del self.bins[room], self.sums[room]
+        if k < last:
+            self.rooms[k], self.above[k] = self.rooms[last], self.above[last]
+            self.slot[int(self.rooms[k])] = k
+
+    def _index(self, room: int) -> None:
+        row = np.full(self.size + 1, self.size + 1)
+        have = [x for x, n in self.sums[room].items() if n > 0]
+        row[have] = have
+        self.above[self.slot[room]] = np.minimum.accumulate(row[::-1])[::-1]
+
+    def best(self, room: int, gives: list[int]) -> int | None:
+        """The partner that a bin with so much room and these sums raises the squared fills most with."""
+        k = len(self.slot)
+        if not k:
+            return None
+        x, rooms = np.array(gives)[:, None], self.rooms[:k]
+        gain = x - self.above[np.arange(k), np.maximum(x - rooms, 0)]
+        worth = np.where((gain > 0) & (rooms <= room), gain * (room - rooms + gain), 0)
+        at = int(worth.argmax())
+        if not worth.flat[at]:
+            return None
+        i, j = divmod(at, k)
+        taken = gives[i] - int(gain[i, j])
+        return min(a for a, ways in self.bins[int(rooms[j])].items() if not taken or taken in ways)
+
+
+def local_search(lengths: np.ndarray, bins: np.ndarray, size: int) -> np.ndarray:
     """Better bins for the same lengths; see the module's docstring.
 
-    The emptiest bins (`width` of them, one after the other) give to every fuller bin that has room: of all moves, one-for-one
-    and two-for-one exchanges with that partner, the one that gains most is made. With fills a >= b, raising a by d and
-    lowering b by d raises the squared fill by 2d(a - b + d) > 0. It ends when the bins are as few as the lengths' sum
-    allows, or no exchange is left.
+    All underfull bins, the emptiest first, give to fuller bins that have room: of all moves and exchanges of one or two
+    for one or two with all of these, the one that gains most is made, until the bin has none. With fills a >= b, raising
+    a by d and lowering b by d raises the squared fill by 2d(a - b + d) > 0. It ends when the bins are as few as the
+    lengths' sum allows, or a whole round over all bins finds no exchange.
     """
     least = -(-int(lengths.sum()) // size)
-    fill = np.bincount(bins, lengths).astype(np.int64)
+    fill = np.bincount(bins, lengths).astype(np.int64).tolist()
     count = len(fill)
     if count <= least:
         return bins
@@ -73,48 +129,70 @@ def local_search(lengths: np.ndarray, bins: np.ndarray, size: int, width: int =
         if fill[b] < size:
             members.setdefault(b, []).append(i)
     out, n, better = bins.copy(), lengths.tolist(), True
+    partners = _Partners(size)
+    for b, own in members.items():
+        partners.put(size - fill[b], b, _ways(n, own))
     while better and count > least:
         better = False
-        for b in sorted(members, key=lambda x: (fill[x], x))[:width]:
-            for a in sorted(members, key=lambda x: (-fill[x], x)):
-                if not members[b] or count <= least:
+        for b in sorted(members, key=lambda x: (fill[x], x)):
+            if b not in members:
+                continue
+            partners.drop(size - fill[b], b)
+            while members[b]:
+                ways = _ways(n, members[b])
+                a = partners.best(size - fill[b], list(ways))
+                if a is None:
+                    partners.put(size - fill[b], b, ways)
                     break
-                while a != b and fill[b] <= fill[a] < size and members[b]:
-                    gain, give, take = _exchange(n, members[b], members[a], int(size - fill[a]))
-                    if not gain:
-                        break
-                    better = True
-                    for i in give:
-                        members[b].remove(i)
-                        members[a].append(i)
-                        out[i] = a
-                    for i in take:
-                        members[a].remove(i)
-                        members[b].append(i)
-                        out[i] = b
-                    fill[a] += gain
-                    fill[b] -= gain
+                better = True
+                gain, give, take = _exchange(n, members[b], members[a], size - fill[a])
+                partners.drop(size - fill[a], a)
+                for i in give:
+                    members[b].remove(i)
+                    members[a].append(i)
+                    out[i] = a
+                for i in take:
+                    members[a].remove(i)
+                    members[b].append(i)
+                    out[i] = b
+                fill[a] += gain
+                fill[b] -= gain
+                if fill[a] < size:
+                    partners.put(size - fill[a], a, _ways(n, members[a]))
+                else:
+                    del members[a]
             if not members[b]:
                 count -= 1
                 del members[b]
+                if count <= least:
+                    break
+    return out
+
+
+def _ways(n: list[int], items: list[int]) -> dict[int, tuple[int, ...]]:
+    """All sums of one or two of the items' lengths, and items for each."""
+    same: dict[int, list[int]] = {}
+    for i in items:
+        same.setdefault(n[i], []).append(i)
+    out: dict[int, tuple[int, ...]] = {x: (own[0],) for x, own in same.items()}
+    lengths = list(same)
+    for p, x in enumerate(lengths):
+        if len(same[x]) > 1:
+            out.setdefault(2 * x, (same[x][0], same[x][1]))
+        for y in lengths[p + 1 :]:
+            out.setdefault(x + y, (same[x][0], same[y][0]))
     return out
 
 
 def _exchange(n: list[int], mine: list[int], his: list[int], room: int) -> tuple[int, tuple[int, ...], tuple[int, ...]]:
     """The most that a partner with so much room can gain from one exchange: gain, what he gets, what he gives."""
     best: tuple[int, tuple[int, ...], tuple[int, ...]] = (0, (), ())
-    theirs = sorted((n[i], i) for i in his)
-    sizes = [x for x, _ in theirs]
-    ways = [((i,), n[i]) for i in mine]
-    for i, x in ways:
-        if best[0] < x <= room:
-            best = (x, i, ())
-    if best[0] < room:
-        ways += [((i, j), n[i] + n[j]) for p, i in enumerate(mine) for j in mine[p + 1 :]]
-    for give, x in ways:
+    theirs = {0: ()} | _ways(n, his)
+    sizes = sorted(theirs)
+    for x, give in _ways(n, mine).items():
         k = bisect.bisect_left(sizes, x - room)
-        if best[0] < room and k < len(sizes) and best[0] < x - sizes[k] <= room:
-            best = (x - sizes[k], give, (theirs[k][1],))
+        if k < len(sizes) and best[0] < x - sizes[k] <= room:
+            best = (x - sizes[k], give, theirs[sizes[k]])
     return best
 
 
