@@ -22,10 +22,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near duplicates, once; those without an id are kept."""
-    kept = jaccard.join(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").withColumn("__text", F.xxhash64("text")).dropDuplicates(["doc_id", "__text"])
-    return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """Keeps one row of each group of near duplicates, that of the smallest id; rows without an id come last, in the order of a hash of their text."""
+    text = F.xxhash64(F.coalesce("text", F.lit("")))
+    named = docs.withColumn("__text", text).withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62) + F.pmod("__text", F.lit(1 << 61))))
+    found = jaccard.grouped(named.select(F.col("__id").alias("doc_id"), "text")).where("kept")
+    # an id may have several texts in one group
+    one = found.where("group is not null").groupBy("group").agg(F.min(F.struct("doc_id", "h")).alias("at")).select("at.*")
+    kept = one.unionByName(found.where("group is null").select("doc_id", "h")).select(F.col("doc_id").alias("__id"), F.col("h").alias("__text"))
+    return named.join(kept, ["__id", "__text"], "left_semi").dropDuplicates(["__id", "__text"]).select(*docs.columns)
 
 
 def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

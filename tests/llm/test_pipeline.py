@@ -69,3 +69,17 @@ def test_mixing_query_equals_its_sql(spark):
     want = con.execute(registry.ORACLES["op1_source_mixing"]).fetchall()
     got = registry.QUERIES["op1_source_mixing"](spark, sf)
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_one_row_of_each_group_stays(spark):
+    word = [f"word{i}" for i in range(60)]
+    near = lambda k: " ".join([*word[:k], "odd", *word[k + 1 :]])
+    far = [" ".join(f"{c}{i}" for i in range(40)) for c in "abcd"]
+    rows = [(1, near(30)), (2, near(31)), (2, far[0])]  # 2 stays with its other text only
+    rows += [(3, far[1]), (3, far[1] + " more"), (3, far[2])]  # near copies under one id, and another text
+    rows += [(None, far[3]), (None, far[3]), (None, near(32)), (None, "short"), (None, "short")]
+    rows = [(*r, "en", "src1", len(r[1])) for r in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r["doc_id"], r["text"]) for r in C.deduplicate(spark, docs, "").collect()]
+    assert len(got) == len(set(got)) and (got.count((3, far[1])) + got.count((3, far[1] + " more"))) == 1
+    assert {x for x in got if x[1] not in (far[1], far[1] + " more")} == {(1, near(30)), (2, far[0]), (3, far[2]), (None, far[3]), (None, "short")}

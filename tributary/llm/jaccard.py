@@ -126,8 +126,8 @@ def _each(batches: Iterator[pa.RecordBatch]):
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, c (its class), n (shingles), sig; written to the shared folder."""
-    schema = pa.schema([("doc_id", pa.int64()), ("c", pa.int64()), ("n", pa.int32()), ("sig", pa.binary())])
+    """doc_id, c (its class), n (shingles), sig, h (of the text); written to the shared folder."""
+    schema = pa.schema([("doc_id", pa.int64()), ("c", pa.int64()), ("n", pa.int32()), ("sig", pa.binary()), ("h", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
@@ -135,10 +135,10 @@ def sketch(docs: DataFrame) -> DataFrame:
             s, bounds, keys = shingler.many(texts)
             sig = signatures(s, bounds)
             named = np.asarray(part.column(0).is_valid())
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys.astype(np.int64)), pa.array(np.where(named, np.diff(bounds), 0).astype(np.int32)), pa.array([x.tobytes() for x in sig], pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys.astype(np.int64)), pa.array(np.where(named, np.diff(bounds), 0).astype(np.int32)), pa.array([x.tobytes() for x in sig], pa.binary()), part.column(2)], schema=schema)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return common.saved(rows.mapInArrow(run, "doc_id long, c long, n int, sig binary"), "sketch")
+    return common.saved(rows.withColumn("h", F.xxhash64("text")).mapInArrow(run, "doc_id long, c long, n int, sig binary, h long"), "sketch")
 
 
 def prefixes(classes: DataFrame, depth: int) -> DataFrame:
@@ -354,6 +354,11 @@ def _runs(t: pa.Table, keys: int) -> Iterator[pa.Table]:
 
 def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """doc_id, class_id, n_links, component_id, kept for every row of docs; see the module's docstring."""
+    return grouped(docs, threshold, recall).drop("h", "group")
+
+
+def grouped(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """The columns of join, h (xxhash64 of the text, null as empty) and group: the component's key, which tells components apart whose smallest id is the same (null without shingles or id)."""
     rows = sketch(docs)
     classes = rows.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
     classes = common.saved(classes, "classes")
@@ -361,12 +366,12 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL)
     found = common.saved(verify(docs, classes, pairs, threshold), "links")
     roots = graph.components(found.select(F.col("c").alias("a"), F.col("root").alias("b")))
     low = roots.join(classes.select(F.col("c").alias("node"), "rep"), "node").groupBy("root").agg(F.min("rep").alias("component"))
-    roots = roots.join(low, "root").select(F.col("node").alias("c"), "component")
+    roots = roots.join(low, "root").select(F.col("node").alias("c"), "component", "root")
     links = found.groupBy("c").agg(F.sum("links").alias("links"))
     facts = classes.select("c", "rep", "copies").join(links, "c", "left").join(roots, "c", "left")
-    out = rows.select("doc_id", F.when(F.col("n") > 0, F.col("c")).alias("c")).join(facts, "c", "left")
+    out = rows.select("doc_id", "h", F.when(F.col("n") > 0, F.col("c")).alias("c")).join(facts, "c", "left")
     component = F.coalesce("component", "rep", "doc_id")
-    return out.select("doc_id", F.coalesce("rep", "doc_id").alias("class_id"), (F.coalesce(F.col("copies") - 1, F.lit(0)) + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", F.coalesce("rep", "doc_id").alias("class_id"), (F.coalesce(F.col("copies") - 1, F.lit(0)) + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "h", F.coalesce("root", "c").alias("group"))
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
