@@ -35,6 +35,25 @@ def test_encoder_equals_the_library(reference, monkeypatch):
     assert e.encode([])[0].tolist() == []
 
 
+def test_colliding_hashes_are_noticed(reference, monkeypatch):
+    monkeypatch.setattr(tokens, "span_hashes", lambda data, starts, ends, seed=0: ((ends - starts) % 3).astype(np.uint64))
+    texts = [t or "" for t in ODD]
+    ids, bounds = tokens.Encoder(tokens.vocabulary()).encode(texts * 2)
+    for k, t in enumerate(texts * 2):
+        assert ids[bounds[k] : bounds[k + 1]].tolist() == reference(t), t
+
+
+def test_span_hashes():
+    rng = np.random.default_rng(2)
+    data = rng.integers(0, 2, 3000).astype(np.uint8)
+    starts = np.sort(rng.integers(0, 2000, 400))
+    ends = starts + rng.choice([0, 1, 7, 8, 9, 16, 30, 900], 400)
+    h = tokens.span_hashes(data, starts, ends).tolist()
+    other = tokens.span_hashes(data, starts, ends, 5).tolist()
+    raw = [data[a:b].tobytes() for a, b in zip(starts, ends)]
+    assert len(set(h)) == len(set(raw)) == len(set(zip(raw, h))) == len(set(zip(raw, other))) and not set(h) & set(other)
+
+
 def test_other_tokenizers_go_through_the_library():
     e = tokens.Encoder(tokens.vocabulary("word_bpe_49k.json"))
     assert not e.plain

@@ -33,8 +33,9 @@ from . import common, graph, tokens
 
 WORDS, THRESHOLD = 5, 0.8
 TREES, DEPTH, RECALL = 32, 8, 0.999
-BLOCK, VERIFY = 512, 1024
-SIGMAS = 3.0
+#: Classes a side of a block of candidates; classes and shingles a side of a block of verification, on average.
+BLOCK, VERIFY, SHINGLES = 512, 1024, 4_000_000
+SIGMAS = 4.0
 SEED = 20240501
 
 
@@ -52,35 +53,35 @@ def _functions() -> tuple[np.ndarray, np.ndarray]:
 
 
 def _is_space() -> np.ndarray:
-    out = np.zeros(0x110000, bool)
+    out = np.zeros(256, bool)
     out[[9, 10, 11, 12, 13, 32]] = True
     return out
 
 
 class Shingler:
-    """Sorted distinct shingle hashes of texts, and keys of their word sequences."""
+    """Sorted distinct shingle hashes of texts, and two 64-bit keys of their word sequences."""
 
     def __init__(self):
-        self.hasher, self.space = tokens.SpanHasher(0x110000), _is_space()
-
-    def many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(shingles of all texts, each text's bounds in them, keys; texts without words have no shingles)."""
-        joined = "\n".join(t.lower() for t in texts) + "\n"
-        chars = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-        stops = np.cumsum([len(t.lower()) + 1 for t in texts])
-        blank = self.space[chars]
-        edge = np.diff(np.concatenate([[True], blank]).astype(np.int8))
+        self.space = _is_space()
+
+    def many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(shingles of all texts, each text's bounds in them, two keys each; texts without words have no shingles)."""
+        raw = [t.lower().encode("utf-8", "replace") for t in texts]
+        data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
+        stops = np.cumsum([len(r) + 1 for r in raw])
+        edge = np.diff(np.concatenate([[True], self.space[data]]).astype(np.int8))
         begin, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-        h = self.hasher.hash(chars, begin, end)
+        h = tokens.span_hashes(data, begin, end)
         doc = np.searchsorted(stops, begin, side="right")
         n = np.bincount(doc, minlength=len(texts))
         first = np.concatenate([[0], np.cumsum(n)])
-        # keys: sums over a text's words and their places
-        place = (np.arange(len(h)) - first[doc]).astype(np.uint64)
-        keys = np.zeros(len(texts), np.uint64)
+        # keys: sums over a text's words and their places; the second one's words are hashed anew
+        keys, other = np.zeros(len(texts), np.uint64), np.zeros(len(texts), np.uint64)
         if len(h):
+            place = tokens._mix((np.arange(len(h)) - first[doc]).astype(np.uint64))
             some = np.flatnonzero(n)
-            keys[some] = tokens._mix(np.add.reduceat(tokens._mix(h + tokens._mix(place)), first[:-1][some]))
+            for out, words in ((keys, h), (other, tokens.span_hashes(data, begin, end, SEED))):
+                out[some] = tokens._mix(np.add.reduceat(tokens._mix(words + place), first[:-1][some]))
         # runs of five words; shorter texts have one run
         rows = []
         for k in range(1, WORDS):
@@ -97,13 +98,13 @@ class Shingler:
                 s = tokens._mix(s + h[ok + j])
             rows.append((doc[ok], s))
         if not rows:
-            return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64), keys
+            return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64), keys, other
         d, s = np.concatenate([x for x, _ in rows]), np.concatenate([x for _, x in rows])
         order = np.lexsort((s, d))
         d, s = d[order], s[order]
         new = np.concatenate([[True], (d[1:] != d[:-1]) | (s[1:] != s[:-1])])
         d, s = d[new], s[new]
-        return s, np.searchsorted(d, np.arange(len(texts) + 1)), keys
+        return s, np.searchsorted(d, np.arange(len(texts) + 1)), keys, other
 
 
 def signatures(shingles: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -126,19 +127,19 @@ def _each(batches: Iterator[pa.RecordBatch]):
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, c (its class), n (shingles), sig, h (of the text); written to the shared folder."""
-    schema = pa.schema([("doc_id", pa.int64()), ("c", pa.int64()), ("n", pa.int32()), ("sig", pa.binary()), ("h", pa.int64())])
+    """doc_id, c and c2 (its class; null without shingles or id), n (shingles), sig, h (of the text); written to the shared folder."""
+    schema = pa.schema([("doc_id", pa.int64()), ("c", pa.int64()), ("c2", pa.int64()), ("n", pa.int32()), ("sig", pa.binary()), ("h", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for part, texts in _each(batches):
-            s, bounds, keys = shingler.many(texts)
+            s, bounds, keys, other = shingler.many(texts)
             sig = signatures(s, bounds)
-            named = np.asarray(part.column(0).is_valid())
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys.astype(np.int64)), pa.array(np.where(named, np.diff(bounds), 0).astype(np.int32)), pa.array([x.tobytes() for x in sig], pa.binary()), part.column(2)], schema=schema)
+            none = ~np.asarray(part.column(0).is_valid()) | (np.diff(bounds) == 0)
+            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(k.astype(np.int64), mask=none) for k in (keys, other)), pa.array(np.diff(bounds).astype(np.int32)), pa.array([x.tobytes() for x in sig], pa.binary()), part.column(2)], schema=schema)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return common.saved(rows.withColumn("h", F.xxhash64("text")).mapInArrow(run, "doc_id long, c long, n int, sig binary, h long"), "sketch")
+    return common.saved(rows.withColumn("h", F.xxhash64("text")).mapInArrow(run, "doc_id long, c long, c2 long, n int, sig binary, h long"), "sketch")
 
 
 def prefixes(classes: DataFrame, depth: int) -> DataFrame:
@@ -274,23 +275,23 @@ def _united(left: np.ndarray, right: np.ndarray) -> dict[int, int]:
 def verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Exact links among packed pairs: rows (c, links, root): documents linked to c, and a smaller linked class or c; several rows a class."""
     clusters = graph.components(pairs.where("pairs is null").select(F.col("c").alias("a"), F.col("d").alias("b")))
-    size = clusters.groupBy("root").agg(F.ceil(F.count("*") / VERIFY).cast("int").alias("blocks"))
-    placed = clusters.join(size, "root").select(F.col("node").alias("c"), "root", "blocks")
-    placed = common.saved(placed.join(classes.select("c", "rep", "copies"), "c"), "placed")
+    clusters = common.saved(clusters.select(F.col("node").alias("c"), "root").join(classes.select("c", "c2", "rep", "copies", "n"), "c"), "clusters")
+    size = clusters.groupBy("root").agg(F.count("*").alias("members"), F.ceil(F.greatest(F.count("*") / VERIFY, F.sum("n") / SHINGLES)).cast("int").alias("blocks"))
+    placed = common.saved(common.join_hot(clusters, size, ["root"], "members", clusters.count()).drop("n", "members"), "placed")
     schema = pa.schema([("c", pa.int64()), ("root", pa.int64()), ("blocks", pa.int32()), ("copies", pa.int64()), ("shingles", pa.binary())])
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for part, texts in _each(batches):
-            s, bounds, keys = shingler.many(texts)
-            mine = keys.astype(np.int64) == part.column(0).to_numpy()  # an id may occur with several texts
+            s, bounds, _, other = shingler.many(texts)
+            mine = other.astype(np.int64) == part.column(part.schema.get_field_index("c2")).to_numpy()  # an id may occur with several texts
             at = np.flatnonzero(mine)
             out = part.take(pa.array(at))
             yield pa.RecordBatch.from_arrays([*out.columns[:4], pa.array([s[bounds[k] : bounds[k + 1]].tobytes() for k in at], pa.binary())], schema=schema)
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     # always a merge join: the plan, and so its growth, doesn't hinge on whether a table happens to fit a broadcast
-    sets = texts.join(placed.hint("merge"), texts["doc_id"] == placed["rep"]).select("c", "root", "blocks", "copies", "text").mapInArrow(shingles, "c long, root long, blocks int, copies long, shingles binary")
+    sets = texts.join(placed.hint("merge"), texts["doc_id"] == placed["rep"]).select("c", "root", "blocks", "copies", "c2", "text").mapInArrow(shingles, "c long, root long, blocks int, copies long, shingles binary")
     sets = sets.withColumn("own", F.pmod("c", F.col("blocks").cast("long")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     sets = sets.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.lit(0).alias("kind"), "c", "copies", F.col("shingles").alias("data"))
     routed = pa.schema([("root", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("c", pa.int64()), ("data", pa.binary())])
@@ -321,18 +322,17 @@ def verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, threshold: flo
                 if not lists:
                     continue
                 sets_at = np.flatnonzero(kind == 0)
-                held = {int(c[k]): np.frombuffer(rows.column(6)[k].as_py(), np.uint64) for k in sets_at.tolist()}
-                copies = dict(zip(c[sets_at].tolist(), rows.column(5).to_numpy()[sets_at].tolist(), strict=True))
-                links: dict[int, int] = {}
-                up: dict[int, int] = {}
-                for x, y in np.concatenate(lists).tolist():
-                    a, b = held[x], held[y]
-                    both = len(np.intersect1d(a, b, assume_unique=True))
-                    if both >= threshold * (len(a) + len(b) - both):
-                        links[x] = links.get(x, 0) + copies[y]
-                        links[y] = links.get(y, 0) + copies[x]
-                        u, v = sorted((_top(up, x), _top(up, y)))
-                        up[v] = u
+                names, copies = c[sets_at], rows.column(5).to_numpy()[sets_at]
+                sizes = np.array([len(rows.column(6)[k].as_py()) // 8 for k in sets_at.tolist()])
+                held = np.frombuffer(b"".join(rows.column(6)[k].as_py() for k in sets_at.tolist()), np.uint64)
+                order = np.argsort(names)
+                x, y = (order[np.searchsorted(names, side, sorter=order)] for side in np.concatenate(lists).T)
+                both = _common(held, sizes, x, y)
+                ok = both >= threshold * (sizes[x] + sizes[y] - both)
+                x, y = x[ok], y[ok]
+                count = np.bincount(x, copies[y], len(names)) + np.bincount(y, copies[x], len(names))
+                up = _united(names[x], names[y])
+                links = dict(zip(names[count > 0].tolist(), count[count > 0].astype(np.int64).tolist(), strict=True))
                 if links:
                     yield pa.RecordBatch.from_arrays([pa.array(list(links), pa.int64()), pa.array(list(links.values()), pa.int64()), pa.array([_top(up, v) for v in links], pa.int64())], schema=result)
 
@@ -340,6 +340,24 @@ def verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, threshold: flo
     return sets.unionByName(asked).repartition(*keys).sortWithinPartitions(*keys, "kind", "c").mapInArrow(run, "c long, links long, root long")
 
 
+def _common(held: np.ndarray, sizes: np.ndarray, x: np.ndarray, y: np.ndarray, most: int = 2_000_000) -> np.ndarray:
+    """How many elements the sets x[k] and y[k] share; sets lie end to end, sorted, without repeats."""
+    first = np.cumsum(sizes) - sizes
+    # elements as numbers, so that (set, element) is one sorted key
+    values, number = np.unique(held, return_inverse=True)
+    key = np.repeat(np.arange(len(sizes)), sizes) * (len(values) + 1) + number
+    small, large = np.where(sizes[x] <= sizes[y], x, y), np.where(sizes[x] <= sizes[y], y, x)
+    out = np.zeros(len(x), np.int64)
+    for a, b in tokens.chunks(sizes[small].tolist(), most):
+        n = sizes[small[a:b]]
+        pair = np.repeat(np.arange(a, b), n)
+        at = np.arange(len(pair)) + np.repeat(first[small[a:b]] - (np.cumsum(n) - n), n)
+        want = large[pair] * (len(values) + 1) + number[at]
+        found = key[np.minimum(np.searchsorted(key, want), len(key) - 1)] == want
+        out[a:b] = np.bincount(pair[found] - a, minlength=b - a)
+    return out
+
+
 def _runs(t: pa.Table, keys: int) -> Iterator[pa.Table]:
     cols = [t.column(k).to_numpy() for k in range(keys)]
     change = np.ones(len(t), bool)
@@ -359,17 +377,16 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL)
 
 def grouped(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """The columns of join, h (xxhash64 of the text, null as empty) and group: the component's key, which tells components apart whose smallest id is the same (null without shingles or id)."""
-    rows = sketch(docs)
-    classes = rows.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
-    classes = common.saved(classes, "classes")
+    rows, classes = common.classes(sketch(docs), [F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig"), F.first("n").alias("n")])
     pairs = common.saved(candidates(classes, threshold, recall), "pairs")
     found = common.saved(verify(docs, classes, pairs, threshold), "links")
     roots = graph.components(found.select(F.col("c").alias("a"), F.col("root").alias("b")))
-    low = roots.join(classes.select(F.col("c").alias("node"), "rep"), "node").groupBy("root").agg(F.min("rep").alias("component"))
-    roots = roots.join(low, "root").select(F.col("node").alias("c"), "component", "root")
+    roots = common.saved(roots.join(classes.select(F.col("c").alias("node"), "rep"), "node"), "roots")
+    low = roots.groupBy("root").agg(F.min("rep").alias("component"), F.count("*").alias("members"))
+    roots = common.join_hot(roots, low, ["root"], "members", roots.count()).select(F.col("node").alias("c"), "component", "root")
     links = found.groupBy("c").agg(F.sum("links").alias("links"))
     facts = classes.select("c", "rep", "copies").join(links, "c", "left").join(roots, "c", "left")
-    out = rows.select("doc_id", "h", F.when(F.col("n") > 0, F.col("c")).alias("c")).join(facts, "c", "left")
+    out = common.join_hot(rows.select("doc_id", "h", "c"), facts, ["c"], "copies", rows.count())
     component = F.coalesce("component", "rep", "doc_id")
     return out.select("doc_id", F.coalesce("rep", "doc_id").alias("class_id"), (F.coalesce(F.col("copies") - 1, F.lit(0)) + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "h", F.coalesce("root", "c").alias("group"))
 

@@ -13,7 +13,7 @@ Every row is answered, repeated rows alike; extra columns are ignored.
 
 from __future__ import annotations
 
-import sys
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,18 +29,16 @@ BITS = 21
 CHUNK_CHARS = 1_500_000
 
 
+@functools.cache
 def letters() -> np.ndarray:
     """For each code point its lower-case letter, or 0; kept by the worker."""
-    kept = sys.__dict__
-    if "_tributary_letters" not in kept:
-        table = np.zeros(0x110000, np.uint32)
-        for c in range(0x110000):
-            if (0xD800 <= c < 0xE000) or not (s := chr(c)).isalpha():
-                continue
-            low = s.lower()
-            table[c] = ord(low) if len(low) == 1 else c
-        kept["_tributary_letters"] = table
-    return kept["_tributary_letters"]
+    table = np.zeros(0x110000, np.uint32)
+    for c in range(0x110000):
+        if (0xD800 <= c < 0xE000) or not (s := chr(c)).isalpha():
+            continue
+        low = s.lower()
+        table[c] = ord(low) if len(low) == 1 else c
+    return table
 
 
 def grams(chars: np.ndarray, doc: np.ndarray, max_n: int = MAX_N) -> tuple[np.ndarray, np.ndarray]:

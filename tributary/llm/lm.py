@@ -46,20 +46,19 @@ class Tokens:
     """Hashes of all tokens of texts, end tokens included, and the text of each."""
 
     def __init__(self):
-        self.hasher = tokens.SpanHasher(256)
-        self.hasher.value[65:91] = self.hasher.value[97:123]  # A-Z as a-z
+        self.lower = bytes([*range(65), *range(97, 123), *range(91, 256)])
         self.space = np.zeros(256, bool)
         self.space[[9, 10, 11, 12, 13, 32]] = True
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         out, docs = [], []
         for a, b in tokens.chunks([len(t) for t in texts], tokens.CHUNK_CHARS):
-            raw = [t.encode("utf-8", "replace") for t in texts[a:b]]
+            raw = [t.encode("utf-8", "replace").translate(self.lower) for t in texts[a:b]]
             data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
             stops = np.cumsum([len(r) + 1 for r in raw])
             edge = np.diff(np.concatenate([[True], self.space[data]]).astype(np.int8))
             begin, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-            h = self.hasher.hash(data, begin, end)
+            h = tokens.span_hashes(data, begin, end)
             doc = np.searchsorted(stops, begin, side="right")
             at = np.searchsorted(doc, np.arange(b - a), side="right")
             out.append(np.insert(h, at, END))

@@ -12,8 +12,9 @@ counted inside of a joint window, in blocks of at most `jaccard.BLOCK` a side, i
 vectors, `design` takes as many directions as leave an unrelated vector `MATES` companions in its window, and as many tables as
 join a pair at the threshold with probability `JOINED`: rows grow as n to the power 1.2, and recall stays the same.
 
-Equal vectors form a class and are compared once. Vectors that are null, empty, zero, or hold null or non-finite components
-link with nothing; vectors of different lengths neither. Repeated rows count as copies. Extra columns are ignored.
+Equal vectors form a class, named by 128 bits, and are compared once. Vectors that are null, empty, zero, or hold null or non-finite
+components link with nothing; vectors of different lengths neither. Others are scaled before they are squared, so very small and very
+large ones link like all. Repeated rows count as copies. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -88,25 +89,26 @@ def _vectors(column: pa.Array) -> list[np.ndarray | None]:
         v = None
         if x.is_valid and len(x.values) and not x.values.null_count:
             v = np.asarray(x.values, np.float64)
-            if not np.isfinite(v).all() or not np.isfinite(v @ v) or not v @ v > 0:
+            if not np.isfinite(v).all() or not v.any():
                 v = None
         out.append(v)
     return out
 
 
 def classes_of(rows: DataFrame) -> DataFrame:
-    """vec_id, c (hash of the vector; null: links with nothing), vec (doubles as bytes)."""
-    schema = pa.schema([("vec_id", pa.int64()), ("c", pa.int64()), ("vec", pa.binary())])
+    """vec_id, c and c2 (the vector's class; null: links with nothing), vec (doubles as bytes)."""
+    schema = pa.schema([("vec_id", pa.int64()), ("c", pa.int64()), ("c2", pa.int64()), ("vec", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
         for batch in batches:
             raw = [None if v is None else v.tobytes() for v in _vectors(batch.column(1))]
-            c = [None if x is None else int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True) for x in raw]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(c, pa.int64()), pa.array(raw, pa.binary())], schema=schema)
+            names = [None if x is None else hashlib.blake2b(x, digest_size=16).digest() for x in raw]
+            c, c2 = ([None if x is None else int.from_bytes(x[k : k + 8], "little", signed=True) for x in names] for k in (0, 8))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(c, pa.int64()), pa.array(c2, pa.int64()), pa.array(raw, pa.binary())], schema=schema)
 
-    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(run, "vec_id long, c long, vec binary")
+    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(run, "vec_id long, c long, c2 long, vec binary")
 
 
 def _unit(raw: list[bytes], dim: int) -> np.ndarray:
@@ -190,13 +192,14 @@ def links(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row (vec_id, embedding)."""
-    named = common.saved(classes_of(rows), "vectors")
-    classes = common.saved(named.where(F.col("c").isNotNull()).groupBy("c").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("vec").alias("vec")), "classes")
+    named, classes = common.classes(common.saved(classes_of(rows), "vectors"), [F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("vec").alias("vec")])
     found = common.saved(links(classes, threshold), "links")
     roots = graph.components(found.select(F.col("c").alias("a"), F.col("root").alias("b")))
-    low = roots.join(classes.select(F.col("c").alias("node"), "rep"), "node").groupBy("root").agg(F.min("rep").alias("component"))
-    facts = classes.select("c", "rep", "copies").join(found.groupBy("c").agg(F.sum("links").alias("links")), "c", "left").join(roots.join(low, "root").select(F.col("node").alias("c"), "component"), "c", "left")
-    out = named.select("vec_id", "c").join(facts, "c", "left")
+    roots = common.saved(roots.join(classes.select(F.col("c").alias("node"), "rep"), "node"), "roots")
+    low = roots.groupBy("root").agg(F.min("rep").alias("component"), F.count("*").alias("members"))
+    roots = common.join_hot(roots, low, ["root"], "members", roots.count()).select(F.col("node").alias("c"), "component")
+    facts = classes.select("c", "rep", "copies").join(found.groupBy("c").agg(F.sum("links").alias("links")), "c", "left").join(roots, "c", "left")
+    out = common.join_hot(named.select("vec_id", "c"), facts, ["c"], "copies", named.count())
     component = F.coalesce("component", "rep", "vec_id")
     return out.select("vec_id", (F.coalesce(F.col("copies") - 1, F.lit(0)) + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
 

@@ -7,8 +7,9 @@ pipeline isn't plain byte-level BPE is encoded text by text through the library
 
 from __future__ import annotations
 
+import functools
+import hashlib
 import json
-import sys
 
 import numpy as np
 
@@ -42,30 +43,31 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class SpanHasher:
-    """64-bit hashes of many spans of one array of symbols, from prefix sums of a polynomial modulo 2**64."""
+#: Longer spans are hashed one by one by blake2b.
+LONG_SPAN = 512
+_TAILS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
-    BASE = 0xD6E8FEB86659FD93
-    INVERSE = pow(BASE, -1, 1 << 64)
 
-    def __init__(self, symbols: int):
-        self.value = _mix(np.arange(symbols, dtype=np.uint64))
-        self.up = self.down = np.ones(1, np.uint64)
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of spans of an array of bytes, eight bytes a step, all spans at once.
 
-    def _powers(self, n: int) -> None:
-        if len(self.up) < n:
-            n = max(n, CHUNK_CHARS + 1)
-            for name, b in (("up", self.BASE), ("down", self.INVERSE)):
-                out = np.full(n, b, np.uint64)
-                out[0] = 1
-                setattr(self, name, np.cumprod(out, dtype=np.uint64))
-
-    def hash(self, symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        n = len(symbols)
-        self._powers(n + 1)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(self.value[symbols] * self.up[:n], out=total[1:])
-        return _mix((total[ends] - total[starts]) * self.down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+    Each step goes through a finaliser that is no polynomial, so no family of texts is known to collide; spans of up to
+    eight bytes and of one length never do.
+    """
+    n = ends - starts
+    h = _mix(n.astype(np.uint64) + np.uint64(seed))
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
+    long = n > LONG_SPAN
+    at, k = np.flatnonzero(~long & (n > 0)), 0
+    while len(at):
+        h[at] = _mix(h[at] ^ (eight[starts[at] + k] & _TAILS[np.minimum(n[at] - k, 8)]))
+        k += 8
+        at = at[n[at] > k]
+    for i in np.flatnonzero(long).tolist():
+        digest = hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, key=seed.to_bytes(8)).digest()
+        h[i] = int.from_bytes(digest, "little")
+    return h
 
 
 def split_points(chars: np.ndarray, doc_starts: np.ndarray, cls: np.ndarray) -> np.ndarray:
@@ -130,18 +132,27 @@ class Encoder:
         hidden = [b for b in range(256) if b not in set(shown)]
         self.stand_in = {b: b for b in shown} | {b: 256 + i for i, b in enumerate(hidden)}
         self.cls = _classes()
-        self.hasher = SpanHasher(0x110000)
         self._clear()
 
     def _clear(self) -> None:
         self.levels: list[tuple[np.ndarray, np.ndarray]] = []
         self.at = np.zeros(1 << 16, np.int64)
         self.ids = np.zeros(1 << 18, np.uint32)
+        self.text_at = np.zeros(1 << 16, np.int64)
+        self.text = np.zeros(1 << 18, np.uint32)
         self.entries = 0
 
-    def _add(self, keys: np.ndarray, words: list[str]) -> None:
+    def _add(self, keys: np.ndarray | None, words: list[str]) -> None:
+        """Remembers words; without keys they can't be found again."""
         if self.entries + len(words) >= len(self.at):
-            self.at = np.concatenate([self.at, np.zeros(max(len(self.at), len(words) + 1), np.int64)])
+            more = np.zeros(max(len(self.at), len(words) + 1), np.int64)
+            self.at, self.text_at = np.concatenate([self.at, more]), np.concatenate([self.text_at, more])
+        chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        used = int(self.text_at[self.entries])
+        while used + len(chars) > len(self.text):
+            self.text = np.concatenate([self.text, np.zeros(len(self.text), np.uint32)])
+        self.text[used : used + len(chars)] = chars
+        self.text_at[self.entries + 1 : self.entries + 1 + len(words)] = used + np.cumsum([len(w) for w in words])
         tokenize, table, flat, top = self.model.tokenize, self.stand_in, [], int(self.at[self.entries])
         ends = []
         for w in words:
@@ -153,6 +164,8 @@ class Encoder:
         self.at[self.entries + 1 : self.entries + 1 + len(words)] = ends
         level = (keys, np.arange(self.entries, self.entries + len(words)))
         self.entries += len(words)
+        if keys is None:
+            return
         while self.levels and len(self.levels[-1][0]) <= 3 * len(level[0]):
             old = self.levels.pop()
             k = np.concatenate([old[0], level[0]])
@@ -176,7 +189,7 @@ class Encoder:
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
         starts = split_points(chars, bounds[:-1][np.diff(bounds) > 0], self.cls)
         ends = np.append(starts[1:], len(chars))
-        keys, first, inverse = np.unique(self.hasher.hash(chars, starts, ends), return_index=True, return_inverse=True)
+        keys, first, inverse = np.unique(span_hashes(chars.view(np.uint8), 4 * starts, 4 * ends), return_index=True, return_inverse=True)
         if self.entries > CACHE_ENTRIES:
             self._clear()
         entry = self._find(keys)
@@ -187,6 +200,15 @@ class Encoder:
             self._add(keys[new], [joined[a:b] for a, b in zip(s, e, strict=True)])
             entry[new] = np.arange(base, base + len(new))
         entry = entry[inverse]
+        # each place is compared with the text that its ids stand for
+        held = self.text_at[entry]
+        wrong = self.text_at[entry + 1] - held != ends - starts
+        where = np.minimum(np.arange(len(chars)) + np.repeat(held - starts, ends - starts), len(self.text) - 1)
+        wrong[np.searchsorted(starts, np.flatnonzero(self.text[where] != chars), side="right") - 1] = True
+        if wrong.any():
+            base, other = self.entries, np.flatnonzero(wrong)
+            self._add(None, [joined[a:b] for a, b in zip(starts[other].tolist(), ends[other].tolist(), strict=True)])
+            entry[other] = np.arange(base, base + len(other))
         size = self.at[entry + 1] - self.at[entry]
         total = np.concatenate([[0], np.cumsum(size)])
         ids = self.ids[np.repeat(self.at[entry] - total[:-1], size) + np.arange(total[-1])]
@@ -217,12 +239,10 @@ def chunks(sizes: list[int], most: int):
         yield a, len(sizes)
 
 
+@functools.cache
 def encoder(path: str) -> Encoder:
     """One encoder for each worker process and file, kept between tasks."""
-    kept = sys.__dict__.setdefault("_tributary_encoders", {})
-    if path not in kept:
-        kept[path] = Encoder(path)
-    return kept[path]
+    return Encoder(path)
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
