@@ -29,7 +29,8 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # an id may have several texts in one group
     one = found.where("group is not null").groupBy("group").agg(F.min(F.struct("doc_id", "h")).alias("at")).select("at.*")
     kept = one.unionByName(found.where("group is null").select("doc_id", "h")).select(F.col("doc_id").alias("__id"), F.col("h").alias("__text"))
-    return named.join(kept, ["__id", "__text"], "left_semi").dropDuplicates(["__id", "__text"]).select(*docs.columns)
+    # repeated rows go before they are shuffled
+    return named.dropDuplicates(["__id", "__text"]).join(kept, ["__id", "__text"], "left_semi").select(*docs.columns)
 
 
 def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
