@@ -118,7 +118,9 @@ def test_recall_at_the_similarity_threshold(spark):
 def test_hot_keys_are_joined_whole(spark):
     many = spark.range(5000).selectExpr("id", "if(id % 10 = 9, null, if(id % 2 = 0, 7, id)) AS c")
     one = many.groupBy("c").agg(F.count("*").alias("n")).where("c is not null").withColumn("x", F.col("c") * 2)
-    got = {r["id"]: r for r in common.join_hot(many, one, ["c"], "n", 5000).collect()}
+    df = common.join_hot(many, one, ["c"], "n", 5000)
+    assert "hashpartitioning(coalesce(__deal" in df._jdf.queryExecution().executedPlan().toString()  # by the row's number as well
+    got = {r["id"]: r for r in df.collect()}
     assert len(got) == 5000
     for i, r in got.items():
         c = None if i % 10 == 9 else 7 if i % 2 == 0 else i

@@ -59,7 +59,8 @@ def join_hot(many: DataFrame, one: DataFrame, keys: Sequence[str], weight: str,
     # rows that are done meet no row of `one`; they are dealt out by their number
     rows = rows.withColumn("__done", done).withColumn("__deal", F.when(F.col("__done"), F.monotonically_increasing_id()))
     to = [f"__to{i}" for i in range(len(keys))]
-    cold = one.where(~hot).select(*(F.col(k).alias(t) for k, t in zip(keys, to, strict=True)), F.lit(-1).cast("long").alias("__none"), facts.alias("__cold"))
+    # -1 as no constant that the optimizer knows, or it would not be a key of the shuffle
+    cold = one.where(~hot).select(*(F.col(k).alias(t) for k, t in zip(keys, to, strict=True)), F.when(F.col(weight) > 0, F.lit(-1).cast("long")).alias("__none"), facts.alias("__cold"))
     on = F.coalesce("__deal", F.lit(-1)) == F.col("__none")
     for k, t in zip(keys, to, strict=True):
         on = on & (F.col(k) == F.col(t))

@@ -34,7 +34,7 @@ from . import common, graph, tokens
 WORDS, THRESHOLD = 5, 0.8
 TREES, DEPTH, RECALL = 32, 8, 0.999
 #: Classes a side of a block of candidates; classes and shingles a side of a block of verification, on average.
-BLOCK, VERIFY, SHINGLES = 512, 1024, 4_000_000
+BLOCK, VERIFY, SHINGLES = 512, 512, 4_000_000
 SIGMAS = 4.0
 SEED = 20240501
 
