@@ -45,7 +45,7 @@ def rows():
 @pytest.mark.parametrize("size", [10**7, 300])
 def test_equals_brute_force(spark, size):
     df = spark.createDataFrame(rows(), "doc_id long, text string, held_out boolean")
-    got = sorted((tuple(r) for r in lm.score(df, block_bytes=size).collect()), key=repr)
+    got = sorted((tuple(r) for r in lm.score(df, block_bytes=size, order=2, range_bytes=size).collect()), key=repr)
     want = sorted(brute(rows()), key=repr)
     assert len(got) == len(want)
     key = lambda r: (str(r[0]), r[1:5])
@@ -63,10 +63,26 @@ def test_empty_and_untrained(spark):
 def test_probabilities_sum_to_one():
     count = np.array([5, 3, 0])
     a = lm.Automaton(count, 4, np.array([0, 0, 1, 3]), np.array([1, 0, 0, 0]), np.array([3, 2, 3, 4]), 8, 2)
-    p = 10 ** np.array(a.root_arcs)
+    p = 10**a.base
     for state in (0, 1, 3):
-        total = sum(10 ** (a.arcs[state * 3 + w]) if state * 3 + w in a.arcs else 10 ** (a.fail[state] + a.root_arcs[w]) for w in range(3))
-        assert total == pytest.approx(p.sum()) == pytest.approx(1.0)
+        _, gain = a.step(np.full(3, state), np.arange(3))
+        assert (10**gain).sum() == pytest.approx(p.sum()) == pytest.approx(1.0)
+
+
+@pytest.mark.parametrize("segment", [1, 3, 100])
+def test_segments_do_not_matter(monkeypatch, segment):
+    rng = np.random.default_rng(3)
+    text = [" ".join(rng.choice(list("abcd"), n)) for n in (0, 1, 7, 50, 260)]
+    h, doc = lm.Tokens()(text)
+    held = np.zeros(len(text), bool)
+    counts = {kind: (keys, n) for kind, keys, n in lm._asked(h, doc, held, 4)}
+    import pyarrow as pa
+
+    told = pa.table({"kind": [*counts, lm.BEGINS], "range": [0] * 5, "counts": [*(lm._small(n) for _, n in counts.values()), lm._small(np.array([5]))], "n": [len(h)] * 5, "v": [5] * 5})
+    rows = pa.table({"doc_id": range(5), "held_out": held, "text": text})
+    want = lm._score_block(rows, told, lm.Tokens(), 4)[-1]
+    monkeypatch.setattr(lm, "SEGMENT", segment)
+    assert np.allclose(lm._score_block(rows, told, lm.Tokens(), 4)[-1], want, rtol=1e-12)
 
 
 def test_packed_keys_round_trip():
@@ -100,10 +116,10 @@ def brute_of_order(rows, order):
     return sorted(out)
 
 
-@pytest.mark.parametrize("order, size", [(2, 300), (3, 300), (3, 10**7), (5, 300)])
+@pytest.mark.parametrize("order, size", [(2, 300), (3, 3000), (3, 10**7), (5, 900)])
 def test_longer_contexts_equal_brute_force(spark, order, size):
     df = spark.createDataFrame(rows(), "doc_id long, text string, held_out boolean")
-    got = sorted((str(r["doc_id"]), r["n_tokens"], r["score"]) for r in lm.score(df, block_bytes=size, order=order).collect())
+    got = sorted((str(r["doc_id"]), r["n_tokens"], r["score"]) for r in lm.score(df.selectExpr("*", "1 AS block", "2 AS kind", "3 AS n", "4 AS v"), block_bytes=size, order=order, range_bytes=2 * size).collect())
     for a, b in zip(got, brute_of_order(rows(), order), strict=True):
         assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], rel=1e-9)
 

@@ -8,21 +8,26 @@ context h without its first word,
 
 A document's begin counts as a word of contexts. As an automaton: each context is a state with an arc for every word that
 followed it, and a failure arc of weight MU / (c(h) + MU) to the state of h', down to the root, whose arcs hold P(v). One
-traversal from left to right carries the state and adds log10 weights; each document ends with an end token.
+traversal from left to right carries the state and adds log10 weights; each document ends with an end token. All documents of a
+block are traversed in lockstep, long ones in segments: the n - 1 words before a segment give back the state it begins in.
 
 The automaton of a corpus doesn't fit a worker, and isn't sent to one. Documents are dealt to blocks of about
-`BLOCK_BYTES` of text; each block sends the sorted hashes of the words and n-grams it has, with its training counts, cut
-into key ranges; each range sums the counts over all blocks and answers each block in the order it asked. So a block gets
-just the part of the automaton that its texts can reach. Keys are 64-bit hashes; bytes, not code points, are hashed. Counts
-cover all training documents; what is exchanged grows with the input.
+`BLOCK_BYTES` of text by their number in the scan, so that repeated rows and null ids spread out; each block sends the sorted
+hashes of the words and n-grams it has, with its training counts, cut into key ranges of about `RANGE_BYTES` of text; each range
+sums the counts over all blocks and answers each block in the order it asked. So a block gets just the part of the automaton that
+its texts can reach. N and V are sums over the same ranges, in the same plan. Keys are 64-bit hashes of bytes (words) and of
+hashes (n-grams). Counts cover all training documents; what is exchanged grows with the input: a row a block and range, until
+these hold a key each, which is what counting n-grams by a plain shuffle costs.
 
 Null text counts as empty: one token, the end. Rows are scored one by one, repeated rows alike (each counts as a training
-document). Null ids are told apart by crc32 of the empty text. With no training token at all, P(v) = 1 and scores are 0.
-Extra columns are ignored. Empty tables give no rows.
+document). Null ids are told apart by crc32 of the empty text. With no training token at all, P(v) = 1 and scores are 0. A very
+long text makes its block larger: memory is in proportion to it. Extra columns are ignored, whatever their names. Empty tables
+give no rows. The rows must come in the same order when a task is repeated, as those of files do.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -32,7 +37,11 @@ from pyspark.sql import functions as F
 
 from . import common, jaccard, tokens
 
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES, RANGE_BYTES = 10_000_000, 20_000_000
+#: Partitions of an exchange at most; beyond it each holds several blocks or ranges.
+PARTITIONS = 20_000
+#: Words that are traversed in a row.
+SEGMENT = 256
 #: Words of the longest n-grams of the query.
 ORDER = 3
 ADD, MU = 0.1, 20.0
@@ -85,24 +94,32 @@ def longer_keys(below: np.ndarray, h: np.ndarray, doc: np.ndarray, n: int) -> tu
 
 
 def _small(counts: np.ndarray) -> bytes:
-    """Counts in the least width that holds them; the width is the first byte."""
+    """Counts, compressed, in the least width that holds them; the width is the first byte."""
     top = int(counts.max()) if len(counts) else 0
     width = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4 if top < 1 << 32 else 8
-    return bytes([width]) + counts.astype(f"<u{width}").tobytes()
+    return bytes([width]) + _zstd()[0].compress(counts.astype(f"<u{width}").tobytes())
 
 
 def _large(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
+    return np.frombuffer(_zstd()[1].decompress(raw[1:]), f"<u{raw[0]}").astype(np.int64)
 
 
 def _planes(keys: np.ndarray) -> bytes:
-    """Sorted keys as differences, byte by byte of all: the upper planes are zeros that the shuffle compresses."""
+    """Sorted keys as differences, byte by byte of all, compressed: the upper planes are almost all zeros."""
     gap = np.diff(keys, prepend=np.uint64(0)) if len(keys) else keys
-    return gap.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    return _zstd()[0].compress(gap.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes())
 
 
 def _keys(raw: bytes) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").reshape(-1), dtype=np.uint64)
+    planes = np.frombuffer(_zstd()[1].decompress(raw), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").reshape(-1), dtype=np.uint64)
+
+
+@functools.cache
+def _zstd():
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
 def _grams(h: np.ndarray, doc: np.ndarray, order: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -150,6 +167,13 @@ def requests(blocked: DataFrame, ranges: int, order: int) -> DataFrame:
     return blocked.mapInArrow(run, "block long, kind int, range long, keys binary, counts binary")
 
 
+def by_range(asked: DataFrame, ranges: int) -> DataFrame:
+    """What all blocks ask, each range's rows together: kind, range, block, keys, counts."""
+    keys = ["kind", "range"]
+    parts = min(ranges, PARTITIONS)
+    return asked.select("kind", "range", "block", "keys", "counts").repartition(parts, *keys).sortWithinPartitions(*keys, "block")
+
+
 def answers(asked: DataFrame) -> DataFrame:
     """block, kind, range, counts: the corpus counts of the keys asked for, in their order."""
     schema = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("range", pa.int64()), ("counts", pa.binary())])
@@ -165,8 +189,7 @@ def answers(asked: DataFrame) -> DataFrame:
                 n = len(keys)
                 yield pa.RecordBatch.from_arrays([rows.column(2).combine_chunks() if isinstance(rows.column(2), pa.ChunkedArray) else rows.column(2), pa.array([rows.column(0)[0].as_py()] * n, pa.int32()), pa.array([rows.column(1)[0].as_py()] * n, pa.int64()), pa.array([_small(total[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())], schema=schema)
 
-    keys = ["kind", "range"]
-    return asked.select("kind", "range", "block", "keys", "counts").repartition(*keys).sortWithinPartitions(*keys, "block").mapInArrow(run, "block long, kind int, range long, counts binary")
+    return asked.mapInArrow(run, "block long, kind int, range long, counts binary")
 
 
 class Automaton:
@@ -177,59 +200,81 @@ class Automaton:
 
     def __init__(self, count: np.ndarray, begins: int, pair_state: np.ndarray, pair_word: np.ndarray, pair_count: np.ndarray, total: int, distinct: int, longer: Sequence[tuple[np.ndarray, np.ndarray, np.ndarray]] = ()):
         words = len(count)
-        self.words, self.begin, self.root = words, words, words + 1
+        self.words, self.begin, self.root, self.memory = words, words, words + 1, len(longer) + 1
         scale = total + ADD * (distinct + 1)
         p = (count + ADD) / scale if total else np.ones(words)
         self.base = np.log10(p)
-        self.root_arcs = self.base.tolist()
-        self.arcs: dict[int, float] = {}
-        self.after: dict[int, int] = {}
+        keys, weights, targets = [], [], []
         # counts and failure targets of the states
         context, back = [np.append(count, [begins, 0]).astype(float)], [np.full(words + 2, self.root)]
         below, states, state, word, number, grams = p[pair_word], pair_word, pair_state, pair_word, pair_count, list(longer)
         for level in range(len(grams) + 1):
-            seen_as = np.concatenate(context)[state]
+            held = np.concatenate(context)
+            seen_as = held[state]
             live = seen_as > 0
             chance = np.where(live, (number + MU * below) / (seen_as + MU), below)
             if level < len(grams):  # each n-gram is a context of those of one word more
-                own = len(np.concatenate(context)) + np.arange(len(number))
+                own = len(held) + np.arange(len(number))
                 context.append(number.astype(float))
                 back.append(states)
             else:
                 own = states
             seen = np.flatnonzero((number > 0) & live)
-            keys = (state[seen] * words + word[seen]).tolist()
-            self.arcs.update(zip(keys, np.log10(chance[seen]).tolist(), strict=True))
-            self.after.update(zip(keys, own[seen].tolist(), strict=True))
+            keys.append(state[seen] * words + word[seen])
+            weights.append(np.log10(chance[seen]))
+            targets.append(own[seen])
             if level < len(grams):
                 prefix, suffix, number = grams[level]
                 state, states, word, below = own[prefix], own[suffix], word[suffix], chance[suffix]
         held = np.concatenate(context)
-        self.fail = np.where(held > 0, np.log10(MU / (held + MU)), 0.0).tolist()
-        self.back = np.concatenate(back).tolist()
-
-    def score(self, text: list[int]) -> float:
-        """log10 probability of a text's words."""
-        arcs, after, fail, back, root_arcs, words, root = self.arcs, self.after, self.fail, self.back, self.root_arcs, self.words, self.root
-        state, total = self.begin, 0.0
-        for w in text:
-            while state != root:
-                at = state * words + w
-                weight = arcs.get(at)
-                if weight is not None:
-                    total += weight
-                    state = after[at]
-                    break
-                total += fail[state]
-                state = back[state]
-            else:  # the root knows every word
-                total += root_arcs[w]
-                state = w
-        return total
-
-
-def _score_block(rows: pa.Table, told: pa.Table, total: int, distinct: int, tokenise: Tokens, order: int) -> list[tuple]:
-    ids, held, texts = rows.column("doc_id").to_pylist(), np.array(rows.column("held_out").to_pylist(), bool), rows.column("text").to_pylist()
+        self.fail, self.back = np.where(held > 0, np.log10(MU / (held + MU)), 0.0), np.concatenate(back)
+        key = np.concatenate(keys)
+        order = np.argsort(key, kind="stable")
+        self.arcs, self.weight, self.target = key[order], np.concatenate(weights)[order], np.concatenate(targets)[order]
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states after a word each, and the weights of the arcs taken: failure arcs until one holds the word, or the root."""
+        gain, after, state = np.zeros(len(state)), np.empty(len(state), np.int64), state.copy()
+        todo = np.arange(len(state))
+        while len(todo):
+            s, w = state[todo], word[todo]
+            at = np.searchsorted(self.arcs, s * self.words + w)
+            hit = np.zeros(len(todo), bool)
+            inside = at < len(self.arcs)
+            hit[inside] = self.arcs[at[inside]] == (s * self.words + w)[inside]
+            gain[todo[hit]] += self.weight[at[hit]]
+            after[todo[hit]] = self.target[at[hit]]
+            last = s == self.root  # it knows every word
+            gain[todo[last]] += self.base[w[last]]
+            after[todo[last]] = w[last]
+            left = ~hit & ~last
+            todo, s = todo[left], s[left]
+            gain[todo] += self.fail[s]
+            state[todo] = self.back[s]
+        return after, gain
+
+    def score(self, word: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """log10 probability of each text, of words word[bounds[k]:bounds[k + 1]]."""
+        cuts = -(-np.diff(bounds) // SEGMENT)
+        doc = np.repeat(np.arange(len(cuts)), cuts)
+        begin = bounds[doc] + SEGMENT * (np.arange(len(doc)) - np.repeat(np.cumsum(cuts) - cuts, cuts))
+        warm = np.minimum(self.memory, begin - bounds[doc])
+        steps = warm + np.minimum(SEGMENT, bounds[doc + 1] - begin)
+        order = np.argsort(-steps, kind="stable")
+        doc, first, warm, steps = doc[order], (begin - warm)[order], warm[order], steps[order]
+        state = np.where(first == bounds[doc], self.begin, self.root)
+        total = np.zeros(len(doc))
+        for t in range(int(steps[0]) if len(steps) else 0):
+            live = int(np.searchsorted(-steps, -t, side="left"))
+            state[:live], gain = self.step(state[:live], word[first[:live] + t])
+            total[:live] += np.where(warm[:live] <= t, gain, 0.0)
+        return np.bincount(doc, total, len(cuts))
+
+
+def _score_block(rows: pa.Table, told: pa.Table, tokenise: Tokens, order: int) -> list:
+    """The columns of RESULT for a block's rows, in order of their numbers."""
+    held, texts = np.array(rows.column("held_out").to_pylist(), bool), rows.column("text").to_pylist()
+    total, distinct = told.column("n")[0].as_py(), told.column("v")[0].as_py()
     h, doc = tokenise(texts)
     got: dict[int, list] = {}
     for kind, _, counts in sorted(zip(told.column("kind").to_pylist(), told.column("range").to_pylist(), told.column("counts").to_pylist(), strict=True), key=lambda x: x[:2]):
@@ -254,40 +299,39 @@ def _score_block(rows: pa.Table, told: pa.Table, total: int, distinct: int, toke
     bounds = np.searchsorted(doc, np.arange(len(texts) + 1))
     known = np.add.reduceat((count[word] > 0).astype(np.int64), bounds[:-1])
     base = np.add.reduceat(automaton.base[word], bounds[:-1])
-    listed, cuts = word.tolist(), bounds.tolist()
-    return [(ids[k], bool(held[k]), cuts[k + 1] - cuts[k], int(known[k]), total, float(base[k]), automaton.score(listed[cuts[k] : cuts[k + 1]])) for k in range(len(texts))]
+    return [rows.column("doc_id"), held, np.diff(bounds), known, np.full(len(texts), total), base, automaton.score(word, bounds)]
 
 
-def totals(docs: DataFrame) -> tuple[int, int]:
-    """N and V of the training documents."""
-    schema = pa.schema([("word", pa.int64()), ("n", pa.int64())])
+def totals(asked: DataFrame) -> DataFrame:
+    """One row (n, v): training tokens, and distinct ones, from what all blocks ask."""
+    schema = pa.schema([("n", pa.int64()), ("v", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenise = Tokens()
-        for batch in batches:
-            h, n = np.unique(tokenise(batch.column(0).to_pylist())[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], schema=schema)
+        for t in jaccard._groups(batches, 2):
+            for rows in jaccard._runs(t, 2):
+                if rows.column(0)[0].as_py() == WORDS:
+                    keys, counts = np.concatenate([_keys(k.as_py()) for k in rows.column(3)]), np.concatenate([_large(c.as_py()) for c in rows.column(4)])
+                    yield pa.RecordBatch.from_arrays([pa.array([int(counts.sum())]), pa.array([len(np.unique(keys[counts > 0]))])], schema=schema)
 
-    words = docs.where("not held_out").select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    row = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    return row["n"], row["v"]
+    return asked.mapInArrow(run, "n long, v long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v"))
 
 
-def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES, order: int = 2) -> DataFrame:
+def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES, order: int = ORDER, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """docs: doc_id, text (not null), held_out -> columns RESULT; learns n-grams of up to `order` words from the rows that are not held out."""
     if order < 2:
         raise ValueError("the order is 2 at least")
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n_blocks = max(1, -(-size // block_bytes))
-    total, distinct = totals(docs)
-    blocked = docs.select(F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(n_blocks)).alias("block"), "doc_id", "held_out", "text")
-    blocked = blocked.repartition(n_blocks, "block")
-    told = answers(requests(blocked.sortWithinPartitions("block"), n_blocks, order))
+    n_blocks, n_ranges = (max(1, -(-size // x)) for x in (block_bytes, range_bytes))
+    blocked = docs.select(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n_blocks)).alias("block"), "doc_id", "held_out", "text")
+    blocked = blocked.repartition(min(n_blocks, PARTITIONS), "block")
+    asked = by_range(requests(blocked.sortWithinPartitions("block"), n_ranges, order), n_ranges)
+    told = answers(asked).crossJoin(F.broadcast(totals(asked)))  # one row
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def run(rows: pa.Table, answer: pa.Table) -> pa.Table:
-        out = _score_block(rows, answer, total, distinct, Tokens(), order) if len(rows) else []
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)] if out else [pa.array([], f.type) for f in schema], schema=schema)
+        if not len(rows):
+            return pa.Table.from_arrays([pa.array([], f.type) for f in schema], schema=schema)
+        return pa.Table.from_arrays([c if isinstance(c, pa.ChunkedArray) else pa.array(c, f.type) for c, f in zip(_score_block(rows, answer, Tokens(), order), schema, strict=True)], schema=schema)
 
     return blocked.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, RESULT)
 
@@ -295,4 +339,4 @@ def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES, order: int = 2) -> Da
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents; those with crc32(doc_id) mod 10 = 0 are held out."""
     docs = common.table(spark, sf_dir, "documents")
-    return score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), (common.crc32_of_id() % 10 == 0).alias("held_out")), order=ORDER)
+    return score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), (common.crc32_of_id() % 10 == 0).alias("held_out")))
