@@ -2,9 +2,10 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tributary.llm import packing, tokens, vbyte
+from tributary.llm import common, packing, tokens, vbyte
 
 ODD = ["don't we're 'tis  \n\n x'll'm  don ' s 's", "", "a\n b  \t c d 12three's ''t", "  lead", "trail  ", "\n", "x'", "'", "'s", "日本語 テスト 3", "a'reason", "x\x1c y", "é ​ z", "<|endoftext|> x", None, "word " * 3000]
 
@@ -93,6 +94,64 @@ def test_files_and_back(spark, reference, monkeypatch):
     assert vbyte.read(vbyte.write(docs.limit(0), tokens.vocabulary())).count() == 0
 
 
+def test_files_of_their_own(spark, tmp_path, reference):
+    docs = documents(spark, ODD).repartition(3)
+    files = vbyte.export(vbyte.write(docs, tokens.vocabulary()), f"file://{tmp_path}/ids").collect()
+    assert files and not list((tmp_path / "ids").glob("*.part"))
+    seen = {}
+    for path in sorted((tmp_path / "ids").glob("*.tvb")):
+        ids, sizes, flat = vbyte.read_segment(path.read_bytes())
+        for d, a, b in zip(ids, np.cumsum(sizes) - sizes, np.cumsum(sizes)):
+            seen[d] = flat[a:b].tolist()
+    assert list(seen) == sorted(seen) and seen == {i: [*reference(t), 0] for i, t in enumerate(ODD)}
+
+
+def test_repeated_ids_are_spread(spark):
+    same = spark.range(3000).selectExpr("7L AS doc_id", "'same text' AS text").unionByName(spark.range(2000).selectExpr("cast(null AS long) AS doc_id", "cast(id AS string) AS text"))
+    same = common.saved(same.repartition(4), "rows")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    stored = vbyte.write(same, tokens.vocabulary())
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert stored.count() >= 4 and stored.agg(F.max("n_docs")).first()[0] < 2000
+    rows = vbyte.read(stored).orderBy("start").collect()
+    assert len(rows) == 5000 and all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(rows, rows[1:])) and [r["doc_id"] for r in rows] == [None] * 2000 + [7] * 3000
+    packed = packing.pack_documents(same, tokens.vocabulary(), size=64, group_docs=500)
+    sizes = [r["n"] for r in packed.groupBy((F.col("sequence_id") / 2**32).cast("int").alias("g")).agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 5000 and max(sizes) < 650 and len(sizes) == 10
+
+
+def test_search_against_the_optimum():
+    """On small inputs: never fewer bins than the optimum, and hardly ever more."""
+    from functools import lru_cache
+
+    def optimum(n, size):
+        n = tuple(n.tolist())
+
+        @lru_cache(None)
+        def most(left):  # (bins, fill of the last) to place all but `left`
+            if left == 0:
+                return 1, 0
+            best = (99, 0)
+            for i in range(len(n)):
+                if left >> i & 1:
+                    bins, fill = most(left & ~(1 << i))
+                    best = min(best, (bins, fill + n[i]) if fill + n[i] <= size else (bins + 1, n[i]))
+            return best
+
+        return most((1 << len(n)) - 1)[0]
+
+    rng = np.random.default_rng(12)
+    extra = saved = 0
+    for _ in range(60):
+        n = rng.integers(5, 40, 10)
+        first = packing.best_fit(n, 60)
+        found = len(set(packing.local_search(n, first, 60).tolist()))
+        least = optimum(n, 60)
+        assert found >= least
+        extra, saved = extra + found - least, saved + len(set(first.tolist())) - found
+    assert extra <= 3
+
+
 def test_local_search_only_improves():
     # best fit needs three bins here, two are enough
     n = np.array([6, 5, 5, 4, 3, 3, 2, 2, 2][:9])

@@ -1,13 +1,15 @@
 """Best-fit packing of token pieces into sequences, improved by swap-based local search.
 
-Texts longer than a sequence are cut into full pieces (the first may be shorter). Pieces are dealt by a hash to groups
-of about `GROUP_DOCS` documents; each group is packed alone, so memory is bounded and groups run in parallel, at a
-cost of less than one sequence a group. Within a group: best fit by decreasing length, then local search over the
+Texts longer than a sequence are cut into full pieces (the first may be shorter). Documents are dealt by a hash of their number in
+the scan, so that repeated rows and null ids spread out, to groups of about `GROUP_DOCS`; each group is packed alone, so memory is
+bounded and groups run in parallel, at a cost of less than one sequence a group. The rows must come in the same order when a task is
+repeated, as those of files do; which sequence a piece comes into depends on that order. Within a group: best fit by decreasing length, then local search over the
 underfull bins. Only lengths matter, so the search looks at equal lengths once. Moves and exchanges of one or two pieces
 for one or two are taken only if they raise the sum of squared fills; bins that become empty vanish.
 
-A null text is an empty document (its end id alone, one piece). Repeated rows are packed as often as they occur; extra
-columns are ignored; an empty table gives no rows.
+A null text is an empty document (its end id alone, one piece). Repeated rows are packed as often as they occur; a very long
+text makes many full pieces, which are sequences of their own; extra columns are ignored, whatever their names; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -229,7 +231,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int, end_id: int, groups: int,
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.withColumn("grp", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(groups)))
+    rows = rows.withColumn("grp", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
     return rows.mapInArrow(run, PIECES)
 
 

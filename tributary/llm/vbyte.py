@@ -7,11 +7,14 @@ gathers the data bytes with array operations.
 
 Segments are rows of Parquet in the shared folder, so Spark's commit protocol covers lost executors. Documents are in
 ascending doc_id order over (shard, segment). A null text is empty; null doc_ids come first; equal doc_ids keep one
-another's company in order of text; each document ends with `end_id`. No tables, no rows.
+another's company in order of a hash of their text, and may be cut anywhere, so that no id is gathered; each document ends with
+`end_id`. A very long text makes its segment larger. Extra columns are ignored, whatever their names. An empty table gives no rows.
+`export` writes each image to a file of its own.
 """
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -122,7 +125,33 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 0, id_col: str = "doc_i
             yield flush()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return common.saved(rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, STORED), "segments", "none")
+    # equal ids, and equal rows, may fall into several ranges
+    dealt = rows.select("doc_id", "text", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("nth"))
+    keys = ["doc_id", "h", "nth"]
+    return common.saved(dealt.repartitionByRange(*keys).sortWithinPartitions(*keys).select("doc_id", "text").mapInArrow(run, STORED), "segments", "none")
+
+
+def export(stored: DataFrame, folder: str) -> DataFrame:
+    """Writes each segment as a file of the format, {folder}/{shard}-{segment}.tvb, from the executors; folder is shared by all.
+
+    A file appears whole or not at all, and a repeated task writes the same bytes. Returns path and n_bytes of each.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        target, root = fs.FileSystem.from_uri(folder)
+        target.create_dir(root, recursive=True)
+        for batch in batches:
+            for k in range(batch.num_rows):
+                name = f"{root}/{batch.column(0)[k].as_py():06d}-{batch.column(1)[k].as_py():04d}.tvb"
+                image, part = batch.column(2)[k].as_py(), f"{name}.{uuid.uuid4().hex}.part"
+                with target.open_output_stream(part) as out:
+                    out.write(image)
+                target.move(part, name)
+                yield pa.RecordBatch.from_pylist([{"path": name, "n_bytes": len(image)}], pa.schema([("path", pa.string()), ("n_bytes", pa.int64())]))
+
+    return stored.select("shard", "segment", "image").mapInArrow(run, "path string, n_bytes long")
 
 
 def read(stored: DataFrame) -> DataFrame:
@@ -131,14 +160,15 @@ def read(stored: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                doc_ids, sizes, ids = read_segment(row["image"])
+            for k in range(batch.num_rows):  # one image at a time
+                shard, segment = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
+                doc_ids, sizes, ids = read_segment(batch.column(2)[k].as_py())
                 ends = np.cumsum(sizes)
                 raw = memoryview(ids.astype("<u4").tobytes())
                 bounds = [0, *(4 * ends).tolist()]
                 crc = [zlib.crc32(raw[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
                 n = len(doc_ids)
-                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array([row["shard"]] * n, pa.int32()), pa.array([row["segment"]] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array(ends - sizes), pa.array(sizes), pa.array(crc, pa.int64())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array([shard] * n, pa.int32()), pa.array([segment] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array(ends - sizes), pa.array(sizes), pa.array(crc, pa.int64())], schema=schema)
 
     # offsets of segments from the file's own counts: within a shard, then over shards (as many rows as partitions)
     sizes = stored.select("shard", "segment", "n_ids")
