@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tributary.llm import flac, langid
 
@@ -95,9 +96,9 @@ def payloads():
 def test_round_trips():
     p = payloads()
     made = flac.encode_payloads(p)
-    for a, s, (b, frames) in zip(p, made, flac.decode_many(made), strict=True):
-        assert a == b and frames == len(a) // flac.BLOCK
+    for a, s, (b, places) in zip(p, made, flac.decode_many(made), strict=True):
         pcm, index = flac.decode(s)
+        assert a == b and places == index
         assert (pcm[0] + 128).astype(np.uint8).tobytes() == a and [x for x, _ in index] == list(range(0, len(a), flac.BLOCK))
         x, first = flac.seek(s, len(a) - 1)
         assert (x[0] + 128).astype(np.uint8).tobytes() == a[first:]
@@ -105,6 +106,14 @@ def test_round_trips():
     assert {0, 2} <= kinds and len(kinds) >= 4  # constant, verbatim, predictors
 
 
+def test_too_many_languages_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LANGS", 3)
+    df = spark.createDataFrame([(i, "some words", f"l{i}") for i in range(5)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError):
+        langid.identify(df, F.lit(True))
+    assert langid.identify(df.where("doc_id < 3"), F.lit(True)).count() == 3
+
+
 def test_damage_is_found():
     good = flac.encode_payloads([b"some text " * 115 + b"12"])[0]
     at = flac.stream_header(good)[2]
@@ -151,12 +160,31 @@ def test_other_streams():
 def test_media_rows(spark):
     texts = ["some text", None, "", "some text", "y" * 200_000]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, "z")], "doc_id long, text string").selectExpr("*", "1 AS media", "2 AS n_bytes")
-    got = {r["doc_id"]: r for r in flac.features(flac.media(df)).collect()}
+    got = {r["doc_id"]: r for r in flac.features(flac.pcm_blocks(flac.media(df))).collect()}
     for i, t in enumerate(texts):
         p = flac.payload(t)
         assert (got[i]["n_bytes"], got[i]["payload_bytes"], got[i]["payload_sha256"], got[i]["tail_crc32"]) == (len(t or ""), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]))
     assert got[0]["media_sha256"] == got[3]["media_sha256"] and got[0]["feature"] == got[3]["feature"] and None in got
-    assert flac.features(flac.media(df.limit(0))).count() == 0
+    assert flac.features(flac.pcm_blocks(flac.media(df.limit(0)))).count() == 0
+
+
+def test_pcm_blocks(spark):
+    """Blocks, stored and read again, hold all samples; decoding can begin at each block's offset."""
+    texts = {1: "abc " * 20_000, 2: None, 3: "q" * 576 * 32}
+    stored = flac.common.saved(flac.media(spark.createDataFrame(list(texts.items()), "doc_id long, text string")), "media")
+    streams = {r["doc_id"]: bytes(r["media"]) for r in stored.collect()}
+    rows = flac.common.saved(flac.pcm_blocks(stored, frames=16), "pcm").orderBy("doc_id", "first_sample").collect()
+    for d, t in texts.items():
+        own, payload = [r for r in rows if r["doc_id"] == d], flac.payload(t)
+        assert b"".join(bytes(r["samples"]) for r in own) == payload and [r["last"] for r in own] == [False] * (len(own) - 1) + [True]
+        info = flac.stream_header(streams[d])[0]
+        for r in own:
+            x, number, _ = flac.decode_frame(streams[d], r["byte_offset"], info)
+            assert number * flac.BLOCK == r["first_sample"] and (x[0] + 128).astype(np.uint8).tobytes() == bytes(r["samples"])[: flac.BLOCK]
+            assert len(r["samples"]) == r["n_frames"] * flac.BLOCK
+    x = {d: np.frombuffer(flac.payload(t), np.uint8).astype(int) - 128 for d, t in texts.items()}
+    want = {d: f"frames={len(v) // 576};level={np.abs(v).sum() // len(v)};crossings={int((np.signbit(v[1:]) != np.signbit(v[:-1])).sum())}" for d, v in x.items()}
+    assert {r["doc_id"]: r["feature"] for r in flac.features(flac.pcm_blocks(stored, frames=3)).collect()} == want
 
 
 def test_query_reads_what_it_stored(spark, tmp_path):

@@ -8,7 +8,8 @@ VERBATIM or a FIXED linear predictor of order 0 to 4 with Rice-coded residuals,
 escaped partitions, wasted bits and stereo decorrelation; it verifies both checksums of each frame and the MD5, and returns PCM
 with each frame's first sample and byte offset, so blocks can be sought. `decode_many` decodes the frames of many streams
 in lockstep: sample i of all frames is read at once, so Rice codes cost array operations, not loops over samples.
-`seek` decodes only the frame that holds a sample.
+`seek` decodes only the frame that holds a sample. `pcm_blocks` makes a table of PCM blocks, each with its first sample and the byte
+offset that decoding can begin at.
 
 Null text counts as empty, whose payload is one block of bytes 255. A damaged frame raises ValueError. Equal texts give
 equal bytes. Extra columns are ignored; repeated rows are answered alike; an empty table gives no rows.
@@ -32,6 +33,8 @@ BITS = 8
 #: Frames that are coded at once.
 LANES = 2500
 MAX_RICE = 7
+#: Frames of a PCM block.
+PCM_FRAMES = 16
 #: Coefficients of the fixed predictors by order: fixed values of the format.
 FIXED = ((), (1,), (2, -1), (3, -3, 1), (4, -6, 4, -1))
 
@@ -341,8 +344,8 @@ def seek(data: bytes, sample: int) -> tuple[np.ndarray, int]:
         first, at = first + x.shape[1], end
 
 
-def decode_many(streams: list[bytes]) -> list[tuple[bytes, int]]:
-    """Per stream its samples as bytes (sample + 128) and its number of frames. Streams of other layouts are read one by one."""
+def decode_many(streams: list[bytes]) -> list[tuple[bytes, list[tuple[int, int]]]]:
+    """Per stream its samples as bytes (sample + 128), and each frame's first sample and byte offset. Streams of other layouts are read one by one."""
     flat = np.frombuffer(b"".join(streams) + bytes(16), np.uint8)
     base, spans, alone = 0, [], {}
     for k, s in enumerate(streams):
@@ -350,19 +353,20 @@ def decode_many(streams: list[bytes]) -> list[tuple[bytes, int]]:
         blocks = -(-info["samples"] // BLOCK)
         if (info["channels"], info["bits"], info["min_block"], info["max_block"]) != (1, BITS, BLOCK, BLOCK) or info["samples"] % BLOCK or len(points) != blocks:
             pcm, index = decode(s)
-            alone[k] = ((pcm[0] + 128).astype(np.uint8).tobytes(), len(index))
+            alone[k] = ((pcm[0] + 128).astype(np.uint8).tobytes(), index)
         else:
             ends = [at + o for _, o in points[1:]] + [len(s)]
             spans += [(k, i, base + at + o, base + e) for i, ((_, o), e) in enumerate(zip(points, ends, strict=True))]
         base += len(s)
-    out = [alone.get(k, (b"", 0)) for k in range(len(streams))]
+    out = [alone.get(k, (b"", [])) for k in range(len(streams))]
     parts: dict[int, list[bytes]] = {}
     for a in range(0, len(spans), LANES):
         own = spans[a : a + LANES]
         for (k, *_), x in zip(own, _lockstep(flat, own), strict=True):
             parts.setdefault(k, []).append(x.tobytes())
     for k, p in parts.items():
-        out[k] = (b"".join(p), len(p))
+        _, points, at = stream_header(streams[k])
+        out[k] = (b"".join(p), [(sample, at + o) for sample, o in points])
         if hashlib.md5((np.frombuffer(out[k][0], np.uint8) - np.uint8(128)).tobytes(), usedforsecurity=False).digest() != stream_header(streams[k])[0]["md5"]:
             raise ValueError("the samples differ from those stored")
     return out
@@ -469,26 +473,54 @@ def media(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
-def features(stored: DataFrame) -> DataFrame:
-    """What is read back: sizes, digests, and a feature (frames, mean level, crossings of zero)."""
-    fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
-    schema = pa.schema(fields)
+def pcm_blocks(stored: DataFrame, frames: int = PCM_FRAMES) -> DataFrame:
+    """The stored streams decoded: a row a PCM block of up to `frames` frames, in order, to be written to any table or read on.
+
+    Columns: doc_id, n_bytes, media_bytes, media_sha256 (of the stream), first_sample, byte_offset (where the block's first frame
+    begins in the stream), n_frames, last (of its stream), samples (a byte each: sample + 128).
+    """
+    fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("first_sample", pa.int64()), ("byte_offset", pa.int64()), ("n_frames", pa.int64()), ("last", pa.bool_()), ("samples", pa.binary())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, sizes, streams = (batch.column(i).to_pylist() for i in range(3))
             for a, b in tokens.chunks([len(s) for s in streams], tokens.CHUNK_CHARS):
                 rows = []
-                for k, (raw, frames) in enumerate(decode_many(streams[a:b]), a):
-                    x = np.frombuffer(raw, np.uint8).astype(np.int64) - 128
-                    crossings = int((np.signbit(x[1:]) != np.signbit(x[:-1])).sum())
-                    s = streams[k]
-                    rows.append((ids[k], sizes[k], len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-32:]), len(s), hashlib.sha256(s).hexdigest(), f"frames={frames};level={int(np.abs(x).sum()) // len(x)};crossings={crossings}"))
+                for k, (raw, index) in enumerate(decode_many(streams[a:b]), a):
+                    sha = hashlib.sha256(streams[k]).hexdigest()
+                    for f in range(0, len(index), frames):
+                        end = index[f + frames][0] if f + frames < len(index) else len(raw)
+                        rows.append((ids[k], sizes[k], len(streams[k]), sha, *index[f], min(frames, len(index) - f), end == len(raw), raw[index[f][0] : end]))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), fields, strict=True)], schema=pa.schema(fields))
+
+    return stored.mapInArrow(run, "doc_id long, n_bytes long, media_bytes long, media_sha256 string, first_sample long, byte_offset long, n_frames long, last boolean, samples binary")
+
+
+def features(blocks: DataFrame) -> DataFrame:
+    """Of PCM blocks that come in order, a row a stream: sizes, digests, and a feature (frames, mean level, crossings of zero)."""
+    fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
+    schema = pa.schema(fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sha, tail, size, frames, level, crossings, before = hashlib.sha256(), b"", 0, 0, 0, 0, None
+        for batch in batches:
+            rows = []
+            for doc, n_bytes, media_bytes, media_sha, _, _, n, last, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                sha.update(raw)
+                x = np.frombuffer(raw, np.uint8)
+                low = x < 128
+                crossings += int((low[1:] != low[:-1]).sum()) + int(before is not None and before != low[0])
+                level += int(np.abs(x.astype(np.int16) - 128).sum(dtype=np.int64))
+                tail, size, frames, before = raw[-32:], size + len(raw), frames + n, low[-1]
+                if last:
+                    rows.append((doc, n_bytes, size, sha.hexdigest(), zlib.crc32(tail), media_bytes, media_sha, f"frames={frames};level={level // size};crossings={crossings}"))
+                    sha, tail, size, frames, level, crossings, before = hashlib.sha256(), b"", 0, 0, 0, 0, None
+            if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), fields, strict=True)], schema=schema)
 
-    return stored.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return blocks.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def op10_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents stored as FLAC in the shared folder and read back from there."""
-    return features(common.saved(media(common.table(spark, sf_dir, "documents").select("doc_id", "text")), "media"))
+    return features(pcm_blocks(common.saved(media(common.table(spark, sf_dir, "documents").select("doc_id", "text")), "media")))

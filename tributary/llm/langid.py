@@ -7,7 +7,7 @@ first in order); score = 1 - distance / largest possible distance.
 
 Counting runs over code points with array operations and one small table per Arrow batch; Spark adds the tables. Ranks are
 by count, then n-gram. What reaches the driver is a fixed number of rows per language (`SALTS` x `PROFILE`), whatever the
-input. Null text, and text without a letter: `und`, score 0. Null lang is never learned; without any profile all is `und`.
+input, and more than `LANGS` languages are an error. A very long text is counted whole, in memory in proportion to it. Null text, and text without a letter: `und`, score 0. Null lang is never learned; without any profile all is `und`.
 Every row is answered, repeated rows alike; extra columns are ignored.
 """
 
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-MAX_N, PROFILE, SALTS = 3, 400, 8
+MAX_N, PROFILE, SALTS, LANGS = 3, 400, 8, 1000
 UNKNOWN = "und"
 BITS = 21
 CHUNK_CHARS = 1_500_000
@@ -105,7 +105,9 @@ def profiles(rows: DataFrame, size: int = PROFILE) -> tuple[list[str], np.ndarra
     """The languages in order, and for each the keys of its most frequent n-grams by rank (-1: none)."""
     counts = gram_counts(rows).withColumn("salt", F.pmod(F.xxhash64("gram"), F.lit(SALTS)))
     order = Window.partitionBy("lang", "salt").orderBy(F.desc("n"), "gram")
-    top = counts.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= size).select("lang", "gram", "n").collect()
+    top = counts.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= size).select("lang", "gram", "n").limit(LANGS * SALTS * size + 1).collect()
+    if len({r["lang"] for r in top}) > LANGS:
+        raise ValueError(f"more than {LANGS} languages: is `lang` a language?")
     best: dict[str, list[tuple[int, int]]] = {}
     for r in top:
         best.setdefault(r["lang"], []).append((-r["n"], r["gram"]))
@@ -174,8 +176,8 @@ class Judge:
         return out, scores
 
 
-def identify(docs: DataFrame, train: Column) -> DataFrame:
-    """docs (with text) plus lang_pred and score; learns from the rows where `train` holds and lang is known."""
+def identify(docs: DataFrame, train: Column, pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
+    """docs (with text) plus the predicted language and its score; learns from the rows where `train` holds and lang is known."""
     learn = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull())
     langs, ranked = profiles(learn)
 
@@ -184,10 +186,10 @@ def identify(docs: DataFrame, train: Column) -> DataFrame:
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             pred, score = judge.judge(texts)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names, pred_col, score_col])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return docs.mapInArrow(run, f"{fields}, `{pred_col}` string, `{score_col}` double")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
