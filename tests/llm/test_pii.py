@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tributary.llm import pii
 
@@ -69,7 +70,7 @@ def expected_terms(t):
 def test_disclosing_terms_equal_brute_force(spark):
     t = corpus()
     df = spark.createDataFrame(list(enumerate(t)), "doc_id long, text string")
-    risky, _ = pii.disclosing(df, pii.scan(df))
+    risky, _ = pii.disclosing(df, pii.texts_of(pii.scan(df)))
     got = {(r["entity"].split(":", 1)[1], r["term"]): r["strength"] for r in risky.collect()}
     want = expected_terms(t)
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
@@ -103,3 +104,28 @@ def test_query_and_sanitised_texts(spark, tmp_path):
 def test_every_document_holds_the_entity(spark):
     df = spark.createDataFrame([(i, f"a@b.cd only text {i}") for i in range(5)] + [(9, "a@b.cd only text 0"), (9, "a@b.cd only text 0"), (None, "a@b.cd")], "doc_id long, text string")
     assert pii.sanitise(df).count() == 8
+
+
+def test_many_spans_in_one_text(spark):
+    """20,000 spans: time in proportion, and the text is put together right."""
+    import time
+
+    took = []
+    for n in (1_000, 10_000):
+        t = "".join(f"mail user{i}@host{i % 7}.example or call; " for i in range(n))
+        df = spark.createDataFrame([(1, t), (2, "nothing here \U0001f600 at all")], "doc_id long, text string")
+        at = time.perf_counter()
+        got = {r["doc_id"]: r["text"] for r in pii.sanitise(df).collect()}
+        took.append(time.perf_counter() - at)
+        assert got[1] == "mail [EMAIL] or call; " * n and got[2] == "nothing here \U0001f600 at all"
+        (row,) = pii.scan(df.where("doc_id = 1")).collect()
+        assert [(s["s"], s["e"]) for s in row["base"]] == [(m.start(), m.end()) for m in re.finditer(PATTERNS["email"], t)]
+    assert took[1] < 60 and took[1] < 30 * max(took[0], 1)
+
+
+def test_parts_of_texts(spark):
+    text = "".join(chr(0x1F600 + i % 50) if i % 7 == 0 else chr(97 + i % 26) for i in range(5000))
+    spans = [(0, 0), (0, 1), (0, 1024), (1, 1025), (1023, 1024), (1024, 2048), (1000, 4100), (4096, 5000), (5000, 5000)]
+    df = spark.createDataFrame([(text, a, b) for a, b in spans], "text string, a int, b int")
+    parts = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{pii.PART}}}"), F.lit(0))
+    assert [r[0] for r in df.select(pii._between(parts, F.col("a"), F.col("b"))).collect()] == [text[a:b] for a, b in spans]
