@@ -7,12 +7,76 @@ def test_parsing():
     page = "<head><title>t</title></head><body><p class='a-b' id=mainText>One &amp; <b>t</b>wo\n three<br>four<p>five<script>x<p></script><!-- c <p> --><ul><li>six<li><a href=x>seven</a></ul><textarea>no</textarea></body"
     got = H.blocks(page)
     assert [b.text for b in got] == ["One & two three", "four", "five", "six", "seven", "</body"][: len(got)]
-    assert got[0].path[-1] == ("p", "a", "b", "main", "text") and got[4].linked == 5 and got[3].linked == 0
+    assert got[0].node.words == ("p", "a", "b", "main", "text") and got[4].linked == 5 and got[3].linked == 0
     assert H.blocks(None) == [] and H.blocks("") == [] and [b.text for b in H.blocks("plain &lt;x&gt; text")] == ["plain <x> text"]
     assert [b.text for b in H.blocks('<p title="a>b">x</p><p title="open>y</p>')] == ["x", "y"]
     assert len(H.blocks("<div>" * 3000 + "deep")) == 1
 
 
+def test_odd_markup():
+    text = lambda page: [b.text for b in H.blocks(page)]
+    for tag in ("svg", "object", "math", "canvas", "video", "noscript", "template"):
+        assert text(f"<p>a</p><{tag}><path><p>b</p>") == ["a", "b"], tag
+        assert text(f"<p>a</p><{tag}>x</{tag}><p>b</p>") == ["a", "b"], tag
+    assert text("<svg><path><p>b</p><svg>no</svg>c") == ["b", "c"]
+    assert text("<head><title>no</title><p>a") == ["a"] and text("<head><title>no<body>x") == ["x"] and text("<script>no<p>x") == []
+    assert text("a<button>no</button><select><option>no</select>b") == ["a", "b"]
+
+
+def test_nesting_takes_linear_time():
+    import time
+
+    took = []
+    for n in (2000, 16000):
+        page = "<div>".join("x" for _ in range(n)) + "</i>" * n
+        at = time.perf_counter()
+        read = H.blocks(page)
+        H.vectors(read)
+        took.append(time.perf_counter() - at)
+        assert len(read) == n
+    assert took[1] < 40 * took[0]
+
+
+def scalar_logits(m, x):
+    """The bidirectional LSTM as it is written down, number by number."""
+    p, n, hid = m.p, len(x), H.HIDDEN
+    sig = lambda z: 1 / (1 + np.exp(-z))
+    out = [float(p["c"][0])] * n
+    for d, order, place in (("f", range(n), 0), ("b", range(n - 1, -1, -1), hid)):
+        h, c = [0.0] * hid, [0.0] * hid
+        for t in order:
+            g = [float(p[f"b{d}"][k] + sum(x[t][j] * p[f"W{d}"][j, k] for j in np.flatnonzero(x[t])) + sum(h[j] * p[f"U{d}"][j, k] for j in range(hid))) for k in range(4 * hid)]
+            c = [sig(g[hid + k]) * c[k] + sig(g[k]) * np.tanh(g[3 * hid + k]) for k in range(hid)]
+            h = [sig(g[2 * hid + k]) * np.tanh(c[k]) for k in range(hid)]
+            out[t] += sum(h[k] * p["V"][place + k] for k in range(hid))
+    return out
+
+
+def test_labeller_equals_a_scalar_one():
+    m, g = H.Labeller(np.random.default_rng(1)), H.Grammar(np.random.default_rng(2))
+    for _ in range(3):
+        x = g.sample()[0][:12]
+        z, live = H.padded([x])
+        assert np.allclose(m.logits(z, live)[:, 0], scalar_logits(m, x), atol=1e-4)
+
+
+PROSE = ["The committee met on Tuesday to discuss how the old bridge could be repaired before winter.", "Nobody had expected that the costs would be so high, but the engineers were sure of their numbers.", "In the end they agreed to close one lane, and to let the other be used by buses only."]
+PAGES = [
+    ("<html><body><nav><a href=/>Home</a> <a href=/n>News</a></nav><article><h1>A bridge for all</h1><p>{0}</p><form><p>Sign up</p><input name=e></form><p>{1}</p></article><footer>All rights reserved</footer></body></html>", "A bridge for all {0} {1}"),
+    ("<table><tr><td><a href=/>Home</a><br><a href=/n>News</a></td></tr><tr><td>Advertisement: buy shoes now</td></tr><tr><td><h1>A bridge for all</h1><p>{0}</p><p>{1}</p><p>{2}</p></td></tr><tr><td>© 2020 Privacy policy</td></tr></table>", "A bridge for all {0} {1} {2}"),
+    ("<div id=nav><ul><li><a href=/>Startseite</a><li><a href=/k>Kontakt</a></ul></div><div class=post-content><h2>A bridge for all</h2><p>{0}</p><blockquote>{1}</blockquote></div><div class=comments><div class=comment><p>{2}</p></div></div><div class=sidebar><h3>Related posts</h3><a href=/x>Another bridge</a></div>", "A bridge for all {0} {1}"),
+    ("<form action=/page><div class=header><a href=/>Home</a><a href=/a>About</a></div><div class=cookie-banner>We use cookies</div><main><h1>A bridge for all</h1><p>{0}</p><p>{1}</p><p>{2}</p><p>{0}</p></main><div class=footer>Powered by us</div></form>", "A bridge for all {0} {1} {2} {0}"),
+    ("<div><a href=/>Accueil</a> <a href=/p>À propos</a></div><div><h1>A bridge for all</h1><p>{0}</p><p>{1}</p><p>{2}</p></div><div>© 2021 Tous droits réservés</div>", "A bridge for all {0} {1} {2}"),
+]
+
+
+def test_pages_written_by_hand():
+    m = H.train()
+    for page, want in PAGES:
+        read = H.blocks(page.format(*PROSE))
+        assert H.main_text(read, m.label([read])[0]) == want.format(*PROSE)
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     m = H.Labeller(rng)

@@ -8,16 +8,21 @@ the context of the whole page. Blocks labelled main are joined in page order.
 The labeller is trained here, on `TRAIN_PAGES` synthetic pages drawn from a grammar of layouts in which every block's label is
 known by construction; the bound is a parameter. Training takes seconds on the driver and is the same each time.
 
-Scripts, styles, head, templates and comments of the markup hold no blocks. Character references are decoded, white space
-inside a block becomes one space. Null or empty html: ''. Every row is answered; repeated rows alike; extra columns are
-ignored. Any length is read whole: long pages take memory in proportion to their blocks.
+Scripts, styles, head, templates, buttons, lists of choices and comments of the markup hold no blocks; graphics end where a block of
+the page begins, and other such elements are ignored if nothing closes them. What a form holds is never main text, unless the form
+holds an article or is the frame of (almost) the whole page. Character references are decoded, white space inside a block becomes
+one space. Null or empty html: ''. Every row is answered; repeated rows alike; extra columns are ignored, whatever their names. Any
+length is read whole, in time and memory in proportion to it, however deep its elements are nested.
 """
 
 from __future__ import annotations
 
+import functools
 import html as entities
+import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,11 +31,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, tokens
 
-TRAIN_PAGES, EPOCHS, BATCH, HIDDEN, RATE, SEED = 1500, 4, 32, 16, 0.01, 11
-PATH_DIM, OWN_DIM, WORD_DIM, SHARES = 128, 64, 32, 8
+TRAIN_PAGES, EPOCHS, BATCH, HIDDEN, RATE, SEED = 2500, 3, 32, 16, 0.01, 11
+#: Share of blocks that are learned without their words; how much weights shrink at each step, in rates.
+BLANK, DECAY = 0.3, 0.01
+PATH_DIM, OWN_DIM, WORD_DIM, SHARES = 128, 64, 128, 8
 WIDTH = PATH_DIM + OWN_DIM + WORD_DIM + SHARES
+#: A form with as many blocks, and this share of the page's, is a page's frame.
+WHOLE_BLOCKS, WHOLE_SHARE = 8, 0.8
+#: Characters of pages, and pages, that a worker reads at once.
+STEP_CHARS, STEP_PAGES = 4_000_000, 500
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>""", re.S)
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -38,18 +49,35 @@ PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 #: Elements that don't end a block.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose content is not text of the page.
-SILENT = frozenset("script style noscript template iframe svg math object head textarea canvas audio video".split())
+#: Elements whose content is not text of the page: to the end of the page if unclosed; ended by blocks of the page as well; ignored if unclosed.
+RAW = frozenset("script style textarea title".split())
+FOREIGN = frozenset("svg math".split())
+SILENT = RAW | FOREIGN | frozenset("noscript template iframe object head canvas audio video button select datalist".split())
+BREAKOUT = r"<(?:p|div|h[1-6]|ul|ol|dl|table|pre|blockquote|section|article|main|nav|aside|header|footer|body)\b"
 #: Elements that a new one of the key closes, up to a container.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPE = frozenset("article aside body div footer form header html main nav ol section table ul dl blockquote td th".split())
 
 
+class Node:
+    """An open element: its tag and the words of its class, id and role, linked to the element around it."""
+
+    __slots__ = ("tag", "words", "parent", "depth", "block", "form", "row")
+
+    def __init__(self, tag: str, words: tuple[str, ...], parent: Node | None):
+        self.tag, self.words, self.parent, self.row = tag, words, parent, None
+        self.depth = parent.depth + 1 if parent else 1
+        self.block = self if tag not in INLINE else parent.block if parent else None
+        # the form around it, unless an article lies between
+        self.form = self if tag == "form" else None if tag in ("article", "main") or not parent else parent.form
+
+
 @dataclass
 class Block:
-    path: tuple[tuple[str, ...], ...]  # for each open element: its tag and the words of its class, id and role
+    node: Node | None  # the innermost open element
     text: str
     linked: int  # characters inside of links
+    form: bool = False  # content of a form
 
 
 def _words(attributes: str) -> list[str]:
@@ -59,37 +87,50 @@ def _words(attributes: str) -> list[str]:
     return found
 
 
+@functools.cache
+def _end(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}\s*>" + (rf"|(?={BREAKOUT})" if tag in FOREIGN else r"|(?=<body\b)" if tag == "head" else ""), re.I)
+
+
 def blocks(page: str | None) -> list[Block]:
     """The page's leaf blocks in order."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[Node] = []
+    count: Counter[str] = Counter()  # of open elements
+    endless: set[str] = set()  # elements that have no end from here on
     parts: list[str] = []
-    links = 0
-    linked = 0
+    links = linked = 0
+    node: Node | None = None
     text = page or ""
-    path: tuple[tuple[str, ...], ...] = ()
 
     def flush() -> None:
         nonlocal linked
         if parts:
             body = " ".join("".join(parts).split())
             if body:
-                out.append(Block(path, body, min(linked, len(body))))
+                out.append(Block(node, body, min(linked, len(body)), bool(node and node.form)))
             parts.clear()
         linked = 0
 
     def add(piece: str) -> None:
-        nonlocal linked, path
+        nonlocal linked, node
         if piece:
             piece = entities.unescape(piece) if "&" in piece else piece
             if not parts:
                 if not piece.strip():
                     return
-                path = tuple(words for _, words in stack)
+                node = stack[-1] if stack else None
             parts.append(piece)
             if links:
                 linked += len(piece)
 
+    def cut(k: int) -> None:
+        nonlocal links
+        for old in stack[k:]:
+            count[old.tag] -= 1
+            links -= old.tag == "a"
+        del stack[k:]
+
     at, n = 0, len(text)
     while at < n:
         m = TAG.search(text, at)
@@ -105,35 +146,42 @@ def blocks(page: str | None) -> list[Block]:
         if tag not in INLINE:
             flush()
         if close:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    links -= sum(t == "a" for t, _ in stack[k:])
-                    del stack[k:]
-                    break
-                if tag in INLINE and stack[k][0] not in INLINE:
-                    break
+            if count[tag]:
+                for k in range(len(stack) - 1, -1, -1):
+                    if stack[k].tag == tag:
+                        cut(k)
+                        break
+                    if tag in INLINE and stack[k].tag not in INLINE:
+                        break
             continue
         if tag in SILENT:
-            if not attributes.rstrip().endswith("/"):
-                end = re.compile(rf"</{tag}\s*>", re.I).search(text, at)
-                if end is None and tag == "head":
-                    end = re.compile(r"(?=<body)", re.I).search(text, at)
-                    if end is None:
-                        continue
-                at = n if end is None else end.end()
+            if not attributes.rstrip().endswith("/") and tag not in endless:
+                end = _end(tag).search(text, at)
+                if end is not None:
+                    at = end.end()
+                elif tag in RAW:
+                    at = n
+                else:
+                    endless.add(tag)
             continue
         ends = CLOSES.get(tag) or (("p",) if tag not in INLINE and tag not in VOID else ())
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in ends:
-                links -= sum(t == "a" for t, _ in stack[k:])
-                del stack[k:]
-                break
-            if stack[k][0] in SCOPE:
-                break
+        if any(count[e] for e in ends):
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k].tag in ends:
+                    cut(k)
+                    break
+                if stack[k].tag in SCOPE:
+                    break
         if tag not in VOID and not attributes.rstrip().endswith("/"):
-            stack.append((tag, (tag, *_words(attributes))))
+            stack.append(Node(tag, (tag, *_words(attributes)), stack[-1] if stack else None))
+            count[tag] += 1
             links += tag == "a"
     flush()
+    # a form around (almost) the whole page is no form of the page
+    held = Counter(b.node.form for b in out if b.form)
+    around = {f for f, k in held.items() if k >= WHOLE_BLOCKS and k > WHOLE_SHARE * len(out)}
+    for b in out:
+        b.form = b.form and b.node.form not in around
     return out
 
 
@@ -154,27 +202,34 @@ class Slots(dict):
 PATH_SLOTS, OWN_SLOTS, WORD_SLOTS = Slots(PATH_DIM), Slots(OWN_DIM), Slots(WORD_DIM)
 
 
+def _row(node: Node) -> np.ndarray:
+    """Hashed words of all elements around a node, then those of its innermost block; kept with the node."""
+    missing = []
+    while node is not None and node.row is None:
+        missing.append(node)
+        node = node.parent
+    row = node.row if node is not None else np.zeros(PATH_DIM, np.float32)
+    for n in reversed(missing):
+        row = row.copy()
+        row[[PATH_SLOTS[w] for w in n.words]] = 1
+        n.row = row
+    return row
+
+
 def vectors(page: list[Block]) -> np.ndarray:
     """One row a block."""
     x = np.zeros((len(page), WIDTH), np.float32)
     count = len(page)
-    paths: dict[tuple, np.ndarray] = {}
     for k, b in enumerate(page):
-        if b.path not in paths:
-            row = np.zeros(PATH_DIM + OWN_DIM, np.float32)
-            for words in b.path:
-                for w in words:
-                    row[PATH_SLOTS[w]] = 1
-            for words in [p for p in b.path if p[0] not in INLINE][-1:]:
-                for w in words:
-                    row[PATH_DIM + OWN_SLOTS[w]] = 1
-            paths[b.path] = row
-        x[k, : PATH_DIM + OWN_DIM] = paths[b.path]
+        if b.node is not None:
+            x[k, :PATH_DIM] = _row(b.node)
+            if b.node.block is not None:
+                x[k, [PATH_DIM + OWN_SLOTS[w] for w in b.node.block.words]] = 1
         words = b.text.lower().split()
         hashed = np.bincount([WORD_SLOTS[w] for w in words], minlength=WORD_DIM)
         x[k, PATH_DIM + OWN_DIM : -SHARES] = hashed / max(float(np.sqrt(hashed @ hashed)), 1.0)
         size = len(b.text)
-        x[k, -SHARES:] = (np.log1p(size) / 8, min(b.linked / size, 1), np.log1p(len(words)) / 6, sum(b.text.count(c) for c in ".,;:!?") / size, k / count, (count - k) / count, len(b.path) / 10, b.text[-1] in ".!?\"'")
+        x[k, -SHARES:] = (np.log1p(size) / 8, min(b.linked / size, 1), np.log1p(len(words)) / 6, sum(b.text.count(c) for c in ".,;:!?") / size, k / count, (count - k) / count, (b.node.depth if b.node else 0) / 10, b.text[-1] in ".!?\"'")
     return x
 
 
@@ -249,7 +304,7 @@ class Labeller:
         return grad, loss
 
     def label(self, pages: list[list[Block]], most: int = 20_000) -> list[np.ndarray]:
-        """For each page, which blocks are main text; pages of like length are read together."""
+        """For each page, which blocks are main text (what a form holds never is); pages of like length are read together."""
         out: list[np.ndarray] = [np.zeros(len(p), bool) for p in pages]
         order = sorted((k for k, p in enumerate(pages) if p), key=lambda k: len(pages[k]))
         a = 0
@@ -261,7 +316,7 @@ class Labeller:
             x, live = padded([vectors(pages[k]) for k in own])
             main = self.logits(x, live) > 0
             for j, k in enumerate(own):
-                out[k] = main[: len(pages[k]), j]
+                out[k] = main[: len(pages[k]), j] & ~np.array([b.form for b in pages[k]])
             a = b
         return out
 
@@ -285,29 +340,61 @@ OTHERS = (
 COMMENTS = "comments comment comment-list commentlist reply replies discussion responses disqus comment-body user-comments feedback".split()
 
 
+#: Phrases of menus, notices, adverts and other frames of pages, and words that running text is full of, in four languages.
+PHRASES = (
+    "home|about|about us|contact|contact us|news|blog|login|log in|sign in|sign up|register|my account|search|menu|cart|checkout|shop|products|services|support|help|faq|careers|press|sitemap|archive|categories|tags|"
+    "subscribe|subscribe to our newsletter|enter your email|follow us|share|share this|tweet|facebook|twitter|instagram|youtube|rss|email|print|read more|continue reading|related posts|related articles|you may also like|most popular|"
+    "trending now|recent posts|previous|next|back to top|skip to content|advertisement|sponsored|sponsored content|ad|buy now|sale|shop now|order today|free shipping|special offer|limited time offer|cheap|"
+    "privacy policy|terms of service|terms of use|cookie policy|we use cookies|accept all|accept cookies|this site uses cookies to improve your experience|all rights reserved|copyright|powered by|disclaimer|legal notice|"
+    "startseite|über uns|kontakt|impressum|datenschutz|anmelden|registrieren|suche|warenkorb|werbung|anzeige|mehr lesen|weiterlesen|newsletter abonnieren|teilen|agb|alle rechte vorbehalten|nach oben|verwandte artikel|jetzt kaufen|"
+    "accueil|à propos|nous contacter|mentions légales|connexion|inscription|rechercher|panier|publicité|partager|lire la suite|politique de confidentialité|tous droits réservés|articles similaires|acheter|s'abonner|"
+    "inicio|acerca de|contacto|aviso legal|iniciar sesión|registrarse|buscar|carrito|publicidad|compartir|leer más|política de privacidad|todos los derechos reservados|artículos relacionados|comprar ahora|suscribirse"
+).split("|")
+RUNNING = (
+    "the of and to in a is that it was for on are as with they be at this have from or had by but what some we can out other were all there when up use how said an each she which do their time if will way many then them would so these her him has more two could no than first been who its now people my made over did down only find long after thing our just name good sentence man think say great where help through much before line right too means old any same tell boy follow came want show also around form three small set put end does another well large must big even such because turn here why ask went men read need land different home us move try kind hand picture again change off play spell air away animal house point page letter mother answer found study still learn should world "
+    "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über einen so zum war haben nur oder aber vor zur bis mehr durch man sein wurde sei prozent hatte kann gegen vom können schon wenn habe seine "
+    "de la le et les des en un du une que est pour qui dans a par plus pas au sur ne se ce il sont avec son elle mais comme ou si leur y dont tout nous sa fait été aussi bien ses cette entre "
+    "de la que el en y a los se del las un por con no una su para es al lo como más o pero sus le ha me si sin sobre este ya entre cuando todo esta ser son dos también fue había era muy años hasta desde está mi porque"
+).split()
+
+
 class Grammar:
     """Draws labelled pages."""
 
     def __init__(self, rng: np.random.Generator):
-        self.rng = rng
-        letters = list("abcdefghijklmnoprstuvwéèüñöäß")
-        self.lexicon = ["".join(rng.choice(letters, rng.integers(2, 10))) for _ in range(3000)]
+        self.rng = random.Random(int(rng.integers(1 << 62)))
+        letters = "abcdefghijklmnoprstuvwéèüñöäß"
+        self.lexicon = ["".join(self.pick(letters) for _ in range(self.number(2, 10))) for _ in range(3000)]
+
+    def number(self, low: int, high: int) -> int:
+        return low + int(self.rng.random() * (high - low))
 
     def pick(self, options):
-        return options[int(self.rng.integers(len(options)))]
+        return options[int(self.rng.random() * len(options))]
 
     def chance(self, p: float) -> bool:
-        return bool(self.rng.random() < p)
+        return self.rng.random() < p
 
     def text(self, low: int, high: int) -> str:
-        n = int(self.rng.integers(low, high))
-        words = [self.pick(self.lexicon) for _ in range(n)]
+        """Words that no language has, or words of running text among them; sometimes with odd signs."""
+        n = self.number(low, high)
+        share, stops = self.pick([0.0, 0.3, 0.6]), self.pick([0.1, 0.1, 0.4])
+        words = [self.pick(RUNNING) if self.chance(share) else self.pick(self.lexicon) for _ in range(n)]
+        signs = self.pick([",", ".", ";"]) if self.chance(0.9) else self.pick(["*", "#", "--", "&", "%%", "/", "1", "99"])
         for k in range(n):
-            if self.chance(0.1):
-                words[k] += self.pick([",", ".", ";"])
+            if self.chance(stops):
+                words[k] += self.pick([signs, ",", "."])
         out = " ".join(words).capitalize()
         return out + self.pick([".", ".", ".", "", "!", "?"])
 
+    def frame(self, low: int, high: int) -> str:
+        """Text of menus and the like: often one of their phrases, alone or with other words."""
+        if self.chance(0.5):
+            return self.text(low, high)
+        phrase = self.pick(PHRASES)
+        phrase = self.pick([phrase, phrase.capitalize(), phrase.title()])
+        return phrase if self.chance(0.6) else self.pick([f"{phrase}: {self.text(1, 6)}", f"{phrase} {self.text(1, 8)}", f"{phrase} | {self.pick(PHRASES)}"])
+
     def named(self, tag: str, words: list[str], body: str) -> str:
         extra = f" {self.pick(words)}" if self.chance(0.2) else ""
         return f'<{tag} {self.pick(["class", "class", "id"])}="{self.pick(words)}{extra}">{body}</{tag}>'
@@ -317,25 +404,25 @@ class Grammar:
         return f"{chr(0xE000 + main)}{body}"
 
     def links(self) -> str:
-        items = [f'<a href="/x">{self.mark(self.text(1, 4), False)}</a>' for _ in range(int(self.rng.integers(2, 9)))]
+        items = [f'<a href="/x">{self.mark(self.frame(1, 4), False)}</a>' for _ in range(self.number(2, 9))]
         return "<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>" if self.chance(0.7) else "".join(self.pick(["<div>{}</div>", "<span>{}</span><br>"]).format(x) for x in items)
 
     def plain(self, low: int = 2, high: int = 40) -> str:
-        body = self.mark(self.text(low, high), False)
-        return self.pick(["{}", "<p>{}</p>", "<span>{}</span>", "<div>{}</div>", "<h3>{}</h3><p>" + self.mark(self.text(3, 20), False) + "</p>"]).format(body)
+        body = self.mark(self.frame(low, high), False)
+        return self.pick(["{}", "<p>{}</p>", "<span>{}</span>", "<div>{}</div>", "<h3>{}</h3><p>" + self.mark(self.frame(3, 20), False) + "</p>"]).format(body)
 
     def form(self) -> str:
-        return f"<form><label>{self.mark(self.text(1, 4), False)}</label><input name=q><select><option>{self.mark(self.text(1, 3), False)}</option></select><button>{self.mark(self.text(1, 3), False)}</button></form>"
+        return f"<form><label>{self.mark(self.frame(1, 4), False)}</label><input name=q><select><option>{self.frame(1, 3)}</option></select><button>{self.frame(1, 3)}</button></form>"
 
     def other(self) -> str:
-        body = "".join(self.pick([self.links, self.plain, self.plain, self.form])() for _ in range(int(self.rng.integers(1, 3))))
+        body = "".join(self.pick([self.links, self.plain, self.plain, self.form])() for _ in range(self.number(1, 3)))
         if self.chance(0.35):
             return f"<{(t := self.pick(['nav', 'aside', 'footer', 'header', 'aside']))}>{body}</{t}>"
         return self.named(self.pick(["div", "div", "section", "ul", "nav", "aside", "footer", "header", "p"]), OTHERS, body)
 
     def comments(self) -> str:
         one = lambda: self.named(self.pick(["div", "li", "article", "section"]), COMMENTS, f"<p>{self.mark(self.text(3, 60), False)}</p>" * 1)
-        return self.named(self.pick(["div", "section", "ol"]), COMMENTS, (f"<h3>{self.mark(self.text(1, 4), False)}</h3>" if self.chance(0.6) else "") + "".join(one() for _ in range(int(self.rng.integers(1, 6)))))
+        return self.named(self.pick(["div", "section", "ol"]), COMMENTS, (f"<h3>{self.mark(self.frame(1, 4), False)}</h3>" if self.chance(0.6) else "") + "".join(one() for _ in range(self.number(1, 6))))
 
     def paragraph(self) -> str:
         body = self.mark(self.text(1, 90), True)
@@ -347,19 +434,37 @@ class Grammar:
         if kind < 0.76:
             return f"<h2>{self.mark(self.text(1, 8), True)}</h2>"
         if kind < 0.82:
-            return "<ul>" + "".join(f"<li>{self.mark(self.text(1, 20), True)}</li>" for _ in range(int(self.rng.integers(1, 5)))) + "</ul>"
+            return "<ul>" + "".join(f"<li>{self.mark(self.text(1, 20), True)}</li>" for _ in range(self.number(1, 5))) + "</ul>"
         if kind < 0.86:
             return f"<blockquote>{body}</blockquote>"
         if kind < 0.9:
             return f"<p>{body} <a href=/y>{self.text(1, 3)}</a> {self.text(1, 9)}</p>"
         if kind < 0.94:
-            return "<table>" + "".join(f"<tr><td>{self.mark(self.text(1, 5), True)}</td></tr>" for _ in range(int(self.rng.integers(1, 4)))) + "</table>"
+            return "<table>" + "".join(f"<tr><td>{self.mark(self.text(1, 5), True)}</td></tr>" for _ in range(self.number(1, 4))) + "</table>"
+        if kind < 0.96:  # articles may talk of what frames talk of
+            return f"<p>{self.mark(self.text(2, 20) + ' ' + self.pick(PHRASES) + ' ' + self.text(2, 20), True)}</p>"
         return f"<div>{body}</div>"
 
-    def page(self) -> str:
-        main = "".join(self.paragraph() for _ in range(int(self.rng.integers(1, 14))))
+    def article(self) -> str:
+        main = "".join(self.paragraph() for _ in range(self.number(1, 14)))
         title = f"<h1>{self.mark(self.text(1, 12), True)}</h1>"
-        main = (f"<header>{title}</header>" if self.chance(0.1) else title if self.chance(0.8) else "") + main
+        return (f"<header>{title}</header>" if self.chance(0.1) else title if self.chance(0.8) else "") + main
+
+    def bare(self) -> str:
+        """A page laid out by a table, or by elements without names."""
+        many = lambda low: "".join(self.pick([self.links, self.links, self.plain])() for _ in range(self.number(low, 3)))
+        main = f"<h1>{self.mark(self.text(2, 12), True)}</h1>" + "".join(f"<p>{self.mark(self.text(8, 90), True)}</p>" for _ in range(self.number(1, 9)))
+        if self.chance(0.5):
+            side = f"<td>{many(0)}</td>"
+            middle = f"<tr>{side}<td>{main}</td></tr>" if self.chance(0.5) else f"<tr><td>{main}</td>{side}</tr>"
+            return f"<table><tr><td>{many(1)}</td></tr>{middle}<tr><td>{many(0)}{self.mark('© ' + self.frame(2, 14), False)}</td></tr></table>"
+        out = f"<div>{many(1)}</div><div>{main}</div><div>{many(0)}{self.mark('© ' + self.frame(2, 14), False)}</div>"
+        return f"<div>{out}</div>" if self.chance(0.3) else out
+
+    def page(self) -> str:
+        if self.chance(0.15):
+            return f"<html><head><title>{self.text(1, 9)}</title></head><body>{self.bare()}</body></html>"
+        main = self.article()
         if self.chance(0.25):
             main += self.other()
         if self.chance(0.15):
@@ -370,10 +475,10 @@ class Grammar:
         body = f"<article>{main}</article>" if kind < 0.45 else f"<main>{main}</main>" if kind < 0.6 else self.named("div", ARTICLES, main) if kind < 0.9 else self.named("article", ARTICLES, main)
         if self.chance(0.15):
             body = f"<main>{body}</main>"
-        before = "".join(self.other() for _ in range(int(self.rng.integers(0, 4))))
-        after = (self.comments() if self.chance(0.3) else "") + "".join(self.other() for _ in range(int(self.rng.integers(0, 4))))
+        before = "".join(self.other() for _ in range(self.number(0, 4)))
+        after = (self.comments() if self.chance(0.3) else "") + "".join(self.other() for _ in range(self.number(0, 4)))
         if self.chance(0.5):
-            after += f"<footer>{self.mark('© ' + self.text(2, 14), False)}</footer>"
+            after += f"<footer>{self.mark('© ' + self.frame(2, 14), False)}</footer>"
         out = before + body + after
         while self.chance(0.35):
             out = self.named("div", WRAPPERS, out)
@@ -386,7 +491,10 @@ class Grammar:
             for b in page:
                 b.text = b.text.replace(chr(0xE000), "").replace(chr(0xE001), "") or "x"
             if page:
-                return vectors(page), labels
+                x = vectors(page)
+                # blocks without their words, so that what encloses them is learned for its own sake
+                x[[self.chance(BLANK) for _ in page], PATH_DIM + OWN_DIM : -SHARES] = 0
+                return x, labels
 
 
 _trained: dict[tuple, Labeller] = {}
@@ -417,11 +525,17 @@ def train(pages: int = TRAIN_PAGES, epochs: int = EPOCHS, seed: int = SEED) -> L
                 g = g / max(norm, 1)
                 first[name] = 0.9 * first[name] + 0.1 * g
                 second[name] = 0.999 * second[name] + 0.001 * g * g
-                model.p[name] = (model.p[name] - rate * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+                model.p[name] = (model.p[name] * (1 - rate * DECAY) - rate * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
     _trained[pages, epochs, seed] = model
     return model
 
 
+def _steps(pages: list[str | None]) -> Iterator[tuple[int, int]]:
+    for a, b in tokens.chunks([len(p or "") for p in pages], STEP_CHARS):
+        for k in range(a, b, STEP_PAGES):
+            yield k, min(k + STEP_PAGES, b)
+
+
 def main_text(page: list[Block], main: np.ndarray) -> str:
     return " ".join(b.text for b, m in zip(page, main, strict=True) if m)
 
@@ -433,11 +547,11 @@ def extract(pages: DataFrame, model: Labeller | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                part = batch.slice(a, 500)
+            for a, b in _steps(batch.column(2).to_pylist()):
+                part = batch.slice(a, b - a)
                 read = [blocks(h) for h in part.column(2).to_pylist()]
                 marks = model.label(read)
-                texts = [main_text(b, m) for b, m in zip(read, marks, strict=True)]
+                texts = [main_text(p, m) for p, m in zip(read, marks, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64()), pa.array(map(len, read), pa.int64()), pa.array([int(m.sum()) for m in marks], pa.int64())], schema=pa.schema(fields))
 
     return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long, n_blocks long, n_main long")
