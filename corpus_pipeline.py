@@ -2,6 +2,10 @@
 
 Rejected languages go, one document of each near-duplicate group stays, personal data is sanitised, sources are mixed to their
 weights, and what is left is packed into sequences. All stages but the last return the columns they were given.
+
+In every stage a null text counts as empty, repeated rows are rows (the second stage keeps one of them), texts are read whole at any
+length, rows with a null doc_id are told apart by their text, ties go to the smallest id, then to the smallest hash of the text, columns
+that aren't named here pass through whatever their names, and an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -13,12 +17,18 @@ from tributary.llm import common, jaccard, langid, mixing, packing, pii, tokens
 
 #: Tokens wanted, in percent of what arrives at the mixing stage, and passes over a document at most.
 MIX_PERCENT, MIX_EPOCHS = 90, 2
+#: The least language score of a document that stays. Random letters, base64 and other scripts score 0 to 0.3 against profiles of
+#: European languages, short or mixed texts in a profile's language over 0.4.
+LEAST_SCORE = 0.3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language that the profiles know (no text, or no letter in it)."""
-    found = langid.identify(docs, common.crc32_of_id() % 4 != 2)
-    return found.where(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
+    """Drops documents in no language that the profiles know: no letter, or too far from each profile. A null lang becomes the predicted one.
+
+    Profiles are learned from all documents with a lang. A table without any lang has no profiles, and so loses all its documents.
+    """
+    found = langid.identify(docs, F.lit(True), "__lang", "__score").where((F.col("__lang") != langid.UNKNOWN) & (F.col("__score") >= LEAST_SCORE))
+    return found.withColumn("lang", F.coalesce("lang", "__lang")).select(*docs.columns)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
