@@ -15,8 +15,9 @@ The automaton of a corpus doesn't fit a worker, and isn't sent to one. Documents
 `BLOCK_BYTES` of text by their number in the scan, so that repeated rows and null ids spread out; each block sends the sorted
 hashes of the words and n-grams it has, with its training counts, cut into key ranges of about `RANGE_BYTES` of text; each range
 sums the counts over all blocks and answers each block in the order it asked. So a block gets just the part of the automaton that
-its texts can reach. N and V are sums over the same ranges, in the same plan. Keys are 64-bit hashes of bytes (words) and of
-hashes (n-grams). Counts cover all training documents; what is exchanged grows with the input: a row a block and range, until
+its texts can reach. N and V are sums over the same ranges, in the same plan. Words' keys are 64-bit hashes of their bytes; n-grams'
+keys are the first bits of 64-bit hashes of hashes, as many as the corpus's size in bytes has and `SPARE_BITS` more, so that at any
+size fewer than one n-gram in 2**SPARE_BITS shares its key. Counts cover all training documents; what is exchanged grows with the input: a row a block and range, until
 these hold a key each, which is what counting n-grams by a plain shuffle costs.
 
 Null text counts as empty: one token, the end. Rows are scored one by one, repeated rows alike (each counts as a training
@@ -37,7 +38,9 @@ from pyspark.sql import functions as F
 
 from . import common, jaccard, tokens
 
-BLOCK_BYTES, RANGE_BYTES = 10_000_000, 20_000_000
+BLOCK_BYTES, RANGE_BYTES = 5_000_000, 10_000_000
+#: Bits of an n-gram's key beyond those of the corpus's size in bytes.
+SPARE_BITS = 22
 #: Partitions of an exchange at most; beyond it each holds several blocks or ranges.
 PARTITIONS = 20_000
 #: Words that are traversed in a row.
@@ -122,7 +125,7 @@ def _zstd():
     return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
-def _grams(h: np.ndarray, doc: np.ndarray, order: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _grams(h: np.ndarray, doc: np.ndarray, order: int, bits: int = 64) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(kind, places, sorted keys, first place of each, number of each place's key) of a block's words and n-grams."""
     keys = h
     for n in range(1, order + 1):
@@ -132,21 +135,22 @@ def _grams(h: np.ndarray, doc: np.ndarray, order: int) -> Iterator[tuple[int, np
         elif n > 2:
             keys, whole = longer_keys(keys, h, doc, n)
             at = np.flatnonzero(whole)
-        unique, first, inverse = np.unique(keys[at], return_index=True, return_inverse=True)
+        own = keys[at] if n == 1 else keys[at] >> np.uint64(64 - bits)
+        unique, first, inverse = np.unique(own, return_index=True, return_inverse=True)
         yield {1: WORDS, 2: PAIRS}.get(n, n), at, unique, at[first], inverse
 
 
-def _asked(h: np.ndarray, doc: np.ndarray, held: np.ndarray, order: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _asked(h: np.ndarray, doc: np.ndarray, held: np.ndarray, order: int, bits: int = 64) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(kind, sorted keys, training counts) of a block's tokens."""
     weight = (~held[doc]).astype(np.int64)
-    for kind, at, unique, _, inverse in _grams(h, doc, order):
+    for kind, at, unique, _, inverse in _grams(h, doc, order, bits):
         yield kind, unique, np.bincount(inverse, weight[at], len(unique)).astype(np.int64)
 
 
-def requests(blocked: DataFrame, ranges: int, order: int) -> DataFrame:
+def requests(blocked: DataFrame, ranges: int, order: int, bits: int) -> DataFrame:
     """block, kind, range, keys, counts: what each block asks of each key range."""
     schema = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("range", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
-    step = -(-(1 << 64) // ranges)
+    step = {width: -(-(1 << width) // ranges) for width in (64, bits)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenise = Tokens()
@@ -154,10 +158,10 @@ def requests(blocked: DataFrame, ranges: int, order: int) -> DataFrame:
             for rows in jaccard._runs(t, 1):
                 block = rows.column(0)[0].as_py()
                 held = np.array(rows.column(2).to_pylist(), bool)
-                asked = _asked(*tokenise(rows.column(3).to_pylist()), held, order)
+                asked = _asked(*tokenise(rows.column(3).to_pylist()), held, order, bits)
                 out = []
                 for kind, keys, counts in asked:
-                    part = (keys // np.uint64(step)).astype(np.int64) if ranges > 1 else np.zeros(len(keys), np.int64)
+                    part = (keys // np.uint64(step[64 if kind == WORDS else bits])).astype(np.int64) if ranges > 1 else np.zeros(len(keys), np.int64)
                     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(keys)]
                     out += [(block, kind, int(part[a]), _planes(keys[a:b]), _small(counts[a:b])) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
                 # the begin's count, asked of range 0
@@ -271,7 +275,7 @@ class Automaton:
         return np.bincount(doc, total, len(cuts))
 
 
-def _score_block(rows: pa.Table, told: pa.Table, tokenise: Tokens, order: int) -> list:
+def _score_block(rows: pa.Table, told: pa.Table, tokenise: Tokens, order: int, bits: int = 64) -> list:
     """The columns of RESULT for a block's rows, in order of their numbers."""
     held, texts = np.array(rows.column("held_out").to_pylist(), bool), rows.column("text").to_pylist()
     total, distinct = told.column("n")[0].as_py(), told.column("v")[0].as_py()
@@ -281,7 +285,7 @@ def _score_block(rows: pa.Table, told: pa.Table, tokenise: Tokens, order: int) -
         got.setdefault(kind, []).append(_large(counts))
     counts, longer = {}, []
     before = pair_keys(h, doc)[1]
-    for kind, at, unique, first, inverse in _grams(h, doc, order):
+    for kind, at, unique, first, inverse in _grams(h, doc, order, bits):
         counts[kind] = np.concatenate(got.get(kind, [np.zeros(0, np.int64)]))
         if len(counts[kind]) != len(unique):
             raise ValueError("a block's answers don't fit what it asked")
@@ -322,16 +326,17 @@ def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES, order: int = ORDER, r
         raise ValueError("the order is 2 at least")
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n_blocks, n_ranges = (max(1, -(-size // x)) for x in (block_bytes, range_bytes))
+    bits = min(64, int(size).bit_length() + SPARE_BITS)
     blocked = docs.select(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n_blocks)).alias("block"), "doc_id", "held_out", "text")
     blocked = blocked.repartition(min(n_blocks, PARTITIONS), "block")
-    asked = by_range(requests(blocked.sortWithinPartitions("block"), n_ranges, order), n_ranges)
+    asked = by_range(requests(blocked.sortWithinPartitions("block"), n_ranges, order, bits), n_ranges)
     told = answers(asked).crossJoin(F.broadcast(totals(asked)))  # one row
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def run(rows: pa.Table, answer: pa.Table) -> pa.Table:
         if not len(rows):
             return pa.Table.from_arrays([pa.array([], f.type) for f in schema], schema=schema)
-        return pa.Table.from_arrays([c if isinstance(c, pa.ChunkedArray) else pa.array(c, f.type) for c, f in zip(_score_block(rows, answer, Tokens(), order), schema, strict=True)], schema=schema)
+        return pa.Table.from_arrays([c if isinstance(c, pa.ChunkedArray) else pa.array(c, f.type) for c, f in zip(_score_block(rows, answer, Tokens(), order, bits), schema, strict=True)], schema=schema)
 
     return blocked.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, RESULT)
 
