@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Collection
+from collections.abc import Collection, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -136,3 +136,7 @@ class StationarityTransformer:
 
     def fit_transform(self, panel: Panel, dropna: bool = True) -> Panel:
         return self.fit(panel).transform(panel, dropna)
+
+    def prepare_static(self, panel: Panel, effects: Sequence[str], causes: Sequence[str]) -> tuple[int, list[int], Panel]:
+        """What older call sites ask for: the number of effects, the places of the causes, and the transformed panel."""
+        return len(effects), [panel.variables.index(c) for c in causes], self.fit_transform(panel)

@@ -121,7 +121,7 @@ class MultiTaskCausality:
         made = solvers.callbacks_of(callbacks)
         settings = solvers.settings(key, config)
         start = solvers.initial(initializer, problem, mask, seed) if initializer is not None else None
-        base = solve(problem, mask, rule, penalty, [c.clone_for_run("base") if hasattr(c, "clone_for_run") else c for c in made], **settings | ({"start": start} if start is not None else {}))
+        base = solve(problem, mask, rule, penalty, [c.clone_for_run("base") if hasattr(c, "clone_for_run") else c for c in made], **settings | ({"start": start, "warn_start": True} if start is not None else {}))
         cov = inference.covariances(problem, mask, base.rss, strict=True)
         rows, weights = [], {"base": base.weights}
         for cause in tested:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -95,3 +95,15 @@ class Results:
 def wide(long: DataFrame, causes: Sequence[str]) -> DataFrame:
     """One row an effect, one column a cause."""
     return long.groupBy("effect").pivot("cause", list(causes)).agg(F.first("value"))
+
+
+def constant(spark: SparkSession, effects: Sequence[str], causes: Sequence[str], value: float = 0.0) -> DataFrame:
+    """A matrix (one row an effect, one column a cause) of one value."""
+    return spark.createDataFrame([(e,) for e in effects], "effect string").select("effect", *(F.lit(float(value)).alias(c) for c in causes))
+
+
+def set_column(matrix: DataFrame, cause: str, values: Mapping[str, float]) -> DataFrame:
+    """The matrix with a cause's column set, or added, by effect; effects without a value get null."""
+    known = matrix.sparkSession.createDataFrame([(e, float(v)) for e, v in values.items()], "effect string, __value double")
+    out = matrix.join(F.broadcast(known), "effect", "left")  # as many rows as effects
+    return out.select("effect", *(F.col("__value").alias(c) if c == cause else F.col(c) for c in matrix.columns[1:]), *([] if cause in matrix.columns else [F.col("__value").alias(cause)]))

@@ -7,6 +7,7 @@ import csv
 import os
 import re
 import time
+import traceback
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -96,7 +97,7 @@ def run(spark: SparkSession, path: str, save: str = "minimum", test: str = "f")
             if truth is not None:
                 row |= metrics.evaluate(truth, read_matrix(spark, os.path.join(out_dir, name))).first().asDict()
         except Exception as e:  # a failed case must not end the sweep
-            row |= {"status": "FAILED", "error": f"{type(e).__name__}: {e}"[:300], "execution_time_seconds": round(time.perf_counter() - began, 2)} | params
+            row |= {"status": "FAILED", "error": f"{type(e).__name__}: {e}"[:300], "traceback": traceback.format_exc(limit=-5), "execution_time_seconds": round(time.perf_counter() - began, 2)} | params
         summary.append(row)
     panel.df.unpersist()
     write_summary(summary, os.path.join(out_dir, "summary.csv"))

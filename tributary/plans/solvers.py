@@ -308,8 +308,10 @@ def _loop(problem: Problem, step: Callable, w: np.ndarray, mask: np.ndarray, rou
     return Fit(w, problem.intercept(w), problem.rss(w), state["loss"], epoch)
 
 
-def newton(problem: Problem, mask: np.ndarray, constraint: Constraint | None = None, penalty=None, callbacks: Sequence[Callback] = (), learning_rate: float = 1.0, max_iter: int = 1000, tol: float = 1e-8, projection: str = "masked", start=None, **_) -> Fit:
+def newton(problem: Problem, mask: np.ndarray, constraint: Constraint | None = None, penalty=None, callbacks: Sequence[Callback] = (), learning_rate: float = 1.0, max_iter: int = 1000, tol: float = 1e-8, projection: str = "masked", start=None, warn_start: bool = False, **_) -> Fit:
     """Damped Newton steps on the summed squares; the penalty's gradient is added to theirs. Constant columns stay at 0."""
+    if start is not None and np.any(start) and warn_start:
+        warnings.warn("newton starts at zero: the initializer has no effect", stacklevel=2)
     live = np.diag(problem.xx) > 1e-12
     project = constraint or (lambda w: w * mask)
     free = np.where(live, mask if projection == "masked" else np.ones_like(mask), 0)

@@ -5,17 +5,24 @@ The panel of most queries is hourly: the value of each type of event per hour, 0
 
 from __future__ import annotations
 
+import json
+import os
+import tempfile
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import oracles
 from .functions import columns
 from .operators import gram as G
 from .operators import lagging, metrics, scaling
 from .operators.stationarity import StationarityTransformer
-from .plans import engine, inference, layout, robust, selectors
+from .plans import config, engine, inference, layout, robust, runner, selectors, solvers
 from .sources import panel as P
+from .sources import shared
+from .streaming.gram_stream import GramStream
 
 TYPES = ("click", "error", "purchase", "signup", "view")
 PAIR = ("click", "purchase")
@@ -233,23 +240,20 @@ def restriction_counts(spark, sf_dir):
 AR_LAGS = (1, 2, 3)
 
 
+def _moments(spark, sf_dir, longest: int) -> selectors.Moments:
+    """The selectors' products of the hourly panel, which is one segment."""
+    panel = hourly(spark, sf_dir)
+    sums, head, k = selectors.segment_moments(panel, longest)
+    cells = {r["i"]: r["value"] for r in sums.collect()}  # a fixed number of cells
+    first = [r["x"] for r in head.orderBy("__rn").collect()]
+    return selectors.Moments(G.from_upper(np.array([cells[i] for i in range(len(cells))]), k), np.array(first), len(TYPES), longest)
+
+
 def _ar_table(spark, sf_dir) -> DataFrame:
-    """AIC and BIC of x[t] on x[t - k], each on the rows that have it, by one pass of sums."""
-    p = hourly(spark, sf_dir)
-    w = p.window
-    mean = Window.partitionBy(P.SEGMENT)
-    centred = p.df.select(P.SEGMENT, P.TIME, *((F.col(c) - F.avg(c).over(mean)).alias(c) for c in TYPES))
-    lagged = centred.select(F.row_number().over(w).alias("rn"), *TYPES, *(F.lag(c, k).over(w).alias(f"{c}_{k}") for c in TYPES for k in AR_LAGS))
-    cells = []
-    for c in TYPES:
-        for k in AR_LAGS:
-            x, y, ok = F.col(f"{c}_{k}"), F.col(c), F.col("rn") > k
-            cells += [f(F.when(ok, v)).alias(f"{n}_{c}_{k}") for n, f, v in (("n", F.count, y), ("x", F.sum, x), ("y", F.sum, y), ("xx", F.sum, x * x), ("xy", F.sum, x * y), ("yy", F.sum, y * y))]
-    row = lagged.agg(*cells)
-    long = row.select(F.inline(F.array(*(F.struct(F.lit(c).alias("target"), F.lit(k).alias("lag"), *(F.col(f"{n}_{c}_{k}").alias(n) for n in ("n", "x", "y", "xx", "xy", "yy"))) for c in TYPES for k in AR_LAGS))))
-    sxx, sxy, syy = (f"({a} - {b} * {c} / n)" for a, b, c in (("xx", "x", "x"), ("xy", "x", "y"), ("yy", "y", "y")))
-    rss = F.expr(f"{syy} - {sxy} * {sxy} / {sxx}")
-    return long.select("target", "lag", (4 + F.col("n") * F.log(rss / F.col("n"))).alias("aic"), (2 * F.log("n") + F.col("n") * F.log(rss / F.col("n"))).alias("bic"))
+    """The selectors' AIC and BIC of each variable on one of its own lags."""
+    mo = _moments(spark, sf_dir, max(AR_LAGS))
+    rows = [(c, k, *(selectors.ICLagSelector(max_lag=3, use_bic=bic).score(mo, i, [(i, k)]) for bic in (False, True))) for i, c in enumerate(TYPES) for k in AR_LAGS]
+    return spark.createDataFrame(rows, "target string, lag int, aic double, bic double")
 
 
 _ar_rows = " UNION ALL ".join(f"SELECT '{c}' AS target, {k} AS lag, {c} AS y, lag({c}, {k}) OVER (ORDER BY t) AS x FROM centred" for c in TYPES for k in AR_LAGS)
@@ -277,42 +281,44 @@ s AS (SELECT effect, cause, count(*) AS n, var_pop(y) * count(*) AS yy, var_pop(
 f AS (SELECT effect, cause, n, yy - ya * ya / aa AS rss_r, yy - (ya * ya * bb - 2 * ya * yb * ab + yb * yb * aa) / (aa * bb - ab * ab) AS rss_u, (yb * aa - ya * ab) / (aa * bb - ab * ab) AS w FROM s)"""
 
 
+def _pairwise(spark, sf_dir, lag: int | None = 1, **args) -> DataFrame:
+    """The results' table of all pairs of differenced variables."""
+    none = StationarityTransformer(max_order=0)
+    return engine.PairwiseCausality().fit(lagging.difference(hourly(spark, sf_dir), 1), lag=lag, stationarity_transformer=none, **args).table
+
+
 def _pair_lag1(spark, sf_dir) -> DataFrame:
-    """effect, cause, n, rss_r, rss_u, w for all pairs: the products of one pass, then columns."""
-    p = lagging.difference(hourly(spark, sf_dir), 1)
-    z = lagging.lag_features(p, [1] * len(TYPES), [1] * len(TYPES), TYPES)
-    names = [*TYPES, *(f"{c}_lag1" for c in TYPES)]
-    cov = lambda a, b: (F.covar_pop(a, b) * F.count("*")).alias(f"{a}|{b}")
-    sums = z.agg(F.count("*").alias("n"), *(cov(a, b) for i, a in enumerate(names) for b in names[i:]))
-    at = lambda a, b: F.col(f"`{a}|{b}`" if names.index(a) <= names.index(b) else f"`{b}|{a}`")
-    rows = sums.select(F.inline(F.array(*(F.struct(F.lit(e).alias("effect"), F.lit(c).alias("cause"), "n", at(e, e).alias("yy"), at(f"{e}_lag1", f"{e}_lag1").alias("aa"), at(f"{c}_lag1", f"{c}_lag1").alias("bb"), at(e, f"{e}_lag1").alias("ya"), at(e, f"{c}_lag1").alias("yb"), at(f"{e}_lag1", f"{c}_lag1").alias("ab")) for e in TYPES for c in TYPES if e != c))))
-    det = "(aa * bb - ab * ab)"
-    return rows.selectExpr("effect", "cause", "n", "yy - ya * ya / aa AS rss_r", f"yy - (ya * ya * bb - 2 * ya * yb * ab + yb * yb * aa) / {det} AS rss_u", f"(yb * aa - ya * ab) / {det} AS w")
+    return _pairwise(spark, sf_dir).where("effect <> cause")
 
 
 @query(f"WITH {_l1} SELECT effect, cause, round((rss_r - rss_u) / (rss_u / (n - 3)), {DIGITS}) AS f_stat FROM f")
 def pairwise_f_lag1(spark, sf_dir):
-    return _pair_lag1(spark, sf_dir).selectExpr("effect", "cause", f"round((rss_r - rss_u) / (rss_u / (n - 3)), {DIGITS}) AS f_stat")
+    return _pair_lag1(spark, sf_dir).selectExpr("effect", "cause", f"round(f_test, {DIGITS}) AS f_stat")
 
 
 @query(f"WITH {_l1} SELECT effect, cause, round(n * ln(rss_r / rss_u), {DIGITS}) AS lr_stat FROM f")
 def pairwise_lr_lag1(spark, sf_dir):
-    return _pair_lag1(spark, sf_dir).selectExpr("effect", "cause", f"round(n * ln(rss_r / rss_u), {DIGITS}) AS lr_stat")
+    return _pair_lag1(spark, sf_dir).selectExpr("effect", "cause", f"round(lr_test, {DIGITS}) AS lr_stat")
 
 
 @query(f"WITH {_l1} SELECT effect, cause, round(n * (rss_r - rss_u) / rss_u, {DIGITS}) AS chi2_stat FROM f")
 def pairwise_chi2_stat_lag1(spark, sf_dir):
-    return _pair_lag1(spark, sf_dir).selectExpr("effect", "cause", f"round(n * (rss_r - rss_u) / rss_u, {DIGITS}) AS chi2_stat")
+    return _pair_lag1(spark, sf_dir).selectExpr("effect", "cause", f"round(wald_test, {DIGITS}) AS chi2_stat")
 
 
 @query(f"WITH {_l1} SELECT effect, cause, CAST(sign(w) AS INTEGER) AS direction FROM f")
 def pairwise_sign_lag1(spark, sf_dir):
-    return _pair_lag1(spark, sf_dir).select("effect", "cause", F.signum("w").cast("int").alias("direction"))
+    return _pair_lag1(spark, sf_dir).select("effect", "cause", F.col("sign").cast("int").alias("direction"))
 
 
 @query(f"WITH {_l1} SELECT effect, cause, round(rss_u / n, 3) AS base_error, round(rss_r / n, 3) AS ref_error FROM f")
 def error_values_lag1(spark, sf_dir):
-    return _pair_lag1(spark, sf_dir).selectExpr("effect", "cause", "round(rss_u / n, 3) AS base_error", "round(rss_r / n, 3) AS ref_error")
+    return _pair_lag1(spark, sf_dir).selectExpr("effect", "cause", "round(base_error, 3) AS base_error", "round(ref_error, 3) AS ref_error")
+
+
+@query(f"SELECT c AS effect, c AS cause, CAST(1 AS DOUBLE) AS p_value, CAST(0 AS DOUBLE) AS sign FROM (VALUES {_values(TYPES)}) v(c)")
+def pairwise_self_pairs(spark, sf_dir):
+    return _pairwise(spark, sf_dir).where("effect = cause").select("effect", "cause", "p_value", "sign")
 
 
 @query(f"""WITH {PANEL}, c AS (SELECT t, click - avg(click) OVER () AS y FROM panel), l AS (SELECT t, y, lag(y, 1) OVER (ORDER BY t) AS x FROM c), k AS (SELECT *, row_number() OVER (ORDER BY t) - 1 AS i, count(*) OVER () AS n FROM l WHERE x IS NOT NULL),
@@ -340,7 +346,7 @@ CRITICAL = 1.0
 
 
 def _matrix(spark, sf_dir, signed: bool = False) -> DataFrame:
-    rows = _pair_lag1(spark, sf_dir).selectExpr("effect", "cause", "round(n * (rss_r - rss_u) / rss_u, 6) AS stat", "cast(signum(w) AS int) AS direction")
+    rows = _pair_lag1(spark, sf_dir).selectExpr("effect", "cause", "round(wald_test, 6) AS stat", "cast(sign AS int) AS direction")
     hit = F.when(F.col("stat") > CRITICAL, F.col("direction") if signed else F.lit(1)).otherwise(0)
     return rows.select("effect", "cause", hit.alias("value"))
 
@@ -406,13 +412,34 @@ def pure_causes(spark, sf_dir):
     return hits.select(F.col("cause").alias("node")).distinct().join(hits.select(F.col("effect").alias("node")), "node", "left_anti")
 
 
-# Whole analyses: no SQL
+# Whole analyses, of differenced variables
 
+_D = f"{PANEL}, d AS (SELECT t, {', '.join(f'{c} - lag({c}, 1) OVER (ORDER BY t) AS {c}' for c in TYPES)} FROM panel), dd AS (SELECT * FROM d WHERE click IS NOT NULL)"
+_FIT = f"WITH RECURSIVE {_D}, {oracles.multitask(TYPES, TYPES, 2)}"
+_FEATURES = oracles.lags(TYPES, 1, 2)
+
+
+def _shown(**columns: str) -> str:
+    return "SELECT effect, cause, " + ", ".join(f"round({v}, 6) + 0.0 AS {k}" for k, v in columns.items()) + " FROM st"
+
+
+@query(f"WITH {_l1}, x AS (SELECT effect, cause, n, (rss_r - rss_u) / (rss_u / (n - 3)) AS f, n * ln(rss_r / rss_u) AS lr FROM f) SELECT effect, cause, CAST(n - 3 AS INTEGER) AS residual_df, round(f, 4) AS f_test, round(lr, 4) AS lr_test FROM x")
+def pairwise_degrees_lag1(spark, sf_dir):
+    return _pair_lag1(spark, sf_dir).selectExpr("effect", "cause", "residual_df", "round(f_test, 4) AS f_test", "round(lr_test, 4) AS lr_test")
 
-@query()
-def pairwise_p_values_lag1(spark, sf_dir):
-    rows = _pair_lag1(spark, sf_dir).selectExpr("effect", "cause", "n", "(rss_r - rss_u) / (rss_u / (n - 3)) AS f_stat", "n * (rss_r - rss_u) / rss_u AS chi2_stat")
-    return rows.select("effect", "cause", columns.f_tail("f_stat", F.lit(1), F.col("n") - 3).alias("f_p_value"), columns.chi2_tail("chi2_stat", F.lit(1)).alias("chi2_p_value"))
+
+_chi = {2: "exp(-x / 2)", 4: "exp(-x / 2) * (1 + x / 2)", 6: "exp(-x / 2) * (1 + x / 2 + x * x / 8)"}
+_tails = " UNION ALL ".join([*(f"SELECT 'chi2' AS family, x, {k} AS d1, 0 AS d2, {v} AS tail FROM g" for k, v in _chi.items()), *(f"SELECT 'f', x, 2, {d}, pow(1 + 2 * x / {d}, -{d} / 2.0) FROM g" for d in (3, 20, 700)), *(f"SELECT 'f', x, {d}, 2, 1 - pow({d} * x / ({d} * x + 2), {d} / 2.0) FROM g" for d in (1, 5, 40))])
+
+
+@query(f"WITH g AS (SELECT o_orderkey % 200 / 8.0 AS x FROM orders GROUP BY 1) SELECT family, CAST(x AS DOUBLE) AS x, CAST(d1 AS INTEGER) AS d1, CAST(d2 AS INTEGER) AS d2, round(tail, 9) AS tail FROM ({_tails})")
+def distribution_tails(spark, sf_dir):
+    """Tails that have a closed form: even degrees of freedom of chi-squared, two degrees on one side of F."""
+    g = read(spark, sf_dir, "orders").select((F.col("o_orderkey") % 200 / 8.0).alias("x")).distinct()
+    kinds = [("chi2", d, 0) for d in _chi] + [("f", 2, d) for d in (3, 20, 700)] + [("f", d, 2) for d in (1, 5, 40)]
+    rows = g.select("x", F.explode(F.array(*(F.struct(F.lit(f).alias("family"), F.lit(a).alias("d1"), F.lit(b).alias("d2")) for f, a, b in kinds))).alias("k")).select("k.family", "x", "k.d1", "k.d2")
+    tail = F.when(F.col("family") == "f", columns.f_tail("x", "d1", "d2")).otherwise(columns.chi2_tail("x", "d1"))
+    return rows.withColumn("tail", F.round(tail, 9))
 
 
 def _robust(spark, sf_dir, loss: str) -> DataFrame:
@@ -434,33 +461,159 @@ def absolute_loss_fit(spark, sf_dir):
 
 
 def _fit(spark, sf_dir, **args) -> inference.Results:
-    defaults = {"lag_config": layout.LagConfiguration(max_lag=2), "stationarity_transformer": StationarityTransformer(max_order=1)}
-    return engine.MultiTaskCausality(args.pop("backend", None)).fit(hourly(spark, sf_dir), **defaults | args)
+    defaults = {"lag_config": layout.LagConfiguration(max_lag=2), "stationarity_transformer": StationarityTransformer(max_order=0)}
+    return engine.MultiTaskCausality(args.pop("backend", None)).fit(lagging.difference(hourly(spark, sf_dir), 1), **defaults | args)
 
 
-@query()
+def _statistics(df: DataFrame, *names: str) -> DataFrame:
+    return rounded(df.select("effect", "cause", *names), *names, digits=6)
+
+
+@query(f"{_FIT} SELECT effect, cause, round(e0, 6) AS base_error, round(e1, 6) AS ref_error, round(f, 6) AS f_test, round(p_f, 6) AS p_value, CAST(2 AS INTEGER) AS n_restrictions, CAST(df AS INTEGER) AS residual_df FROM st")
 def multitask_f_test(spark, sf_dir):
-    return _fit(spark, sf_dir).table.select("effect", "cause", "base_error", "ref_error", "f_test", "p_value", "n_restrictions", "residual_df")
+    t = _fit(spark, sf_dir).table.select("effect", "cause", "base_error", "ref_error", "f_test", "p_value", "n_restrictions", "residual_df")
+    return rounded(t, "base_error", "ref_error", "f_test", "p_value", digits=6)
 
 
-@query()
+_pivot = ", ".join(f"round(max(CASE WHEN cause = '{c}' THEN p_f END), 6) + 0.0 AS {c}" for c in TYPES)
+
+
+@query(f"{_FIT} SELECT effect, {_pivot} FROM st GROUP BY effect")
 def multitask_p_values(spark, sf_dir):
-    return _fit(spark, sf_dir).matrix("p_value")
+    return rounded(_fit(spark, sf_dir).matrix("p_value"), *TYPES, digits=6)
 
 
-@query()
+@query(f"{_FIT} {_shown(lr_test='lr', lr_p_value='p_lr')}")
 def likelihood_ratio_test(spark, sf_dir):
-    return _fit(spark, sf_dir).table.select("effect", "cause", "lr_test", "lr_p_value")
+    return _statistics(_fit(spark, sf_dir).table, "lr_test", "lr_p_value")
 
 
-@query()
+@query(f"{_FIT} {_shown(wald_test='wald', wald_p_value='p_wald', sign='sign')}")
 def wald_test(spark, sf_dir):
-    return _fit(spark, sf_dir).table.select("effect", "cause", "wald_test", "wald_p_value", "sign")
+    return _statistics(_fit(spark, sf_dir).table, "wald_test", "wald_p_value", "sign")
+
+
+@query(f"{_FIT} {_shown(wald_p_value='p_lr')}")
+def wald_p_values_compat(spark, sf_dir):
+    """compat: the tail of the likelihood ratio."""
+    api = engine.MultiTaskCausality(compat=True)
+    r = api.fit(lagging.difference(hourly(spark, sf_dir), 1), lag_config=layout.LagConfiguration(max_lag=2), stationarity_transformer=StationarityTransformer(max_order=0))
+    return _statistics(r.table, "wald_p_value")
+
+
+@query(f"{_FIT} SELECT effect, cause, CAST(round(p_f, 6) < 0.4 AS INTEGER) AS value FROM st")
+def result_by_f(spark, sf_dir):
+    return _fit(spark, sf_dir).result(0.4, test="F_test")
+
+
+@query(f"{_FIT} SELECT effect, cause, CASE WHEN round(p_wald, 6) < 0.4 THEN sign + 0.0 ELSE 0.0 END AS value FROM st")
+def result_signed_by_wald(spark, sf_dir):
+    return _fit(spark, sf_dir).result(0.4, with_sign=True, test="wald")
+
+
+@query(f"{_FIT} SELECT effect, cause, CAST(round(p_lr, 6) < 0.4 AS INTEGER) AS value FROM st")
+def result_by_likelihood_ratio(spark, sf_dir):
+    return _fit(spark, sf_dir).result(0.4, test="likelihood_ratio")
+
+
+@query(f"{_FIT} SELECT effect, cause, round(p_f, 6) + 0.0 AS p_value FROM st WHERE effect IN ('click', 'view') AND cause IN ('error', 'signup')".replace("/ (b.n * 5)", "/ (b.n * 2)"))
+def tested_roles(spark, sf_dir):
+    """Some effects and tested causes; all variables remain predictors."""
+    return _statistics(_fit(spark, sf_dir, effects=["click", "view"], tested_causes=["error", "signup"]).table, "p_value")
+
+
+def _weights_sql(fit: str, wherefrom: str = "w", value: str = "a[x][y]", tail: str = "") -> str:
+    cells = ", ".join(f"('{e}', '{f}', {len(_FEATURES) + i + 1}, {j + 1})" for i, e in enumerate(TYPES) for j, f in enumerate(_FEATURES))
+    return f"SELECT effect, feature, round({value}, {DIGITS}) + 0.0 AS weight FROM (VALUES {cells}) c(effect, feature, y, x), {wherefrom} WHERE fit = '{fit}'{tail}"
+
+
+def _weights(spark, r: inference.Results, run: str = "base") -> DataFrame:
+    names = r.extras["layout"].names
+    rows = [(e, n, float(v)) for e, row in zip(r.effects, r.weights[run], strict=True) for n, v in zip(names, row, strict=True)]
+    return rounded(spark.createDataFrame(rows, "effect string, feature string, weight double"), "weight")
+
+
+@query(f"{_FIT} {_weights_sql('all')}")
+def base_weights(spark, sf_dir):
+    return _weights(spark, _fit(spark, sf_dir))
+
+
+@query(f"{_FIT} {_weights_sql('click', value='CASE WHEN x <= 2 THEN 0 ELSE a[x][y] END')}")
+def weights_without_click(spark, sf_dir):
+    """The reference fit that omits a cause."""
+    return _weights(spark, _fit(spark, sf_dir), "click")
+
+
+@query(f"{_FIT} {_weights_sql('all')}")
+def projected_weights(spark, sf_dir):
+    return _weights(spark, _fit(spark, sf_dir, model_config={"projection": "projected", "initializer": "ols"}, backend="scikit-learn"))
+
+
+@query(f"{_FIT} {_weights_sql('all', value='a[x][y] + 0.5 * list_sum(list_transform(range(1, 11), lambda g: a[x][g] * sign(a[g][y])))')}")
+def l1_newton_fit(spark, sf_dir):
+    """With a small L1 no weight changes its sign, and Newton steps end at least squares less the penalty's pull."""
+    return _weights(spark, _fit(spark, sf_dir, regularizer_spec={"type": "l1", "l1": 0.5}))
+
+
+_c = "(abs(a[1][y]) + abs(a[2][y]))"
+_purchase = f"CASE WHEN x > 8 THEN 0 WHEN x <= 2 AND {_c} < 0.5 THEN a[x][y] + CASE WHEN a[x][y] < 0 THEN -1 ELSE 1 END * (0.5 - {_c}) / 2 ELSE a[x][y] END"
+
+
+@query(f"{_FIT} {_weights_sql('all', tail=chr(32) + 'AND effect <> ' + repr('purchase'))} UNION ALL {_weights_sql('view', value=_purchase, tail=chr(32) + 'AND effect = ' + repr('purchase'))}")
+def relation_constrained_fit(spark, sf_dir):
+    """purchase is not driven by view, and clicks' weights on it sum up to 0.5 at least."""
+    return _weights(spark, _fit(spark, sf_dir, relations={("purchase", "view"): "zero", ("purchase", "click"): 0.5}))
+
+
+_means = ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in (*_FEATURES, *PAIR))
+
+
+def _predicted(e: str) -> str:
+    y = len(_FEATURES) + TYPES.index(e) + 1
+    return f"round(m_{e} + s_{e} * (" + " + ".join(f"a[{j + 1}][{y}] * ({f} - m_{f}) / s_{f}" for j, f in enumerate(_FEATURES)) + f"), 3) + 0.0 AS {e}_pred"
+
+
+@query(f"{_FIT}, g AS (SELECT {_means} FROM z) SELECT 0 AS segment_id, z.t, round(click, 3) + 0.0 AS click, round(purchase, 3) + 0.0 AS purchase, {_predicted('click')}, {_predicted('purchase')} FROM z, g, w WHERE fit = 'all'")
+def fitted_predictions(spark, sf_dir):
+    api = engine.MultiTaskCausality()
+    r = api.fit(lagging.difference(hourly(spark, sf_dir), 1), effects=list(PAIR), lag_config=layout.LagConfiguration(max_lag=2), stationarity_transformer=StationarityTransformer(max_order=0))
+    return rounded(api.predict(r), *PAIR, *(f"{e}_pred" for e in PAIR), digits=3)
+
+
+@query(f"{_FIT} SELECT effect, cause, round(f, 6) + 0.0 AS f_test, round(p_f, 6) + 0.0 AS p_value FROM st")
+def hyperparameter_search(spark, sf_dir):
+    """Of rates and penalties, the search takes least squares, which has the lowest loss."""
+    r = _fit(spark, sf_dir, hiperoptimalization_state=True, hiperoptimalization_conf={"type": "model", "sections": {"model": {"learning_rate": [0.1, 1.0]}, "regularizer": {"l1": [0.0, 1.0]}}})
+    return _statistics(r.table, "f_test", "p_value")
+
+
+_CASES = {"base_config": {"backend": "sklearn", "lag_config": {"max_lag": 2}}, "sweep": {"param_names": ["model_config.learning_rate", "model_config.max_iter"], "cases": [[1.0, 50], [0.1, 50], [0.1, 200]]}}
+_cases = ", ".join(f"({i}, {rate}, {most})" for i, (rate, most) in enumerate(_CASES["sweep"]["cases"], 1))
 
 
-def _selected(spark, sf_dir, selector) -> DataFrame:
+@query(f"""{_FIT}, q AS (SELECT sum(e0) AS rss, 1.0 AS one FROM (SELECT DISTINCT effect, e0 FROM st)),
+k AS (SELECT c.id, rate, most, k, rss + pow(1 - rate, 2 * k) * (one - rss) AS loss FROM (VALUES {_cases}) c(id, rate, most), q, (SELECT unnest(generate_series(1, 200)) AS k) WHERE k <= most),
+e AS (SELECT *, abs(lag(loss) OVER (PARTITION BY id ORDER BY k) - loss) <= 1e-8 OR k = most AS done FROM k),
+f AS (SELECT id, min(k) AS k FROM e WHERE done GROUP BY id)
+SELECT CAST(id AS INTEGER) AS case_id, 'sklearn' AS backend, CAST(rate AS DOUBLE) AS learning_rate, CAST(most AS DOUBLE) AS max_iter, round(loss, 6) AS loss, CAST(k AS INTEGER) AS epochs FROM e JOIN f USING (id, k)""")
+def sweep_summary(spark, sf_dir):
+    """Cases of a group, on one set of sums: after k damped steps, weights are 1 - (1 - rate)^k of least squares."""
     p = lagging.difference(hourly(spark, sf_dir), 1)
-    return selectors.select_layout(p, layout.LagConfiguration(max_lag=4), selector).mask_table(spark)
+    prepared, rows = None, []
+    for i, (raw, swept) in enumerate(config.cases(_CASES), 1):
+        case = config.normalised(raw)
+        prepared = prepared or engine.prepare(p, list(TYPES), case["lag_config"], transformer=StationarityTransformer(max_order=0))
+        r = engine.MultiTaskCausality(case["backend"]).fit(prepared_data=prepared, model_config=case["model_config"])
+        rows.append((i, case["backend"], *map(float, swept.values()), round(r.extras["loss"], 6), int(r.extras["epochs"])))
+    return spark.createDataFrame(rows, "case_id int, backend string, learning_rate double, max_iter double, loss double, epochs int")
+
+
+# Selectors
+
+
+def _selected(spark, sf_dir, selector, most: int = 4) -> DataFrame:
+    p = lagging.difference(hourly(spark, sf_dir), 1)
+    return selectors.select_layout(p, layout.LagConfiguration(max_lag=most), selector).mask_table(spark)
 
 
 @query()
@@ -468,14 +621,48 @@ def lag_selector_ic(spark, sf_dir):
     return _selected(spark, sf_dir, selectors.ICLagSelector(use_bic=True))
 
 
+def _lag_table(spark, matrix) -> DataFrame:
+    return spark.createDataFrame([(e, c, int(matrix[i, j])) for i, e in enumerate(TYPES) for j, c in enumerate(TYPES)], "effect string, cause string, lag int")
+
+
+_own = " UNION ALL ".join(f"SELECT '{c}' AS target, {k} AS lag, ({oracles.pair_score('dd', c, k)}) AS s" for c in TYPES for k in (1, 2))
+_other = " UNION ALL ".join(f"SELECT '{e}' AS target, '{c}' AS cause, {own} AS own, {k} AS lag, ({oracles.pair_score('dd', e, own, c, k)}) AS s" for e in TYPES for c in TYPES if c != e for own in (1, 2) for k in (1, 2))
+
+
+@query(f"""WITH {_D}, a AS ({_own}), best AS (SELECT target, arg_min(lag, s) AS own, min(s) AS s FROM a GROUP BY target), o AS ({_other}),
+p AS (SELECT o.target, o.cause, arg_min(o.lag, o.s) AS lag, min(o.s) AS s, any_value(best.s) AS own_s FROM o JOIN best ON o.target = best.target AND o.own = best.own GROUP BY o.target, o.cause)
+SELECT target AS effect, target AS cause, CAST(own AS INTEGER) AS lag FROM best UNION ALL SELECT target, cause, CAST(CASE WHEN s < own_s THEN lag ELSE 1 END AS INTEGER) FROM p""")
+def lag_selector_ic_unpruned(spark, sf_dir):
+    p = lagging.difference(hourly(spark, sf_dir), 1)
+    chosen = selectors.ICLagSelector(max_lag=2, min_lag=1, delta_min_ic=0.0, prune_lags=False)
+    return _lag_table(spark, selectors.lag_matrix(p, chosen, range(len(TYPES))))
+
+
 @query()
 def lag_selector_cv(spark, sf_dir):
     return _selected(spark, sf_dir, selectors.CVLagSelector(cv_folds=4))
 
 
-@query()
+_errors = " UNION ALL ".join(f"SELECT '{c}' AS target, {k} AS lag, ({oracles.forward_errors('dd', c, k, 5)}) AS s" for c in TYPES for k in (1, 2, 3))
+
+
+@query(f"WITH {_D}, a AS ({_errors}), best AS (SELECT target, arg_min(lag, s) AS own FROM a GROUP BY target) SELECT e AS effect, c AS cause, CAST(CASE WHEN e = c THEN own ELSE 1 END AS INTEGER) AS lag FROM (VALUES {_values(TYPES)}) x(e) CROSS JOIN (VALUES {_values(TYPES)}) y(c) JOIN best ON target = e")
+def lag_selector_cv_own(spark, sf_dir):
+    """Own lags by forward chaining; a threshold of one lets no other variable's lag improve on them."""
+    p = lagging.difference(hourly(spark, sf_dir), 1)
+    chosen = selectors.CVLagSelector(max_lag=3, min_lag=1, cv_folds=5, delta_min_rel_cv=1.0)
+    return _lag_table(spark, selectors.lag_matrix(p, chosen, range(len(TYPES))))
+
+
+@query(f"WITH RECURSIVE {_D}, {oracles.var_order(TYPES, 3)} SELECT e AS effect, c AS cause, CAST(k AS INTEGER) AS lag, CAST(1 AS INTEGER) AS active FROM (VALUES {_values(TYPES)}) x(e) CROSS JOIN (VALUES {_values(TYPES)}) y(c), (SELECT unnest(generate_series(1, (SELECT max(p) FROM orders))) AS k)")
 def lag_selector_var(spark, sf_dir):
-    return _selected(spark, sf_dir, selectors.VARLagSelector())
+    return _selected(spark, sf_dir, selectors.VARLagSelector(), 3)
+
+
+@query(f"WITH RECURSIVE {_D}, {oracles.common_var_order(TYPES, 3)} SELECT CAST(p AS INTEGER) AS lag FROM best")
+def pairwise_var_order(spark, sf_dir):
+    """The lag that the pairwise tests take if they are given none."""
+    return _pairwise(spark, sf_dir, None, lag_max=3).select(F.col("n_restrictions").alias("lag")).distinct()
 
 
 @query()
@@ -488,14 +675,11 @@ def stationarity_kpss_orders(spark, sf_dir):
     return StationarityTransformer("kpss").orders_table(hourly(spark, sf_dir))
 
 
-def _weights(spark, r: inference.Results) -> DataFrame:
-    names = r.extras["layout"].names
-    return spark.createDataFrame([(e, n, float(v)) for e, row in zip(r.effects, r.weights["base"], strict=True) for n, v in zip(names, row, strict=True)], "effect string, feature string, weight double")
-
-
-@query()
-def l1_newton_fit(spark, sf_dir):
-    return _weights(spark, _fit(spark, sf_dir, regularizer_spec={"type": "l1", "l1": 5.0}))
+@query(_diff_sql(1).replace(f"round(view, {DIGITS})", f"round((SELECT view FROM panel p WHERE p.t = d.t), {DIGITS})"))
+def stationarity_transform(spark, sf_dir):
+    """Orders that were found (here: given) applied; a skipped variable stays as it is."""
+    found = StationarityTransformer(skip=["view"], orders={c: int(c != "view") for c in TYPES})
+    return rounded(found.transform(hourly(spark, sf_dir)).df, *TYPES)
 
 
 @query()
@@ -503,42 +687,125 @@ def lag_l1_adam_fit(spark, sf_dir):
     return _weights(spark, _fit(spark, sf_dir, backend="adam", regularizer_spec={"type": "lag_dependent_l1", "l1": 0.01}, model_config={"epochs": 200, "learning_rate": 0.01}, callbacks=[{"type": "early_stopping", "patience": 20}]))
 
 
-@query()
-def relation_constrained_fit(spark, sf_dir):
-    return _weights(spark, _fit(spark, sf_dir, relations={("purchase", "view"): "zero", ("purchase", "click"): 0.5}))
+# Scalers, files, configurations, streams
 
 
-@query()
-def fitted_predictions(spark, sf_dir):
-    api = engine.MultiTaskCausality()
-    r = api.fit(hourly(spark, sf_dir), effects=list(PAIR), lag_config=layout.LagConfiguration(max_lag=2), stationarity_transformer=StationarityTransformer(max_order=1))
-    return api.predict(r)
+@query(f"WITH {PANEL} SELECT segment_id, t, {_select(*TYPES)} FROM panel")
+def scale_none(spark, sf_dir):
+    return _scaled(spark, sf_dir, "none")
 
 
-@query()
-def pairwise_var_order(spark, sf_dir):
-    return engine.PairwiseCausality().fit(hourly(spark, sf_dir), causes=list(PAIR), effects=list(PAIR), lag_max=4, test="ssr_ftest").table
+@query(f"WITH {PANEL} SELECT CAST(0 AS INTEGER) AS segment_id, t, {_select(*TYPES)} FROM panel UNION ALL SELECT 1, t, {_select('click')}, 0.0, 0.0, 0.0, 0.0 FROM panel")
+def csv_segments(spark, sf_dir):
+    """Two segments of CSV with different delimiters and columns, read back and aligned."""
+    folder, df = shared.folder(spark), hourly(spark, sf_dir).df
+    for name, sep, names in (("a", ";", TYPES), ("b", "\t", ("click",))):
+        df.select("t", *names).repartition(3).write.option("header", True).option("sep", sep).csv(f"{folder}/{name}")
+    return rounded(P.read_csv(spark, [f"{folder}/a", f"{folder}/b"], order="t").df, *TYPES)
 
 
-@query()
-def hyperparameter_search(spark, sf_dir):
-    r = _fit(spark, sf_dir, hiperoptimalization_state=True, hiperoptimalization_conf={"type": "model", "sections": {"model": {"learning_rate": [0.1, 1.0]}, "regularizer": {"l1": [0.0, 1.0]}}})
-    return r.table.select("effect", "cause", "f_test", "p_value")
+@query(_hit.format("1") + " SELECT effect, cause, CAST(value AS DOUBLE) AS value FROM m")
+def matrix_file_roundtrip(spark, sf_dir):
+    """A matrix written as a file of effects x causes, and read again."""
+    with tempfile.TemporaryDirectory() as folder:  # the driver's, as the command line's results are
+        path = os.path.join(folder, runner.file_name(1, "newton", {"max_lag": 1}, "causality"))
+        runner.write_matrix(inference.wide(_matrix(spark, sf_dir), TYPES), path)
+        rows = [tuple(r) for r in runner.read_matrix(spark, f"file://{path}").where("value is not null").collect()]
+    return spark.createDataFrame(rows, "effect string, cause string, value double")
 
 
-@query()
-def sweep_summary(spark, sf_dir):
-    """Cases of a group, on one set of sums."""
-    from .plans import config
+_RUN = {
+    "base_config": {"backend": "sklearn", "lag_config": {"max_lag": 2}, "stationarity_transformer": {"max_order": 0}},
+    "sweep": {"param_names": ["model_config.max_iter"], "cases": [[1], [50]]},
+}
 
-    p = hourly(spark, sf_dir)
-    prepared, rows = None, []
-    for i, (raw, swept) in enumerate(config.cases({"base_config": {"backend": "sklearn", "lag_config": {"max_lag": 2}}, "sweep": {"param_names": ["model_config.learning_rate", "model_config.max_iter"], "cases": [[1.0, 50], [0.1, 50], [0.1, 200]]}}), 1):
+
+def _run(spark, sf_dir, folder: str) -> list[dict]:
+    """A run file, its group, data and truth in a folder of the driver's, run as the command line does."""
+    write = lambda name, x: open(os.path.join(folder, name), "w", encoding="utf-8").write(x)
+    rows = lagging.difference(hourly(spark, sf_dir), 1).df.orderBy("t").toPandas()  # a month of hours
+    rows[["t", *TYPES]].to_csv(os.path.join(folder, "data.csv"), index=False, sep=";")
+    write("truth.csv", "effect," + ",".join(TYPES) + "\n" + "".join(f"{e}," + ",".join(str(int(c < e)) for c in TYPES) + "\n" for e in TYPES))
+    write("group.json", json.dumps(_RUN))
+    write("run.json", json.dumps({"output_dir": "out", "ground_truth_path": "truth.csv", "group_config_path": "group.json", "threshold": 0.4, "data": {"csv_paths": ["data.csv"], "order_col": "t"}}))
+    return runner.run(spark, os.path.join(folder, "run.json"), "matrices", "f")
+
+
+_run_counts = ", ".join(f"count(*) FILTER (CAST(round(p_f, 6) < 0.4 AS INTEGER) = {p} AND CAST(cause < effect AS INTEGER) = {g}) AS {n}" for n, p, g in (("tp", 1, 1), ("fp", 1, 0), ("tn", 0, 0), ("fn", 0, 1)))
+
+
+@query(f"{_FIT}, k AS (SELECT {_run_counts} FROM st) SELECT CAST(c AS INTEGER) AS case_id, 'OK' AS status, 'case_00' || c || '_sklearn_model_config.max_iter_' || CASE c WHEN 1 THEN 1 ELSE 50 END || '_p_value.csv' AS p_value_file, k.*, round((tp + tn) / 25.0, 6) + 0.0 AS accuracy FROM k, (VALUES (1), (2)) v(c)")
+def runner_summary(spark, sf_dir):
+    """The summary of a run over files: one step is least squares already, so both cases agree."""
+    with tempfile.TemporaryDirectory() as folder:
+        rows = _run(spark, sf_dir, folder)
+    out = [(r["case_id"], r["status"], r.get("p_value_file"), r.get("tp"), r.get("fp"), r.get("tn"), r.get("fn"), r.get("accuracy")) for r in rows]
+    return rounded(spark.createDataFrame(out, "case_id int, status string, p_value_file string, tp long, fp long, tn long, fn long, accuracy double"), "accuracy", digits=6)
+
+
+@query(f"{_FIT}, k AS (SELECT {_run_counts} FROM st) SELECT CAST(c AS VARCHAR) AS case_id, k.* FROM k, (VALUES (1), (2)) v(c)")
+def runner_recalculated(spark, sf_dir):
+    """The same from the matrices that the run has saved."""
+    with tempfile.TemporaryDirectory() as folder:
+        _run(spark, sf_dir, folder)
+        rows = runner.recalculate(spark, os.path.join(folder, "out"), f"file://{folder}/truth.csv")
+    return spark.createDataFrame([(r["case_id"], r["tp"], r["fp"], r["tn"], r["fn"]) for r in rows], "case_id string, tp long, fp long, tn long, fn long")
+
+
+_runs = "SELECT 'base' AS run, avg(e0) * 5 AS rss FROM (SELECT DISTINCT effect, e0 FROM st) UNION ALL SELECT 'without_click', sum(e1) FROM st WHERE cause = 'click'"
+
+
+@query(f"""{_FIT}, q AS ({_runs}), k AS (SELECT run, k, rss + pow(0.5, 2 * k) * (1.0 - rss) AS loss FROM q, (SELECT unnest(generate_series(1, 8)) AS k))
+SELECT run, CAST(k AS INTEGER) AS epoch, round(loss, 6) AS loss, CAST(0.5 AS DOUBLE) AS rate FROM k""")
+def training_log(spark, sf_dir):
+    """Loss and rate of each epoch of the base fit, and of the one without click, from a callback that is cloned for each."""
+    log = solvers.History()
+    _fit(spark, sf_dir, tested_causes=["click"], callbacks=[log], model_config={"learning_rate": 0.5, "max_iter": 8})
+    return rounded(spark.createDataFrame(log.rows, "run string, epoch int, loss double, rate double"), "loss", digits=6)
+
+
+@query("SELECT CAST(dense_rank() OVER (ORDER BY n_regionkey) - 1 AS INTEGER) AS segment_id, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS t, CAST(n_nationkey AS DOUBLE) AS n_nationkey, CAST(length(n_name) AS DOUBLE) AS letters FROM nation")
+def frames_ingest(spark, sf_dir):
+    """A segment a pandas frame."""
+    rows = read(spark, sf_dir, "nation").select("n_regionkey", "n_nationkey", F.length("n_name").alias("letters")).toPandas()  # 25 rows
+    return P.from_frames(spark, [g.sort_values("n_nationkey")[["n_nationkey", "letters"]].astype(float) for _, g in rows.groupby("n_regionkey")]).df
+
+
+@query(f"SELECT e AS effect, CAST(1 AS DOUBLE) AS click, CAST(length(e) AS DOUBLE) AS view FROM (VALUES {_values(TYPES)}) v(e)")
+def matrix_columns(spark, sf_dir):
+    """A matrix of ones with one column set."""
+    return inference.set_column(inference.constant(spark, TYPES, ["click", "view"], 1.0), "view", {e: float(len(e)) for e in TYPES})
+
+
+_GROUP = '{"shared": 1, "base_config": {"backend": "pytorch", "lag_config": {"max_lag": 2}}, "sweep": {"param_names": ["lag_config.max_lag", "model_config.epochs", "backend"], "cases": [[3, 5, "sklearn"], [4, 10, "tensorflow"]]}}'
+
+
+@query("SELECT * FROM (VALUES (1, 'sklearn', 3, 5, 'case_001_sklearn_lag_config.max_lag_3_model_config.epochs_5_p_value.csv'), (2, 'tensorflow', 4, 10, 'case_002_tensorflow_lag_config.max_lag_4_model_config.epochs_10_p_value.csv')) c(case_id, backend, max_lag, epochs, file)")
+def config_cases(spark, sf_dir):
+    """Cases of a group file, normalised, and the names of their files."""
+    out = []
+    for i, (raw, params) in enumerate(config.cases(json.loads(_GROUP)), 1):
         case = config.normalised(raw)
-        prepared = prepared or engine.prepare(p, list(TYPES), case["lag_config"], transformer=StationarityTransformer(max_order=1))
-        r = engine.MultiTaskCausality(case["backend"]).fit(prepared_data=prepared, model_config=case["model_config"])
-        rows.append((i, case["backend"], *map(float, swept.values()), r.extras["loss"], int(r.extras["epochs"])))
-    return spark.createDataFrame(rows, "case_id int, backend string, learning_rate double, max_iter double, loss double, epochs int")
+        out.append((i, case["backend"], case["lag_config"].max_lag, case["model_config"]["epochs"], runner.file_name(i, case["backend"], params, "p_value")))
+    return spark.createDataFrame(out, "case_id int, backend string, max_lag int, epochs int, file string")
+
+
+@query("SELECT effect, cause, CAST(least AS DOUBLE) AS least FROM (VALUES ('purchase', 'click', 0.5), ('view', 'error', NULL), ('signup', 'view', NULL), ('click', 'view', 0.25)) r(effect, cause, least)")
+def config_relations(spark, sf_dir):
+    """Relations of all forms: keys with any separator, and entries; a null minimum forbids."""
+    found = config.relations({"purchase->click": 0.5, "view|error": "off"}) | config.relations([{"output": "signup", "input": "view", "zero": True}, {"effect": "click", "predictor": "view", "rule": {"min_abs_sum": 0.25}}])
+    return spark.createDataFrame([(e, c, solvers.relation(v)) for (e, c), v in found.items()], "effect string, cause string, least double")
+
+
+@query(ORACLES["gram_matrix"])
+def streaming_gram(spark, sf_dir):
+    """The panel's products from a stream of files, micro-batch by micro-batch."""
+    folder, df = shared.folder(spark), hourly(spark, sf_dir).df
+    df.repartition(3).write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    sums = GramStream(TYPES, f"{folder}/sums")
+    sums.start(stream, f"{folder}/checkpoint", availableNow=True).awaitTermination()
+    return rounded(sums.table(spark), "value", digits=2)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

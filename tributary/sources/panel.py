@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import ColumnError, DataValidationError, EmptyDataError, SchemaMismatchError
+from . import shared
 
 SEGMENT, TIME = "segment_id", "t"
 
@@ -138,7 +139,8 @@ def _numbered(df: DataFrame, keys: list[str], per: str | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([part] * b.num_rows, pa.int32()), pa.array(places, pa.int64())], names=[*b.schema.names, "__part", "__place"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    placed = df.mapInArrow(number, f"{fields}, __part int, __place long")
+    # written down: counts and rows must come from the same ranges
+    placed = shared.saved(df.mapInArrow(number, f"{fields}, __part int, __place long"))
     by = [] if per is None else [per]
     counts = placed.groupBy(*by, "__part").agg(F.count("*").alias("__c"))  # a row for each range (and value)
     before = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
