@@ -1,5 +1,6 @@
-"""Names under which call sites elsewhere know these classes."""
+"""Names under which call sites elsewhere know these classes and errors."""
 
+from .errors import BackendError, ColumnError, ConfigError, ConstraintError, DataValidationError, EmptyDataError, LagError, NotFittedError, RankError, SchemaMismatchError
 from .plans.builder import AnalysisBuilder
 from .plans.engine import MultiTaskCausality, PairwiseCausality
 from .plans.layout import LagConfiguration
@@ -9,4 +10,14 @@ MultiTaskGrangerAPI = MultiTaskCausality
 SimpleGrangerAPI = PairwiseCausality
 MultiTaskGrangerBuilder = MultitaskGrangerBuilder = AnalysisBuilder
 
-__all__ = ["AnalysisBuilder", "CVLagSelector", "ICLagSelector", "LagConfiguration", "MultiTaskCausality", "MultiTaskGrangerAPI", "MultiTaskGrangerBuilder", "MultitaskGrangerBuilder", "PairwiseCausality", "SimpleGrangerAPI", "VARLagSelector"]
+# each name by the error that is raised here
+ConfigurationError = TrainingConfigurationError = RegularizerConfigurationError = ConfigError
+LagConfigurationError = LagSelectionError = LagPreparationError = LagError
+ConstraintConfigurationError = ConstraintError
+ValidationError = DataShapeError = DataValidationError
+MissingColumnsError, ColumnMismatchError = ColumnError, SchemaMismatchError
+BackendSelectionError = BackendNotAvailableError = BackendCompatibilityError = BackendExecutionError = BackendError
+ModelNotFittedError = ScalerNotFittedError = StationarityNotFittedError = NotFittedError
+NumericalStabilityError = RankError
+
+__all__ = ["AnalysisBuilder", "BackendError", "CVLagSelector", "DataValidationError", "EmptyDataError", "ICLagSelector", "LagConfiguration", "MultiTaskCausality", "MultiTaskGrangerAPI", "MultiTaskGrangerBuilder", "MultitaskGrangerBuilder", "PairwiseCausality", "SimpleGrangerAPI", "VARLagSelector"]
