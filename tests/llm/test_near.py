@@ -67,9 +67,19 @@ def test_join_edges(spark):
     assert jaccard.join(df.limit(0)).count() == 0
 
 
-def test_depth_shortens_until_recall_is_met():
-    assert jaccard.stop_depth() == 7
-    assert jaccard.stop_depth(recall=0.99999) < 7 and jaccard.stop_depth(recall=0.5) == 8
+def test_prefixes_shorten_until_recall_is_met(spark, monkeypatch):
+    assert jaccard.first_depth() == 8 and jaccard.first_depth(0.5) < 4 and jaccard.first_depth(floor=0.9999) < 7
+    looked, matched = [], jaccard.matched
+    monkeypatch.setattr(jaccard, "matched", lambda classes, depth, first, threshold: looked.append(depth) or matched(classes, depth, first, threshold))
+    near = lambda k, n: " ".join([*(f"w{k}x{i}" for i in range(60)), *(f"x{k}x{j}" for j in range(n))])
+
+    def links(n):
+        looked.clear()
+        rows = [(2 * k + m, near(k, m * n)) for k in range(60) for m in (0, 1)]
+        return jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).where("n_links = 1").count()
+
+    assert links(2) == 120 and looked == [8]  # alike: long prefixes will do
+    assert links(13) >= 118 and looked[:2] == [8, 7]  # at the threshold: shorter ones
 
 
 def test_classes_of_one_name_are_told_apart(spark, monkeypatch):

@@ -5,11 +5,14 @@ text is one shingle; no words, no shingles, no links). Texts with the same words
 compared.
 
 Each class has a signature of `TREES` x `DEPTH` one-byte min-hashes; a tree's sorted signatures are the leaves of a prefix
-trie. Matching starts with whole paths and shortens the prefix until the chance that a pair at the threshold shares one in
-some tree reaches `RECALL` (`stop_depth`). Rows with the same prefix lie together; prefixes with the same members in
-several trees are kept once, in the first. Members of a prefix are compared in blocks of at most `BLOCK` x `BLOCK`, so no
-task holds a whole hot prefix; a pair is looked at in the first tree that joins it, and goes on if its signatures agree in
-as many places as all but about one in a thousand of pairs at the threshold do.
+trie. Matching begins with the longest prefix by which a pair at the threshold meets in some tree with probability `FLOOR`. It then
+descends: prefixes get shorter by a byte as long as the recall is below the target. The recall is estimated from the pairs found so
+far: a pair whose signatures agree in a share s of all places is met at depth d with probability p = 1 - (1 - s^d)^TREES, so it stands
+for (1 - p) / p pairs that are missed. At each further depth only nodes at which the trie branches are looked at, since the pairs
+below a child have met before. Rows with the same prefix lie together; prefixes with the same members in several trees are kept once,
+in the first. Members of a prefix are compared in blocks of at most `BLOCK` x `BLOCK`, so no task holds a whole hot prefix; a pair is
+looked at once, at its longest prefix and in the first tree that joins it there, and goes on if its signatures agree in as many places
+as all but three in 100,000 of pairs at the threshold do.
 
 The pairs that go on travel as packed lists, not as rows, and form clusters. Each cluster's shingle sets are laid out in
 blocks of `VERIFY` classes, and each pair is verified by the exact Jaccard similarity where its two blocks meet. Verification returns, per class and block, the number of documents linked and the edges
@@ -32,16 +35,23 @@ from pyspark.sql import functions as F
 from . import common, graph, tokens
 
 WORDS, THRESHOLD = 5, 0.8
-TREES, DEPTH, RECALL = 32, 8, 0.999
+TREES, DEPTH, FLOOR, RECALL = 32, 8, 0.99, 0.9999
 #: Classes a side of a block of candidates; classes and shingles a side of a block of verification, on average.
 BLOCK, VERIFY, SHINGLES = 512, 512, 4_000_000
+#: Deviations that a pair's signatures may fall short of the threshold by.
 SIGMAS = 4.0
 SEED = 20240501
 
 
-def stop_depth(threshold: float = THRESHOLD, recall: float = RECALL, trees: int = TREES, depth: int = DEPTH) -> int:
-    """The longest prefix with which a pair at the threshold is joined with probability `recall`: shorten until it is."""
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
+def meets(similarity, depth: int, trees: int = TREES):
+    """The probability that a pair shares a prefix of so many bytes in some tree."""
+    return 1 - (1 - similarity**depth) ** trees
+
+
+def first_depth(threshold: float = THRESHOLD, floor: float = FLOOR) -> int:
+    """The longest prefix that a pair at the threshold shares in some tree with probability `floor`."""
+    depth = DEPTH
+    while depth > 1 and meets(threshold, depth) < floor:
         depth -= 1
     return depth
 
@@ -143,18 +153,19 @@ def sketch(docs: DataFrame) -> DataFrame:
 
 
 def prefixes(classes: DataFrame, depth: int) -> DataFrame:
-    """tree, prefix, c for each class."""
-    schema = pa.schema([("tree", pa.int32()), ("prefix", pa.int64()), ("c", pa.int64())])
+    """tree, prefix, c, after (the byte after the prefix) for each class."""
+    schema = pa.schema([("tree", pa.int32()), ("prefix", pa.int64()), ("c", pa.int64()), ("after", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
             if n:
                 sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(n, TREES, DEPTH).copy()
+                after = sig[:, :, depth].astype(np.int32) if depth < DEPTH else np.zeros((n, TREES), np.int32)
                 sig[:, :, depth:] = 0
-                yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(TREES, dtype=np.int32), n)), pa.array(sig.view("<i8").reshape(-1)), pa.array(np.repeat(batch.column(0).to_numpy(), TREES))], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(TREES, dtype=np.int32), n)), pa.array(sig.view("<i8").reshape(-1)), pa.array(np.repeat(batch.column(0).to_numpy(), TREES)), pa.array(after.reshape(-1))], schema=schema)
 
-    return classes.select("c", "sig").mapInArrow(run, "tree int, prefix long, c long")
+    return classes.select("c", "sig").mapInArrow(run, "tree int, prefix long, c long, after int")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -197,41 +208,65 @@ def _pairs(keys: tuple[np.ndarray, ...], own: np.ndarray, most: int = 100_000) -
         yield left[ok], right[ok]
 
 
-def blocks(rows: DataFrame, payload: DataFrame, block: int = BLOCK) -> DataFrame:
+def blocks(rows: DataFrame, payload: DataFrame, block: int = BLOCK, branching: bool = False) -> DataFrame:
     """Of rows (tree, prefix, c): the members of each prefix that two or more share, in pairs of blocks: tree, prefix, i, j, own, c, payload.
 
+    If branching, only prefixes whose members differ in `after`.
+
     Prefixes with the same members are kept once, in the first tree. A prefix of n members makes n * ceil(n / block) rows.
     """
-    sets = rows.groupBy("tree", "prefix").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("c")).alias("x"), F.bit_xor(F.xxhash64("c", F.lit(1))).alias("y")).where("n > 1")
+    spread = [F.min("after").alias("low"), F.max("after").alias("high")] if branching else []
+    sets = rows.groupBy("tree", "prefix").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("c")).alias("x"), F.bit_xor(F.xxhash64("c", F.lit(1))).alias("y"), *spread).where("n > 1 and low <> high" if branching else "n > 1")
     kept = sets.groupBy("n", "x", "y").agg(F.min(F.struct("tree", "prefix")).alias("at")).select("at.*", "n")
-    members = rows.join(kept, ["tree", "prefix"]).join(payload, "c").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    members = rows.select("tree", "prefix", "c").join(kept, ["tree", "prefix"]).join(payload, "c").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     members = members.withColumn("own", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     extra = [c for c in payload.columns if c != "c"]
     return members.select("tree", "prefix", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "c", *extra)
 
 
 def candidates(classes: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """Pairs of classes whose signatures agree enough, each once, packed: rows (c, d, pairs).
+    """Pairs of classes whose signatures agree enough, each once, packed: rows (c, d, pairs), written to the shared folder.
 
     Where `pairs` is null, c and d are in one cluster of pairs. Otherwise it holds pairs (a, b) of one cluster, that of c, as longs.
     """
-    depth = stop_depth(threshold, recall)
+    depth, found = first_depth(threshold), None
+    while True:
+        level = common.saved(matched(classes, depth, found is None, threshold), "pairs")
+        found = level if found is None else found.unionByName(level)
+        seen, missed = found.agg(*(F.coalesce(F.sum(F.col("odds")[k]), F.lit(0.0)) for k in (0, depth))).first()
+        if depth == 1 or seen >= recall * (seen + missed):
+            return found.where("c is not null").drop("odds")
+        depth -= 1
+
+
+def matched(classes: DataFrame, depth: int, first: bool, threshold: float) -> DataFrame:
+    """Pairs that meet at prefixes of so many bytes and, unless this is the first depth, at no longer one: rows (c, d, pairs, odds).
+
+    Rows without c hold sums over pairs in `odds`: their number, then for each depth (1 - p) / p.
+    """
     width = TREES * DEPTH
     least = int(width * (threshold - SIGMAS * (threshold * (1 - threshold) / width) ** 0.5))
-    rows = prefixes(classes, depth)
-    members = blocks(rows, classes.select("c", "sig"))
-    schema = pa.schema([("c", pa.int64()), ("d", pa.int64()), ("pairs", pa.binary())])
+    members = blocks(prefixes(classes, depth), classes.select("c", "sig"), branching=not first)
+    schema = pa.schema([("c", pa.int64()), ("d", pa.int64()), ("pairs", pa.binary()), ("odds", pa.list_(pa.float64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches, 4):
             tree, prefix, i, j, own, c = (t.column(k).to_numpy() for k in range(6))
             sig = np.frombuffer(b"".join(t.column(6).to_pylist()), np.uint8).reshape(-1, width)
-            lefts, rights = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            lefts, rights, odds = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.zeros(DEPTH + 1)
             for left, right in _pairs((tree, prefix, i, j), own):
                 same = sig[left] == sig[right]
-                ok = same.sum(axis=1) >= least
-                left, right, same = left[ok], right[ok], same[ok].reshape(-1, TREES, DEPTH)[:, :, :depth].all(axis=2)
-                ok = same.argmax(axis=1) == tree[left]
+                agree = same.sum(axis=1)
+                ok = agree >= least
+                left, right, agree, same = left[ok], right[ok], agree[ok], same[ok].reshape(-1, TREES, DEPTH)
+                ok = same[:, :, :depth].all(axis=2).argmax(axis=1) == tree[left]
+                if not first:
+                    ok &= ~same[:, :, : depth + 1].all(axis=2).any(axis=1)
+                share = agree[ok & (agree >= width * threshold)] / width
+                odds[0] += len(share)
+                for d in range(1, DEPTH + 1):
+                    p = meets(share, d)
+                    odds[d] += ((1 - p) / p).sum()
                 lefts.append(left[ok])
                 rights.append(right[ok])
             left, right = np.concatenate(lefts), np.concatenate(rights)
@@ -245,13 +280,14 @@ def candidates(classes: DataFrame, threshold: float = THRESHOLD, recall: float =
             cuts = [0, *(np.flatnonzero(np.diff(root)) + 1).tolist(), len(root)]
             nodes = list(up)
             tops = [_top(up, x) for x in nodes]
-            out_c = [*c[nodes].tolist(), *c[root[cuts[:-1]]].tolist()]
-            out_d = [*c[tops].tolist(), *[None] * (len(cuts) - 1)]
-            lists = [*[None] * len(nodes), *(packed[x:y].tobytes() for x, y in zip(cuts, cuts[1:], strict=False))]
-            yield pa.RecordBatch.from_arrays([pa.array(out_c, pa.int64()), pa.array(out_d, pa.int64()), pa.array(lists, pa.binary())], schema=schema)
+            out_c = [*c[nodes].tolist(), *c[root[cuts[:-1]]].tolist(), None]
+            out_d = [*c[tops].tolist(), *[None] * len(cuts)]
+            lists = [*[None] * len(nodes), *(packed[x:y].tobytes() for x, y in zip(cuts, cuts[1:], strict=False)), None]
+            sums = [*[None] * (len(out_c) - 1), odds.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((out_c, out_d, lists, sums), schema, strict=True)], schema=schema)
 
     keys = ["tree", "prefix", "i", "j"]
-    return members.repartition(*keys).sortWithinPartitions(*keys, "c").mapInArrow(run, "c long, d long, pairs binary")
+    return members.repartition(*keys).sortWithinPartitions(*keys, "c").mapInArrow(run, "c long, d long, pairs binary, odds array<double>")
 
 
 def _top(up: dict[int, int], v: int) -> int:
@@ -378,7 +414,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL)
 def grouped(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """The columns of join, h (xxhash64 of the text, null as empty) and group: the component's key, which tells components apart whose smallest id is the same (null without shingles or id)."""
     rows, classes = common.classes(sketch(docs), [F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig"), F.first("n").alias("n")])
-    pairs = common.saved(candidates(classes, threshold, recall), "pairs")
+    pairs = candidates(classes, threshold, recall)
     found = common.saved(verify(docs, classes, pairs, threshold), "links")
     roots = graph.components(found.select(F.col("c").alias("a"), F.col("root").alias("b")))
     roots = common.saved(roots.join(classes.select(F.col("c").alias("node"), "rep"), "node"), "roots")
