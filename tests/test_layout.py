@@ -57,3 +57,14 @@ def test_unknown_names_warn_and_bad_ranges_raise():
         made(custom_lags={"zz": (2,)})
     with pytest.raises(LagError):
         made(custom_lags={"heat": (3, 2)})
+
+
+def test_remapping_aligns_by_lag_or_place():
+    out = L.from_matrix(NAMES, LONGEST, 1)  # heat: 100, 110, 111
+    heat = lambda **kw: [x.split()[1] for x in drawn(L.remapped(out, "heat", 2, 5, **kw))]
+    assert heat() == ["0000", "1000", "1100"]
+    assert heat(align="left") == ["1000", "1100", "1110"]
+    assert heat(align="right", fill=1) == ["1100", "1110", "1111"]
+    assert [x.split()[1] for x in drawn(L.remapped(out, "heat", 0, 1, align="left"))] == ["10", "01", "11"]
+    with pytest.raises(LagError):
+        L.remapped(out, "heat", 1, 2, align="middle")

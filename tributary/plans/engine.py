@@ -79,7 +79,8 @@ class MultiTaskCausality:
     """Which causes help to predict which effects, given all variables' pasts.
 
     fit() takes what its keyword arguments say; `causes` only sets the default of `tested_causes`, as every variable is a
-    predictor. Relations restrict pairs (effect, cause): None forbids, a number asks for a minimal sum of absolute weights.
+    predictor. Relations restrict pairs (effect, cause): None forbids, a number asks for a minimal sum of absolute weights;
+    `constraint` is any further function of the weights.
     """
 
     def __init__(self, backend: str | None = None, stationarity_transformer: StationarityTransformer | None = None, reuse_data: bool = False, compat: bool = False):
@@ -89,7 +90,7 @@ class MultiTaskCausality:
     def fit(
         self, data=None, causes=None, effects=None, tested_causes=None, relations: Mapping | None = None, lag_config: LagConfiguration | None = None, lag_selector=None, stationarity_transformer=None, prepared_data: Prepared | None = None,
         backend_sample_fraction: float = 1.0, backend_max_samples: int | None = None, x_scaler="standard", y_scaler="standard", regularizer=None, regularizer_spec=None, callbacks=None,
-        hiperoptimalization_state: bool | None = None, hiperoptimalization_conf: Mapping | None = None, initializer=None, model_config: Mapping | None = None, chunk: int | None = None,
+        hiperoptimalization_state: bool | None = None, hiperoptimalization_conf: Mapping | None = None, initializer=None, model_config: Mapping | None = None, chunk: int | None = None, constraint=None,
     ) -> inference.Results:
         spark = SparkSession.getActiveSession()
         if prepared_data is None and self.reuse_data:
@@ -121,7 +122,9 @@ class MultiTaskCausality:
         made = solvers.callbacks_of(callbacks)
         settings = solvers.settings(key, config)
         start = solvers.initial(initializer, problem, mask, seed) if initializer is not None else None
-        base = solve(problem, mask, rule, penalty, [c.clone_for_run("base") if hasattr(c, "clone_for_run") else c for c in made], **settings | ({"start": start, "warn_start": True} if start is not None else {}))
+        # a caller's own constraint: a function of the weights (effects x columns), applied after the relations at each step
+        bound = lambda own: solvers.Also(own, constraint) if constraint is not None else own
+        base = solve(problem, mask, bound(rule), penalty, [c.clone_for_run("base") if hasattr(c, "clone_for_run") else c for c in made], **settings | ({"start": start, "warn_start": True} if start is not None else {}))
         cov = inference.covariances(problem, mask, base.rss, strict=True)
         rows, weights = [], {"base": base.weights}
         for cause in tested:
@@ -129,7 +132,7 @@ class MultiTaskCausality:
             less = mask.copy()
             less[:, block] = 0
             sub = solvers.Constraint(less, [r for r in rule.rules if not set(r[1]) & set(range(block.start, block.stop))]) if rule is not None else None
-            ref = solve(problem, less, sub, penalty, [c.clone_for_run(f"without_{cause}") if hasattr(c, "clone_for_run") else c for c in made], **settings | {"start": base.weights * less})
+            ref = solve(problem, less, bound(sub), penalty, [c.clone_for_run(f"without_{cause}") if hasattr(c, "clone_for_run") else c for c in made], **settings | {"start": base.weights * less})
             weights[cause] = ref.weights
             rows += inference.rows_for(problem, mask, effects, cause, block, base.weights, base.rss, ref.rss, cov, self.compat)
         return inference.Results(spark, rows, list(effects), list(tested), weights, {"loss": base.loss, "epochs": base.epochs, "intercept": base.intercept, "covariance": cov, "layout": layout, "orders": prepared_data.orders})

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..errors import ConfigError, RankError
 from ..functions.dist import chi2_sf, f_sf
-from .solvers import Problem
+from .solvers import Problem, oriented
 
 EPS = float(np.finfo(float).eps)
 SCHEMA = "effect string, cause string, base_error double, ref_error double, f_test double, p_value double, wald_test double, wald_p_value double, lr_test double, lr_p_value double, sign double, n_restrictions int, residual_df int"
@@ -80,6 +80,10 @@ class Results:
     def table(self) -> DataFrame:
         return self.spark.createDataFrame([tuple(float(x) if isinstance(x, np.floating) else x for x in r) for r in self.rows], SCHEMA)
 
+    def set_weights(self, run: str, weights) -> None:
+        """Replaces a fit's weights ("base", or a cause), which predictions are made from; given in either orientation."""
+        self.weights[run] = oriented(weights, len(self.effects), self.weights["base"].shape[1])
+
     def result(self, threshold: float = 0.01, with_sign: bool = False, test: str = "f") -> DataFrame:
         """effect, cause, value: 0 or 1, or the sign where significant."""
         if str(test).lower() not in TESTS:

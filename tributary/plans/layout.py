@@ -105,6 +105,24 @@ def _resized(layout: Layout, j: int, low: int, high: int, fill: int) -> Layout:
     return Layout(layout.variables, mins, maxs, np.concatenate([layout.mask[:, : at.start], new, layout.mask[:, at.stop :]], axis=1))
 
 
+def remapped(layout: Layout, variable: str, low: int, high: int, fill: int = 0, align: str = "overlap") -> Layout:
+    """A variable with lags low..high. Cells go by lag ("overlap"), or by place from the first ("left") or last ("right") lag on; others hold `fill`."""
+    j = layout.variables.index(variable)
+    if align == "overlap":
+        return _resized(layout, j, low, high, fill)
+    if align not in ("left", "right"):
+        raise LagError(f"no alignment {align!r}")
+    old, n = layout.mask[:, layout.block(variable)], high - low + 1
+    keep = min(n, old.shape[1])
+    out = _resized(layout, j, low, high, fill)
+    cells = np.full((len(layout.variables), n), fill, np.int64)
+    cells[:, slice(0, keep) if align == "left" else slice(n - keep, n)] = old[:, :keep] if align == "left" else old[:, old.shape[1] - keep :]
+    if low == 0:
+        cells[j, 0] = 0  # the own lag 0
+    out.mask[:, out.block(variable)] = cells
+    return out
+
+
 def _range(spec: Sequence[int], low: int) -> tuple[int, int]:
     a, b = (low, spec[0]) if len(spec) == 1 else (spec[0], spec[1])
     if a < 0 or b < a:

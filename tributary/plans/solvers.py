@@ -123,6 +123,27 @@ class Constraint:
         return w
 
 
+@dataclass
+class Also:
+    """A rule, then a function of the weights that a caller brings along; what the rule's mask forbids stays at 0."""
+
+    rule: Constraint
+    extra: Callable[[np.ndarray], np.ndarray]
+
+    def __call__(self, w: np.ndarray) -> np.ndarray:
+        return np.asarray(self.extra(self.rule(w)), float) * self.rule.mask
+
+
+def oriented(weights, outputs: int, columns: int) -> np.ndarray:
+    """Weights as outputs x columns from an array of either orientation, or a list of it and an intercept; square ones are taken as they are."""
+    w = np.asarray(weights[0] if isinstance(weights, list | tuple) and np.ndim(weights[0]) == 2 else weights, float)
+    if w.shape == (outputs, columns):
+        return w.copy()
+    if w.shape == (columns, outputs):
+        return w.T.copy()
+    raise ConfigError(f"weights of shape {w.shape}, not {(outputs, columns)}")
+
+
 def relation(value) -> float | None:
     """A rule's minimum absolute sum, or None for a forbidden relation."""
     if value is None or value is False or (isinstance(value, str) and value.strip().lower() in ("zero", "off", "none", "0")):
@@ -334,18 +355,47 @@ def newton(problem: Problem, mask: np.ndarray, constraint: Constraint | None = N
     return _loop(problem, step, np.zeros(mask.shape), mask, max_iter, learning_rate, tol, penalty, callbacks)
 
 
-def adam(problem: Problem, mask: np.ndarray, constraint: Constraint | None = None, penalty=None, callbacks: Sequence[Callback] = (), learning_rate: float = 1e-3, epochs: int = 100, tol: float = 0.0, start: np.ndarray | None = None, **_) -> Fit:
-    """Full-batch Adam on the mean square: the same each time, unlike mini-batches."""
+def rule(name: str = "adam", momentum: float = 0.0, nesterov: bool = False, beta1: float = 0.9, beta2: float = 0.999, rho: float = 0.99, eps: float = 1e-8, weight_decay: float = 0.0) -> Callable:
+    """A descent rule (w, gradient, rate, epoch) -> w with a memory of its own."""
+    name = name.lower()
+    if name not in ("sgd", "adam", "adamw", "nadam", "adamax", "rmsprop", "adagrad"):
+        raise ConfigError(f"no optimizer {name!r}")
+    first = second = 0.0
+
+    def step(w: np.ndarray, grad: np.ndarray, lr: float, epoch: int) -> np.ndarray:
+        nonlocal first, second
+        if weight_decay and name != "adamw":
+            grad = grad + weight_decay * w
+        if name == "sgd":
+            first = momentum * first + grad
+            return w - lr * (grad + momentum * first if nesterov else first)
+        if name in ("rmsprop", "adagrad"):
+            second = second + grad * grad if name == "adagrad" else rho * second + (1 - rho) * grad * grad
+            return w - lr * grad / (np.sqrt(second) + eps)
+        first = beta1 * first + (1 - beta1) * grad
+        mean = first / (1 - beta1**epoch)
+        if name == "adamax":
+            second = np.maximum(beta2 * second, np.abs(grad))
+            return w - lr * mean / (second + eps)
+        second = beta2 * second + (1 - beta2) * grad * grad
+        if name == "nadam":
+            mean = beta1 * mean + (1 - beta1) * grad / (1 - beta1**epoch)
+        out = w - lr * mean / (np.sqrt(second / (1 - beta2**epoch)) + eps)
+        return out - lr * weight_decay * w if name == "adamw" else out
+
+    return step
+
+
+def adam(problem: Problem, mask: np.ndarray, constraint: Constraint | None = None, penalty=None, callbacks: Sequence[Callback] = (), learning_rate: float = 1e-3, epochs: int = 100, tol: float = 0.0, start: np.ndarray | None = None, optimizer: str = "adam", optimizer_params: Mapping | None = None, **_) -> Fit:
+    """Full-batch descent on the mean square by Adam or another rule: the same each time, unlike mini-batches."""
     project = constraint or (lambda w: w * mask)
-    first = second = np.zeros(mask.shape)
+    descend = rule(optimizer, **(optimizer_params or {}))
 
     def step(w: np.ndarray, lr: float, epoch: int) -> np.ndarray:
-        nonlocal first, second
         grad = 2 * (w @ problem.xx - problem.xy.T) / (problem.n * len(w))
         if penalty:
             grad = grad + penalty.gradient(w)
-        first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad * grad
-        return project(w - lr * (first / (1 - 0.9**epoch)) / (np.sqrt(second / (1 - 0.999**epoch)) + 1e-8))
+        return project(descend(w, grad, lr, epoch))
 
     w = project(np.zeros(mask.shape) if start is None else start.copy())
     return _loop(problem, step, w, mask, epochs, learning_rate, tol or -1.0, penalty, callbacks)
@@ -364,7 +414,7 @@ def solver(name: str | None) -> tuple[str, Callable]:
 
 def settings(key: str, config: Mapping) -> dict:
     """A model configuration's entries by the solver's names; entries without a meaning here are left out with a warning."""
-    known = {"learning_rate", "max_iter", "tol", "projection", "epochs", "start"}
+    known = {"learning_rate", "max_iter", "tol", "projection", "epochs", "start", "optimizer_params"}
     names = {"lr": "learning_rate"}
     out = {}
     for k, v in config.items():
@@ -372,7 +422,13 @@ def settings(key: str, config: Mapping) -> dict:
         if k == "epochs" and key == "newton":
             warnings.warn("epochs count as max_iter for newton", stacklevel=2)
             k = "max_iter"
-        if k in known:
+        if k == "optimizer" and key != "newton" and v is not None:
+            spec = {"type": v} if isinstance(v, str) else dict(v)
+            params = dict(spec.get("params", {})) | {a: b for a, b in spec.items() if a not in ("type", "name", "kind", "params")}
+            if (rate := params.pop("lr", params.pop("learning_rate", None))) is not None:
+                out["learning_rate"] = rate
+            out |= {"optimizer": spec.get("type", spec.get("name", spec.get("kind", "adam"))), "optimizer_params": params}
+        elif k in known:
             out[k] = v
         elif k in ("device", "batch_size", "optimizer", "loss", "verbose", "shuffle"):
             warnings.warn(f"{k} has no effect: fits run on sufficient statistics", stacklevel=2)
