@@ -173,3 +173,16 @@ def test_metrics(spark):
     loop = spark.createDataFrame([("a", "a", 1)], schema)
     none = spark.createDataFrame([("a", "a", 0)], schema)
     assert metrics.shd(none, loop).first()[0] == 0 and metrics.shd(loop, none).first()[0] == 1
+
+
+def test_chunks_do_not_matter(spark):
+    from tributary.operators import lagging
+    from tributary.plans import selectors
+
+    p = P.dense_time(P.from_frames(spark, frames(np.random.default_rng(8), 90, 2)))
+    for order in (1, 2, {"a": 2, "b": 0}):
+        for keep in (True, False):
+            a, b = (sorted(map(tuple, lagging.difference(p, order, keep, chunk).df.collect()), key=repr) for chunk in (None, 7))
+            assert a == b and len(a) > 100
+    chosen = lambda: selectors.ICLagSelector(max_lag=3, min_lag=1)
+    assert (selectors.lag_matrix(p, chosen(), [0, 1]) == selectors.lag_matrix(p, chosen(), [0, 1], 11)).all()

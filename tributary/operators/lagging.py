@@ -12,9 +12,32 @@ from ..errors import LagError
 from ..sources.panel import SEGMENT, TIME, Panel, drop_nulls
 
 
-def difference(panel: Panel, orders: Mapping[str, int] | int, dropna: bool = True) -> Panel:
-    """Differences of the given orders (binomial sums of lags); rows that lack history hold nulls, and go with `dropna`."""
-    w = panel.window
+def with_chunks(df: DataFrame, chunk: int, deepest: int) -> DataFrame:
+    """df plus __chunk = floor(t / chunk), and a copy of each row for the next chunk if its first rows look back on it.
+
+    Rows whose __chunk isn't their own are there for others' sake only. It needs t = 0, 1, .. (`sources.panel.dense_time`).
+    """
+    if chunk <= deepest:
+        raise LagError("a chunk must be longer than the longest lag")
+    own = F.floor(F.col(TIME) / chunk)
+    homes = F.when(F.col(TIME) % chunk >= chunk - deepest, F.array(own, own + 1)).otherwise(F.array(own))
+    return df.withColumn("__chunk", F.explode(homes))
+
+
+def own_rows(df: DataFrame, chunk: int) -> DataFrame:
+    return df.where(F.floor(F.col(TIME) / chunk) == F.col("__chunk"))
+
+
+def difference(panel: Panel, orders: Mapping[str, int] | int, dropna: bool = True, chunk: int | None = None) -> Panel:
+    """Differences of the given orders (binomial sums of lags); rows that lack history hold nulls, and go with `dropna`.
+
+    With `chunk` (see `with_chunks`) a segment is spread over many tasks.
+    """
+    of = (lambda v: orders) if isinstance(orders, int) else (lambda v: orders.get(v, 0))
+    deepest = max(map(of, panel.variables))
+    df, w, extra = panel.df, panel.window, []
+    if chunk is not None:
+        df, w, extra = with_chunks(df, chunk, deepest), Window.partitionBy(SEGMENT, "__chunk").orderBy(TIME), ["__chunk"]
 
     def one(v: str, d: int) -> Column:
         if d <= 0:
@@ -25,8 +48,10 @@ def difference(panel: Panel, orders: Mapping[str, int] | int, dropna: bool = Tru
             out = out + x
         return out.alias(v)
 
-    of = (lambda v: orders) if isinstance(orders, int) else (lambda v: orders.get(v, 0))
-    out = panel.with_df(panel.df.select(SEGMENT, TIME, *(one(v, of(v)) for v in panel.variables)))
+    rows = df.select(SEGMENT, TIME, *extra, *(one(v, of(v)) for v in panel.variables))
+    if chunk is not None:
+        rows = own_rows(rows, chunk).drop("__chunk")
+    out = panel.with_df(rows)
     return drop_nulls(out) if dropna else out
 
 
@@ -40,24 +65,18 @@ def lag_columns(min_lags: Sequence[int], max_lags: Sequence[int], variables: Seq
 def lag_features(panel: Panel, min_lags: Sequence[int], max_lags: Sequence[int], effects: Sequence[str] = (), chunk: int | None = None) -> DataFrame:
     """segment_id, t, the effects and one column for each lag; rows without full history are dropped.
 
-    `chunk` cuts long segments: rows go by floor(t / chunk), and each chunk also gets the rows before it that its lags need, so
-    one segment is spread over many tasks. It needs t without gaps (`sources.panel.dense_time`).
+    With `chunk` (see `with_chunks`) a segment is spread over many tasks.
     """
     columns = lag_columns(min_lags, max_lags, panel.variables)
     deepest = max(max_lags)
     df, keys = panel.df, [SEGMENT]
     if chunk is not None:
-        if chunk <= deepest:
-            raise LagError("a chunk must be longer than the longest lag")
-        own = F.floor(F.col(TIME) / chunk)
-        # a row that the next chunk's first lags need goes there too
-        homes = F.when(F.col(TIME) % chunk >= chunk - deepest, F.array(own, own + 1)).otherwise(F.array(own))
-        df, keys = df.withColumn("__chunk", F.explode(homes)), [SEGMENT, "__chunk"]
+        df, keys = with_chunks(df, chunk, deepest), [SEGMENT, "__chunk"]
     w = Window.partitionBy(*keys).orderBy(TIME)
     lagged = [F.col(v).alias(n) if k == 0 else F.lag(v, k).over(w).alias(n) for n, v, k in columns]
     rows = df.select(SEGMENT, TIME, *(["__chunk"] if chunk else []), *(F.col(e) for e in effects), *lagged, F.row_number().over(w).alias("__rn"))
     if chunk is not None:
-        rows = rows.where((F.floor(F.col(TIME) / chunk) == F.col("__chunk")) & (F.col(TIME) >= deepest))
+        rows = own_rows(rows, chunk).where(F.col(TIME) >= deepest)
     else:
         rows = rows.where(F.col("__rn") > deepest)
     return rows.select(SEGMENT, TIME, *effects, *(n for n, _, _ in columns))

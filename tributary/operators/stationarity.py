@@ -131,11 +131,11 @@ class StationarityTransformer:
         self.orders = {v: found.get(v, 0) for v in panel.variables}
         return self
 
-    def transform(self, panel: Panel, dropna: bool = True) -> Panel:
-        return difference(panel, self.orders, dropna) if any(self.orders.values()) else panel
+    def transform(self, panel: Panel, dropna: bool = True, chunk: int | None = None) -> Panel:
+        return difference(panel, self.orders, dropna, chunk) if any(self.orders.values()) else panel
 
-    def fit_transform(self, panel: Panel, dropna: bool = True) -> Panel:
-        return self.fit(panel).transform(panel, dropna)
+    def fit_transform(self, panel: Panel, dropna: bool = True, chunk: int | None = None) -> Panel:
+        return self.fit(panel).transform(panel, dropna, chunk)
 
     def prepare_static(self, panel: Panel, effects: Sequence[str], causes: Sequence[str]) -> tuple[int, list[int], Panel]:
         """What older call sites ask for: the number of effects, the places of the causes, and the transformed panel."""

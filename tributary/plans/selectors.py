@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..errors import LagError
 from ..operators import gram as G
+from ..operators import lagging
 from ..sources.panel import SEGMENT, TIME, Panel
 from . import layout as L
 
@@ -206,18 +207,24 @@ class VARLagSelector:
         return np.full((mo.d, mo.d), self.order(mo), np.int64)
 
 
-def segment_moments(panel: Panel, longest: int):
-    """Per segment: products of lags 0..longest of all variables (from row longest + 1 on), and the first rows; two small tables."""
-    names = [f"z{j}_{k}" for j in range(len(panel.variables)) for k in range(longest + 1)]
-    w = Window.partitionBy(SEGMENT).orderBy(TIME)
-    ranked = panel.df.select(SEGMENT, TIME, *panel.variables, F.row_number().over(w).alias("__rn"))
-    lagged = ranked.select(SEGMENT, "__rn", *(F.col(v).alias(f"z{j}_{k}") if k == 0 else F.lag(v, k).over(Window.partitionBy(SEGMENT).orderBy("__rn")).alias(f"z{j}_{k}") for j, v in enumerate(panel.variables) for k in range(longest + 1)))
-    sums = G.partial_grams(lagged.where(F.col("__rn") > longest), names, [SEGMENT])
+def segment_moments(panel: Panel, longest: int, chunk: int | None = None):
+    """Per segment: products of lags 0..longest of all variables (from row longest + 1 on), and the first rows; two small tables.
+
+    With `chunk`, t must be 0, 1, .. in each segment, which is then spread over many tasks.
+    """
+    d = len(panel.variables)
+    rows = lagging.lag_features(panel, [0] * d, [longest] * d, (), chunk)
+    names = [n for n, _, _ in lagging.lag_columns([0] * d, [longest] * d, panel.variables)]
+    sums = G.partial_grams(rows, names, [SEGMENT])
+    if chunk is None:
+        ranked = panel.df.withColumn("__rn", F.row_number().over(Window.partitionBy(SEGMENT).orderBy(TIME)))
+    else:
+        ranked = panel.df.withColumn("__rn", (F.col(TIME) + 1).cast("int"))
     head = ranked.where(F.col("__rn") <= longest).select(SEGMENT, "__rn", F.array(*panel.variables).alias("x"))
     return sums, head, len(names)
 
 
-def lag_matrix(panel: Panel, selector, targets: Sequence[int]) -> np.ndarray:
+def lag_matrix(panel: Panel, selector, targets: Sequence[int], chunk: int | None = None) -> np.ndarray:
     """The longest lag of each (target, predictor) over all segments, 0 for rows that aren't targets."""
     d, top = len(panel.variables), selector.max_lag
     schema, names = "target int, predictor int, lag int", list(panel.variables)
@@ -235,7 +242,7 @@ def lag_matrix(panel: Panel, selector, targets: Sequence[int]) -> np.ndarray:
 
         found = panel.df.groupBy(SEGMENT).applyInPandas(by_rows, schema)
     else:
-        sums, head, k = segment_moments(panel, top)
+        sums, head, k = segment_moments(panel, top, chunk)
         cells = sums.groupBy(SEGMENT).agg(F.sort_array(F.collect_list(F.struct("i", "value"))).alias("cells"))  # a fixed number of cells
         heads = head.groupBy(SEGMENT).agg(F.sort_array(F.collect_list(F.struct("__rn", "x"))).alias("head"))  # `longest` rows
 
@@ -253,7 +260,7 @@ def lag_matrix(panel: Panel, selector, targets: Sequence[int]) -> np.ndarray:
     return out
 
 
-def select_layout(panel: Panel, config: L.LagConfiguration, selector, effects: Sequence[str] | None = None) -> L.Layout:
+def select_layout(panel: Panel, config: L.LagConfiguration, selector, effects: Sequence[str] | None = None, chunk: int | None = None) -> L.Layout:
     """A layout from a selector (its max_lag and min_lag follow the configuration as the engine's contract says), then overrides."""
     if selector is None:
         return L.fixed(panel.variables, config)
@@ -266,5 +273,5 @@ def select_layout(panel: Panel, config: L.LagConfiguration, selector, effects: S
     if selector.max_lag < selector.min_lag:
         raise LagError("max_lag is below the smallest lag")
     targets = list(selector.target_indices) if selector.target_indices is not None else [panel.variables.index(e) for e in effects or panel.variables]
-    matrix = lag_matrix(panel, selector, targets)
+    matrix = lag_matrix(panel, selector, targets, chunk)
     return L.overridden(L.from_matrix(panel.variables, matrix, selector.min_lag), config)
