@@ -79,10 +79,9 @@ def test_segments_do_not_matter(monkeypatch, segment):
     import pyarrow as pa
 
     told = pa.table({"kind": [*counts, lm.BEGINS], "range": [0] * 5, "counts": [*(lm._small(n) for _, n in counts.values()), lm._small(np.array([5]))], "n": [len(h)] * 5, "v": [5] * 5})
-    rows = pa.table({"doc_id": range(5), "held_out": held, "text": text})
-    want = lm._score_block(rows, told, lm.Tokens(), 4)[-1]
+    want = lm._score_block(list(range(5)), held, text, told, lm.Tokens(), 4)[-1]
     monkeypatch.setattr(lm, "SEGMENT", segment)
-    assert np.allclose(lm._score_block(rows, told, lm.Tokens(), 4)[-1], want, rtol=1e-12)
+    assert np.allclose(lm._score_block(list(range(5)), held, text, told, lm.Tokens(), 4)[-1], want, rtol=1e-12)
 
 
 def test_packed_keys_round_trip():
@@ -131,3 +130,10 @@ def test_query_is_of_order_three(spark, tmp_path):
     held = {d: h for d, h, _ in got}
     for a, b in zip(got, brute_of_order([(d, t, held[str(d)]) for d, t, _ in text], 3), strict=True):
         assert a[0] == b[0] and a[2] == pytest.approx(b[2], rel=1e-9)
+
+
+def test_packs_hold_their_rows():
+    packs = [lm._pack([1, None], [True, False], ["é ü", ""]), lm._pack([], [], []), lm._pack([-5], [False], ["x" * 5000])]
+    ids, held, texts = lm._unpack(packs)
+    assert (ids, held.tolist(), texts) == ([1, None, -5], [True, False, False], ["é ü", "", "x" * 5000])
+    assert lm._unpack([])[0] == []

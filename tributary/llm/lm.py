@@ -122,7 +122,7 @@ def _keys(raw: bytes) -> np.ndarray:
 def _zstd():
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=5)
 
 
 def _grams(h: np.ndarray, doc: np.ndarray, order: int, bits: int = 64) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -147,6 +147,49 @@ def _asked(h: np.ndarray, doc: np.ndarray, held: np.ndarray, order: int, bits: i
         yield kind, unique, np.bincount(inverse, weight[at], len(unique)).astype(np.int64)
 
 
+def _pack(ids: list[int | None], held: list[bool], texts: list[str]) -> bytes:
+    """Rows, compressed together."""
+    raw = [t.encode("utf-8", "replace") for t in texts]
+    null = np.array([d is None for d in ids], np.uint8)
+    parts = [len(raw).to_bytes(4, "little"), np.array([d or 0 for d in ids], "<i8").tobytes(), null.tobytes(), np.array(held, np.uint8).tobytes(), np.array([len(r) for r in raw], "<u4").tobytes(), *raw]
+    return _zstd()[2].compress(b"".join(parts))
+
+
+def _unpack(packs: list[bytes]) -> tuple[list[int | None], np.ndarray, list[str]]:
+    """doc_id, held_out and text of all rows of some packs."""
+    ids: list[int | None] = []
+    held, texts = [np.zeros(0, bool)], []
+    for pack in packs:
+        data = _zstd()[1].decompress(pack)
+        n = int.from_bytes(data[:4], "little")
+        null = np.frombuffer(data, np.uint8, n, 4 + 8 * n)
+        ids += [None if x else d for x, d in zip(null, np.frombuffer(data, "<i8", n, 4).tolist(), strict=True)]
+        held.append(np.frombuffer(data, np.uint8, n, 4 + 9 * n) > 0)
+        sizes = np.frombuffer(data, "<u4", n, 4 + 10 * n).astype(np.int64)
+        ends = np.cumsum(sizes) + 4 + 14 * n
+        texts += [data[a:b].decode("utf-8", "replace") for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
+    return ids, np.concatenate(held), texts
+
+
+def packed(docs: DataFrame, blocks: int) -> DataFrame:
+    """block, rows: the rows dealt to blocks, those of a batch and block compressed together before they are shuffled."""
+    schema = pa.schema([("block", pa.int64()), ("rows", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            block = batch.column(0).to_numpy()
+            order = np.argsort(block, kind="stable")
+            cuts = [0, *(np.flatnonzero(np.diff(block[order])) + 1).tolist(), len(order)]
+            sorted_ = batch.take(pa.array(order))
+            packs = [_pack(*(sorted_.column(k).slice(a, b - a).to_pylist() for k in (1, 2, 3))) for a, b in zip(cuts, cuts[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([pa.array(block[order][cuts[:-1]]), pa.array(packs, pa.binary())], schema=schema)
+
+    dealt = docs.select(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).alias("block"), "doc_id", "held_out", "text")
+    return dealt.mapInArrow(run, "block long, rows binary")
+
+
 def requests(blocked: DataFrame, ranges: int, order: int, bits: int) -> DataFrame:
     """block, kind, range, keys, counts: what each block asks of each key range."""
     schema = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("range", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
@@ -157,8 +200,8 @@ def requests(blocked: DataFrame, ranges: int, order: int, bits: int) -> DataFram
         for t in jaccard._groups(batches, 1):
             for rows in jaccard._runs(t, 1):
                 block = rows.column(0)[0].as_py()
-                held = np.array(rows.column(2).to_pylist(), bool)
-                asked = _asked(*tokenise(rows.column(3).to_pylist()), held, order, bits)
+                _, held, texts = _unpack(rows.column(1).to_pylist())
+                asked = _asked(*tokenise(texts), held, order, bits)
                 out = []
                 for kind, keys, counts in asked:
                     part = (keys // np.uint64(step[64 if kind == WORDS else bits])).astype(np.int64) if ranges > 1 else np.zeros(len(keys), np.int64)
@@ -174,7 +217,7 @@ def requests(blocked: DataFrame, ranges: int, order: int, bits: int) -> DataFram
 def by_range(asked: DataFrame, ranges: int) -> DataFrame:
     """What all blocks ask, each range's rows together: kind, range, block, keys, counts."""
     keys = ["kind", "range"]
-    parts = min(ranges, PARTITIONS)
+    parts = min(4 * ranges, PARTITIONS)  # several kinds a range
     return asked.select("kind", "range", "block", "keys", "counts").repartition(parts, *keys).sortWithinPartitions(*keys, "block")
 
 
@@ -275,9 +318,8 @@ class Automaton:
         return np.bincount(doc, total, len(cuts))
 
 
-def _score_block(rows: pa.Table, told: pa.Table, tokenise: Tokens, order: int, bits: int = 64) -> list:
-    """The columns of RESULT for a block's rows, in order of their numbers."""
-    held, texts = np.array(rows.column("held_out").to_pylist(), bool), rows.column("text").to_pylist()
+def _score_block(ids: list[int | None], held: np.ndarray, texts: list[str], told: pa.Table, tokenise: Tokens, order: int, bits: int = 64) -> list:
+    """The columns of RESULT for a block's rows."""
     total, distinct = told.column("n")[0].as_py(), told.column("v")[0].as_py()
     h, doc = tokenise(texts)
     got: dict[int, list] = {}
@@ -303,7 +345,7 @@ def _score_block(rows: pa.Table, told: pa.Table, tokenise: Tokens, order: int, b
     bounds = np.searchsorted(doc, np.arange(len(texts) + 1))
     known = np.add.reduceat((count[word] > 0).astype(np.int64), bounds[:-1])
     base = np.add.reduceat(automaton.base[word], bounds[:-1])
-    return [rows.column("doc_id"), held, np.diff(bounds), known, np.full(len(texts), total), base, automaton.score(word, bounds)]
+    return [ids, held, np.diff(bounds), known, np.full(len(texts), total), base, automaton.score(word, bounds)]
 
 
 def totals(asked: DataFrame) -> DataFrame:
@@ -327,8 +369,7 @@ def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES, order: int = ORDER, r
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n_blocks, n_ranges = (max(1, -(-size // x)) for x in (block_bytes, range_bytes))
     bits = min(64, int(size).bit_length() + SPARE_BITS)
-    blocked = docs.select(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n_blocks)).alias("block"), "doc_id", "held_out", "text")
-    blocked = blocked.repartition(min(n_blocks, PARTITIONS), "block")
+    blocked = packed(docs, n_blocks).repartition(min(n_blocks, PARTITIONS), "block")
     asked = by_range(requests(blocked.sortWithinPartitions("block"), n_ranges, order, bits), n_ranges)
     told = answers(asked).crossJoin(F.broadcast(totals(asked)))  # one row
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
@@ -336,7 +377,8 @@ def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES, order: int = ORDER, r
     def run(rows: pa.Table, answer: pa.Table) -> pa.Table:
         if not len(rows):
             return pa.Table.from_arrays([pa.array([], f.type) for f in schema], schema=schema)
-        return pa.Table.from_arrays([c if isinstance(c, pa.ChunkedArray) else pa.array(c, f.type) for c, f in zip(_score_block(rows, answer, Tokens(), order, bits), schema, strict=True)], schema=schema)
+        columns = _score_block(*_unpack(rows.column("rows").to_pylist()), answer, Tokens(), order, bits)
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     return blocked.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, RESULT)
 
