@@ -128,13 +128,21 @@ def test_recall_at_the_similarity_threshold(spark):
 def test_hot_keys_are_joined_whole(spark):
     many = spark.range(5000).selectExpr("id", "if(id % 10 = 9, null, if(id % 2 = 0, 7, id)) AS c")
     one = many.groupBy("c").agg(F.count("*").alias("n")).where("c is not null").withColumn("x", F.col("c") * 2)
-    df = common.join_hot(many, one, ["c"], "n", 5000)
-    assert "hashpartitioning(coalesce(__deal" in df._jdf.queryExecution().executedPlan().toString()  # by the row's number as well
-    got = {r["id"]: r for r in df.collect()}
-    assert len(got) == 5000
-    for i, r in got.items():
-        c = None if i % 10 == 9 else 7 if i % 2 == 0 else i
-        assert r["c"] == c and r["x"] == (None if c is None else 2 * c)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    for most in (threshold, "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+        try:
+            df = common.join_hot(many, one, ["c"], "n", 5000)
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            got = {r["id"]: r for r in df.collect()}
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        if most == "-1":  # too large to be broadcast: dealt by the row's number as well
+            assert "hashpartitioning(coalesce(__deal" in plan
+        assert len(got) == 5000
+        for i, r in got.items():
+            c = None if i % 10 == 9 else 7 if i % 2 == 0 else i
+            assert r["c"] == c and r["x"] == (None if c is None else 2 * c)
 
 
 def test_whole_groups():

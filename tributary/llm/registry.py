@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import flac, html, jaccard, langid, lm, mixing, neardup, oracles, packing, pii, vbyte
+from . import clusters, flac, html, jaccard, langid, linefreq, lm, mixing, neardup, oracles, packing, pii, vbyte, veccodes
 
 QUERIES = {
     "op1_source_mixing": mixing.op1_source_mixing,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_embedding_near_dedup": neardup.op9_embedding_near_dedup,
     "op10_flac_media": flac.op10_flac_media,
+    "op11_centroid_clustering": clusters.op11_centroid_clustering,
+    "op12_line_frequency": linefreq.op12_line_frequency,
+    "op13_code_compression": veccodes.op13_code_compression,
 }
-ORACLES: dict[str, str] = oracles.ORACLES
+ORACLES: dict[str, str] = oracles.ORACLES | {"op11_centroid_clustering": clusters.ORACLE, "op12_line_frequency": linefreq.ORACLE, "op13_code_compression": veccodes.ORACLE}
