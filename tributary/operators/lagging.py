@@ -1,43 +1,53 @@
-"""Differences and lags as window projections. All expressions of one call share a window, so Spark sorts once."""
+"""Differences and lags as window projections over chunks of a segment, each with a halo of the rows before it.
+
+All expressions of one call share a window, so Spark sorts once. Rows with consecutive numbers are cut as they are; others are numbered first.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from math import comb
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..errors import LagError
-from ..sources.panel import SEGMENT, TIME, Panel, drop_nulls
+from ..sources.panel import SEGMENT, TIME, Panel, drop_nulls, indexed
+
 
+#: Rows of a segment that one task sorts.
+CHUNK = 1 << 18
 
-def with_chunks(df: DataFrame, chunk: int, deepest: int) -> DataFrame:
-    """df plus __chunk = floor(t / chunk), and a copy of each row for the next chunk if its first rows look back on it.
 
-    Rows whose __chunk isn't their own are there for others' sake only. It needs t = 0, 1, .. (`sources.panel.dense_time`).
+def chunked(panel: Panel, deepest: int, chunk: int | None = None) -> tuple[DataFrame, WindowSpec]:
+    """The panel's rows by chunks of a segment, and the window over a chunk in the order of t.
+
+    A chunk holds `chunk` rows (or twice the longest lag), by their consecutive numbers, and copies of the `deepest` rows before it, whose
+    __own is false: they are there for others' sake only. No segment is gathered in one task.
     """
-    if chunk <= deepest:
+    if chunk is not None and chunk <= deepest:
         raise LagError("a chunk must be longer than the longest lag")
-    own = F.floor(F.col(TIME) / chunk)
-    homes = F.when(F.col(TIME) % chunk >= chunk - deepest, F.array(own, own + 1)).otherwise(F.array(own))
-    return df.withColumn("__chunk", F.explode(homes))
+    size = chunk or max(CHUNK, 2 * deepest)
+    panel = indexed(panel)
+    own = F.floor(F.col(panel.index) / size)
+    homes = F.when(F.pmod(F.col(panel.index), F.lit(size)) >= size - deepest, F.array(own, own + 1)).otherwise(F.array(own))
+    df = panel.df.withColumn("__chunk", F.explode(homes)).withColumn("__own", own == F.col("__chunk"))
+    return df, Window.partitionBy(SEGMENT, "__chunk").orderBy(TIME)
 
 
-def own_rows(df: DataFrame, chunk: int) -> DataFrame:
-    return df.where(F.floor(F.col(TIME) / chunk) == F.col("__chunk"))
+def has_history(deepest: int, w: WindowSpec) -> Column:
+    """Whether `deepest` rows of the segment lie before this one."""
+    return F.lag(F.lit(1), deepest).over(w).isNotNull() if deepest else F.lit(True)
 
 
 def difference(panel: Panel, orders: Mapping[str, int] | int, dropna: bool = True, chunk: int | None = None) -> Panel:
-    """Differences of the given orders (binomial sums of lags); rows that lack history hold nulls, and go with `dropna`.
-
-    With `chunk` (see `with_chunks`) a segment is spread over many tasks.
-    """
+    """Differences of the given orders (binomial sums of lags); rows that lack history hold nulls, and go with `dropna`."""
     of = (lambda v: orders) if isinstance(orders, int) else (lambda v: orders.get(v, 0))
-    deepest = max(map(of, panel.variables))
-    df, w, extra = panel.df, panel.window, []
-    if chunk is not None:
-        df, w, extra = with_chunks(df, chunk, deepest), Window.partitionBy(SEGMENT, "__chunk").orderBy(TIME), ["__chunk"]
+    deepest = max(0, *map(of, panel.variables))
+    if not deepest:
+        return drop_nulls(panel) if dropna else panel
+    panel = indexed(panel)
+    df, w = chunked(panel, deepest, chunk)
 
     def one(v: str, d: int) -> Column:
         if d <= 0:
@@ -48,10 +58,11 @@ def difference(panel: Panel, orders: Mapping[str, int] | int, dropna: bool = Tru
             out = out + x
         return out.alias(v)
 
-    rows = df.select(SEGMENT, TIME, *extra, *(one(v, of(v)) for v in panel.variables))
-    if chunk is not None:
-        rows = own_rows(rows, chunk).drop("__chunk")
-    out = panel.with_df(rows)
+    extra = [panel.index] if panel.index != TIME else []
+    rows = df.select(SEGMENT, TIME, *extra, "__own", has_history(deepest, w).alias("__full"), *(one(v, of(v)) for v in panel.variables)).where("__own")
+    if dropna and panel.whole:  # all that lack history, and no others, hold nulls
+        return panel.with_df(rows.where("__full").drop("__own", "__full"), panel.index, True)
+    out = panel.with_df(rows.drop("__own", "__full"), panel.index)
     return drop_nulls(out) if dropna else out
 
 
@@ -63,20 +74,10 @@ def lag_columns(min_lags: Sequence[int], max_lags: Sequence[int], variables: Seq
 
 
 def lag_features(panel: Panel, min_lags: Sequence[int], max_lags: Sequence[int], effects: Sequence[str] = (), chunk: int | None = None) -> DataFrame:
-    """segment_id, t, the effects and one column for each lag; rows without full history are dropped.
-
-    With `chunk` (see `with_chunks`) a segment is spread over many tasks.
-    """
+    """segment_id, t, the effects and one column for each lag; rows without full history are dropped. A task sorts a chunk, not a segment."""
     columns = lag_columns(min_lags, max_lags, panel.variables)
     deepest = max(max_lags)
-    df, keys = panel.df, [SEGMENT]
-    if chunk is not None:
-        df, keys = with_chunks(df, chunk, deepest), [SEGMENT, "__chunk"]
-    w = Window.partitionBy(*keys).orderBy(TIME)
+    df, w = chunked(panel, deepest, chunk)
     lagged = [F.col(v).alias(n) if k == 0 else F.lag(v, k).over(w).alias(n) for n, v, k in columns]
-    rows = df.select(SEGMENT, TIME, *(["__chunk"] if chunk else []), *(F.col(e) for e in effects), *lagged, F.row_number().over(w).alias("__rn"))
-    if chunk is not None:
-        rows = own_rows(rows, chunk).where(F.col(TIME) >= deepest)
-    else:
-        rows = rows.where(F.col("__rn") > deepest)
-    return rows.select(SEGMENT, TIME, *effects, *(n for n, _, _ in columns))
+    rows = df.select(SEGMENT, TIME, *(F.col(e) for e in effects), *lagged, "__own", has_history(deepest, w).alias("__full"))
+    return rows.where("__own AND __full").select(SEGMENT, TIME, *effects, *(n for n, _, _ in columns))

@@ -91,3 +91,55 @@ def common_var_order(names: Sequence[str], most: int) -> str:
     d = len(names)
     fits = {str(p): [*(j * most + k for j in range(d) for k in range(1, p + 1)), *range(d * most + 1, d * most + d + 1)] for p in range(1, most + 1)}
     return f"z AS ({lagged('dd', names, most)}), m AS ({products([*lags(names, 1, most), *names], 'z', scaled=False)}), {swept('w', fits, d * most)},\nbest AS (SELECT arg_min(CAST(fit AS INTEGER), ld + 2.0 / n * {d} * ({d} * CAST(fit AS INTEGER) + 1)) AS p FROM w)"
+
+
+def _differenced(table: str, names: Sequence[str], most: int) -> str:
+    """CTEs from a table (t, names): y (v, d, t = 1, 2, .., x), differences of orders 0..most, and sizes (v, d, n)."""
+    rows = " UNION ALL ".join(f"SELECT '{c}' AS v, t, {c} AS x FROM {table}" for c in names)
+    out = [f"y0 AS (SELECT v, row_number() OVER (PARTITION BY v ORDER BY t) AS t, x FROM ({rows}))"]
+    out += [f"y{d} AS (SELECT v, t - 1 AS t, x FROM (SELECT v, t, x - lag(x) OVER (PARTITION BY v ORDER BY t) AS x FROM y{d - 1}) WHERE x IS NOT NULL)" for d in range(1, most + 1)]
+    return ", ".join(out) + ", y AS (" + " UNION ALL ".join(f"SELECT v, {d} AS d, t, x FROM y{d}" for d in range(most + 1)) + "), sizes AS (SELECT v, d, count(*) AS n FROM y GROUP BY v, d)"
+
+
+def _first_passed(passed: str, score: str) -> str:
+    """The first order of differencing that passes, else that of the least score, from tests (v, d, n, span, ..)."""
+    usable = "n >= 4 AND span > 0"
+    return f"""SELECT 0 AS segment_id, v AS variable, CAST(coalesce(min(d) FILTER ({usable} AND {passed}), arg_min(d, {score}) FILTER ({usable}), 0) AS INTEGER) AS "order" FROM tests GROUP BY v"""
+
+
+def adf_orders(table: str, names: Sequence[str], most: int, small: Sequence[float], large: Sequence[float], star: float, quantile: float) -> str:
+    """Orders by the augmented Dickey-Fuller test: a design in long form, its products swept column by column; p is monotone in its normal score."""
+    cell = "CASE WHEN i = k AND j = k THEN -1 / a[k][k] WHEN i = k THEN a[k][j] / a[k][k] WHEN j = k THEN a[i][k] / a[k][k] ELSE a[i][j] - a[i][k] * a[k][j] / a[k][k] END"
+    matrix = f"list_transform(range(1, len(a) + 1), lambda i: list_transform(range(1, len(a) + 1), lambda j: {cell}))"
+
+    def products(name: str, lags: str, source: str) -> str:
+        # columns 1 (the level before), 2.. (lagged differences) and the last (the difference), centred over rows that have them all
+        return f"""{name}_u AS (SELECT u.v, u.d, u.t, CASE WHEN i < 0 THEN {lags} + 2 ELSE i END AS i, x - avg(x) OVER (PARTITION BY u.v, u.d, i) AS x FROM u JOIN {source} o USING (v, d) WHERE u.t > {lags} + 1 AND i <= {lags} + 1),
+{name}_g AS (SELECT a.v, a.d, a.i, b.i AS j, sum(a.x * b.x) AS g, count(*) AS n FROM {name}_u a JOIN {name}_u b USING (v, d, t) GROUP BY ALL),
+{name}_m AS (SELECT v, d, any_value(n) AS n, list(r ORDER BY i) AS a FROM (SELECT v, d, i, any_value(n) AS n, list(g ORDER BY j) AS r FROM {name}_g GROUP BY v, d, i) GROUP BY v, d),
+{name}_s AS (SELECT v, d, n, 0 AS k, a FROM {name}_m UNION ALL SELECT v, d, n, k, {matrix} FROM (SELECT v, d, n, k + 1 AS k, a FROM {name}_s WHERE k + 1 < len(a)))"""
+
+    poly = lambda c: " + ".join(f"{x} * pow(tau, {i})" for i, x in enumerate(c))
+    return f"""WITH RECURSIVE {table}, {_differenced('panel', names, most)},
+o AS (SELECT v, d, n, least(CAST(ceil(12 * pow(n / 100.0, 0.25)) AS BIGINT), n // 2 - 2) AS most FROM sizes),
+z AS (SELECT v, d, t, x, lag(x) OVER w AS level, x - lag(x) OVER w AS step FROM y WINDOW w AS (PARTITION BY v, d ORDER BY t)),
+u AS (SELECT v, d, t, 1 AS i, level AS x FROM z WHERE t > 1 UNION ALL SELECT v, d, t, -1, step FROM z WHERE t > 1 UNION ALL SELECT z.v, z.d, z.t, k + 1, b.step FROM z JOIN o USING (v, d), LATERAL (SELECT unnest(generate_series(1, o.most)) AS k) JOIN z b ON b.v = z.v AND b.d = z.d AND b.t = z.t - k WHERE b.t > 1),
+{products('c', 'o.most', 'o')},
+best AS (SELECT v, d, arg_min(k - 1, n * (ln(2 * pi()) + ln(a[-1][-1] / n) + 1) + 2 * (k + 1)) AS lags FROM c_s WHERE k > 0 GROUP BY v, d),
+{products('f', 'o.lags', 'best')},
+taus AS (SELECT v, d, len(a) - 2 AS lags, a[1][-1] / sqrt(a[-1][-1] / (n - len(a)) * -a[1][1]) AS tau FROM f_s WHERE k = len(a) - 1),
+tests AS (SELECT *, CASE WHEN tau <= {star} THEN {poly(small)} ELSE {poly(large)} END AS score FROM taus JOIN sizes USING (v, d) JOIN (SELECT v, d, max(x) - min(x) AS span FROM y GROUP BY v, d) USING (v, d))
+{_first_passed(f'score <= {quantile}', 'score')}"""
+
+
+def kpss_tests(table: str, names: Sequence[str], most: int) -> str:
+    """CTEs on to tests (v, d, n, lags, stat, span) of the KPSS statistic around a trend."""
+    return f"""WITH {table}, {_differenced('panel', names, most)},
+line AS (SELECT v, d, regr_slope(x, t) AS b, regr_intercept(x, t) AS a, max(x) - min(x) AS span FROM y GROUP BY v, d),
+r AS (SELECT v, d, t, x - a - b * t AS r FROM y JOIN line USING (v, d)),
+p AS (SELECT v, d, sum(p * p) AS squares FROM (SELECT v, d, sum(r) OVER (PARTITION BY v, d ORDER BY t) AS p FROM r) GROUP BY v, d),
+near AS (SELECT x.v, x.d, i, sum(x.r * b.r) AS g FROM r x JOIN sizes USING (v, d), LATERAL (SELECT unnest(generate_series(0, CAST(floor(pow(sizes.n, 2.0 / 9)) AS BIGINT))) AS i) JOIN r b ON b.v = x.v AND b.d = x.d AND b.t = x.t - i GROUP BY ALL),
+s AS (SELECT v, d, sum(CASE WHEN i = 0 THEN g / n ELSE 2 * g / n END) AS s0, sum(2 * i * g / n) AS s1 FROM near JOIN sizes USING (v, d) GROUP BY v, d),
+o AS (SELECT v, d, n, least(CAST(floor(1.1447 * pow(pow(s1 / s0, 2), 1.0 / 3) * pow(n, 1.0 / 3)) AS BIGINT), n - 1) AS lags FROM s JOIN sizes USING (v, d)),
+far AS (SELECT x.v, x.d, i, sum(x.r * b.r) AS g FROM r x JOIN o USING (v, d), LATERAL (SELECT unnest(generate_series(0, o.lags)) AS i) JOIN r b ON b.v = x.v AND b.d = x.d AND b.t = x.t - i GROUP BY ALL),
+tests AS (SELECT v, d, n, lags, squares / n / n / (s2 / n) AS stat, span FROM (SELECT v, d, sum(CASE WHEN i = 0 THEN g ELSE 2 * g * (1 - i / (lags + 1.0)) END) AS s2 FROM far JOIN o USING (v, d) GROUP BY v, d) JOIN o USING (v, d) JOIN p USING (v, d) JOIN line USING (v, d))"""

@@ -55,10 +55,7 @@ def fingerprint(panel: P.Panel) -> tuple:
 def prepare(panel: P.Panel, effects: Sequence[str], config: LagConfiguration | None = None, selector=None, transformer: StationarityTransformer | None = None, x_scaler="standard", y_scaler="standard", sample_fraction: float = 1.0, max_samples: int | None = None, chunk: int | None = None) -> Prepared:
     """Reads the data: unit-root tests, lag selection (if asked for), one pass for the scalers and one for the products."""
     transformer = transformer or StationarityTransformer()
-    if chunk is None:
-        panel = transformer.fit_transform(panel)
-    else:  # numbered anew once rows have gone
-        panel = P.dense_time(transformer.fit_transform(P.dense_time(panel), chunk=chunk))
+    panel = P.indexed(transformer.fit_transform(P.indexed(panel), chunk=chunk))
     layout = selectors.select_layout(panel, config or LagConfiguration(), selector, effects, chunk)
     rows = lagging.lag_features(panel, layout.min_lags, layout.max_lags, effects, chunk)
     # an effect and its own lag 0 would share a name only if lags had no suffix, so all names differ

@@ -63,7 +63,7 @@ def run(spark: SparkSession, path: str, save: str = "minimum", test: str = "f")
     truth = read_matrix(spark, P.resolve(cfg["ground_truth_path"], base)) if cfg.get("ground_truth_path") else None
     data = cfg["data"]
     panel = P.read_csv(spark, data["csv_paths"], data.get("index_col"), data.get("order_col"), base)
-    panel = panel.with_df(panel.df.persist())
+    panel = panel.with_df(panel.df.persist(), panel.index, panel.whole)
     threshold, prepared, summary = float(cfg.get("threshold", 0.01)), {}, []
     mark = engine.fingerprint(panel)
     for idx, (raw, params) in enumerate(config.cases(config.read(group_path)), 1):

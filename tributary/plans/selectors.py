@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import LagError
@@ -208,20 +208,18 @@ class VARLagSelector:
 
 
 def segment_moments(panel: Panel, longest: int, chunk: int | None = None):
-    """Per segment: products of lags 0..longest of all variables (from row longest + 1 on), and the first rows; two small tables.
-
-    With `chunk`, t must be 0, 1, .. in each segment, which is then spread over many tasks.
-    """
+    """Per segment: products of lags 0..longest of all variables (from row longest + 1 on), and the first rows; two small tables."""
     d = len(panel.variables)
     rows = lagging.lag_features(panel, [0] * d, [longest] * d, (), chunk)
     names = [n for n, _, _ in lagging.lag_columns([0] * d, [longest] * d, panel.variables)]
-    sums = G.partial_grams(rows, names, [SEGMENT])
-    if chunk is None:
-        ranked = panel.df.withColumn("__rn", F.row_number().over(Window.partitionBy(SEGMENT).orderBy(TIME)))
-    else:
-        ranked = panel.df.withColumn("__rn", (F.col(TIME) + 1).cast("int"))
-    head = ranked.where(F.col("__rn") <= longest).select(SEGMENT, "__rn", F.array(*panel.variables).alias("x"))
-    return sums, head, len(names)
+    return G.partial_grams(rows, names, [SEGMENT]), first_rows(panel, longest, chunk), len(names)
+
+
+def first_rows(panel: Panel, longest: int, chunk: int | None = None) -> DataFrame:
+    """segment_id, __rn = 1, 2, .. and x, the variables, of the first `longest` rows of each segment."""
+    df, w = lagging.chunked(panel, longest, chunk)
+    head = df.withColumn("__full", lagging.has_history(longest, w)).where("__own AND NOT __full")
+    return head.select(SEGMENT, F.row_number().over(Window.partitionBy(SEGMENT).orderBy(TIME)).alias("__rn"), F.array(*panel.variables).alias("x"))  # `longest` rows a segment
 
 
 def lag_matrix(panel: Panel, selector, targets: Sequence[int], chunk: int | None = None) -> np.ndarray:

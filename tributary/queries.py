@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from . import oracles
 from .functions import columns
 from .operators import gram as G
-from .operators import lagging, metrics, scaling
+from .operators import lagging, metrics, scaling, stationarity
 from .operators.stationarity import StationarityTransformer
 from .plans import config, engine, inference, layout, robust, runner, selectors, solvers
 from .sources import panel as P
@@ -134,11 +134,8 @@ def lag_targets_aligned(spark, sf_dir):
 def lag_features_chunked(spark, sf_dir):
     """The same features with the segment cut into chunks, as for one that no single task should sort."""
     n = len(TYPES)
-    p = hourly(spark, sf_dir)
-    first = P.dense_time(p)
-    start = p.df.agg(F.min("t").alias("t0"))
-    out = lagging.lag_features(first, [1] * n, [3] * n, chunk=24)
-    return out.crossJoin(start).withColumn("t", F.col("t") + F.col("t0")).drop("t0")  # one row
+    table = P.from_table(hourly(spark, sf_dir).df, TYPES)  # whose rows are numbered first
+    return lagging.lag_features(table, [1] * n, [3] * n, chunk=24)
 
 
 NATION = """m AS (SELECT n_nationkey AS segment_id, CAST(year(o_orderdate) * 12 + month(o_orderdate) - 1 AS BIGINT) AS t, round(sum(o_totalprice), 2) AS price, CAST(count(*) AS DOUBLE) AS n
@@ -665,16 +662,32 @@ def pairwise_var_order(spark, sf_dir):
     return _pairwise(spark, sf_dir, None, lag_max=3).select(F.col("n_restrictions").alias("lag")).distinct()
 
 
-@query()
+#: The normal score of p = 0.05.
+_SCORE = -1.6448536269514722
+
+
+@query(oracles.adf_orders(PANEL, TYPES, 5, stationarity.SMALL_P, stationarity.LARGE_P, stationarity.TAU_STAR, _SCORE))
 def stationarity_adf_orders(spark, sf_dir):
     return StationarityTransformer("adf").orders_table(hourly(spark, sf_dir))
 
 
-@query()
+@query(oracles.adf_orders(PANEL, TYPES, 1, stationarity.SMALL_P, stationarity.LARGE_P, stationarity.TAU_STAR, _SCORE).rsplit("SELECT 0 AS segment_id", 1)[0] + "SELECT 0 AS segment_id, v AS variable, CAST(d AS INTEGER) AS d, CAST(lags AS INTEGER) AS lags, round(tau, 5) AS tau FROM tests")
+def stationarity_adf_statistics(spark, sf_dir):
+    """tau and the lagged differences that AIC takes, of the values and of their differences, in chunks of a week."""
+    return rounded(stationarity.Series(hourly(spark, sf_dir), TYPES, 1, 168).adf_statistics(), "tau", digits=5)
+
+
+@query(oracles.kpss_tests(PANEL, TYPES, 5) + oracles._first_passed("stat <= 0.146", "stat"))
 def stationarity_kpss_orders(spark, sf_dir):
     return StationarityTransformer("kpss").orders_table(hourly(spark, sf_dir))
 
 
+@query(oracles.kpss_tests(PANEL, TYPES, 1) + " SELECT 0 AS segment_id, v AS variable, CAST(d AS INTEGER) AS d, n, CAST(lags AS INTEGER) AS lags, round(stat, 7) AS stat FROM tests")
+def stationarity_kpss_statistics(spark, sf_dir):
+    """The statistic and its bandwidth, in chunks of a week."""
+    return rounded(stationarity.Series(hourly(spark, sf_dir), TYPES, 1, 168).kpss_statistics().drop("span"), "stat", digits=7)
+
+
 @query(_diff_sql(1).replace(f"round(view, {DIGITS})", f"round((SELECT view FROM panel p WHERE p.t = d.t), {DIGITS})"))
 def stationarity_transform(spark, sf_dir):
     """Orders that were found (here: given) applied; a skipped variable stays as it is."""

@@ -22,13 +22,19 @@ SEGMENT, TIME = "segment_id", "t"
 
 @dataclass(frozen=True)
 class Panel:
-    """A long table of segments and the order of its variables."""
+    """A long table of segments and the order of its variables.
+
+    `index` names a column (t, or one that isn't a variable) whose values are consecutive in each segment, if there is one; `whole` says
+    that no variable is null or NaN. Both let a segment be cut into chunks without numbering its rows first (`indexed`).
+    """
 
     df: DataFrame
     variables: tuple[str, ...]
+    index: str | None = None
+    whole: bool = False
 
-    def with_df(self, df: DataFrame) -> Panel:
-        return replace(self, df=df)
+    def with_df(self, df: DataFrame, index: str | None = None, whole: bool = False) -> Panel:
+        return replace(self, df=df, index=index, whole=whole)
 
     @property
     def window(self):
@@ -61,7 +67,8 @@ def from_frames(spark: SparkSession, frames, align: bool = False) -> Panel:
     import pandas as pd
 
     schema = ", ".join([f"{SEGMENT} int", f"{TIME} long", *(f"`{n}` double" for n in names)])
-    return Panel(spark.createDataFrame(pd.concat(parts, ignore_index=True), schema), tuple(map(str, names)))
+    whole = not any(f.isna().to_numpy().any() for f in parts)
+    return Panel(spark.createDataFrame(pd.concat(parts, ignore_index=True), schema), tuple(map(str, names)), TIME, whole)
 
 
 def union_align(panels: Sequence[Panel]) -> Panel:
@@ -150,8 +157,16 @@ def _numbered(df: DataFrame, keys: list[str], per: str | None) -> DataFrame:
 
 def dense_time(panel: Panel) -> Panel:
     """t becomes 0, 1, .. within each segment; no segment is gathered in one task."""
-    out = _numbered(panel.df, [SEGMENT, TIME], SEGMENT)
-    return panel.with_df(out.select(SEGMENT, F.col("__n").alias(TIME), *panel.variables))
+    out = _numbered(panel.df.select(SEGMENT, TIME, *panel.variables), [SEGMENT, TIME], SEGMENT)
+    return panel.with_df(out.select(SEGMENT, F.col("__n").alias(TIME), *panel.variables), TIME, panel.whole)
+
+
+def indexed(panel: Panel) -> Panel:
+    """The panel with a column of consecutive numbers in each segment: its own, or a new one next to t."""
+    if panel.index:
+        return panel
+    out = _numbered(panel.df.select(SEGMENT, TIME, *panel.variables), [SEGMENT, TIME], SEGMENT)
+    return panel.with_df(out, "__n", panel.whole)
 
 
 #: Up to so many rows, the first ones are found by a top-k; beyond it, all rows are numbered in place.
@@ -212,7 +227,9 @@ def validate_frames(frames, align: bool = False) -> None:
 
 def drop_nulls(panel: Panel) -> Panel:
     """Without rows in which any variable is null or NaN."""
-    return panel.with_df(panel.df.na.drop("any", subset=list(panel.variables)))
+    if panel.whole:
+        return panel
+    return panel.with_df(panel.df.select(SEGMENT, TIME, *panel.variables).na.drop("any", subset=list(panel.variables)), whole=True)
 
 
 def from_events(events: DataFrame, types: Sequence[str], unit: str = "hour", value: str = "value") -> Panel:
@@ -226,4 +243,4 @@ def from_events(events: DataFrame, types: Sequence[str], unit: str = "hour", val
     ends = events.agg(F.min(bucket).alias("a"), F.max(bucket).alias("b"))
     calendar = ends.select(F.explode(F.sequence("a", "b")).alias(TIME))
     df = calendar.join(sums, TIME, "left").select(F.lit(0).alias(SEGMENT), TIME, *(F.coalesce(F.round(t, 2), F.lit(0.0)).alias(t) for t in types))
-    return Panel(df, tuple(types))
+    return Panel(df, tuple(types), TIME, True)
