@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 
 from ..functions.dist import normal_cdf
 from ..sources import shared
-from ..sources.panel import SEGMENT, Panel, indexed
+from ..sources.panel import SEGMENT, Panel
 from . import lagging
+from .chunks import Chunks
 
 #: MacKinnon's (1994) response surface for a unit-root test with a constant: fixed values. Small p up to TAU_STAR, large above.
 TAU_STAR, TAU_MIN, TAU_MAX = -1.61, -18.83, 2.74
@@ -203,41 +204,12 @@ def kpss_statistic(n: int, gamma: np.ndarray, lags: int, squares: float) -> floa
     return squares / n**2 / (s2 / n) if s2 else math.nan
 
 
-class Series:
-    """A panel's series in chunks, and what is known of each."""
+class Series(Chunks):
+    """The unit-root tests of a panel's series."""
 
     def __init__(self, panel: Panel, names: Sequence[str], max_order: int, chunk: int | None = None):
-        self.panel, self.names, self.orders, self.chunk = indexed(panel), list(names), max_order + 1, chunk
-        p = self.panel
-        self.kind = p.df.schema[SEGMENT].dataType.simpleString()
-        means = [F.avg(F.coalesce(v, F.lit(math.nan))).alias(f"m{i}") for i, v in enumerate(self.names)]
-        self.facts = shared.saved(p.df.groupBy(SEGMENT).agg(F.count("*").alias("n"), F.min(p.index).alias("start"), *means))
-        self.longest = self.facts.agg(F.max("n")).first()[0] or 0
-
-    def over_chunks(self, f: Callable, depth: int, schema: str, facts: DataFrame) -> DataFrame:
-        """f(segment, chunk, rows, place of the first row that isn't of the halo, number of the first row, facts of the segment) -> rows of
-        `schema`; a chunk is a task's unit."""
-        df, _ = lagging.chunked(self.panel, depth, self.chunk if self.chunk is None else max(self.chunk, depth + 1))
-        index, names, extra = self.panel.index, self.names, [c for c in facts.columns if c != SEGMENT]
-        rows = df.select(SEGMENT, "__chunk", "__own", F.col(index).cast("long").alias("__at"), *(F.coalesce(v, F.lit(math.nan)).alias(f"x{i}") for i, v in enumerate(names)))
-        held = df.where("__own").select(F.col(SEGMENT).alias("__segment"), F.col("__chunk").alias("__part")).distinct()
-        held = held.join(facts.withColumnRenamed(SEGMENT, "__segment"), "__segment")
-
-        def one(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            if not len(right):  # a halo without rows after it
-                return empty
-            left = left.sort_values("__at")
-            known = right.iloc[0]
-            return f(key[0], key[1], left[[f"x{i}" for i in range(len(names))]].to_numpy(float), int((~left["__own"]).sum()), int(left["__at"].iloc[0] - known["start"]), {c: known[c] for c in extra})
-
-        fields = [x.strip().split()[0] for x in _fields(schema)]
-        empty = pd.DataFrame({c: pd.Series([], dtype=object) for c in fields})
-        return rows.groupBy(SEGMENT, "__chunk").cogroup(held.groupBy("__segment", "__part")).applyInPandas(one, schema)
-
-    def summed(self, table: DataFrame, keys: Sequence[str], values: str) -> DataFrame:
-        """Arrays added up element by element."""
-        cells = table.select(SEGMENT, *keys, F.posexplode(values).alias("i", "v")).groupBy(SEGMENT, *keys, "i").agg(F.sum("v").alias("v"))
-        return cells.groupBy(SEGMENT, *keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda c: c["v"]).alias(values))
+        super().__init__(panel, names, chunk)
+        self.orders = max_order + 1
 
     def adf_table(self) -> DataFrame:
         """segment_id, variable, n, mean, span (of each order), sums (of each order), head, tail; a small row a series."""
@@ -386,18 +358,6 @@ class Series:
         return tests.mapInPandas(run, f"{SEGMENT} {self.kind}, variable string, order int")
 
 
-def _fields(schema: str) -> list[str]:
-    """The fields of a schema's text."""
-    out, depth = [""], 0
-    for c in schema:
-        depth += (c == "<") - (c == ">")
-        if c == "," and not depth:
-            out.append("")
-        else:
-            out[-1] += c
-    return out
-
-
 def _no_test(d: int):
     raise ValueError("a series with gaps")
 

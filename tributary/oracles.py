@@ -64,6 +64,28 @@ JOIN (SELECT v, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM (SELECT y,
 (SELECT unnest(generate_series(1, {folds - 1})) AS v) WHERE fold < v GROUP BY v) model ON test.fold = model.v GROUP BY v)"""
 
 
+def forward_lags(table: str, names: Sequence[str], most: int, folds: int) -> str:
+    """CTEs from a table (t, names) on: own (target, lag, s), the errors of each own lag, and lags (effect, cause, lag), which forward chaining takes."""
+    rows = " UNION ALL ".join(f"SELECT '{c}' AS c, row_number() OVER (ORDER BY t) AS t, {c} AS x FROM {table}" for c in names)
+
+    def errors(name: str, candidates: str) -> str:
+        # y on a, and on b if there is another variable; a fold's model comes from the rows before it
+        cov = lambda a, b: f"covar_pop({a}, {b})"
+        return f"""{name}_r AS (SELECT id, y.t, y.x AS y, a.x AS a, coalesce(b.x, 0) AS b, least((y.t - 1 - m) // ((n - m) // {folds}), {folds - 1}) AS fold
+FROM (SELECT *, greatest(own, k) AS m FROM ({candidates})) q JOIN x y ON y.c = target JOIN x a ON a.c = target AND a.t = y.t - own LEFT JOIN x b ON b.c = other AND b.t = y.t - k, (SELECT count(*) AS n FROM {table}) WHERE y.t > m),
+{name}_c AS (SELECT id, v, avg(y) AS y, avg(a) AS a, avg(b) AS b, {cov("a", "a")} AS aa, {cov("b", "b")} AS bb, {cov("a", "b")} AS ab, {cov("y", "a")} AS ya, {cov("y", "b")} AS yb FROM {name}_r, (SELECT unnest(generate_series(1, {folds - 1})) AS v) WHERE fold < v GROUP BY id, v),
+{name}_w AS (SELECT id, v, y AS my, a AS ma, b AS mb, CASE WHEN bb = 0 THEN ya / aa ELSE (ya * bb - yb * ab) / (aa * bb - ab * ab) END AS wa, CASE WHEN bb = 0 THEN 0 ELSE (yb * aa - ya * ab) / (aa * bb - ab * ab) END AS wb FROM {name}_c),
+{name} AS (SELECT id, avg(e) AS s FROM (SELECT id, fold, avg(pow(y - my - wa * (a - ma) - wb * (b - mb), 2)) AS e FROM {name}_r JOIN {name}_w USING (id) WHERE fold = v GROUP BY id, fold) GROUP BY id)"""
+
+    values = ", ".join(f"('{c}')" for c in names)
+    return f"""x AS ({rows}), q1 AS (SELECT row_number() OVER () AS id, target, own, NULL AS other, 0 AS k FROM (VALUES {values}) n(target), (SELECT unnest(generate_series(1, {most})) AS own)),
+{errors("e1", "SELECT * FROM q1")},
+own AS (SELECT target, own AS lag, s FROM q1 JOIN e1 USING (id)), best AS (SELECT target, arg_min(lag, s) AS own, min(s) AS s FROM own GROUP BY target),
+q2 AS (SELECT row_number() OVER () AS id, target, own, other, k, s AS own_s FROM best, (VALUES {values}) n(other), (SELECT unnest(generate_series(1, {most})) AS k) WHERE other <> target),
+{errors("e2", "SELECT * FROM q2")},
+lags AS (SELECT target AS effect, target AS cause, own AS lag FROM best UNION ALL SELECT target, other, CASE WHEN min(s) < any_value(own_s) THEN arg_min(k, s) ELSE 1 END FROM q2 JOIN e2 USING (id) GROUP BY target, other)"""
+
+
 def pair_score(table: str, target: str, own: int, other: str | None = None, lag: int = 0) -> str:
     """AIC of target on its own lag, and on one lag of another variable, each with a constant, on the rows that have both."""
     most = max(own, lag)

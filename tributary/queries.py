@@ -11,13 +11,15 @@ import tempfile
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracles
 from .functions import columns
 from .operators import gram as G
 from .operators import lagging, metrics, scaling, stationarity
+from .operators.chunks import Chunks
 from .operators.stationarity import StationarityTransformer
 from .plans import config, engine, inference, layout, robust, runner, selectors, solvers
 from .sources import panel as P
@@ -323,18 +325,16 @@ f AS (SELECT *, least(i // (n // 5), 4) AS fold FROM k), v AS (SELECT unnest(gen
 m AS (SELECT val, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM f, v WHERE fold < val GROUP BY val)
 SELECT CAST(val AS INTEGER) AS fold, round(avg((y - a - b * x) * (y - a - b * x)), 3) AS mse FROM f JOIN m ON fold = val GROUP BY val""")
 def cv_fold_errors_ar1(spark, sf_dir):
-    """Forward-chaining errors of click on its own lag: each fold's model comes from running sums of the folds before it."""
-    p = hourly(spark, sf_dir, ("click",))
-    w = p.window
-    centred = p.df.select(P.TIME, P.SEGMENT, (F.col("click") - F.avg("click").over(Window.partitionBy(P.SEGMENT))).alias("y"))
-    rows = centred.withColumn("x", F.lag("y", 1).over(w)).where("x is not null")
-    rows = rows.withColumn("i", F.row_number().over(w) - 1).withColumn("n", F.count("*").over(Window.partitionBy(P.SEGMENT)))
-    rows = rows.withColumn("fold", F.least(F.floor(F.col("i") / F.floor(F.col("n") / 5)), F.lit(4)))
-    sums = rows.groupBy("fold").agg(F.count("*").alias("c"), *(F.sum(e).alias(a) for a, e in (("sx", F.col("x")), ("sy", F.col("y")), ("sxx", F.col("x") ** 2), ("sxy", F.col("x") * F.col("y")), ("syy", F.col("y") ** 2))))
-    before = Window.orderBy("fold").rowsBetween(Window.unboundedPreceding, -1)  # five rows
-    run = sums.select("*", *(F.sum(c).over(before).alias(f"p_{c}") for c in ("c", "sx", "sy", "sxx", "sxy"))).where("fold > 0")
-    run = run.withColumn("b", F.expr("(p_sxy - p_sx * p_sy / p_c) / (p_sxx - p_sx * p_sx / p_c)")).withColumn("a", F.expr("(p_sy - b * p_sx) / p_c"))
-    return run.select(F.col("fold").cast("int").alias("fold"), F.round(F.expr("(syy - 2 * a * sy - 2 * b * sxy + c * a * a + 2 * a * b * sx + b * b * sxx) / c"), 3).alias("mse"))
+    """Forward-chaining errors of click on its own lag, fold by fold, from the selector's products."""
+
+    def folds(batches):
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                errors = selectors.fold_moments(r, 1, 1, 5).fold_errors((0, (0, 1)))
+                yield pd.DataFrame({"fold": range(1, 5), "mse": errors})
+
+    table = selectors.fold_table(Chunks(hourly(spark, sf_dir, ("click",)), ["click"]), 1, 5, True)
+    return rounded(table.mapInPandas(folds, "fold int, mse double"), "mse", digits=3)
 
 
 # Matrices and metrics, from chi-squared statistics against a fixed critical value
@@ -635,11 +635,25 @@ def lag_selector_ic_unpruned(spark, sf_dir):
     return _lag_table(spark, selectors.lag_matrix(p, chosen, range(len(TYPES))))
 
 
-@query()
+@query(f"WITH {_D}, {oracles.forward_lags('dd', TYPES, 4, 4)} SELECT effect, cause, CAST(l.k AS INTEGER) AS lag, CAST(CASE WHEN l.k <= lags.lag THEN 1 ELSE 0 END AS INTEGER) AS active FROM lags, (SELECT unnest(generate_series(1, (SELECT max(lag) FROM lags))) AS k) l WHERE l.k <= (SELECT max(lag) FROM lags o WHERE o.cause = lags.cause)")
 def lag_selector_cv(spark, sf_dir):
     return _selected(spark, sf_dir, selectors.CVLagSelector(cv_folds=4))
 
 
+@query(f"WITH {_D}, {oracles.forward_lags('dd', TYPES, 3, 5)} SELECT target, CAST(lag AS INTEGER) AS lag, round(s, 3) AS error FROM own")
+def cv_errors_own_lags(spark, sf_dir):
+    """The selector's forward-chaining errors of each variable on each of its own lags, in chunks of a week."""
+    cut = Chunks(lagging.difference(hourly(spark, sf_dir), 1), TYPES, 168)
+
+    def scored(batches):
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                mo = selectors.fold_moments(r, len(TYPES), 3, 5)
+                yield pd.DataFrame([(c, k, mo.squared((i, (i, k)))) for i, c in enumerate(TYPES) for k in (1, 2, 3)], columns=["target", "lag", "error"])
+
+    return rounded(selectors.fold_table(cut, 3, 5, True).mapInPandas(scored, "target string, lag int, error double"), "error", digits=3)
+
+
 _errors = " UNION ALL ".join(f"SELECT '{c}' AS target, {k} AS lag, ({oracles.forward_errors('dd', c, k, 5)}) AS s" for c in TYPES for k in (1, 2, 3))
 
 
