@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ConfigError, NotFittedError
+from .quantiles import exact_quantiles
 
 EPS = 1e-12
 
@@ -30,12 +31,16 @@ class Scaler:
     def constants(self, *found: float) -> tuple[float, float]:
         raise NotImplementedError
 
+    def found(self, df: DataFrame, columns: Sequence[str]) -> list[Sequence[float]]:
+        """What `constants` takes, for each column."""
+        each = [self.aggregates(c) for c in columns]
+        flat = [a for x in each for a in x]
+        row = iter(df.agg(*(a.alias(f"a{i}") for i, a in enumerate(flat))).first() if flat else ())
+        return [[next(row) for _ in x] for x in each]
+
     def fit(self, df: DataFrame, columns: Sequence[str]) -> Scaler:
         self.columns = tuple(columns)
-        flat = [a for c in columns for a in self.aggregates(c)]
-        row = df.agg(*(a.alias(f"a{i}") for i, a in enumerate(flat))).first() if flat else ()
-        n = len(flat) // max(len(columns), 1)
-        pairs = [self.constants(*(row[i * n : (i + 1) * n])) if n else (0.0, 1.0) for i in range(len(columns))]
+        pairs = [self.constants(*x) for x in self.found(df, columns)]
         self.centre = np.array([float(a) for a, _ in pairs])
         self.scale = np.array([float(b) if abs(b) > EPS else 1.0 for _, b in pairs])
         return self
@@ -86,8 +91,8 @@ class MinMax(Scaler):
 class Robust(Scaler):
     """Median and interquartile range, interpolated exactly."""
 
-    def aggregates(self, c):
-        return [F.percentile(c, F.lit(q)) for q in (0.25, 0.5, 0.75)]
+    def found(self, df, columns):
+        return exact_quantiles(df, columns, (0.25, 0.5, 0.75))
 
     def constants(self, low, middle, high):
         return middle, high - low

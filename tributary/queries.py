@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from . import oracles
 from .functions import columns
 from .operators import gram as G
-from .operators import lagging, metrics, scaling, stationarity
+from .operators import lagging, metrics, quantiles, scaling, stationarity
 from .operators.chunks import Chunks
 from .operators.stationarity import StationarityTransformer
 from .plans import config, engine, inference, layout, robust, runner, selectors, solvers
@@ -185,6 +185,17 @@ def scale_robust(spark, sf_dir):
     return _scaled(spark, sf_dir, "robust")
 
 
+_MEASURES = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+_SHARES = (0.0, 0.01, 0.25, 0.5, 0.9, 0.999, 1.0)
+
+
+@query("SELECT variable, CAST(p AS DOUBLE) AS p, round(CAST(v AS DOUBLE), 6) + 0.0 AS value FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS variable, {p} AS p, quantile_cont(CAST({c} AS DOUBLE), {p}) AS v FROM lineitem" for c in _MEASURES for p in _SHARES) + ")")
+def quantiles_of_lines(spark, sf_dir):
+    """Exact quantiles of columns with many ties and with none, by narrowed ranges."""
+    found = quantiles.exact_quantiles(read(spark, sf_dir, "lineitem").select(*_MEASURES), _MEASURES, _SHARES)
+    return rounded(spark.createDataFrame([(c, p, v) for c, vs in zip(_MEASURES, found, strict=True) for p, v in zip(_SHARES, vs, strict=True)], "variable string, p double, value double"), "value", digits=6)
+
+
 @query(_scale_sql("0 * min({c})", "max(abs({c}))"))
 def scale_maxabs(spark, sf_dir):
     return _scaled(spark, sf_dir, "maxabs")
