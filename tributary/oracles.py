@@ -56,6 +56,15 @@ t1 AS (SELECT *, greatest(e1 - e0, 0) / 2 / (e0 / df) AS f, n * ln(e1 / e0) AS l
 st AS (SELECT *, pow(1 + 2 * f / df, -df / 2.0) AS p_f, exp(-lr / 2) AS p_lr, exp(-wald / 2) AS p_wald FROM t1)"""
 
 
+def batch_weights(names: Sequence[str], high: int, size: int) -> str:
+    """CTEs from dd on: b0, b1 (fit, n, a): least squares without a constant of two batches of rows, on columns scaled over all rows."""
+    columns, p = [*lags(names, 1, high), *names], len(names) * high
+    scaled = ", ".join(f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () AS {c}" for c in columns)
+    rows = ", ".join("[" + ", ".join(f"sum({a} * {b})" for b in columns) + "]" for a in columns)
+    parts = ", ".join(f"m{i} AS (SELECT count(*) AS n, [{rows}] AS a FROM zs WHERE (row_number - 1) // {size} = {i}), {swept(f'b{i}', {'all': range(1, p + 1)}, p, f'm{i}')}" for i in (0, 1))
+    return f"z AS ({lagged('dd', names, high)}), zs AS (SELECT row_number() OVER (ORDER BY t) AS row_number, {scaled} FROM z), {parts}"
+
+
 def forward_errors(table: str, target: str, lag: int, folds: int) -> str:
     """The mean of the forward-chaining errors of target on its own lag; the first fold only trains, the last takes the remainder."""
     return f"""SELECT avg(e) AS err FROM (SELECT v, avg(pow(y - a - b * x, 2)) AS e FROM

@@ -18,6 +18,7 @@ from ..operators import lagging, scaling
 from ..operators.stationarity import StationarityTransformer
 from ..sources import panel as P
 from . import inference, selectors, solvers
+from .batches import Batches
 from .layout import LagConfiguration, Layout
 
 
@@ -33,7 +34,20 @@ class Prepared:
     y_scaler: scaling.Scaler
     orders: dict[str, int]
     features: DataFrame = field(repr=False)
+    scaled: DataFrame = field(repr=False, default=None)
     signature: tuple = ()
+    held: dict = field(repr=False, default_factory=dict)
+
+    @property
+    def columns(self) -> list[str]:
+        return [*self.layout.names, *self.effects]
+
+    def batches(self, size: int) -> Batches:
+        """Products by contiguous batches of `size` rows; made once for each size."""
+        key = ("batches", size)
+        if key not in self.held:
+            self.held[key] = Batches(self.scaled, self.columns, self.problem, size)
+        return self.held[key]
 
 
 def as_panel(data, spark: SparkSession | None = None) -> P.Panel:
@@ -70,7 +84,7 @@ def prepare(panel: P.Panel, effects: Sequence[str], config: LagConfiguration | N
         rows.unpersist()
     if sums.n < 1:
         raise LagError("no rows are left once lags are taken")
-    return Prepared(panel.variables, list(effects), layout, solvers.Problem.of(sums.matrix, len(names)), sx, sy, dict(transformer.orders), rows)
+    return Prepared(panel.variables, list(effects), layout, solvers.Problem.of(sums.matrix, len(names)), sx, sy, dict(transformer.orders), rows, scaled)
 
 
 class MultiTaskCausality:
@@ -116,9 +130,9 @@ class MultiTaskCausality:
         rule = solvers.constraint(relations, layout, effects)
         mask = rule.mask if rule is not None else layout.rows(effects).astype(float)
         if hiperoptimalization_state and hiperoptimalization_conf:
-            config, penalty = search(problem, mask, layout, rule, key, config, penalty, hiperoptimalization_conf)
+            config, penalty = search(prepared_data, mask, rule, key, config, penalty, hiperoptimalization_conf)
         made = solvers.callbacks_of(callbacks)
-        settings = solvers.settings(key, config)
+        settings = batched(prepared_data, solvers.settings(key, config))
         start = solvers.initial(initializer, problem, mask, seed) if initializer is not None else None
         # a caller's own constraint: a function of the weights (effects x columns), applied after the relations at each step
         bound = lambda own: solvers.Also(own, constraint) if constraint is not None else own
@@ -154,7 +168,13 @@ class MultiTaskCausality:
         return d.features.select(P.SEGMENT, P.TIME, *d.effects, *(one(i, e) for i, e in enumerate(d.effects)))
 
 
-def search(problem, mask, layout, rule, key: str, config: Mapping, penalty, conf: Mapping) -> tuple[dict, object]:
+def batched(prepared: Prepared, settings: dict) -> dict:
+    """A solver's settings with the batches' products in place of their size."""
+    size = settings.pop("batch_size", None)
+    return settings if size is None else settings | {"batches": prepared.batches(int(size))}
+
+
+def search(prepared: Prepared, mask, rule, key: str, config: Mapping, penalty, conf: Mapping) -> tuple[dict, object]:
     """The trial with the lowest training loss, of the grid's product, at most n_trials; a fifth of the epochs each."""
     grid: dict[str, Sequence] = {}
     for section, params in (conf.get("sections") or {}).items():
@@ -176,10 +196,10 @@ def search(problem, mask, layout, rule, key: str, config: Mapping, penalty, conf
         chosen = dict(zip(grid, values, strict=True))
         model = {k.split(".", 1)[1]: v for k, v in chosen.items() if k.split(".", 1)[0] in ("model", "optimizer")}
         own = {k.split(".", 1)[1]: v for k, v in chosen.items() if k.startswith(("regularizer.", "regularization."))}
-        p = solvers.penalty_of(own, layout) if own else penalty
+        p = solvers.penalty_of(own, prepared.layout) if own else penalty
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
-            loss = solve(problem, mask, rule, p, (), **solvers.settings(key, trial | {k: v for k, v in model.items() if k != "type"})).loss
+            loss = solve(prepared.problem, mask, rule, p, (), **batched(prepared, solvers.settings(key, trial | {k: v for k, v in model.items() if k != "type"}))).loss
         if best is None or loss < best[0]:
             best = (loss, dict(config) | model, p)
     return best[1], best[2]

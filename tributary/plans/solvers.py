@@ -1,6 +1,7 @@
 """Multi-output linear models fitted on sufficient statistics alone: no pass over the data for any fit, penalty or callback.
 
-`newton` repeats damped Newton steps from zero (one step is least squares at rate 1); `adam` is full-batch Adam. Both take an
+`newton` repeats damped Newton steps from zero (one step is least squares at rate 1); `adam` is Adam or another descent rule. Both step on all
+rows' products, or on those of one batch after the other, and take an
 L1 or lag-dependent L1 penalty, a mask, relation rules and callbacks. With `projection="masked"` each output is fitted on its
 own active columns; with "projected" the full system is solved and then masked.
 """
@@ -10,7 +11,7 @@ from __future__ import annotations
 import copy
 import math
 import warnings
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -329,43 +330,66 @@ def _loop(problem: Problem, step: Callable, w: np.ndarray, mask: np.ndarray, rou
     return Fit(w, problem.intercept(w), problem.rss(w), state["loss"], epoch)
 
 
-def newton(problem: Problem, mask: np.ndarray, constraint: Constraint | None = None, penalty=None, callbacks: Sequence[Callback] = (), learning_rate: float = 1.0, max_iter: int = 1000, tol: float = 1e-8, projection: str = "masked", start=None, warn_start: bool = False, **_) -> Fit:
-    """Damped Newton steps on the summed squares; the penalty's gradient is added to theirs. Constant columns stay at 0."""
+def newton(problem: Problem, mask: np.ndarray, constraint: Constraint | None = None, penalty=None, callbacks: Sequence[Callback] = (), learning_rate: float = 1.0, max_iter: int = 1000, tol: float = 1e-8, projection: str = "masked", start=None, warn_start: bool = False, batches: Iterable | None = None, **_) -> Fit:
+    """Damped Newton steps on the summed squares; the penalty's gradient is added to theirs. Constant columns stay at 0.
+
+    With `batches` an epoch takes a step on each batch's own products, in order; the loss remains that of all rows.
+    """
     if start is not None and np.any(start) and warn_start:
         warnings.warn("newton starts at zero: the initializer has no effect", stacklevel=2)
-    live = np.diag(problem.xx) > 1e-12
     project = constraint or (lambda w: w * mask)
-    free = np.where(live, mask if projection == "masked" else np.ones_like(mask), 0)
-    inverse: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
-    for row in free:
-        if row.tobytes() not in inverse:
-            at = np.flatnonzero(row)
-            inverse[row.tobytes()] = at, np.linalg.pinv(problem.xx[np.ix_(at, at)] + 1e-12 * np.eye(len(at)), rcond=1e-13, hermitian=True)
 
-    def step(w: np.ndarray, lr: float, epoch: int) -> np.ndarray:
-        grad = w @ problem.xx - problem.xy.T
+    def inverses(xx: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        free = np.where(np.diag(xx) > 1e-12, mask if projection == "masked" else np.ones_like(mask), 0)
+        known: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
+        for row in free:
+            if row.tobytes() not in known:
+                at = np.flatnonzero(row)
+                known[row.tobytes()] = at, np.linalg.pinv(xx[np.ix_(at, at)] + 1e-12 * np.eye(len(at)), rcond=1e-13, hermitian=True)
+        return [known[row.tobytes()] for row in free]
+
+    def one(w: np.ndarray, lr: float, xx: np.ndarray, xy: np.ndarray, inverse: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        grad = w @ xx - xy.T
         if penalty:
             grad = grad + penalty.gradient(w)
         out = w.copy()
-        for i, row in enumerate(free):
-            at, inv = inverse[row.tobytes()]
+        for i, (at, inv) in enumerate(inverse):
             out[i, at] -= lr * inv @ grad[i, at]
         return project(out)
 
+    if batches is None:
+        whole = inverses(problem.xx)
+
+        def step(w: np.ndarray, lr: float, epoch: int) -> np.ndarray:
+            return one(w, lr, problem.xx, problem.xy, whole)
+
+    else:
+
+        def step(w: np.ndarray, lr: float, epoch: int) -> np.ndarray:
+            for _, xx, xy in batches:
+                w = one(w, lr, xx, xy, inverses(xx))
+            return w
+
     return _loop(problem, step, np.zeros(mask.shape), mask, max_iter, learning_rate, tol, penalty, callbacks)
 
 
-def rule(name: str = "adam", momentum: float = 0.0, nesterov: bool = False, beta1: float = 0.9, beta2: float = 0.999, rho: float = 0.99, eps: float = 1e-8, weight_decay: float = 0.0) -> Callable:
-    """A descent rule (w, gradient, rate, epoch) -> w with a memory of its own."""
+def rule(name: str = "adam", momentum: float = 0.0, nesterov: bool = False, beta1: float = 0.9, beta2: float = 0.999, rho: float = 0.99, eps: float = 1e-8, weight_decay: float = 0.0, **options) -> Callable:
+    """A descent rule (w, gradient, rate, step number) -> w with a memory of its own; `options` are those of lbfgs."""
     name = name.lower()
-    if name not in ("sgd", "adam", "adamw", "nadam", "adamax", "rmsprop", "adagrad"):
-        raise ConfigError(f"no optimizer {name!r}")
+    if name == "lbfgs":
+        return LBFGS(**options)
+    if options or name not in ("sgd", "adam", "adamw", "nadam", "adamax", "rmsprop", "adagrad", "muon"):
+        raise ConfigError(f"no optimizer {name!r} with options {sorted(options)}")
     first = second = 0.0
 
     def step(w: np.ndarray, grad: np.ndarray, lr: float, epoch: int) -> np.ndarray:
         nonlocal first, second
-        if weight_decay and name != "adamw":
+        if weight_decay and name not in ("adamw", "muon"):
             grad = grad + weight_decay * w
+        if name == "muon":
+            kept = momentum or 0.95
+            first = kept * first + grad
+            return w * (1 - lr * weight_decay) - lr * math.sqrt(max(1.0, w.shape[0] / w.shape[1])) * orthogonalised(grad + kept * first if nesterov else first)
         if name == "sgd":
             first = momentum * first + grad
             return w - lr * (grad + momentum * first if nesterov else first)
@@ -386,21 +410,106 @@ def rule(name: str = "adam", momentum: float = 0.0, nesterov: bool = False, beta
     return step
 
 
-def adam(problem: Problem, mask: np.ndarray, constraint: Constraint | None = None, penalty=None, callbacks: Sequence[Callback] = (), learning_rate: float = 1e-3, epochs: int = 100, tol: float = 0.0, start: np.ndarray | None = None, optimizer: str = "adam", optimizer_params: Mapping | None = None, **_) -> Fit:
-    """Full-batch descent on the mean square by Adam or another rule: the same each time, unlike mini-batches."""
+def adam(problem: Problem, mask: np.ndarray, constraint: Constraint | None = None, penalty=None, callbacks: Sequence[Callback] = (), learning_rate: float = 1e-3, epochs: int = 100, tol: float = 0.0, start: np.ndarray | None = None, optimizer: str = "adam", optimizer_params: Mapping | None = None, batches: Iterable | None = None, gradient_accumulation_steps: int = 1, **_) -> Fit:
+    """Descent on the mean square by Adam or another rule, the same each time: on all rows, or with `batches` on one after the other.
+
+    The gradients of `gradient_accumulation_steps` batches are averaged for a step; what is left of an epoch's batches makes its last one.
+    """
     project = constraint or (lambda w: w * mask)
     descend = rule(optimizer, **(optimizer_params or {}))
+    if optimizer.lower() == "lbfgs" and gradient_accumulation_steps > 1:
+        raise ConfigError("lbfgs evaluates gradients itself, so they can't be accumulated")
+    count = 0
 
     def step(w: np.ndarray, lr: float, epoch: int) -> np.ndarray:
-        grad = 2 * (w @ problem.xx - problem.xy.T) / (problem.n * len(w))
-        if penalty:
-            grad = grad + penalty.gradient(w)
-        return project(descend(w, grad, lr, epoch))
+        nonlocal count
+        held, size = np.zeros(w.shape), 0
+        for n, xx, xy in [(problem.n, problem.xx, problem.xy)] if batches is None else batches:
+
+            def slope(v: np.ndarray, n=n, xx=xx, xy=xy) -> np.ndarray:
+                grad = 2 * (v @ xx - xy.T) / (n * len(v))
+                return grad + penalty.gradient(v) if penalty else grad
+
+            def value(v: np.ndarray, n=n, xx=xx, xy=xy) -> float:
+                """The loss less a constant."""
+                return float((v @ xx * v).sum() - 2 * (v * xy.T).sum()) / (n * len(v)) + (penalty.penalty(v) if penalty else 0.0)
+
+            if hasattr(descend, "minimise"):
+                w = project(descend.minimise(w, slope, value, lr, mask))
+                continue
+            held, size = held + slope(w) / gradient_accumulation_steps, size + 1
+            if size == gradient_accumulation_steps:
+                count += 1
+                w, held, size = project(descend(w, held, lr, count)), np.zeros(w.shape), 0
+        if size:
+            count += 1
+            w = project(descend(w, held, lr, count))
+        return w
 
     w = project(np.zeros(mask.shape) if start is None else start.copy())
     return _loop(problem, step, w, mask, epochs, learning_rate, tol or -1.0, penalty, callbacks)
 
 
+class LBFGS:
+    """Limited-memory BFGS: the two-loop recursion over the last `history_size` steps, and a backtracking line search that asks for enough
+    descent (Armijo). A step takes up to `max_iter` inner iterations; only unmasked weights move."""
+
+    def __init__(self, history_size: int = 10, max_iter: int = 20, tolerance_grad: float = 1e-12):
+        if history_size < 1 or max_iter < 1:
+            raise ConfigError("lbfgs needs a history and an iteration")
+        self.size, self.most, self.flat = history_size, max_iter, tolerance_grad
+        self.pairs: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def direction(self, grad: np.ndarray) -> np.ndarray:
+        """Minus the approximate inverse Hessian times the gradient."""
+        q, used = grad.copy(), []
+        for s, y in reversed(self.pairs):
+            a = (s * q).sum() / (s * y).sum()
+            used.append(a)
+            q = q - a * y
+        if self.pairs:
+            s, y = self.pairs[-1]
+            q = q * ((s * y).sum() / (y * y).sum())
+        for (s, y), a in zip(self.pairs, reversed(used), strict=True):
+            q = q + (a - (y * q).sum() / (s * y).sum()) * s
+        return -q
+
+    def minimise(self, w: np.ndarray, slope: Callable, value: Callable, lr: float, mask: np.ndarray) -> np.ndarray:
+        self.pairs = []  # a constraint may have moved the weights since
+        grad, at = slope(w) * mask, value(w)
+        for _ in range(self.most):
+            if np.abs(grad).max(initial=0.0) <= self.flat:
+                break
+            d = self.direction(grad)
+            fall = float((d * grad).sum())
+            if fall >= 0:
+                self.pairs, d = [], -grad
+                fall = float((d * grad).sum())
+            t = lr if self.pairs else min(lr, 1 / max(float(np.abs(grad).sum()), 1e-300))
+            noise = 1e-14 * max(1.0, abs(at))  # near the minimum values no longer tell points apart, but gradients do
+            while (new := value(w + t * d)) > at + 1e-4 * t * fall + noise and t > 1e-16:
+                t /= 2
+            step = t * d
+            after = slope(w + step) * mask
+            if new >= at and np.abs(after).max() >= np.abs(grad).max():
+                break
+            if (step * (after - grad)).sum() > 1e-300:
+                self.pairs = [*self.pairs, (step, after - grad)][-self.size :]
+            w, grad, at = w + step, after, new
+        return w
+
+
+def orthogonalised(m: np.ndarray, steps: int = 5) -> np.ndarray:
+    """A matrix with singular values near 1 and the same singular vectors, by Newton-Schulz steps."""
+    a, b, c = 3.4445, -4.7750, 2.0315  # fixed values of the quintic step
+    wide = m.shape[0] <= m.shape[1]
+    x = (m if wide else m.T) / max(float(np.linalg.norm(m)), 1e-7)
+    for _ in range(steps):
+        g = x @ x.T
+        x = a * x + (b * g + c * g @ g) @ x
+    return x if wide else x.T
+
+
 SOLVERS = {"newton": newton, "adam": adam}
 ALIASES = {"sklearn": "newton", "scikit": "newton", "scikit-learn": "newton", "pytorch": "adam", "torch": "adam", "tensorflow": "adam", "tf": "adam", "keras": "adam"}
 
@@ -414,7 +523,7 @@ def solver(name: str | None) -> tuple[str, Callable]:
 
 def settings(key: str, config: Mapping) -> dict:
     """A model configuration's entries by the solver's names; entries without a meaning here are left out with a warning."""
-    known = {"learning_rate", "max_iter", "tol", "projection", "epochs", "start", "optimizer_params"}
+    known = {"learning_rate", "max_iter", "tol", "projection", "epochs", "start", "optimizer_params", "batch_size", "gradient_accumulation_steps"}
     names = {"lr": "learning_rate"}
     out = {}
     for k, v in config.items():
@@ -430,7 +539,7 @@ def settings(key: str, config: Mapping) -> dict:
             out |= {"optimizer": spec.get("type", spec.get("name", spec.get("kind", "adam"))), "optimizer_params": params}
         elif k in known:
             out[k] = v
-        elif k in ("device", "batch_size", "optimizer", "loss", "verbose", "shuffle"):
+        elif k in ("device", "optimizer", "loss", "verbose", "shuffle"):
             warnings.warn(f"{k} has no effect: fits run on sufficient statistics", stacklevel=2)
     return out
 

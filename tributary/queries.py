@@ -563,6 +563,27 @@ def l1_newton_fit(spark, sf_dir):
     return _weights(spark, _fit(spark, sf_dir, regularizer_spec={"type": "l1", "l1": 0.5}))
 
 
+_batch_cells = ", ".join(f"('{e}', '{f}', {len(_FEATURES) + i + 1}, {j + 1})" for i, e in enumerate(TYPES) for j, f in enumerate(_FEATURES))
+
+
+@query(f"WITH RECURSIVE {_D}, {oracles.batch_weights(TYPES, 2, 360)} SELECT effect, feature, round(0.25 * b0.a[x][y] + 0.5 * b1.a[x][y], {DIGITS}) + 0.0 AS weight FROM (VALUES {_batch_cells}) c(effect, feature, y, x), b0, b1")
+def minibatch_newton_fit(spark, sf_dir):
+    """An epoch of half steps over two batches: a quarter of the first one's least squares and half of the second one's."""
+    return _weights(spark, _fit(spark, sf_dir, model_config={"batch_size": 360, "learning_rate": 0.5, "max_iter": 1}))
+
+
+@query(f"{_FIT} {_weights_sql('all')}")
+def lbfgs_fit(spark, sf_dir):
+    return _weights(spark, _fit(spark, sf_dir, backend="pytorch", model_config={"optimizer": {"type": "lbfgs", "lr": 1.0, "max_iter": 40}, "epochs": 5}))
+
+
+@query(f"{_FIT} {_weights_sql('all')}")
+def muon_fit(spark, sf_dir):
+    """Orthogonalised steps keep their length, so the rate is halved where the loss stalls."""
+    slower = {"type": "reduce_lr_on_plateau", "patience": 15, "factor": 0.5, "min_lr": 1e-12}
+    return _weights(spark, _fit(spark, sf_dir, backend="pytorch", tested_causes=["click"], callbacks=[slower], model_config={"optimizer": {"type": "muon", "lr": 0.05, "nesterov": True}, "epochs": 3000}))
+
+
 _c = "(abs(a[1][y]) + abs(a[2][y]))"
 _purchase = f"CASE WHEN x > 8 THEN 0 WHEN x <= 2 AND {_c} < 0.5 THEN a[x][y] + CASE WHEN a[x][y] < 0 THEN -1 ELSE 1 END * (0.5 - {_c}) / 2 ELSE a[x][y] END"
 

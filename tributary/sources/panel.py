@@ -121,7 +121,7 @@ def resolve(path: str, base: str = ".") -> str:
     return full
 
 
-def _numbered(df: DataFrame, keys: list[str], per: str | None) -> DataFrame:
+def numbered(df: DataFrame, keys: list[str], per: str | None = None) -> DataFrame:
     """df plus __n: 0, 1, .. in order of the keys, within each value of `per` or over all rows, without gathering either: rows are
     dealt by ranges of the keys, numbered where they lie, and moved up by the counts of the ranges before them."""
     import pyarrow as pa
@@ -157,7 +157,7 @@ def _numbered(df: DataFrame, keys: list[str], per: str | None) -> DataFrame:
 
 def dense_time(panel: Panel) -> Panel:
     """t becomes 0, 1, .. within each segment; no segment is gathered in one task."""
-    out = _numbered(panel.df.select(SEGMENT, TIME, *panel.variables), [SEGMENT, TIME], SEGMENT)
+    out = numbered(panel.df.select(SEGMENT, TIME, *panel.variables), [SEGMENT, TIME], SEGMENT)
     return panel.with_df(out.select(SEGMENT, F.col("__n").alias(TIME), *panel.variables), TIME, panel.whole)
 
 
@@ -165,7 +165,7 @@ def indexed(panel: Panel) -> Panel:
     """The panel with a column of consecutive numbers in each segment: its own, or a new one next to t."""
     if panel.index:
         return panel
-    out = _numbered(panel.df.select(SEGMENT, TIME, *panel.variables), [SEGMENT, TIME], SEGMENT)
+    out = numbered(panel.df.select(SEGMENT, TIME, *panel.variables), [SEGMENT, TIME], SEGMENT)
     return panel.with_df(out, "__n", panel.whole)
 
 
@@ -191,7 +191,7 @@ def head_sample(df: DataFrame, fraction: float = 1.0, most: int | None = None, s
         return df
     if keep <= TOP_ROWS:
         return df.orderBy(segment, order).limit(keep)
-    return _numbered(df, [segment, order], None).where(F.col("__n") < keep).drop("__n")
+    return numbered(df, [segment, order], None).where(F.col("__n") < keep).drop("__n")
 
 
 def require_columns(available: Sequence[str], required: Sequence[str], context: str) -> None:
