@@ -65,6 +65,24 @@ def batch_weights(names: Sequence[str], high: int, size: int) -> str:
     return f"z AS ({lagged('dd', names, high)}), zs AS (SELECT row_number() OVER (ORDER BY t) AS row_number, {scaled} FROM z), {parts}"
 
 
+def reweighted(table: str, features: Sequence[str], cells: Mapping[str, tuple[str, Sequence[str]]], weight: str, rounds: int) -> str:
+    """CTEs: fitted (id, b), constant first, of each cell (effect, active features) after rounds of least squares with weights that are `weight`
+    of the residual r; a round's solution comes from sweeping the weighted products."""
+    p, effects = len(features) + 1, list(dict.fromkeys(e for e, _ in cells.values()))
+    rows = ", ".join(f"('{i}', {effects.index(e) + 1}, CAST({[1, *(list(features).index(f) + 2 for f in active)]} AS INTEGER[]))" for i, (e, active) in cells.items())
+    u = [*(f"x[{i}]" for i in range(1, p + 1)), "y"]
+    matrix = "[" + ", ".join("[" + ", ".join(f"sum(w * {min(a, b)} * {max(a, b)})" for b in u) + "]" for a in u) + "]"
+    inner = f"SELECT step, id, piv, {matrix} AS a FROM (SELECT *, CASE WHEN step = 0 THEN 1.0 ELSE {weight} END AS w FROM (SELECT step, id, piv, x, ys[yi] AS y, ys[yi] - list_dot_product(b, x) AS r FROM it, v WHERE step < {rounds})) GROUP BY step, id, piv"
+    for k in range(1, p + 1):
+        cell = f"CASE WHEN i = {k} AND j = {k} THEN -1 / a[{k}][{k}] WHEN i = {k} THEN a[{k}][j] / a[{k}][{k}] WHEN j = {k} THEN a[i][{k}] / a[{k}][{k}] ELSE a[i][j] - a[i][{k}] * a[{k}][j] / a[{k}][{k}] END"
+        inner = f"SELECT step, id, piv, CASE WHEN list_contains(piv, {k}) THEN list_transform(range(1, {p + 2}), lambda i: list_transform(range(1, {p + 2}), lambda j: {cell})) ELSE a END AS a FROM ({inner})"
+    solved = "[" + ", ".join(f"CASE WHEN list_contains(o.piv, {k}) THEN a[{k}][{p + 1}] ELSE 0 END" for k in range(1, p + 1)) + "]"
+    return f"""v AS (SELECT [1.0, {", ".join(features)}] AS x, [{", ".join(effects)}] AS ys FROM {table}),
+it AS (SELECT 0 AS step, id, yi, piv, CAST(list_transform(range({p}), lambda k: 0) AS DOUBLE[]) AS b FROM (VALUES {rows}) c(id, yi, piv)
+UNION ALL SELECT o.step + 1, o.id, c.yi, o.piv, {solved} FROM ({inner}) o JOIN (VALUES {rows}) c(id, yi, piv) ON c.id = o.id),
+fitted AS (SELECT id, b FROM it WHERE step = {rounds})"""
+
+
 def forward_errors(table: str, target: str, lag: int, folds: int) -> str:
     """The mean of the forward-chaining errors of target on its own lag; the first fold only trains, the last takes the remainder."""
     return f"""SELECT avg(e) AS err FROM (SELECT v, avg(pow(y - a - b * x, 2)) AS e FROM

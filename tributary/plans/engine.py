@@ -17,7 +17,7 @@ from ..operators import gram as G
 from ..operators import lagging, scaling
 from ..operators.stationarity import StationarityTransformer
 from ..sources import panel as P
-from . import inference, selectors, solvers
+from . import inference, robust, selectors, solvers
 from .batches import Batches
 from .layout import LagConfiguration, Layout
 
@@ -129,26 +129,41 @@ class MultiTaskCausality:
         penalty = solvers.penalty_of(spec, layout)
         rule = solvers.constraint(relations, layout, effects)
         mask = rule.mask if rule is not None else layout.rows(effects).astype(float)
+        loss = robust.Loss.of(config.pop("loss", None))
         if hiperoptimalization_state and hiperoptimalization_conf:
             config, penalty = search(prepared_data, mask, rule, key, config, penalty, hiperoptimalization_conf)
         made = solvers.callbacks_of(callbacks)
-        settings = batched(prepared_data, solvers.settings(key, config))
-        start = solvers.initial(initializer, problem, mask, seed) if initializer is not None else None
+        cloned = lambda cause: [c.clone_for_run("base" if cause is None else f"without_{cause}") if hasattr(c, "clone_for_run") else c for c in made]
         # a caller's own constraint: a function of the weights (effects x columns), applied after the relations at each step
         bound = lambda own: solvers.Also(own, constraint) if constraint is not None else own
-        base = solve(problem, mask, bound(rule), penalty, [c.clone_for_run("base") if hasattr(c, "clone_for_run") else c for c in made], **settings | ({"start": start, "warn_start": True} if start is not None else {}))
-        cov = inference.covariances(problem, mask, base.rss, strict=True)
-        rows, weights = [], {"base": base.weights}
+        masks, rules = {None: mask}, {None: rule}  # None is the fit with all causes
         for cause in tested:
             block = layout.block(cause)
-            less = mask.copy()
-            less[:, block] = 0
-            sub = solvers.Constraint(less, [r for r in rule.rules if not set(r[1]) & set(range(block.start, block.stop))]) if rule is not None else None
-            ref = solve(problem, less, bound(sub), penalty, [c.clone_for_run(f"without_{cause}") if hasattr(c, "clone_for_run") else c for c in made], **settings | {"start": base.weights * less})
-            weights[cause] = ref.weights
-            rows += inference.rows_for(problem, mask, effects, cause, block, base.weights, base.rss, ref.rss, cov, self.compat)
+            masks[cause] = mask.copy()
+            masks[cause][:, block] = 0
+            rules[cause] = solvers.Constraint(masks[cause], [r for r in rule.rules if not set(r[1]) & set(range(block.start, block.stop))]) if rule is not None else None
+        if loss.kind == "mse":
+            fits = self._squared(prepared_data, key, solve, config, masks, rules, bound, penalty, cloned, initializer, seed)
+        else:
+            fits = robust_fits(prepared_data, config, masks, rules, bound, penalty, cloned, loss)
+        base = fits.pop(None)
+        cov = inference.covariances(problem, mask, base.rss, strict=True)
+        rows, weights = [], {"base": base.weights} | {run: f.weights for run, f in fits.items()}
+        for cause in tested:
+            rows += inference.rows_for(problem, mask, effects, cause, layout.block(cause), base.weights, base.rss, fits[cause].rss, cov, self.compat)
         return inference.Results(spark, rows, list(effects), list(tested), weights, {"loss": base.loss, "epochs": base.epochs, "intercept": base.intercept, "covariance": cov, "layout": layout, "orders": prepared_data.orders})
 
+    def _squared(self, prepared: Prepared, key: str, solve, config: Mapping, masks: Mapping, rules: Mapping, bound, penalty, cloned, initializer, seed) -> dict[str | None, solvers.Fit]:
+        """All runs by a solver, on products alone; reference fits start at the base fit's weights."""
+        problem, settings = prepared.problem, batched(prepared, solvers.settings(key, config))
+        start = solvers.initial(initializer, problem, masks[None], seed) if initializer is not None else None
+        out: dict[str | None, solvers.Fit] = {}
+        for cause, mask in masks.items():
+            first = {} if start is None else {"start": start, "warn_start": True}
+            own = settings | (first if cause is None else {"start": out[None].weights * mask})
+            out[cause] = solve(problem, mask, bound(rules[cause]), penalty, cloned(cause), **own)
+        return out
+
     def predict(self, results: inference.Results) -> DataFrame:
         """Predictions in the effects' own units (differences stay differences): segment_id, t, effects, {effect}_pred."""
         d = self.prepared
@@ -168,6 +183,20 @@ class MultiTaskCausality:
         return d.features.select(P.SEGMENT, P.TIME, *d.effects, *(one(i, e) for i, e in enumerate(d.effects)))
 
 
+def robust_fits(prepared: Prepared, config: Mapping, masks: Mapping, rules: Mapping, bound, penalty, cloned, loss: robust.Loss) -> dict[str | None, solvers.Fit]:
+    """All runs under an absolute or Huber loss, in passes over the scaled features that serve them all."""
+    limit = int(config.get("max_iter", config.get("epochs", 50)))
+    if "batch_size" in config or config.get("optimizer"):
+        warnings.warn("batch sizes and optimizers have no effect on absolute and Huber losses", stacklevel=3)
+    runs = {cause: robust.Run(mask, bound(rules[cause]), cloned(cause)) for cause, mask in masks.items()}
+    rows = prepared.scaled.select(*prepared.columns).persist()
+    try:
+        robust.fit_runs(rows, prepared.problem, prepared.layout.names, prepared.effects, list(runs.values()), loss, limit, float(config.get("tol", 1e-8)), penalty)
+    finally:
+        rows.unpersist()
+    return {cause: run.fit(prepared.problem) for cause, run in runs.items()}
+
+
 def batched(prepared: Prepared, settings: dict) -> dict:
     """A solver's settings with the batches' products in place of their size."""
     size = settings.pop("batch_size", None)

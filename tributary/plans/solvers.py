@@ -539,7 +539,7 @@ def settings(key: str, config: Mapping) -> dict:
             out |= {"optimizer": spec.get("type", spec.get("name", spec.get("kind", "adam"))), "optimizer_params": params}
         elif k in known:
             out[k] = v
-        elif k in ("device", "optimizer", "loss", "verbose", "shuffle"):
+        elif k in ("device", "optimizer", "verbose", "shuffle"):
             warnings.warn(f"{k} has no effect: fits run on sufficient statistics", stacklevel=2)
     return out
 

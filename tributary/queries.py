@@ -455,15 +455,24 @@ def _robust(spark, sf_dir, loss: str) -> DataFrame:
     lay = layout.fixed(TYPES, layout.LagConfiguration(max_lag=1))
     rows = lagging.lag_features(p, lay.min_lags, lay.max_lags, ["purchase"])
     w, b = robust.fit(rows, lay, ["purchase"], loss, delta=50.0)
-    return spark.createDataFrame([("purchase", n, float(v)) for n, v in zip([*lay.names, "intercept"], [*w[0], b[0]], strict=True)], "effect string, feature string, weight double")
+    return rounded(spark.createDataFrame([("purchase", n, float(v)) for n, v in zip([*lay.names, "intercept"], [*w[0], b[0]], strict=True)], "effect string, feature string, weight double"), "weight")
 
 
-@query()
+_near = oracles.lags(TYPES, 1, 1)
+_named = ", ".join(f"({k + 1}, '{n}')" for k, n in enumerate(["intercept", *_near]))
+
+
+def _robust_sql(weight: str) -> str:
+    fits = oracles.reweighted("z", _near, {"all": ("purchase", _near)}, weight, 101)
+    return f"WITH RECURSIVE {PANEL}, d AS (SELECT t, {', '.join(f'{c} - lag({c}, 1) OVER (ORDER BY t) AS {c}' for c in TYPES)} FROM panel), dd AS (SELECT * FROM d WHERE click IS NOT NULL), z AS ({oracles.lagged('dd', TYPES, 1)}), {fits} SELECT 'purchase' AS effect, feature, round(b[k], {DIGITS}) + 0.0 AS weight FROM fitted, (VALUES {_named}) n(k, feature)"
+
+
+@query(_robust_sql("CASE WHEN abs(r) <= 50 THEN 1.0 ELSE 50 / abs(r) END"))
 def huber_fit(spark, sf_dir):
     return _robust(spark, sf_dir, "huber")
 
 
-@query()
+@query(_robust_sql("1 / greatest(abs(r), 1e-6)"))
 def absolute_loss_fit(spark, sf_dir):
     return _robust(spark, sf_dir, "mae")
 
@@ -584,6 +593,20 @@ def muon_fit(spark, sf_dir):
     return _weights(spark, _fit(spark, sf_dir, backend="pytorch", tested_causes=["click"], callbacks=[slower], model_config={"optimizer": {"type": "muon", "lr": 0.05, "nesterov": True}, "epochs": 3000}))
 
 
+_loss_cells = {f"{e}:{c}": (e, [f for f in _FEATURES if not f.startswith(c)]) for e in PAIR for c in ("error", "view", "none")}
+_scaled = ", ".join(f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () AS {c}" for c in (*_FEATURES, *PAIR))
+
+
+@query(f"""WITH RECURSIVE {_D}, z AS ({oracles.lagged('dd', TYPES, 2)}), s AS (SELECT {_scaled} FROM z), {oracles.reweighted('s', _FEATURES, _loss_cells, 'CASE WHEN abs(r) <= 0.5 THEN 1.0 ELSE 0.5 / abs(r) END', 60)},
+e AS (SELECT split_part(id, ':', 1) AS effect, split_part(id, ':', 2) AS cause, count(*) AS n, sum(pow(CASE split_part(id, ':', 1) WHEN '{PAIR[0]}' THEN ys[1] ELSE ys[2] END - list_dot_product(b, x), 2)) AS rss FROM fitted, v GROUP BY id),
+st AS (SELECT o.effect, o.cause, o.n - {len(_FEATURES) + 1} AS df, o.n, greatest(o.rss - e.rss, 0) / 2 / (e.rss / (o.n - {len(_FEATURES) + 1})) AS f, o.n * ln(o.rss / e.rss) AS lr FROM e o JOIN e ON e.effect = o.effect AND e.cause = 'none' WHERE o.cause <> 'none')
+SELECT effect, cause, round(f, 5) + 0.0 AS f_test, round(pow(1 + 2 * f / df, -df / 2.0), 5) + 0.0 AS p_value, round(lr, 5) + 0.0 AS lr_test FROM st""")
+def huber_f_test(spark, sf_dir):
+    """The tests of fits under a Huber loss, whose base and reference fits share their passes."""
+    r = _fit(spark, sf_dir, effects=list(PAIR), tested_causes=["error", "view"], model_config={"loss": {"type": "huber", "delta": 0.5}, "max_iter": 60, "tol": 1e-10})
+    return rounded(r.table.select("effect", "cause", "f_test", "p_value", "lr_test"), "f_test", "p_value", "lr_test", digits=5)
+
+
 _c = "(abs(a[1][y]) + abs(a[2][y]))"
 _purchase = f"CASE WHEN x > 8 THEN 0 WHEN x <= 2 AND {_c} < 0.5 THEN a[x][y] + CASE WHEN a[x][y] < 0 THEN -1 ELSE 1 END * (0.5 - {_c}) / 2 ELSE a[x][y] END"
 
