@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tributary.errors import LagError
+from tributary.errors import LagConfigurationError
 from tributary.plans import layout as L
 
 NAMES = ("load", "heat", "wind")
@@ -55,7 +55,7 @@ def test_own_lag_zero_is_never_used():
 def test_unknown_names_warn_and_bad_ranges_raise():
     with pytest.warns(UserWarning):
         made(custom_lags={"zz": (2,)})
-    with pytest.raises(LagError):
+    with pytest.raises(LagConfigurationError):
         made(custom_lags={"heat": (3, 2)})
 
 
@@ -66,5 +66,5 @@ def test_remapping_aligns_by_lag_or_place():
     assert heat(align="left") == ["1000", "1100", "1110"]
     assert heat(align="right", fill=1) == ["1100", "1110", "1111"]
     assert [x.split()[1] for x in drawn(L.remapped(out, "heat", 0, 1, align="left"))] == ["10", "01", "11"]
-    with pytest.raises(LagError):
+    with pytest.raises(LagConfigurationError):
         L.remapped(out, "heat", 1, 2, align="middle")

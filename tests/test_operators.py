@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from tributary.errors import ColumnError, ConfigError, DataValidationError, EmptyDataError, LagError, NotFittedError, SchemaMismatchError
+from tributary.errors import ColumnError, ConfigError, DataValidationError, EmptyDataError, LagConfigurationError, NotFittedError, SchemaMismatchError
 from tributary.operators import gram as G
 from tributary.operators import lagging, metrics, scaling
 from tributary.operators.stationarity import StationarityTransformer
@@ -34,9 +34,9 @@ def test_lags_stay_in_segments_and_chunks_agree(spark):
     assert np.allclose(plain.drop(columns=["segment_id", "t"]).to_numpy(), want)
     cut = lagging.lag_features(P.dense_time(p), [0, 1], [2, 3], ["a"], chunk=7).orderBy("segment_id", "t").toPandas()
     assert np.allclose(plain.to_numpy(float), cut.to_numpy(float))
-    with pytest.raises(LagError):
+    with pytest.raises(LagConfigurationError):
         lagging.lag_features(p, [2, 1], [1, 1])
-    with pytest.raises(LagError):
+    with pytest.raises(LagConfigurationError):
         lagging.lag_features(p, [1, 1], [9, 1], chunk=9)
 
 

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tributary.errors import ConfigError
+from tributary.errors import DataShapeError
 from tributary.plans import solvers as S
 
 
@@ -30,7 +30,7 @@ def test_first_steps_by_hand():
     assert np.allclose(S.rule("adam")(w, g, 0.1, 1), w - 0.1 * np.sign(g), atol=1e-6)
     assert np.allclose(S.rule("adagrad")(w, g, 0.1, 1), w - 0.1 * np.sign(g), atol=1e-6)
     assert np.allclose(S.rule("adamw", weight_decay=0.1)(w, g, 0.1, 1), w - 0.1 * np.sign(g) - 0.01 * w, atol=1e-6)
-    with pytest.raises(ConfigError):
+    with pytest.raises(DataShapeError):
         S.rule("unheard of")
 
 
@@ -54,5 +54,5 @@ def test_weights_of_either_orientation():
     w = np.arange(6.0).reshape(2, 3)
     for given in (w, w.T, [w.T, np.zeros(2)], w.tolist()):
         assert (S.oriented(given, 2, 3) == w).all()
-    with pytest.raises(ConfigError):
+    with pytest.raises(DataShapeError):
         S.oriented(w, 3, 3)

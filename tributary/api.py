@@ -1,23 +1,50 @@
 """Names under which call sites elsewhere know these classes and errors."""
 
-from .errors import BackendError, ColumnError, ConfigError, ConstraintError, DataValidationError, EmptyDataError, LagError, NotFittedError, RankError, SchemaMismatchError
+from .errors import (
+    BackendCompatibilityError,
+    BackendError,
+    BackendNotAvailableError,
+    BackendSelectionError,
+    ColumnError,
+    ConfigError,
+    ConstraintError,
+    ConvergenceError,
+    DataShapeError,
+    DataValidationError,
+    EmptyDataError,
+    LagConfigurationError,
+    LagPreparationError,
+    LagPreprocessingError,
+    LagSelectionError,
+    ModelNotFittedError,
+    NotFittedError,
+    RankError,
+    RegularizerConfigurationError,
+    ScalerNotFittedError,
+    SchemaMismatchError,
+    StationarityNotFittedError,
+    TrainingConfigurationError,
+    TrainingError,
+    ValidationError,
+)
 from .plans.builder import AnalysisBuilder
 from .plans.engine import MultiTaskCausality, PairwiseCausality
 from .plans.layout import LagConfiguration
 from .plans.selectors import CVLagSelector, ICLagSelector, VARLagSelector
+from .plans.solvers import LinearModel, available_solvers, register_solver
 
 MultiTaskGrangerAPI = MultiTaskCausality
 SimpleGrangerAPI = PairwiseCausality
 MultiTaskGrangerBuilder = MultitaskGrangerBuilder = AnalysisBuilder
 
-# each name by the error that is raised here
-ConfigurationError = TrainingConfigurationError = RegularizerConfigurationError = ConfigError
-LagConfigurationError = LagSelectionError = LagPreparationError = LagError
-ConstraintConfigurationError = ConstraintError
-ValidationError = DataShapeError = DataValidationError
+# other names of the same errors
+ConfigurationError, ConstraintConfigurationError = ConfigError, ConstraintError
 MissingColumnsError, ColumnMismatchError = ColumnError, SchemaMismatchError
-BackendSelectionError = BackendNotAvailableError = BackendCompatibilityError = BackendExecutionError = BackendError
-ModelNotFittedError = ScalerNotFittedError = StationarityNotFittedError = NotFittedError
-NumericalStabilityError = RankError
+BackendExecutionError, NumericalStabilityError = TrainingError, RankError
 
-__all__ = ["AnalysisBuilder", "BackendError", "CVLagSelector", "DataValidationError", "EmptyDataError", "ICLagSelector", "LagConfiguration", "MultiTaskCausality", "MultiTaskGrangerAPI", "MultiTaskGrangerBuilder", "MultitaskGrangerBuilder", "PairwiseCausality", "SimpleGrangerAPI", "VARLagSelector"]
+__all__ = [
+    "AnalysisBuilder", "BackendCompatibilityError", "BackendError", "BackendNotAvailableError", "BackendSelectionError", "CVLagSelector", "ConvergenceError", "DataShapeError", "DataValidationError", "EmptyDataError", "ICLagSelector",
+    "LagConfiguration", "LagConfigurationError", "LagPreparationError", "LagPreprocessingError", "LagSelectionError", "LinearModel", "ModelNotFittedError", "MultiTaskCausality", "MultiTaskGrangerAPI", "MultiTaskGrangerBuilder",
+    "MultitaskGrangerBuilder", "NotFittedError", "PairwiseCausality", "RegularizerConfigurationError", "ScalerNotFittedError", "SimpleGrangerAPI", "StationarityNotFittedError", "TrainingConfigurationError", "TrainingError", "VARLagSelector",
+    "ValidationError", "available_solvers", "register_solver",
+]

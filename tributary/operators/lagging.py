@@ -11,7 +11,7 @@ from math import comb
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..errors import LagError
+from ..errors import LagConfigurationError
 from ..sources.panel import SEGMENT, TIME, Panel, drop_nulls, indexed
 
 
@@ -26,7 +26,7 @@ def chunked(panel: Panel, deepest: int, chunk: int | None = None) -> tuple[DataF
     __own is false: they are there for others' sake only. No segment is gathered in one task.
     """
     if chunk is not None and chunk <= deepest:
-        raise LagError("a chunk must be longer than the longest lag")
+        raise LagConfigurationError("a chunk must be longer than the longest lag")
     size = chunk or max(CHUNK, 2 * deepest)
     panel = indexed(panel)
     own = F.floor(F.col(panel.index) / size)
@@ -69,7 +69,7 @@ def difference(panel: Panel, orders: Mapping[str, int] | int, dropna: bool = Tru
 def lag_columns(min_lags: Sequence[int], max_lags: Sequence[int], variables: Sequence[str]) -> list[tuple[str, str, int]]:
     """(name, variable, lag) of each design column, in blocks of variables."""
     if any(a < 0 or b < a for a, b in zip(min_lags, max_lags, strict=True)):
-        raise LagError("lags must be 0 <= min <= max")
+        raise LagConfigurationError("lags must be 0 <= min <= max")
     return [(f"{v}_lag{k}", v, k) for v, a, b in zip(variables, min_lags, max_lags, strict=True) for k in range(a, b + 1)]
 
 

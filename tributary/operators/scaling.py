@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..errors import ConfigError, NotFittedError
+from ..errors import ConfigError, ScalerNotFittedError
 from .quantiles import exact_quantiles
 
 EPS = 1e-12
@@ -47,7 +47,7 @@ class Scaler:
 
     def _ready(self) -> None:
         if self.centre is None or self.scale is None:
-            raise NotFittedError(f"{type(self).__name__} isn't fitted")
+            raise ScalerNotFittedError(f"{type(self).__name__} isn't fitted")
 
     def transform(self, df: DataFrame) -> DataFrame:
         self._ready()

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..errors import ConfigError
+from ..errors import TrainingConfigurationError
 from ..operators import gram as G
 from ..sources import shared
 from ..sources.panel import SEGMENT, TIME, numbered
@@ -27,7 +27,7 @@ class Batches:
 
     def __init__(self, rows: DataFrame, columns: Sequence[str], problem: Problem, size: int):
         if int(size) != size or size < 1:
-            raise ConfigError("a batch holds at least one row")
+            raise TrainingConfigurationError("a batch holds at least one row")
         self.p, self.k = len(problem.x_mean), len(columns)
         self.shift = np.eye(self.k + 1)
         self.shift[1:, 0] = -np.concatenate([problem.x_mean, problem.y_mean])

@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import DataValidationError, HyperoptError, LagError, RankError
+from ..errors import DataValidationError, HyperoptError, LagPreparationError, RankError
 from ..functions.dist import chi2_sf, f_sf
 from ..operators import gram as G
 from ..operators import lagging, scaling
@@ -83,7 +83,7 @@ def prepare(panel: P.Panel, effects: Sequence[str], config: LagConfiguration | N
     finally:
         rows.unpersist()
     if sums.n < 1:
-        raise LagError("no rows are left once lags are taken")
+        raise LagPreparationError("no rows are left once lags are taken")
     return Prepared(panel.variables, list(effects), layout, solvers.Problem.of(sums.matrix, len(names)), sx, sy, dict(transformer.orders), rows, scaled)
 
 
@@ -92,10 +92,10 @@ class MultiTaskCausality:
 
     fit() takes what its keyword arguments say; `causes` only sets the default of `tested_causes`, as every variable is a
     predictor. Relations restrict pairs (effect, cause): None forbids, a number asks for a minimal sum of absolute weights;
-    `constraint` is any further function of the weights.
+    `constraint` is any further function of the weights, or a spec of a mask and rules. `backend` names a solver, or is a LinearModel.
     """
 
-    def __init__(self, backend: str | None = None, stationarity_transformer: StationarityTransformer | None = None, reuse_data: bool = False, compat: bool = False):
+    def __init__(self, backend: str | type[solvers.LinearModel] | None = None, stationarity_transformer: StationarityTransformer | None = None, reuse_data: bool = False, compat: bool = False):
         self.backend, self.transformer, self.reuse_data, self.compat = backend, stationarity_transformer, reuse_data, compat
         self.prepared: Prepared | None = None
 
@@ -128,20 +128,23 @@ class MultiTaskCausality:
         spec = regularizer_spec if regularizer_spec is not None else regularizer if regularizer is not None else config_penalty
         penalty = solvers.penalty_of(spec, layout)
         rule = solvers.constraint(relations, layout, effects)
-        mask = rule.mask if rule is not None else layout.rows(effects).astype(float)
+        own = solvers.constraint_of(constraint if constraint is not None else config.pop("constraint", None), *rule.mask.shape)
+        if isinstance(own, solvers.Constraint):  # one with the relations
+            rule, own = solvers.Constraint(rule.mask * own.mask, [*rule.rules, *own.rules], own.eps), None
+        mask = rule.mask
         loss = robust.Loss.of(config.pop("loss", None))
         if hiperoptimalization_state and hiperoptimalization_conf:
-            config, penalty = search(prepared_data, mask, rule, key, config, penalty, hiperoptimalization_conf)
+            config, penalty = search(prepared_data, mask, rule, key, solve, config, penalty, hiperoptimalization_conf)
         made = solvers.callbacks_of(callbacks)
         cloned = lambda cause: [c.clone_for_run("base" if cause is None else f"without_{cause}") if hasattr(c, "clone_for_run") else c for c in made]
         # a caller's own constraint: a function of the weights (effects x columns), applied after the relations at each step
-        bound = lambda own: solvers.Also(own, constraint) if constraint is not None else own
+        bound = lambda r: solvers.Also(r, own) if own is not None else r
         masks, rules = {None: mask}, {None: rule}  # None is the fit with all causes
         for cause in tested:
             block = layout.block(cause)
             masks[cause] = mask.copy()
             masks[cause][:, block] = 0
-            rules[cause] = solvers.Constraint(masks[cause], [r for r in rule.rules if not set(r[1]) & set(range(block.start, block.stop))]) if rule is not None else None
+            rules[cause] = solvers.Constraint(masks[cause], [r for r in rule.rules if not set(r[1]) & set(range(block.start, block.stop))], rule.eps)
         if loss.kind == "mse":
             fits = self._squared(prepared_data, key, solve, config, masks, rules, bound, penalty, cloned, initializer, seed)
         else:
@@ -203,7 +206,7 @@ def batched(prepared: Prepared, settings: dict) -> dict:
     return settings if size is None else settings | {"batches": prepared.batches(int(size))}
 
 
-def search(prepared: Prepared, mask, rule, key: str, config: Mapping, penalty, conf: Mapping) -> tuple[dict, object]:
+def search(prepared: Prepared, mask, rule, key: str, solve, config: Mapping, penalty, conf: Mapping) -> tuple[dict, object]:
     """The trial with the lowest training loss, of the grid's product, at most n_trials; a fifth of the epochs each."""
     grid: dict[str, Sequence] = {}
     for section, params in (conf.get("sections") or {}).items():
@@ -220,7 +223,7 @@ def search(prepared: Prepared, mask, rule, key: str, config: Mapping, penalty, c
     else:
         trial["epochs"] = int(conf.get("trial_epochs") or max(3, int(config.get("epochs", 100)) // 5))
     trial |= conf.get("trial_train_config") or {}
-    solve, best = solvers.SOLVERS[key], None
+    best = None
     for values in itertools.islice(itertools.product(*grid.values()), int(conf.get("n_trials", 20))):
         chosen = dict(zip(grid, values, strict=True))
         model = {k.split(".", 1)[1]: v for k, v in chosen.items() if k.split(".", 1)[0] in ("model", "optimizer")}

@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from ..errors import LagError
+from ..errors import LagConfigurationError
 
 
 @dataclass(frozen=True)
@@ -68,7 +68,7 @@ def fixed(variables: Sequence[str], config: LagConfiguration) -> Layout:
     """The same lags everywhere; a variable's own lag 0 is never in use."""
     low = 0 if config.use_lag_zero else 1
     if config.max_lag < low:
-        raise LagError(f"max_lag must be at least {low}")
+        raise LagConfigurationError(f"max_lag must be at least {low}")
     d = len(variables)
     matrix = np.full((d, d), config.max_lag)
     return overridden(from_matrix(variables, matrix, low), config)
@@ -111,7 +111,7 @@ def remapped(layout: Layout, variable: str, low: int, high: int, fill: int = 0,
     if align == "overlap":
         return _resized(layout, j, low, high, fill)
     if align not in ("left", "right"):
-        raise LagError(f"no alignment {align!r}")
+        raise LagConfigurationError(f"no alignment {align!r}")
     old, n = layout.mask[:, layout.block(variable)], high - low + 1
     keep = min(n, old.shape[1])
     out = _resized(layout, j, low, high, fill)
@@ -126,7 +126,7 @@ def remapped(layout: Layout, variable: str, low: int, high: int, fill: int = 0,
 def _range(spec: Sequence[int], low: int) -> tuple[int, int]:
     a, b = (low, spec[0]) if len(spec) == 1 else (spec[0], spec[1])
     if a < 0 or b < a:
-        raise LagError(f"{tuple(spec)} is no range of lags")
+        raise LagConfigurationError(f"{tuple(spec)} is no range of lags")
     return a, b
 
 

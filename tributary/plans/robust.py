@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..errors import ConfigError
+from ..errors import TrainingConfigurationError
 from ..operators import gram as G
 from . import solvers
 from .layout import Layout
@@ -41,10 +41,10 @@ class Loss:
             return spec
         spec = {"type": spec or "mse"} if spec is None or isinstance(spec, str) else spec
         if not isinstance(spec, Mapping) or str(spec.get("type", spec.get("name"))).lower() not in LOSSES:
-            raise ConfigError(f"no loss {spec!r}; there are {sorted(LOSSES)}")
+            raise TrainingConfigurationError(f"no loss {spec!r}; there are {sorted(LOSSES)}")
         delta = float(spec.get("delta", spec.get("beta", 1.0)))
         if not delta > 0:
-            raise ConfigError("the Huber loss needs a positive delta")
+            raise TrainingConfigurationError("the Huber loss needs a positive delta")
         return cls(LOSSES[str(spec.get("type", spec.get("name"))).lower()], delta)
 
     def weights(self, r: np.ndarray) -> np.ndarray:

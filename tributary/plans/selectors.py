@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..errors import LagError
+from ..errors import LagSelectionError
 from ..operators import gram as G
 from ..operators import lagging
 from ..operators.chunks import Chunks
@@ -469,7 +469,7 @@ def select_layout(panel: Panel, config: L.LagConfiguration, selector, effects: S
         selector.max_lag = 10
     selector.min_lag = 0 if config.use_lag_zero else 1
     if selector.max_lag < selector.min_lag:
-        raise LagError("max_lag is below the smallest lag")
+        raise LagSelectionError("max_lag is below the smallest lag")
     targets = list(selector.target_indices) if selector.target_indices is not None else [panel.variables.index(e) for e in effects or panel.variables]
     matrix = lag_matrix(panel, selector, targets, chunk)
     return L.overridden(L.from_matrix(panel.variables, matrix, selector.min_lag), config)

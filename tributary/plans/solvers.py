@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
-from ..errors import BackendError, ConfigError, ConstraintError
+from ..errors import BackendCompatibilityError, BackendNotAvailableError, BackendSelectionError, ConstraintError, ConvergenceError, DataShapeError, RegularizerConfigurationError, TrainingConfigurationError, TrainingError
 from .layout import Layout
 
 
@@ -75,7 +75,7 @@ class LagL1:
             lags = [self.max_lag - b + 1 + k for k in range(b)]
             out += [self.lag_weights[max(lag - 1, 0)] if max(lag - 1, 0) < len(self.lag_weights) else None for lag in lags]
         if None in out:
-            raise ConfigError("there are fewer lag weights than lags")
+            raise RegularizerConfigurationError("there are fewer lag weights than lags")
         self.weights = np.array(out, float)
 
     def penalty(self, w):
@@ -85,10 +85,31 @@ class LagL1:
         return self.l1 * np.sign(w) * self.weights
 
 
+@dataclass
+class CalledPenalty:
+    """A function of the weights that gives a penalty, its gradient, or both."""
+
+    call: Callable[[np.ndarray], object]
+
+    def both(self, w: np.ndarray) -> tuple[float, np.ndarray]:
+        out = self.call(w)
+        value, grad = out if isinstance(out, tuple) and len(out) == 2 else (out, None) if np.ndim(out) == 0 else (0.0, out)
+        grad = np.zeros(w.shape) if grad is None else np.asarray(grad, float)
+        if np.ndim(value) or grad.shape != w.shape:
+            raise TrainingError("a penalty is a number, a gradient of the weights' shape, or both")
+        return float(value), grad
+
+    def penalty(self, w: np.ndarray) -> float:
+        return self.both(w)[0]
+
+    def gradient(self, w: np.ndarray) -> np.ndarray:
+        return self.both(w)[1]
+
+
 def lag_l1(l1: float, layout: Layout, lag_weights: Sequence[float] = tuple(range(1, 21))) -> LagL1:
     out = LagL1(l1, max(layout.max_lags), [1], lag_weights)
     if max(layout.lags) > len(lag_weights):
-        raise ConfigError("there are fewer lag weights than lags")
+        raise RegularizerConfigurationError("there are fewer lag weights than lags")
     out.weights = np.array([lag_weights[max(k - 1, 0)] for k in layout.lags], float)
     return out
 
@@ -135,6 +156,32 @@ class Also:
         return np.asarray(self.extra(self.rule(w)), float) * self.rule.mask
 
 
+def constraint_of(spec, outputs: int, columns: int) -> Constraint | Callable | None:
+    """A constraint from None, a function of the weights, a Constraint, or a spec {type, mask, rules, eps}: mask, or mask_and_min_abs_sum
+    with rules {output_index, feature_indices, min_abs_sum}."""
+    if spec is None or isinstance(spec, Constraint) or callable(spec):
+        return spec
+    if not isinstance(spec, Mapping):
+        raise ConstraintError(f"{spec!r} is no constraint")
+    params = dict(spec.get("params") or {}) | {k: v for k, v in spec.items() if k not in ("type", "name", "kind", "params")}
+    kind = str(spec.get("type", spec.get("name", spec.get("kind", "")))).lower()
+    if kind not in ("mask", "mask_constraint", "mask_and_min_abs_sum", "mask_min_abs_sum"):
+        raise ConstraintError(f"no constraint {kind!r}; there are mask and mask_and_min_abs_sum")
+    if params.get("mask") is None:
+        raise ConstraintError("the constraint has no mask")
+    mask = np.asarray(params["mask"], float)
+    mask = mask if mask.shape == (outputs, columns) else mask.T
+    rules = params.get("rules") or [] if "min" in kind else []
+    if mask.shape != (outputs, columns) or not np.isin(mask, (0, 1)).all():
+        raise ConstraintError(f"the mask isn't {outputs} x {columns} of 0 and 1")
+    if not isinstance(rules, list | tuple) or not all(isinstance(r, Mapping) and "output_index" in r for r in rules):
+        raise ConstraintError("rules are a list of {output_index, feature_indices, min_abs_sum}")
+    made = [(int(r["output_index"]), tuple(map(int, r.get("feature_indices") or ())), float(r.get("min_abs_sum", 0.0))) for r in rules]
+    if any(not 0 <= o < outputs or not all(0 <= c < columns for c in at) for o, at, _ in made):
+        raise ConstraintError("a rule is for an output or a column that isn't there")
+    return Constraint(mask, made, float(params.get("eps", 1e-8)))
+
+
 def oriented(weights, outputs: int, columns: int) -> np.ndarray:
     """Weights as outputs x columns from an array of either orientation, or a list of it and an intercept; square ones are taken as they are."""
     w = np.asarray(weights[0] if isinstance(weights, list | tuple) and np.ndim(weights[0]) == 2 else weights, float)
@@ -142,7 +189,7 @@ def oriented(weights, outputs: int, columns: int) -> np.ndarray:
         return w.copy()
     if w.shape == (columns, outputs):
         return w.T.copy()
-    raise ConfigError(f"weights of shape {w.shape}, not {(outputs, columns)}")
+    raise DataShapeError(f"weights of shape {w.shape}, not {(outputs, columns)}")
 
 
 def relation(value) -> float | None:
@@ -286,7 +333,7 @@ def initial(kind, problem: Problem, mask: np.ndarray, seed: int | None = None, m
         return np.random.default_rng(seed).normal(mean, 1 / math.sqrt(max(mask.shape[1], 1)), mask.shape) * mask
     if name in ("ols", "least_squares"):
         return least_squares(problem, mask)
-    raise ConfigError(f"no initializer {kind!r}")
+    raise TrainingConfigurationError(f"no initializer {kind!r}")
 
 
 def least_squares(problem: Problem, mask: np.ndarray) -> np.ndarray:
@@ -379,7 +426,7 @@ def rule(name: str = "adam", momentum: float = 0.0, nesterov: bool = False, beta
     if name == "lbfgs":
         return LBFGS(**options)
     if options or name not in ("sgd", "adam", "adamw", "nadam", "adamax", "rmsprop", "adagrad", "muon"):
-        raise ConfigError(f"no optimizer {name!r} with options {sorted(options)}")
+        raise TrainingConfigurationError(f"no optimizer {name!r} with options {sorted(options)}")
     first = second = 0.0
 
     def step(w: np.ndarray, grad: np.ndarray, lr: float, epoch: int) -> np.ndarray:
@@ -418,7 +465,7 @@ def adam(problem: Problem, mask: np.ndarray, constraint: Constraint | None = Non
     project = constraint or (lambda w: w * mask)
     descend = rule(optimizer, **(optimizer_params or {}))
     if optimizer.lower() == "lbfgs" and gradient_accumulation_steps > 1:
-        raise ConfigError("lbfgs evaluates gradients itself, so they can't be accumulated")
+        raise TrainingConfigurationError("lbfgs evaluates gradients itself, so they can't be accumulated")
     count = 0
 
     def step(w: np.ndarray, lr: float, epoch: int) -> np.ndarray:
@@ -456,7 +503,7 @@ class LBFGS:
 
     def __init__(self, history_size: int = 10, max_iter: int = 20, tolerance_grad: float = 1e-12):
         if history_size < 1 or max_iter < 1:
-            raise ConfigError("lbfgs needs a history and an iteration")
+            raise TrainingConfigurationError("lbfgs needs a history and an iteration")
         self.size, self.most, self.flat = history_size, max_iter, tolerance_grad
         self.pairs: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -510,15 +557,98 @@ def orthogonalised(m: np.ndarray, steps: int = 5) -> np.ndarray:
     return x if wide else x.T
 
 
-SOLVERS = {"newton": newton, "adam": adam}
-ALIASES = {"sklearn": "newton", "scikit": "newton", "scikit-learn": "newton", "pytorch": "adam", "torch": "adam", "tensorflow": "adam", "tf": "adam", "keras": "adam"}
+class LinearModel:
+    """A fit of one's own: a subclass says what a step does, by products alone, and is registered by a name (or given as the backend).
+
+    It sees the problem (centred products), the mask, `project` (what a constraint makes of weights), the penalty, and what its
+    configuration holds. The fit of all causes and each reference fit make a new one; masked weights stay at 0.
+    """
+
+    learning_rate, epochs, tol = 1e-3, 100, 0.0
 
+    def __init__(self, problem: Problem, mask: np.ndarray, project: Callable[[np.ndarray], np.ndarray], penalty=None, start: np.ndarray | None = None, batches: Iterable | None = None, **config):
+        self.problem, self.mask, self.project, self.penalty, self.batches = problem, mask, project, penalty, batches
+        self.start = np.zeros(mask.shape) if start is None else start
+        for k, v in config.items():
+            if not hasattr(type(self), k):
+                raise BackendCompatibilityError(f"{type(self).__name__} has no setting {k!r}")
+            setattr(self, k, v)
 
-def solver(name: str | None) -> tuple[str, Callable]:
-    key = ALIASES.get(str(name or "newton").lower(), str(name or "newton").lower())
-    if key not in SOLVERS:
-        raise BackendError(f"no solver {name!r}; there are {sorted([*SOLVERS, *ALIASES])}")
-    return key, SOLVERS[key]
+    def gradient(self, w: np.ndarray) -> np.ndarray:
+        """Of the mean square, and of the penalty."""
+        grad = 2 * (w @ self.problem.xx - self.problem.xy.T) / (self.problem.n * len(w))
+        return grad + self.penalty.gradient(w) if self.penalty else grad
+
+    def step(self, w: np.ndarray, lr: float, epoch: int) -> np.ndarray:
+        raise NotImplementedError
+
+    def fit(self, callbacks: Sequence[Callback] = ()) -> Fit:
+        def step(w: np.ndarray, lr: float, epoch: int) -> np.ndarray:
+            out = np.asarray(self.step(w, lr, epoch), float)
+            if out.shape != w.shape:
+                raise TrainingError(f"a step gave weights of shape {out.shape}, not {w.shape}")
+            if not np.isfinite(out).all():
+                raise ConvergenceError(f"weights of epoch {epoch} are no numbers")
+            return self.project(out) * self.mask
+
+        return _loop(self.problem, step, self.project(self.start.copy()) * self.mask, self.mask, int(self.epochs), self.learning_rate, self.tol or -1.0, self.penalty, callbacks)
+
+
+@dataclass
+class Backend:
+    """A solver, its other names, and whether it can run here."""
+
+    solve: Callable
+    aliases: tuple[str, ...] = ()
+    available: Callable[[], bool] = lambda: True
+    own: bool = False
+
+
+#: In order of preference: the first one that can run is taken where none is named.
+BACKENDS: dict[str, Backend] = {
+    "newton": Backend(newton, ("sklearn", "scikit", "scikit-learn")),
+    "adam": Backend(adam, ("pytorch", "torch", "tensorflow", "tf", "keras")),
+}
+
+
+def _solve_by(model: type[LinearModel]) -> Callable:
+    def solve(problem: Problem, mask: np.ndarray, constraint: Constraint | None = None, penalty=None, callbacks: Sequence[Callback] = (), warn_start: bool = False, **config) -> Fit:
+        return model(problem, mask, constraint or (lambda w: w * mask), penalty, **config).fit(callbacks)
+
+    return solve
+
+
+def register_solver(name: str, model: type[LinearModel] | Callable, aliases: Sequence[str] = (), available: Callable[[], bool] = lambda: True) -> None:
+    """Makes a model, or a function with the arguments of `newton`, known by a name; an older one of the name is replaced."""
+    key = name.lower()
+    solve = _solve_by(model) if isinstance(model, type) and issubclass(model, LinearModel) else model
+    if isinstance(model, type) and solve is model or not callable(model):
+        raise BackendCompatibilityError(f"{model!r} is no solver")
+    taken = {a for k, b in BACKENDS.items() if k != key for a in (k, *b.aliases)} & {key, *(a.lower() for a in aliases)}
+    if taken:
+        raise BackendSelectionError(f"{sorted(taken)} name other solvers")
+    BACKENDS[key] = Backend(solve, tuple(a.lower() for a in aliases), available, own=True)
+
+
+def available_solvers() -> list[str]:
+    return [k for k, b in BACKENDS.items() if b.available()]
+
+
+def solver(name: str | type[LinearModel] | None) -> tuple[str, Callable]:
+    """A solver's name and function, from its name, another name, or a model; the first that can run where none is named."""
+    if isinstance(name, type) and issubclass(name, LinearModel):
+        return name.__name__, _solve_by(name)
+    if name is None:
+        if not (ready := available_solvers()):
+            raise BackendNotAvailableError("no solver can run")
+        return ready[0], BACKENDS[ready[0]].solve
+    key = str(name).lower()
+    key = next((k for k, b in BACKENDS.items() if key == k or key in b.aliases), key)
+    if key not in BACKENDS:
+        raise BackendSelectionError(f"no solver {name!r}; there are {sorted(a for k, b in BACKENDS.items() for a in (k, *b.aliases))}")
+    if not BACKENDS[key].available():
+        raise BackendNotAvailableError(f"solver {key!r} can't run here")
+    return key, BACKENDS[key].solve
 
 
 def settings(key: str, config: Mapping) -> dict:
@@ -528,6 +658,9 @@ def settings(key: str, config: Mapping) -> dict:
     out = {}
     for k, v in config.items():
         k = names.get(k, k)
+        if key not in BACKENDS or BACKENDS[key].own:  # its own model knows its settings
+            out[k] = v
+            continue
         if k == "epochs" and key == "newton":
             warnings.warn("epochs count as max_iter for newton", stacklevel=2)
             k = "max_iter"
@@ -545,7 +678,7 @@ def settings(key: str, config: Mapping) -> dict:
 
 
 def penalty_of(spec, layout: Layout):
-    """A penalty from None, a number, a spec {type, l1, ..} or an object."""
+    """A penalty from None, a number, a spec {type, l1, ..}, an object or a function."""
     if spec is None:
         return None
     if isinstance(spec, int | float):
@@ -560,10 +693,12 @@ def penalty_of(spec, layout: Layout):
             return lag_l1(float(params.get("l1", 0.01)), layout, params.get("lag_weights", tuple(range(1, 21))))
         if kind in ("none", "null"):
             return None
-        raise ConfigError(f"no penalty {kind!r}")
+        raise RegularizerConfigurationError(f"no penalty {kind!r}")
     if hasattr(spec, "penalty") and hasattr(spec, "gradient"):
         return spec
-    raise ConfigError(f"{spec!r} is no penalty")
+    if callable(spec):
+        return CalledPenalty(spec)
+    raise RegularizerConfigurationError(f"{spec!r} is no penalty")
 
 
 def callbacks_of(specs) -> list[Callback]:
@@ -579,7 +714,7 @@ def callbacks_of(specs) -> list[Callback]:
             warnings.warn(f"callback {kind} has no effect", stacklevel=2)
             continue
         if kind not in CALLBACKS:
-            raise ConfigError(f"no callback {kind!r}; there are {sorted(CALLBACKS)}")
+            raise TrainingConfigurationError(f"no callback {kind!r}; there are {sorted(CALLBACKS)}")
         fields = CALLBACKS[kind].__dataclass_fields__
         out.append(CALLBACKS[kind](**{k: v for k, v in params.items() if k in fields and fields[k].init}))
     return out
