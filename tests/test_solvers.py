@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tributary.errors import DataShapeError
+from tributary.errors import ConfigError, DataShapeError
 from tributary.plans import solvers as S
 
 
@@ -30,7 +30,7 @@ def test_first_steps_by_hand():
     assert np.allclose(S.rule("adam")(w, g, 0.1, 1), w - 0.1 * np.sign(g), atol=1e-6)
     assert np.allclose(S.rule("adagrad")(w, g, 0.1, 1), w - 0.1 * np.sign(g), atol=1e-6)
     assert np.allclose(S.rule("adamw", weight_decay=0.1)(w, g, 0.1, 1), w - 0.1 * np.sign(g) - 0.01 * w, atol=1e-6)
-    with pytest.raises(DataShapeError):
+    with pytest.raises(ConfigError):
         S.rule("unheard of")
 
 

@@ -1,4 +1,8 @@
-"""Runs a group of configurations over CSV segments: matrices and a summary as CSV; python -m tributary.plans.runner --config F."""
+"""Runs a group of configurations over CSV segments: matrices and a summary as CSV; python -m tributary.plans.runner --config F.
+
+Files of configurations are the driver's. Data, truth and results lie where their paths say: a path with a scheme (hdfs://, file:// on a shared
+disk, ..) is read and written by Spark, any other is a file of the driver's; matrices and summaries are as large as the model, not the data.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +12,7 @@ import os
 import re
 import time
 import traceback
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,29 +31,51 @@ def file_name(idx: int, backend: str | None, params: dict, suffix: str) -> str:
     return "_".join(parts) + ".csv"
 
 
-def write_matrix(matrix: DataFrame, path: str) -> None:
-    """A matrix of effects x causes as one CSV file; its size is that of the model, not of the data."""
-    rows = sorted(matrix.collect(), key=lambda r: r["effect"])
+def remote(path: str) -> bool:
+    return "://" in path
+
+
+def joined(folder: str, name: str) -> str:
+    return f"{folder.rstrip('/')}/{name}" if remote(folder) else os.path.join(folder, name)
+
+
+def write_rows(spark: SparkSession, names: Sequence[str], rows: Sequence[Sequence], path: str) -> None:
+    """A small CSV file with a header; a folder with one such file where Spark writes it."""
+    if remote(path):
+        text = [[None if x is None else str(x) for x in r] for r in rows]
+        spark.createDataFrame(text, ", ".join(f"`{n}` string" for n in names)).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+        return
     with open(path, "w", newline="", encoding="utf-8") as f:
         out = csv.writer(f)
-        out.writerow(matrix.columns)
+        out.writerow(names)
         out.writerows(rows)
 
 
+def read_rows(spark: SparkSession, path: str) -> tuple[list[str], list[list[str | None]]]:
+    """Header and rows of such a file."""
+    if remote(path):
+        df = spark.read.option("header", True).csv(path)
+        return df.columns, [list(r) for r in df.collect()]
+    with open(path, encoding="utf-8", newline="") as f:
+        first, *rows = csv.reader(f)
+    return first, rows
+
+
+def write_matrix(matrix: DataFrame, path: str) -> None:
+    """A matrix of effects x causes as one CSV file; its size is that of the model, not of the data."""
+    write_rows(matrix.sparkSession, matrix.columns, sorted(matrix.collect(), key=lambda r: r["effect"]), path)
+
+
 def read_matrix(spark: SparkSession, path: str) -> DataFrame:
     """Long rows effect, cause, value of a matrix file; the first column names the effects."""
-    df = spark.read.option("header", True).csv(path)
-    key = df.columns[0]
-    df = df.select(F.col(f"`{key}`").alias("effect"), *(F.col(f"`{c}`").cast("double").alias(c) for c in df.columns[1:]))
-    return metrics.long(df)
+    names, rows = read_rows(spark, path)
+    cells = [(r[0], c, float(v) if v not in (None, "") else None) for r in rows for c, v in zip(names[1:], r[1:], strict=True)]
+    return spark.createDataFrame(cells, "effect string, cause string, value double")
 
 
-def write_summary(rows: list[dict], path: str) -> None:
+def write_summary(spark: SparkSession, rows: list[dict], path: str) -> None:
     names = list(dict.fromkeys(k for r in rows for k in r))
-    with open(path, "w", newline="", encoding="utf-8") as f:
-        out = csv.DictWriter(f, names)
-        out.writeheader()
-        out.writerows(rows)
+    write_rows(spark, names, [[r.get(n) for n in names] for r in rows], path)
 
 
 def run(spark: SparkSession, path: str, save: str = "minimum", test: str = "f") -> list[dict]:
@@ -57,8 +84,10 @@ def run(spark: SparkSession, path: str, save: str = "minimum", test: str = "f")
         raise ConfigError(f"save must be one of {list(MATRICES)}, test one of {sorted(inference.TESTS)}")
     base = os.path.dirname(os.path.abspath(path))
     cfg = config.read(path)
-    out_dir = os.path.join(base, cfg.get("output_dir", "results"))
-    os.makedirs(out_dir, exist_ok=True)
+    out_dir = cfg.get("output_dir", "results")
+    if not remote(out_dir):
+        out_dir = os.path.join(base, out_dir)
+        os.makedirs(out_dir, exist_ok=True)
     group_path = P.resolve(cfg["group_config_path"], base)
     truth = read_matrix(spark, P.resolve(cfg["ground_truth_path"], base)) if cfg.get("ground_truth_path") else None
     data = cfg["data"]
@@ -86,38 +115,38 @@ def run(spark: SparkSession, path: str, save: str = "minimum", test: str = "f")
             results = engine.MultiTaskCausality(case.get("backend")).fit(effects=effects, prepared_data=prepared[signature][0], **args)
             row["execution_time_seconds"] = round(time.perf_counter() - began + spent, 2)
             name = file_name(idx, case.get("backend"), params, "causality")
-            write_matrix(inference.wide(results.result(threshold, test=test), results.causes), os.path.join(out_dir, name))
+            write_matrix(inference.wide(results.result(threshold, test=test), results.causes), joined(out_dir, name))
             row["causality_file"] = name
             for column in MATRICES[save]:
                 source = inference.TESTS[test.lower()] if column == "p_value" else column
                 extra = file_name(idx, case.get("backend"), params, column)
-                write_matrix(results.matrix(source), os.path.join(out_dir, extra))
+                write_matrix(results.matrix(source), joined(out_dir, extra))
                 row[f"{column}_file"] = extra
             row |= params
             if truth is not None:
-                row |= metrics.evaluate(truth, read_matrix(spark, os.path.join(out_dir, name))).first().asDict()
+                row |= metrics.evaluate(truth, read_matrix(spark, joined(out_dir, name))).first().asDict()
         except Exception as e:  # a failed case must not end the sweep
             row |= {"status": "FAILED", "error": f"{type(e).__name__}: {e}"[:300], "traceback": traceback.format_exc(limit=-5), "execution_time_seconds": round(time.perf_counter() - began, 2)} | params
         summary.append(row)
     panel.df.unpersist()
-    write_summary(summary, os.path.join(out_dir, "summary.csv"))
+    write_summary(spark, summary, joined(out_dir, "summary.csv"))
     return summary
 
 
 def recalculate(spark: SparkSession, out_dir: str, truth_path: str, keep: bool = False) -> list[dict]:
     """Metrics anew from saved matrices, signed ones as 0 and 1; writes summary_recalculated.csv."""
     truth = read_matrix(spark, truth_path)
-    with open(os.path.join(out_dir, "summary.csv"), encoding="utf-8", newline="") as f:
-        rows = list(csv.DictReader(f))
+    names, cells = read_rows(spark, joined(out_dir, "summary.csv"))
+    rows = [dict(zip(names, r, strict=True)) for r in cells]
     for row in rows:
         if name := row.get("causality_file"):
-            matrix = read_matrix(spark, os.path.join(out_dir, name))
+            matrix = read_matrix(spark, joined(out_dir, name))
             binary = matrix.withColumn("value", F.when(F.col("value") != 0, 1).otherwise(0))
             row |= metrics.evaluate(truth, binary).first().asDict()
             if keep:
                 causes = [r["cause"] for r in matrix.select("cause").distinct().collect()]
-                write_matrix(inference.wide(binary, sorted(causes)), os.path.join(out_dir, name.replace(".csv", "_binary.csv")))
-    write_summary(rows, os.path.join(out_dir, "summary_recalculated.csv"))
+                write_matrix(inference.wide(binary, sorted(causes)), joined(out_dir, name.replace(".csv", "_binary.csv")))
+    write_summary(spark, rows, joined(out_dir, "summary_recalculated.csv"))
     return rows
 
 

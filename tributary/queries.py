@@ -219,32 +219,38 @@ def gram_matrix(spark, sf_dir):
 CONFIG = layout.LagConfiguration(max_lag=3, use_lag_zero=True, custom_lags={"view": (2, 4)}, custom_pair_lags={("purchase", "click"): (1, 2)})
 
 
-def _layout() -> layout.Layout:
-    return layout.fixed(TYPES, CONFIG)
+def _types(spark, sf_dir) -> list[str]:
+    """The panel's variables, as the events have them."""
+    return sorted(r[0] for r in read(spark, sf_dir, "events").select("event_type").distinct().collect())
+
+
+def _layout(spark, sf_dir) -> layout.Layout:
+    return layout.fixed(_types(spark, sf_dir), CONFIG)
 
 
 _values = lambda names: ", ".join(f"('{x}')" for x in names)
+_kinds = "(SELECT DISTINCT event_type AS {} FROM events)"
 
 
 @query(f"""SELECT e AS effect, c AS cause, CAST(k AS INTEGER) AS lag, CAST(CASE WHEN e = 'purchase' AND c = 'click' THEN k IN (1, 2) WHEN e = c AND k = 0 THEN FALSE ELSE TRUE END AS INTEGER) AS active
-FROM (VALUES {_values(TYPES)}) a(e) CROSS JOIN (VALUES {_values(TYPES)}) b(c) CROSS JOIN (VALUES (0), (1), (2), (3), (4)) l(k) WHERE CASE WHEN c = 'view' THEN k BETWEEN 2 AND 4 ELSE k <= 3 END""")
+FROM {_kinds.format('e')} CROSS JOIN {_kinds.format('c')} CROSS JOIN (VALUES (0), (1), (2), (3), (4)) l(k) WHERE CASE WHEN c = 'view' THEN k BETWEEN 2 AND 4 ELSE k <= 3 END""")
 def lag_mask_table(spark, sf_dir):
-    return _layout().mask_table(spark)
+    return _layout(spark, sf_dir).mask_table(spark)
 
 
-@query(f"SELECT CAST(row_number() OVER (ORDER BY c, k) - 1 AS INTEGER) AS place, c || '_lag' || k AS name FROM (VALUES {_values(TYPES)}) b(c) CROSS JOIN (VALUES (0), (1), (2), (3), (4)) l(k) WHERE CASE WHEN c = 'view' THEN k BETWEEN 2 AND 4 ELSE k <= 3 END")
+@query(f"SELECT CAST(row_number() OVER (ORDER BY c, k) - 1 AS INTEGER) AS place, c || '_lag' || k AS name FROM {_kinds.format('c')} CROSS JOIN (VALUES (0), (1), (2), (3), (4)) l(k) WHERE CASE WHEN c = 'view' THEN k BETWEEN 2 AND 4 ELSE k <= 3 END")
 def lag_feature_names(spark, sf_dir):
-    return spark.createDataFrame(list(enumerate(_layout().names)), "place int, name string")
+    return spark.createDataFrame(list(enumerate(_layout(spark, sf_dir).names)), "place int, name string")
 
 
-@query(f"SELECT c AS variable, CAST(CASE WHEN c = 'view' THEN 2 ELSE 0 END AS INTEGER) AS min_lag, CAST(CASE WHEN c = 'view' THEN 4 ELSE 3 END AS INTEGER) AS max_lag, CAST(CASE WHEN c = 'view' THEN 3 ELSE 4 END AS INTEGER) AS n_features FROM (VALUES {_values(TYPES)}) b(c)")
+@query(f"SELECT c AS variable, CAST(CASE WHEN c = 'view' THEN 2 ELSE 0 END AS INTEGER) AS min_lag, CAST(CASE WHEN c = 'view' THEN 4 ELSE 3 END AS INTEGER) AS max_lag, CAST(CASE WHEN c = 'view' THEN 3 ELSE 4 END AS INTEGER) AS n_features FROM {_kinds.format('c')}")
 def lag_summary(spark, sf_dir):
-    return _layout().summary_table(spark)
+    return _layout(spark, sf_dir).summary_table(spark)
 
 
 @query(f"SELECT effect, cause, CAST(sum(active) AS BIGINT) AS n_restrictions FROM ({ORACLES['lag_mask_table']}) GROUP BY effect, cause")
 def restriction_counts(spark, sf_dir):
-    return _layout().mask_table(spark).groupBy("effect", "cause").agg(F.sum("active").alias("n_restrictions"))
+    return _layout(spark, sf_dir).mask_table(spark).groupBy("effect", "cause").agg(F.sum("active").alias("n_restrictions"))
 
 
 AR_LAGS = (1, 2, 3)
@@ -414,9 +420,14 @@ def square_matrix(spark, sf_dir):
     return metrics.square(_matrix(spark, sf_dir, signed=True))
 
 
-@query(f"SELECT DISTINCT cause AS node FROM ({ORACLES['threshold_matrix']}) WHERE value = 1 EXCEPT SELECT effect FROM ({ORACLES['threshold_matrix']}) WHERE value = 1")
+_strong = f"WITH {_l1}, m AS (SELECT effect, cause, row_number() OVER (ORDER BY round(n * (rss_r - rss_u) / rss_u, 6) DESC, effect, cause) AS place FROM f)"
+
+
+@query(f"{_strong} SELECT cause AS node FROM m WHERE place <= 3 EXCEPT SELECT effect FROM m WHERE place <= 3")
 def pure_causes(spark, sf_dir):
-    hits = _matrix(spark, sf_dir).where("value = 1")
+    """What drives others among the three strongest pairs, and isn't driven."""
+    rows = _pair_lag1(spark, sf_dir).selectExpr("effect", "cause", "round(wald_test, 6) AS stat")
+    hits = rows.orderBy(F.desc("stat"), "effect", "cause").limit(3)
     return hits.select(F.col("cause").alias("node")).distinct().join(hits.select(F.col("effect").alias("node")), "node", "left_anti")
 
 
@@ -561,9 +572,10 @@ def weights_without_click(spark, sf_dir):
     return _weights(spark, _fit(spark, sf_dir), "click")
 
 
-@query(f"{_FIT} {_weights_sql('all')}")
+@query(f"{_FIT} {_weights_sql('all', value='CASE WHEN effect = ' + repr('purchase') + ' AND (x > 8 OR x <= 2) THEN 0 ELSE a[x][y] END')}")
 def projected_weights(spark, sf_dir):
-    return _weights(spark, _fit(spark, sf_dir, model_config={"projection": "projected", "initializer": "ols"}, backend="scikit-learn"))
+    """The full system solved, then masked: purchase is driven neither by view nor by click, but its other weights stay as they were."""
+    return _weights(spark, _fit(spark, sf_dir, relations={("purchase", "view"): "zero", ("purchase", "click"): "off"}, model_config={"projection": "projected", "initializer": "ols"}, backend="scikit-learn"))
 
 
 @query(f"{_FIT} {_weights_sql('all', value='a[x][y] + 0.5 * list_sum(list_transform(range(1, 11), lambda g: a[x][g] * sign(a[g][y])))')}")
@@ -789,11 +801,9 @@ def csv_segments(spark, sf_dir):
 @query(_hit.format("1") + " SELECT effect, cause, CAST(value AS DOUBLE) AS value FROM m")
 def matrix_file_roundtrip(spark, sf_dir):
     """A matrix written as a file of effects x causes, and read again."""
-    with tempfile.TemporaryDirectory() as folder:  # the driver's, as the command line's results are
-        path = os.path.join(folder, runner.file_name(1, "newton", {"max_lag": 1}, "causality"))
-        runner.write_matrix(inference.wide(_matrix(spark, sf_dir), TYPES), path)
-        rows = [tuple(r) for r in runner.read_matrix(spark, f"file://{path}").where("value is not null").collect()]
-    return spark.createDataFrame(rows, "effect string, cause string, value double")
+    path = f"{shared.folder(spark)}/{runner.file_name(1, 'newton', {'max_lag': 1}, 'causality')}"
+    runner.write_matrix(inference.wide(_matrix(spark, sf_dir), TYPES), path)
+    return runner.read_matrix(spark, path).where("value is not null")
 
 
 _RUN = {
@@ -802,15 +812,16 @@ _RUN = {
 }
 
 
-def _run(spark, sf_dir, folder: str) -> list[dict]:
-    """A run file, its group, data and truth in a folder of the driver's, run as the command line does."""
-    write = lambda name, x: open(os.path.join(folder, name), "w", encoding="utf-8").write(x)
-    rows = lagging.difference(hourly(spark, sf_dir), 1).df.orderBy("t").toPandas()  # a month of hours
-    rows[["t", *TYPES]].to_csv(os.path.join(folder, "data.csv"), index=False, sep=";")
-    write("truth.csv", "effect," + ",".join(TYPES) + "\n" + "".join(f"{e}," + ",".join(str(int(c < e)) for c in TYPES) + "\n" for e in TYPES))
-    write("group.json", json.dumps(_RUN))
-    write("run.json", json.dumps({"output_dir": "out", "ground_truth_path": "truth.csv", "group_config_path": "group.json", "threshold": 0.4, "data": {"csv_paths": ["data.csv"], "order_col": "t"}}))
-    return runner.run(spark, os.path.join(folder, "run.json"), "matrices", "f")
+def _run(spark, sf_dir) -> tuple[list[dict], str, str]:
+    """A run as the command line does it: configurations are files of the driver's, data, truth and results lie in the shared folder."""
+    folder = shared.folder(spark)
+    lagging.difference(hourly(spark, sf_dir), 1).df.select("t", *TYPES).repartition(3).write.option("header", True).option("sep", ";").csv(f"{folder}/data")
+    runner.write_rows(spark, ["effect", *TYPES], [[e, *(int(c < e) for c in TYPES)] for e in TYPES], f"{folder}/truth")
+    with tempfile.TemporaryDirectory() as local:
+        for name, x in (("group.json", _RUN), ("run.json", {"output_dir": f"{folder}/out", "ground_truth_path": f"{folder}/truth", "group_config_path": "group.json", "threshold": 0.4, "data": {"csv_paths": [f"{folder}/data"], "order_col": "t"}})):
+            with open(os.path.join(local, name), "w", encoding="utf-8") as f:
+                json.dump(x, f)
+        return runner.run(spark, os.path.join(local, "run.json"), "matrices", "f"), f"{folder}/out", f"{folder}/truth"
 
 
 _run_counts = ", ".join(f"count(*) FILTER (CAST(round(p_f, 6) < 0.4 AS INTEGER) = {p} AND CAST(cause < effect AS INTEGER) = {g}) AS {n}" for n, p, g in (("tp", 1, 1), ("fp", 1, 0), ("tn", 0, 0), ("fn", 0, 1)))
@@ -819,8 +830,7 @@ _run_counts = ", ".join(f"count(*) FILTER (CAST(round(p_f, 6) < 0.4 AS INTEGER)
 @query(f"{_FIT}, k AS (SELECT {_run_counts} FROM st) SELECT CAST(c AS INTEGER) AS case_id, 'OK' AS status, 'case_00' || c || '_sklearn_model_config.max_iter_' || CASE c WHEN 1 THEN 1 ELSE 50 END || '_p_value.csv' AS p_value_file, k.*, round((tp + tn) / 25.0, 6) + 0.0 AS accuracy FROM k, (VALUES (1), (2)) v(c)")
 def runner_summary(spark, sf_dir):
     """The summary of a run over files: one step is least squares already, so both cases agree."""
-    with tempfile.TemporaryDirectory() as folder:
-        rows = _run(spark, sf_dir, folder)
+    rows, _, _ = _run(spark, sf_dir)
     out = [(r["case_id"], r["status"], r.get("p_value_file"), r.get("tp"), r.get("fp"), r.get("tn"), r.get("fn"), r.get("accuracy")) for r in rows]
     return rounded(spark.createDataFrame(out, "case_id int, status string, p_value_file string, tp long, fp long, tn long, fn long, accuracy double"), "accuracy", digits=6)
 
@@ -828,9 +838,8 @@ def runner_summary(spark, sf_dir):
 @query(f"{_FIT}, k AS (SELECT {_run_counts} FROM st) SELECT CAST(c AS VARCHAR) AS case_id, k.* FROM k, (VALUES (1), (2)) v(c)")
 def runner_recalculated(spark, sf_dir):
     """The same from the matrices that the run has saved."""
-    with tempfile.TemporaryDirectory() as folder:
-        _run(spark, sf_dir, folder)
-        rows = runner.recalculate(spark, os.path.join(folder, "out"), f"file://{folder}/truth.csv")
+    _, out, truth = _run(spark, sf_dir)
+    rows = runner.recalculate(spark, out, truth)
     return spark.createDataFrame([(r["case_id"], r["tp"], r["fp"], r["tn"], r["fn"]) for r in rows], "case_id string, tp long, fp long, tn long, fn long")
 
 
@@ -853,30 +862,35 @@ def frames_ingest(spark, sf_dir):
     return P.from_frames(spark, [g.sort_values("n_nationkey")[["n_nationkey", "letters"]].astype(float) for _, g in rows.groupby("n_regionkey")]).df
 
 
-@query(f"SELECT e AS effect, CAST(1 AS DOUBLE) AS click, CAST(length(e) AS DOUBLE) AS view FROM (VALUES {_values(TYPES)}) v(e)")
+@query(f"SELECT event_type AS effect, CAST(1 AS DOUBLE) AS click, CAST(count(*) AS DOUBLE) AS view FROM events GROUP BY event_type")
 def matrix_columns(spark, sf_dir):
-    """A matrix of ones with one column set."""
-    return inference.set_column(inference.constant(spark, TYPES, ["click", "view"], 1.0), "view", {e: float(len(e)) for e in TYPES})
+    """A matrix of ones with one column set: how many events each effect has."""
+    counts = {r["event_type"]: float(r["count"]) for r in read(spark, sf_dir, "events").groupBy("event_type").count().collect()}
+    return inference.set_column(inference.constant(spark, sorted(counts), ["click", "view"], 1.0), "view", counts)
 
 
 _GROUP = '{"shared": 1, "base_config": {"backend": "pytorch", "lag_config": {"max_lag": 2}}, "sweep": {"param_names": ["lag_config.max_lag", "model_config.epochs", "backend"], "cases": [[3, 5, "sklearn"], [4, 10, "tensorflow"]]}}'
 
 
-@query("SELECT * FROM (VALUES (1, 'sklearn', 3, 5, 'case_001_sklearn_lag_config.max_lag_3_model_config.epochs_5_p_value.csv'), (2, 'tensorflow', 4, 10, 'case_002_tensorflow_lag_config.max_lag_4_model_config.epochs_10_p_value.csv')) c(case_id, backend, max_lag, epochs, file)")
+@query(f"WITH {PANEL} SELECT c.*, (SELECT count(*) FROM panel) - max_lag AS n_rows FROM (VALUES (1, 'sklearn', 3, 5, 'case_001_sklearn_lag_config.max_lag_3_model_config.epochs_5_p_value.csv'), (2, 'tensorflow', 4, 10, 'case_002_tensorflow_lag_config.max_lag_4_model_config.epochs_10_p_value.csv')) c(case_id, backend, max_lag, epochs, file)")
 def config_cases(spark, sf_dir):
-    """Cases of a group file, normalised, and the names of their files."""
-    out = []
+    """Cases of a group file, normalised, the names of their files, and the rows of the panel that each case's lags leave."""
+    out, panel = [], hourly(spark, sf_dir)
     for i, (raw, params) in enumerate(config.cases(json.loads(_GROUP)), 1):
         case = config.normalised(raw)
-        out.append((i, case["backend"], case["lag_config"].max_lag, case["model_config"]["epochs"], runner.file_name(i, case["backend"], params, "p_value")))
-    return spark.createDataFrame(out, "case_id int, backend string, max_lag int, epochs int, file string")
+        lags = layout.fixed(TYPES, case["lag_config"])
+        n = lagging.lag_features(panel, lags.min_lags, lags.max_lags).count()
+        out.append((i, case["backend"], case["lag_config"].max_lag, case["model_config"]["epochs"], runner.file_name(i, case["backend"], params, "p_value"), n))
+    return spark.createDataFrame(out, "case_id int, backend string, max_lag int, epochs int, file string, n_rows long")
 
 
-@query("SELECT effect, cause, CAST(least AS DOUBLE) AS least FROM (VALUES ('purchase', 'click', 0.5), ('view', 'error', NULL), ('signup', 'view', NULL), ('click', 'view', 0.25)) r(effect, cause, least)")
+@query("SELECT effect, cause, CAST(least AS DOUBLE) AS least, (SELECT count(*) FROM events WHERE event_type = cause) AS n_events FROM (VALUES ('purchase', 'click', 0.5), ('view', 'error', NULL), ('signup', 'view', NULL), ('click', 'view', 0.25)) r(effect, cause, least)")
 def config_relations(spark, sf_dir):
-    """Relations of all forms: keys with any separator, and entries; a null minimum forbids."""
+    """Relations of all forms: keys with any separator, and entries; a null minimum forbids. And the events that each is about."""
     found = config.relations({"purchase->click": 0.5, "view|error": "off"}) | config.relations([{"output": "signup", "input": "view", "zero": True}, {"effect": "click", "predictor": "view", "rule": {"min_abs_sum": 0.25}}])
-    return spark.createDataFrame([(e, c, solvers.relation(v)) for (e, c), v in found.items()], "effect string, cause string, least double")
+    rules = spark.createDataFrame([(e, c, solvers.relation(v)) for (e, c), v in found.items()], "effect string, cause string, least double")
+    counts = read(spark, sf_dir, "events").groupBy(F.col("event_type").alias("cause")).agg(F.count("*").alias("n_events"))
+    return counts.join(F.broadcast(rules), "cause").select("effect", "cause", "least", "n_events")  # as many rules as pairs at most
 
 
 @query(ORACLES["gram_matrix"])
