@@ -25,6 +25,7 @@ from .plans import config, engine, inference, layout, robust, runner, selectors,
 from .sources import panel as P
 from .sources import shared
 from .streaming.gram_stream import GramStream
+from .streaming.lag_stream import LagStream
 
 TYPES = ("click", "error", "purchase", "signup", "view")
 PAIR = ("click", "purchase")
@@ -798,6 +799,14 @@ def csv_segments(spark, sf_dir):
     return rounded(P.read_csv(spark, [f"{folder}/a", f"{folder}/b"], order="t").df, *TYPES)
 
 
+@query(f"WITH {PANEL} SELECT CAST(0 AS INTEGER) AS segment_id, row_number() OVER (ORDER BY t) - 1 AS t, {_select(*TYPES)} FROM panel")
+def csv_file_order(spark, sf_dir):
+    """Rows without any order column, as they lie in four files."""
+    folder, df = shared.folder(spark), hourly(spark, sf_dir).df
+    df.repartitionByRange(4, "t").sortWithinPartitions("t").select(*TYPES).write.option("header", True).csv(f"{folder}/rows")
+    return rounded(P.read_csv(spark, f"{folder}/rows").df, *TYPES)
+
+
 @query(_hit.format("1") + " SELECT effect, cause, CAST(value AS DOUBLE) AS value FROM m")
 def matrix_file_roundtrip(spark, sf_dir):
     """A matrix written as a file of effects x causes, and read again."""
@@ -904,6 +913,25 @@ def streaming_gram(spark, sf_dir):
     return rounded(sums.table(spark), "value", digits=2)
 
 
+_lagged = oracles.lags(PAIR, 1, 2)
+_lag_pairs = [(a, b) for i, a in enumerate(("1", *_lagged, "purchase")) for b in ("1", *_lagged, "purchase")[i:]]
+
+
+@query(f"WITH {PANEL}, z AS ({oracles.lagged('panel', PAIR, 2)}) " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(sum({a if a != '1' else '1.0'} * {b if b != '1' else '1.0'}), 2) AS value FROM z" for a, b in _lag_pairs))
+def streaming_lag_gram(spark, sf_dir):
+    """Products of lag features of a stream that stops half-way and restarts from its checkpoint."""
+    folder, df = shared.folder(spark), hourly(spark, sf_dir, PAIR).df
+    middle = df.agg(F.expr("cast((min(t) + max(t)) / 2 AS long)")).first()[0]
+    lags = LagStream(PAIR, [1, 1], [2, 2], ["purchase"])
+    sums = GramStream([*lags.names, "purchase"], f"{folder}/sums")
+    for part in (df.where(F.col("t") <= middle), df.where(F.col("t") > middle)):
+        part.repartitionByRange(2, "t").write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(df.schema).parquet(f"{folder}/in")
+        rows = lags.features(stream).where("NOT late").drop("late")
+        sums.start(rows, f"{folder}/checkpoint", availableNow=True).awaitTermination()
+    return rounded(sums.table(spark), "value", digits=2)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F statistics of all pairs of hourly, differenced event values at one lag."""
     return pairwise_f_lag1(spark, sf_dir)

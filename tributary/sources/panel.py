@@ -84,8 +84,9 @@ def union_align(panels: Sequence[Panel]) -> Panel:
 def read_csv(spark: SparkSession, paths: str | Sequence[str], index_col: int | str | None = None, order: str | None = None, base: str = ".") -> Panel:
     """CSV files, one segment each, aligned to the union of their columns; the delimiter is sniffed from each header.
 
-    `index_col` names a column (or its place) that orders rows and isn't a variable. Without any order column, rows keep the
-    order of the file: such files are read as one partition each, so give one for large files.
+    `index_col` names a column (or its place) that isn't a variable. Without an order column, rows keep the order in which they lie in the
+    file (of a folder: its files in order of their names), however many splits it is read in: each row's file, the offset of its
+    split and its place in the split give its number.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     if not paths:
@@ -105,10 +106,11 @@ def read_csv(spark: SparkSession, paths: str | Sequence[str], index_col: int | s
         schema = ", ".join(f"`{n or '_index'}` {'string' if n == key and order is None else 'double'}" for n in names)
         df = spark.read.schema(schema).option("sep", sep).option("header", True).csv(full)
         variables = [n for n in names if n and n not in (key, order)]
-        at = F.col(order) if order else F.monotonically_increasing_id()
-        df = df.select(F.lit(i).alias(SEGMENT), at.cast("long").alias(TIME), *variables)
+        # rows of one split are read in order, so that these numbers ascend within it
+        at = F.col(order).cast("long") if order else F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row"))
+        df = df.select(F.lit(i).alias(SEGMENT), at.alias(TIME), *variables)
         panels.append(Panel(df, tuple(variables)))
-    return union_align(panels)
+    return union_align(panels) if order else dense_time(union_align(panels))
 
 
 def resolve(path: str, base: str = ".") -> str:
