@@ -102,7 +102,7 @@ def test_held_out_pages():
     for _ in range(150):
         x, y = g.sample()
         z, live = H.padded([x])
-        right += int(((m.logits(z, live)[:, 0] > 0) == (y > 0)).sum())
+        right += int(((m.logits(z, live)[:, 0] > H.LEAST) == (y > 0)).sum())
         total += len(y)
     assert right / total > 0.97
 
@@ -124,3 +124,55 @@ def test_rows(spark):
     assert got["1"]["text"] == "A title Text one. Text two ©" and got["1"]["n_chars"] == len(got["1"]["text"])
     assert got["2"]["text"] == "" and got["None"]["text"] == "" and len(rows) == 5
     assert H.extract(df.limit(0)).count() == 0
+
+
+P, Q, R = PROSE
+PLAIN = [
+    # pages inside of a form, however long
+    (f"<form method=post><div class=content><h1>A bridge for all</h1>{''.join(f'<p>{P}</p>' for _ in range(6))}</div></form>", " ".join(["A bridge for all", *[P] * 6])),
+    (f"<form method=post><div class=content><h1>A bridge for all</h1><p>{P}</p><p>{Q}</p></div></form>", f"A bridge for all {P} {Q}"),
+    (f"<form><nav><a href=/>Home</a></nav><div class=article><p>{P}</p><p>{Q}</p></div></form><div class=footer>Legal</div><div class=footer>Privacy policy</div><div class=footer>All rights reserved</div>", f"{P} {Q}"),
+    # a form of the page stays one
+    (f"<article><h1>A bridge for all</h1><p>{P}</p><form><h3>Newsletter</h3><p>{Q}</p><input name=e></form><p>{R}</p></article>", f"A bridge for all {P} {R}"),
+    # elements without names, lines, definitions
+    (f"<html><body><div>{P}</div></body></html>", P),
+    (f"<body><div>{P}</div><div>{Q}</div></body>", f"{P} {Q}"),
+    (f"<body><div id=main>{P}<br><br>{Q}</div></body>", f"{P} {Q}"),
+    (f"<main><h1>Bridges</h1><dl><dt>Arch<dd>{P}<dt>Beam<dd>{Q}</dl></main>", f"Bridges Arch {P} Beam {Q}"),
+    # buttons and lists of choices that nothing closes
+    (f"<button>Menu<article><h1>A bridge for all</h1><p>{P}</p><p>{Q}</p></article><button>Share</button>", f"A bridge for all {P} {Q}"),
+    (f"<select><option>en<option>de<article><h1>A bridge for all</h1><p>{P}</p><p>{Q}</p></article><select><option>x</select>", f"A bridge for all {P} {Q}"),
+    # a menu in one cell
+    (f"<table><tr><td><a href=/>Home</a> <a href=/n>News</a></td></tr><tr><td><h1>A bridge for all</h1><p>{P}</p><p>{Q}</p><p>{R}</p></td></tr><tr><td>© 2020 Privacy policy</td></tr></table>", f"A bridge for all {P} {Q} {R}"),
+]
+
+
+def test_pages_of_plain_markup():
+    m = H.train()
+    for page, want in PLAIN:
+        read = H.blocks(page)
+        assert H.main_text(read, m.label([read])[0]) == want, page[:80]
+
+
+def test_choices():
+    text = lambda page: [b.text for b in H.blocks(page)]
+    assert text("a<button><div>no</div></button>b<select><option>no</select>c") == ["a", "b", "c"]
+    assert text("a<button>no<p>b</p><button>no</button>c") == ["a", "b", "c"] and text("<button>kept<p>b") == ["kept", "b"]
+    assert text("<button>no<button>no</button>b") == ["b"] and text("<select><option>no<button>x</button><p>b") == ["b"]
+
+
+def test_broken_tags_take_linear_time():
+    import time
+
+    def took(page):
+        best = 9.0
+        for _ in range(3):
+            at = time.perf_counter()
+            H.blocks(page)
+            best = min(best, time.perf_counter() - at)
+        return best
+
+    for piece in ("<div ", "<a href='", "<a ", '<a ">"', "<a x='>", "<button>", "<select><p>", "<svg>", "<!--", "<p title=\">", "<form><h1>"):
+        small, large = took(piece * 4000), took(piece * 32000)
+        assert large < 8 * 3 * small + 0.05, (piece, small, large)
+    assert [b.text for b in H.blocks('<p title="x>y">a</p><p title="open>b</p><p>c</p>')] == ["a", "b", "c"]

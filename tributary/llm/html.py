@@ -9,8 +9,10 @@ The labeller is trained here, on `TRAIN_PAGES` synthetic pages drawn from a gram
 known by construction; the bound is a parameter. Training takes seconds on the driver and is the same each time.
 
 Scripts, styles, head, templates, buttons, lists of choices and comments of the markup hold no blocks; graphics end where a block of
-the page begins, and other such elements are ignored if nothing closes them. What a form holds is never main text, unless the form
-holds an article or is the frame of (almost) the whole page. Character references are decoded, white space inside a block becomes
+the page begins, buttons and lists of choices that another one follows before their end tag too, and other such elements are ignored
+if nothing closes them. What a form holds is never main text, unless the form frames a page: it holds a page's parts (a heading of the
+first rank, menus, headers, footers, articles, or what is named like one), and then the labeller judges its blocks as if it weren't there. From a
+tag on whose quotes never close, quotes are read as plain signs. Character references are decoded, white space inside a block becomes
 one space. Null or empty html: ''. Every row is answered; repeated rows alike; extra columns are ignored, whatever their names. Any
 length is read whole, in time and memory in proportion to it, however deep its elements are nested.
 """
@@ -33,17 +35,19 @@ from pyspark.sql import functions as F
 
 from . import common, tokens
 
-TRAIN_PAGES, EPOCHS, BATCH, HIDDEN, RATE, SEED = 2500, 3, 32, 16, 0.01, 11
+TRAIN_PAGES, EPOCHS, BATCH, HIDDEN, RATE, SEED = 4000, 3, 32, 16, 0.01, 11
+#: A block is main text from this logit on, a probability of 0.27: to lose a paragraph costs more than to keep a line too many.
+LEAST = -1.0
 #: Share of blocks that are learned without their words; how much weights shrink at each step, in rates.
 BLANK, DECAY = 0.3, 0.01
 PATH_DIM, OWN_DIM, WORD_DIM, SHARES = 128, 64, 128, 8
 WIDTH = PATH_DIM + OWN_DIM + WORD_DIM + SHARES
-#: A form with as many blocks, and this share of the page's, is a page's frame.
-WHOLE_BLOCKS, WHOLE_SHARE = 8, 0.8
 #: Characters of pages, and pages, that a worker reads at once.
 STEP_CHARS, STEP_PAGES = 4_000_000, 500
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>""", re.S)
+#: The same where quotes are plain signs.
+LOOSE = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>""", re.S)
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 #: Elements that don't end a block.
@@ -52,7 +56,10 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements whose content is not text of the page: to the end of the page if unclosed; ended by blocks of the page as well; ignored if unclosed.
 RAW = frozenset("script style textarea title".split())
 FOREIGN = frozenset("svg math".split())
-SILENT = RAW | FOREIGN | frozenset("noscript template iframe object head canvas audio video button select datalist".split())
+CHOICES = frozenset("button select".split())
+SILENT = RAW | FOREIGN | CHOICES | frozenset("noscript template iframe object head canvas audio video datalist".split())
+#: Elements that only a form around a page holds; names of such elements are in ARTICLES.
+PAGE_PARTS = frozenset("h1 nav main article header footer aside".split())
 BREAKOUT = r"<(?:p|div|h[1-6]|ul|ol|dl|table|pre|blockquote|section|article|main|nav|aside|header|footer|body)\b"
 #: Elements that a new one of the key closes, up to a container.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -62,14 +69,20 @@ SCOPE = frozenset("article aside body div footer form header html main nav ol se
 class Node:
     """An open element: its tag and the words of its class, id and role, linked to the element around it."""
 
-    __slots__ = ("tag", "words", "parent", "depth", "block", "form", "row")
+    __slots__ = ("tag", "words", "parent", "depth", "block", "form", "frame", "row")
 
     def __init__(self, tag: str, words: tuple[str, ...], parent: Node | None):
-        self.tag, self.words, self.parent, self.row = tag, words, parent, None
+        self.tag, self.words, self.parent, self.row, self.frame = tag, words, parent, None, False
         self.depth = parent.depth + 1 if parent else 1
         self.block = self if tag not in INLINE else parent.block if parent else None
-        # the form around it, unless an article lies between
-        self.form = self if tag == "form" else None if tag in ("article", "main") or not parent else parent.form
+        self.form = self if tag == "form" else parent.form if parent else None
+
+    def in_form(self) -> bool:
+        """Whether a form that frames no page is around it."""
+        form = self.form
+        while form is not None and form.frame:
+            form = form.parent.form if form.parent else None
+        return form is not None
 
 
 @dataclass
@@ -87,6 +100,21 @@ def _words(attributes: str) -> list[str]:
     return found
 
 
+CHOICE = re.compile(r"</(button|select)\s*>|<(?:button|select)\b", re.I)
+BLOCK = re.compile(BREAKOUT, re.I)
+
+
+def _choice_end(text: str, tag: str, at: int) -> int | None:
+    """Where a button or a list of choices ends: behind its end tag, or where another one or a block begins if that comes first; None if nowhere."""
+    end = CHOICE.search(text, at)
+    while end is not None and end[1] and end[1].lower() != tag:
+        end = CHOICE.search(text, end.end())
+    if end is None or end[1]:
+        return end and end.end()
+    block = BLOCK.search(text, at, end.start())
+    return block.start() if block else end.start()
+
+
 @functools.cache
 def _end(tag: str) -> re.Pattern:
     return re.compile(rf"</{tag}\s*>" + (rf"|(?={BREAKOUT})" if tag in FOREIGN else r"|(?=<body\b)" if tag == "head" else ""), re.I)
@@ -108,7 +136,7 @@ def blocks(page: str | None) -> list[Block]:
         if parts:
             body = " ".join("".join(parts).split())
             if body:
-                out.append(Block(node, body, min(linked, len(body)), bool(node and node.form)))
+                out.append(Block(node, body, min(linked, len(body))))
             parts.clear()
         linked = 0
 
@@ -124,6 +152,13 @@ def blocks(page: str | None) -> list[Block]:
             if links:
                 linked += len(piece)
 
+    def framed(inside: Node | None) -> None:
+        """All forms around frame a page: they count as if they weren't there."""
+        form = inside.form if inside else None
+        while form is not None and not form.frame:
+            form.frame, form.words = True, ()
+            form = form.parent.form if form.parent else None
+
     def cut(k: int) -> None:
         nonlocal links
         for old in stack[k:]:
@@ -131,15 +166,18 @@ def blocks(page: str | None) -> list[Block]:
             links -= old.tag == "a"
         del stack[k:]
 
-    at, n = 0, len(text)
+    # behind the last > no tag can end, and one that needs its quotes to be plain signs is the last whose quotes are tried
+    at, n, last, pattern = 0, len(text), text.rfind(">") + 1, TAG
     while at < n:
-        m = TAG.search(text, at)
+        m = pattern.search(text, at, last)
         if m is None:
             add(text[at:])
             break
         add(text[at : m.start()])
         at = m.end()
-        close, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+        close, tag, attributes = m[1], m[2], m[3]
+        if pattern is TAG and m[5]:
+            close, tag, attributes, pattern = m[4], m[5], m[6], LOOSE
         if tag is None:
             continue
         tag = tag.lower()
@@ -155,7 +193,13 @@ def blocks(page: str | None) -> list[Block]:
                         break
             continue
         if tag in SILENT:
-            if not attributes.rstrip().endswith("/") and tag not in endless:
+            if tag in CHOICES:
+                found = _choice_end(text, tag, at) if tag not in endless else None
+                if found is None:
+                    endless.add(tag)
+                else:
+                    at = found
+            elif not attributes.rstrip().endswith("/") and tag not in endless:
                 end = _end(tag).search(text, at)
                 if end is not None:
                     at = end.end()
@@ -173,15 +217,15 @@ def blocks(page: str | None) -> list[Block]:
                 if stack[k].tag in SCOPE:
                     break
         if tag not in VOID and not attributes.rstrip().endswith("/"):
-            stack.append(Node(tag, (tag, *_words(attributes)), stack[-1] if stack else None))
+            new = Node(tag, (tag, *_words(attributes)), stack[-1] if stack else None)
+            if count["form"] and tag != "form" and (tag in PAGE_PARTS or tag not in INLINE and not NAMED.isdisjoint(new.words[1:])):
+                framed(new.parent)
+            stack.append(new)
             count[tag] += 1
             links += tag == "a"
     flush()
-    # a form around (almost) the whole page is no form of the page
-    held = Counter(b.node.form for b in out if b.form)
-    around = {f for f, k in held.items() if k >= WHOLE_BLOCKS and k > WHOLE_SHARE * len(out)}
     for b in out:
-        b.form = b.form and b.node.form not in around
+        b.form = bool(b.node and b.node.in_form())
     return out
 
 
@@ -314,7 +358,7 @@ class Labeller:
                 b += 1
             own = order[a:b]
             x, live = padded([vectors(pages[k]) for k in own])
-            main = self.logits(x, live) > 0
+            main = self.logits(x, live) > LEAST
             for j, k in enumerate(own):
                 out[k] = main[: len(pages[k]), j] & ~np.array([b.form for b in pages[k]])
             a = b
@@ -332,6 +376,7 @@ def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 #: The layouts' words: what wraps anything, what holds articles, what holds everything else.
 WRAPPERS = "wrapper container page site row col inner layout body root app grid content-area main-wrapper".split()
 ARTICLES = "content post entry article story main-content post-body article-body text entry-content page-content body-copy story-body post-content articleBody article-text".split()
+NAMED = frozenset(w for name in ARTICLES for w in _words(f"class={name}")) - {"text", "body", "page", "copy"} | {"nav", "navbar", "footer", "header", "sidebar"}
 OTHERS = (
     "nav navbar menu main-menu breadcrumb breadcrumbs sidebar side left-sidebar footer header masthead topbar ad ads advert advertisement adsense banner sponsor sponsored promo cookie cookie-banner consent "
     "notice gdpr alert popup modal overlay newsletter subscribe signup login share social sharing related related-posts recommended trending popular tags tag-list widget copyright legal pagination pager "
@@ -380,11 +425,12 @@ class Grammar:
         n = self.number(low, high)
         share, stops = self.pick([0.0, 0.3, 0.6]), self.pick([0.1, 0.1, 0.4])
         words = [self.pick(RUNNING) if self.chance(share) else self.pick(self.lexicon) for _ in range(n)]
-        signs = self.pick([",", ".", ";"]) if self.chance(0.9) else self.pick(["*", "#", "--", "&", "%%", "/", "1", "99"])
+        signs = self.pick([",", ".", ";"]) if self.chance(0.85) else self.pick(["*", "#", "-", "&", "%", "$", "/", "1", "9"]) * self.number(1, 4)
         for k in range(n):
             if self.chance(stops):
                 words[k] += self.pick([signs, ",", "."])
-        out = " ".join(words).capitalize()
+        between = self.pick([" | ", " * ", " / ", " - "]) if self.chance(0.06) else " "
+        out = between.join(words).capitalize() + (self.pick([" ©", " ©", " ®", " ™"]) if self.chance(0.08) else "")
         return out + self.pick([".", ".", ".", "", "!", "?"])
 
     def frame(self, low: int, high: int) -> str:
@@ -405,6 +451,8 @@ class Grammar:
 
     def links(self) -> str:
         items = [f'<a href="/x">{self.mark(self.frame(1, 4), False)}</a>' for _ in range(self.number(2, 9))]
+        if self.chance(0.2):  # one block of links
+            return self.pick(["{}", "<div>{}</div>", "<p>{}</p>"]).format(self.pick([" ", " | ", " · ", "&nbsp; "]).join(items))
         return "<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>" if self.chance(0.7) else "".join(self.pick(["<div>{}</div>", "<span>{}</span><br>"]).format(x) for x in items)
 
     def plain(self, low: int = 2, high: int = 40) -> str:
@@ -412,6 +460,8 @@ class Grammar:
         return self.pick(["{}", "<p>{}</p>", "<span>{}</span>", "<div>{}</div>", "<h3>{}</h3><p>" + self.mark(self.frame(3, 20), False) + "</p>"]).format(body)
 
     def form(self) -> str:
+        if self.chance(0.4):
+            return f"<form><h3>{self.mark(self.frame(1, 4), False)}</h3><p>{self.mark(self.pick([self.frame, self.text])(1, 25), False)}</p><input name=e></form>"
         return f"<form><label>{self.mark(self.frame(1, 4), False)}</label><input name=q><select><option>{self.frame(1, 3)}</option></select><button>{self.frame(1, 3)}</button></form>"
 
     def other(self) -> str:
@@ -425,7 +475,7 @@ class Grammar:
         return self.named(self.pick(["div", "section", "ol"]), COMMENTS, (f"<h3>{self.mark(self.frame(1, 4), False)}</h3>" if self.chance(0.6) else "") + "".join(one() for _ in range(self.number(1, 6))))
 
     def paragraph(self) -> str:
-        body = self.mark(self.text(1, 90), True)
+        body = self.mark(self.text(1, self.pick([4, 90, 90, 90])), True)
         kind = self.rng.random()
         if kind < 0.6:
             return f"<p>{body}</p>"
@@ -437,7 +487,9 @@ class Grammar:
             return "<ul>" + "".join(f"<li>{self.mark(self.text(1, 20), True)}</li>" for _ in range(self.number(1, 5))) + "</ul>"
         if kind < 0.86:
             return f"<blockquote>{body}</blockquote>"
-        if kind < 0.9:
+        if kind < 0.88:
+            return "<dl>" + "".join(f"<dt>{self.mark(self.text(1, 4), True)}<dd>{self.mark(self.text(2, 40), True)}" for _ in range(self.number(1, 5))) + "</dl>"
+        if kind < 0.91:
             return f"<p>{body} <a href=/y>{self.text(1, 3)}</a> {self.text(1, 9)}</p>"
         if kind < 0.94:
             return "<table>" + "".join(f"<tr><td>{self.mark(self.text(1, 5), True)}</td></tr>" for _ in range(self.number(1, 4))) + "</table>"
@@ -445,15 +497,33 @@ class Grammar:
             return f"<p>{self.mark(self.text(2, 20) + ' ' + self.pick(PHRASES) + ' ' + self.text(2, 20), True)}</p>"
         return f"<div>{body}</div>"
 
+    def prose(self, low: int, high: int) -> str:
+        """Running text in paragraphs, in bare elements, in lines, or as definitions."""
+        texts = [self.mark(self.text(8, 90), True) for _ in range(self.number(low, high))]
+        style = self.rng.random()
+        if style < 0.3:
+            return "".join(f"<p>{x}</p>" for x in texts)
+        if style < 0.6:
+            return "".join(f"<div>{x}</div>" for x in texts)
+        if style < 0.9:
+            return self.pick(["<br><br>", "<br>", "<br /><br />"]).join(texts)
+        return "<dl>" + "".join(f"<dt>{self.mark(self.text(1, 4), True)}</dt><dd>{x}</dd>" for x in texts) + "</dl>"
+
     def article(self) -> str:
-        main = "".join(self.paragraph() for _ in range(self.number(1, 14)))
+        parts = [self.paragraph() for _ in range(self.number(1, 14))] if self.chance(0.8) else [self.prose(1, 5), self.prose(1, 5)]
+        if self.chance(0.3):  # something else between paragraphs, and often one right after it
+            parts.insert(self.pick([self.number(0, len(parts) + 1), len(parts) - 1]), self.pick([self.form, self.form, self.other])())
+        main = "".join(parts)
         title = f"<h1>{self.mark(self.text(1, 12), True)}</h1>"
         return (f"<header>{title}</header>" if self.chance(0.1) else title if self.chance(0.8) else "") + main
 
     def bare(self) -> str:
         """A page laid out by a table, or by elements without names."""
         many = lambda low: "".join(self.pick([self.links, self.links, self.plain])() for _ in range(self.number(low, 3)))
-        main = f"<h1>{self.mark(self.text(2, 12), True)}</h1>" + "".join(f"<p>{self.mark(self.text(8, 90), True)}</p>" for _ in range(self.number(1, 9)))
+        main = (f"<h1>{self.mark(self.text(2, 12), True)}</h1>" if self.chance(0.7) else "") + self.prose(1, 9)
+        if self.chance(0.3):  # nothing but text
+            main = main if self.chance(0.5) else self.prose(1, 3)
+            return self.pick(["{}", "<div>{}</div>", '<div id="{}">{{}}</div>'.format(self.pick(ARTICLES + WRAPPERS)), "<div><div>{}</div></div>"]).format(main)
         if self.chance(0.5):
             side = f"<td>{many(0)}</td>"
             middle = f"<tr>{side}<td>{main}</td></tr>" if self.chance(0.5) else f"<tr><td>{main}</td>{side}</tr>"
@@ -462,7 +532,7 @@ class Grammar:
         return f"<div>{out}</div>" if self.chance(0.3) else out
 
     def page(self) -> str:
-        if self.chance(0.15):
+        if self.chance(0.25):
             return f"<html><head><title>{self.text(1, 9)}</title></head><body>{self.bare()}</body></html>"
         main = self.article()
         if self.chance(0.25):
