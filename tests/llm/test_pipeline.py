@@ -50,7 +50,7 @@ def test_odd_rows_and_columns(spark, tmp_path):
     long = " ".join(rng.choice(words, 150_000))
     rows = [(1, long, "en", "s1"), (2, long, "en", "s1"), (2, long, "en", "s1"), (3, "", "en", None), (None, " ".join(words[:50]), None, "s2"), (None, " ".join(words[:50]), None, "s2"), (4, " ".join(words[50:90]), None, None), (5, " ".join(words[90:130]), "en", "s3")]
     docs = spark.createDataFrame([(*r, len(r[1])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
-    clash = "score lang_pred c c2 h sig n rep copies root group kind range block entity term base hide spans grp piece length start domain level_0 tokens quota epochs taken cut1 digit nth nxt t a b x y"
+    clash = "score lang_pred c c2 h sig n rep copies root group kind range block entity term base hide spans grp piece length start domain level_0 tokens quota epochs taken cut1 digit nth nxt t a b x y members pairs others __text __id __hash __lang __score __m __n __spans __epochs __prefix __level_0 __hot __cold __deal __done"
     docs = docs.selectExpr("*", *(f"{i} AS {c}" for i, c in enumerate(clash.split())))
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     now, ids = docs, []
@@ -73,7 +73,7 @@ def test_registered():
     import __spark_entry__ as e
 
     names = e.queries()
-    assert [sum(k.startswith(f"op{n}_") for k in names) for n in range(1, 11)] == [1] * 10
+    assert [sum(k.startswith(f"op{n}_") for k in names) for n in range(1, 14)] == [1] * 13
     assert names["pipeline"] is C.run and set(registry.QUERIES) <= set(names)
     assert 4 <= len(C.STAGES) <= 5
 

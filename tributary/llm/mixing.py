@@ -90,10 +90,11 @@ def decide(
     names = [f"level_{i}" for i in range(len(levels))]
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), *(F.coalesce(c.cast("string"), F.lit("")).alias(n) for n, c in zip(names, levels.values(), strict=True)), F.expr(TOKENS).cast("long").alias("n"))
     rows = common.saved(rows.dropDuplicates(["doc_id", "text_hash", *names]), "mixing")
-    leaves = rows.groupBy(*names).agg(F.sum("n").alias("tokens"))
+    leaves = rows.groupBy(*names).agg(F.sum("n").alias("tokens"), F.count("*").alias("members"))
     plan = budgets(leaves, F.expr(f"cast(tokens as decimal(38,0)) * {int(percent)} div 100"), names, weights, max_epochs, default_weight)
     plan = plan.select(*names, F.expr("coalesce(quota div nullif(tokens, 0), 0)").alias("epochs"), F.expr("coalesce(quota % nullif(tokens, 0), 0)").alias("rest"))
-    rows = rows.join(plan, names).withColumn("h", F.md5(F.encode(F.concat_ws(":", F.lit(str(seed)), "epochs", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), "UTF-8")))
+    leaves, total = leaves.select(*names, "members"), rows.count()
+    rows = common.join_hot(rows, plan.join(leaves, names), names, "members", total).drop("members").withColumn("h", F.md5(F.encode(F.concat_ws(":", F.lit(str(seed)), "epochs", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), "UTF-8")))
     rows = common.saved(rows, "mixing")
     b1, b2 = F.substring("h", 1, 2), F.substring("h", 3, 2)
     live = rows.where("rest > 0")
@@ -105,10 +106,8 @@ def decide(
     order = Window.partitionBy(*names).orderBy("h", "doc_id", "text_hash")
     last = last.withColumn("room", F.col("rest2") - F.sum("n").over(order) + F.col("n"))
     last = last.select("doc_id", "text_hash", *names, F.greatest(F.lit(0), F.least("n", "room")).alias("inner_tokens"))
-    cuts = first.select(*names, "cut1").join(second.select(*names, "cut2"), names, "left")
-    # a copy of the leaves' cuts for each first digit, so that a hot leaf's rows are dealt to sixteen tasks
-    cuts = cuts.withColumn("digit", F.explode(F.array(*map(F.lit, "0123456789abcdef"))))
-    rows = rows.withColumn("digit", F.substring("h", 1, 1)).join(cuts, [*names, "digit"], "left").join(last, ["doc_id", "text_hash", *names], "left")
+    cuts = first.select(*names, "cut1").join(second.select(*names, "cut2"), names, "left").join(leaves, names)
+    rows = common.join_hot(rows, cuts, names, "members", total).join(last, ["doc_id", "text_hash", *names], "left")
     prefix = F.when(F.concat(b1, b2) < F.concat("cut1", "cut2"), F.col("n")).otherwise(F.coalesce("inner_tokens", F.lit(0))).cast("long")
     out = rows.withColumn("prefix_tokens", prefix)
     return out.select("doc_id", "text_hash", *(F.col(n).alias(a) for n, a in zip(names, levels, strict=True)), F.col("n").alias("n_tokens"), F.col("epochs").cast("long").alias("epochs"), "prefix_tokens", (F.col("epochs") * F.col("n") + F.col("prefix_tokens")).cast("long").alias("taken"))

@@ -153,12 +153,14 @@ def disclosing(docs: DataFrame, texts: DataFrame, alpha: float = ALPHA, min_supp
     live = common.saved(texts.join(live, "text_hash").select("text_hash", "m", "entities", terms(F.col("text")).alias("terms")), "pii")
     words = live.select("text_hash", "m", "terms", F.explode("entities").alias("entity")).select("text_hash", "m", "entity", F.explode("terms").alias("term"))
     joint = words.groupBy("entity", "term").agg(F.sum("m").alias("joint"), F.count("*").alias("support"))
-    # merge joins at every size, so that what is sent to all executors doesn't grow with the corpus
-    joint = common.saved(joint.where(F.col("support") >= min_support).hint("merge").join(share, "entity"), "pii")
+    joint = common.saved(joint.where(F.col("support") >= min_support), "pii")
+    pairs = joint.count()
+    by = lambda key, facts: joint.groupBy(key).agg(F.count("*").alias("pairs")).join(facts, key)
+    joint = common.join_hot(joint, by("entity", share.drop("texts")), ["entity"], "pairs", pairs).where("df_entity is not null").drop("pairs")
     everywhere = docs.select(F.explode(terms(F.coalesce(F.col("text"), F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("df_term"))
     n = float(docs.count())
     strength = 1 + F.log(F.col("joint") / F.col("df_term")) / F.log(F.lit(n) / F.col("df_entity"))
-    rated = joint.where(F.col("df_entity") < n).hint("merge").join(everywhere, "term").select("entity", "term", "support", strength.alias("strength"))
+    rated = common.join_hot(joint.where(F.col("df_entity") < n), by("term", everywhere), ["term"], "pairs", pairs).where("df_term is not null").select("entity", "term", "support", strength.alias("strength"))
     return common.saved(rated.where(F.col("strength") >= alpha), "pii"), words
 
 
