@@ -10,6 +10,9 @@ that aren't named here pass through whatever their names, and an empty table giv
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +25,24 @@ MIX_PERCENT, MIX_EPOCHS = 90, 2
 LEAST_SCORE = 0.3
 
 
+#: The columns that stages look at. All others travel in one struct, so that no name of theirs can meet a name of a stage.
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def apart(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        known = [c for c in docs.columns if c in COLUMNS]
+        others = [c for c in docs.columns if c not in COLUMNS]
+        if not others:
+            return stage(spark, docs, sf_dir)
+        out = stage(spark, docs.select(*known, F.struct(*(F.col(f"`{c}`") for c in others)).alias("others")), sf_dir)
+        return out.select(*(F.col("others")[c].alias(c) if c in others else F.col(c) for c in docs.columns))
+
+    return run
+
+
+@apart
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in no language that the profiles know: no letter, or too far from each profile. A null lang becomes the predicted one.
 
@@ -31,6 +52,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.withColumn("lang", F.coalesce("lang", "__lang")).select(*docs.columns)
 
 
+@apart
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each group of near duplicates, that of the smallest id; rows without an id come last, in the order of a hash of their text."""
     text = F.xxhash64(F.coalesce("text", F.lit("")))
@@ -43,11 +65,13 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return named.dropDuplicates(["__id", "__text"]).join(kept, ["__id", "__text"], "left_semi").select(*docs.columns)
 
 
+@apart
 def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data, and removes or generalises terms that disclose it."""
     return pii.sanitise(docs)
 
 
+@apart
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes documents, in part or repeatedly, until each source has its tokens."""
     levels = mixing.document_levels()

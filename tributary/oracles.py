@@ -125,6 +125,43 @@ def pair_score(table: str, target: str, own: int, other: str | None = None, lag:
     return f"SELECT 6 + count(*) * ln({rss}) FROM {rows}"
 
 
+def ic_lags(table: str, names: Sequence[str], most: int, delta: float, prune: float) -> str:
+    """CTEs from a table (t, names) on: lags (effect, cause, lag) by BIC. An own lag, each other variable's lag next to it if it improves by
+    delta, then one lag a step is shortened, the best first, while the score stays within `prune` of the last one."""
+    d, size = len(names), most + 1
+    columns = lags(names, 0, most)
+    cells = ", ".join(f"{c} AS {c}_lag0" if k == 0 else f"lag({c}, {k}) OVER (ORDER BY t) AS {c}_lag{k}" for c in names for k in range(size))
+    rows = ", ".join("[" + ", ".join(f"covar_pop({a}, {b}) * count(*)" for b in columns) + "]" for a in columns)
+    products = " UNION ALL ".join(f"SELECT {m} AS m, count(*) AS n, [{rows}] AS a FROM wide WHERE rn > {m}" for m in range(1, most + 1))
+    at = lambda j, k: f"a[({j} - 1) * {size} + {k} + 1]"
+    cell = lambda p, q: f"{at(*p)}[({q[0]} - 1) * {size} + {q[1]} + 1]"
+    y, o, x = ("i", "0"), ("i", "own"), ("j", "k")
+    one = f"2 * ln(n) + n * ln(({cell(y, y)} - pow({cell(y, ('i', 'k'))}, 2) / {cell(('i', 'k'), ('i', 'k'))}) / n)"
+    two = f"({cell(y, y)} - (pow({cell(y, o)}, 2) * {cell(x, x)} - 2 * {cell(y, o)} * {cell(y, x)} * {cell(o, x)} + pow({cell(y, x)}, 2) * {cell(o, o)}) / ({cell(o, o)} * {cell(x, x)} - pow({cell(o, x)}, 2)))"
+    best = "SELECT i, j, own_s AS s, 1 AS lag, scores FROM (SELECT i, j, any_value(own_s) AS own_s, list(s ORDER BY k) AS scores FROM pairs GROUP BY i, j)"
+    for k in range(1, most + 1):
+        best = f"SELECT i, j, CASE WHEN scores[{k}] < s - {delta} THEN scores[{k}] ELSE s END AS s, CASE WHEN scores[{k}] < s - {delta} THEN {k} ELSE lag END AS lag, scores FROM ({best})"
+
+    def scored(source: str) -> str:
+        # rows (i, l, ..) with the residual of i on the d lags l
+        idx = f"list_append(list_transform(range(1, {d + 1}), lambda j: (j - 1) * {size} + l[j] + 1), (i - 1) * {size} + 1)"
+        out = f"SELECT c.*, n, list_transform({idx}, lambda p: list_transform({idx}, lambda q: a[p][q])) AS z FROM ({source}) c JOIN mm ON mm.m = list_max(l)"
+        for k in range(1, d + 1):
+            sweep = f"list_transform(range(1, {d + 2}), lambda p: list_transform(range(1, {d + 2}), lambda q: z[p][q] - z[p][{k}] * z[{k}][q] / z[{k}][{k}]))"
+            out = f"SELECT * EXCLUDE (z), list_transform({sweep}, lambda r, p: CASE WHEN p = {k} THEN z[{k}] ELSE r END) AS z FROM ({out})"
+        return f"SELECT * EXCLUDE (z, n), {d + 1} * ln(n) + n * ln(z[{d + 1}][{d + 1}] / n) AS s FROM ({out})"
+
+    shorter = f"SELECT i, step, now, list_transform(range(1, {d + 1}), lambda x: CASE WHEN x = j THEN l[x] - 1 ELSE l[x] END) AS l FROM st, (SELECT unnest(range(1, {d + 1})) AS j) WHERE l[j] > 1"
+    labels = ", ".join(f"({k}, '{c}')" for k, c in enumerate(names, 1))
+    return f"""wide AS (SELECT {cells}, row_number() OVER (ORDER BY t) AS rn FROM {table}), mm AS ({products}), ks AS (SELECT unnest(range(1, {size})) AS k), vs AS (SELECT unnest(range(1, {d + 1})) AS i),
+best AS (SELECT i, arg_min(k, s) AS own, min(s) AS own_s FROM (SELECT i, k, {one} AS s FROM vs, ks JOIN mm ON m = k) GROUP BY i),
+pairs AS (SELECT i, j, k, own_s, 3 * ln(n) + n * ln({two} / n) AS s FROM best, (SELECT i AS j FROM vs) v, ks JOIN mm ON m = greatest(own, k) WHERE i <> j),
+first AS (SELECT i, list(lag ORDER BY j) AS l FROM (SELECT i, j, lag FROM ({best}) UNION ALL SELECT i, i, own FROM best) GROUP BY i),
+st AS (SELECT i, 0 AS step, l, s AS now FROM ({scored('SELECT i, l FROM first')})
+UNION ALL SELECT i, step + 1, arg_min(l, s), min(s) FROM ({scored(shorter)}) WHERE s <= now + {prune} GROUP BY i, step),
+lags AS (SELECT e.name AS effect, c.name AS cause, l[c.k] AS lag FROM (SELECT i, arg_max(l, step) AS l FROM st GROUP BY i) JOIN (VALUES {labels}) e(k, name) ON e.k = i, (VALUES {labels}) c(k, name))"""
+
+
 def var_order(names: Sequence[str], most: int) -> str:
     """CTEs from dd on: the order of a vector autoregression by each of four criteria, each order on its own sample: orders (name, p)."""
     d, out = len(names), []

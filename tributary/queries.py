@@ -681,7 +681,10 @@ def _selected(spark, sf_dir, selector, most: int = 4) -> DataFrame:
     return selectors.select_layout(p, layout.LagConfiguration(max_lag=most), selector).mask_table(spark)
 
 
-@query()
+_mask_rows = "SELECT effect, cause, CAST(l.k AS INTEGER) AS lag, CAST(CASE WHEN l.k <= lags.lag THEN 1 ELSE 0 END AS INTEGER) AS active FROM lags, (SELECT unnest(generate_series(1, (SELECT max(lag) FROM lags))) AS k) l WHERE l.k <= (SELECT max(lag) FROM lags o WHERE o.cause = lags.cause)"
+
+
+@query(f"WITH RECURSIVE {_D}, {oracles.ic_lags('dd', TYPES, 4, 2.0, 2.0)} {_mask_rows}")
 def lag_selector_ic(spark, sf_dir):
     return _selected(spark, sf_dir, selectors.ICLagSelector(use_bic=True))
 
@@ -703,7 +706,7 @@ def lag_selector_ic_unpruned(spark, sf_dir):
     return _lag_table(spark, selectors.lag_matrix(p, chosen, range(len(TYPES))))
 
 
-@query(f"WITH {_D}, {oracles.forward_lags('dd', TYPES, 4, 4)} SELECT effect, cause, CAST(l.k AS INTEGER) AS lag, CAST(CASE WHEN l.k <= lags.lag THEN 1 ELSE 0 END AS INTEGER) AS active FROM lags, (SELECT unnest(generate_series(1, (SELECT max(lag) FROM lags))) AS k) l WHERE l.k <= (SELECT max(lag) FROM lags o WHERE o.cause = lags.cause)")
+@query(f"WITH {_D}, {oracles.forward_lags('dd', TYPES, 4, 4)} {_mask_rows}")
 def lag_selector_cv(spark, sf_dir):
     return _selected(spark, sf_dir, selectors.CVLagSelector(cv_folds=4))
 
