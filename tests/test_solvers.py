@@ -56,3 +56,15 @@ def test_weights_of_either_orientation():
         assert (S.oriented(given, 2, 3) == w).all()
     with pytest.raises(DataShapeError):
         S.oriented(w, 3, 3)
+
+
+def test_histograms_of_weights():
+    pr = problem()
+    log = S.History(every=2, edges=(-0.5, 0.0, 0.5))
+    S.newton(pr, np.ones((2, 4)), callbacks=[log.clone_for_run("base")], learning_rate=0.5, max_iter=5, tol=-1)
+    assert [r[1] for r in log.rows] == [1, 2, 3, 4, 5] and sorted({r[1] for r in log.histograms}) == [2, 4]
+    final = S.newton(pr, np.ones((2, 4)), learning_rate=0.5, max_iter=4, tol=-1).weights
+    got = {(low, high): n for _, epoch, low, high, n in log.histograms if epoch == 4}
+    assert sum(got.values()) == 8 and all(n == ((final >= low) & (final < high)).sum() for (low, high), n in got.items())
+    (made,) = S.callbacks_of([{"type": "tensorboard", "every": 3, "log_dir": "x"}])
+    assert made.every == 3

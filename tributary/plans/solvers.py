@@ -304,16 +304,24 @@ class ConvergenceCheck(Callback):
 
 @dataclass
 class History(Callback):
-    """Loss and rate of each epoch, to be made a table."""
+    """Loss and rate of each epoch, and each `every` epochs how many weights lie between `edges` (those beyond them in the outer bins), to be made tables."""
 
     run: str = ""
     rows: list[tuple[str, int, float, float]] = field(default_factory=list)
+    every: int = 0
+    edges: Sequence[float] = (-1.0, -0.5, -0.1, 0.0, 0.1, 0.5, 1.0)
+    histograms: list[tuple[str, int, float, float, int]] = field(default_factory=list)
 
     def on_epoch_end(self, epoch, state):
         self.rows.append((self.run, epoch, state["loss"], state["lr"]))
+        if self.every and epoch % self.every == 0:
+            edges = [-math.inf, *self.edges, math.inf]
+            place = np.searchsorted(np.asarray(self.edges, float), np.ravel(state["weights"]), side="right")
+            for low, high, n in zip(edges[:-1], edges[1:], np.bincount(place, minlength=len(edges) - 1).tolist(), strict=True):
+                self.histograms.append((self.run, epoch, float(low), float(high), n))
 
     def clone_for_run(self, name):
-        return History(name, self.rows)  # one log for all runs
+        return History(name, self.rows, self.every, self.edges, self.histograms)  # one log for all runs
 
 
 CALLBACKS = {"early_stopping": EarlyStopping, "reduce_lr": ReduceLR, "reduce_lr_on_plateau": ReduceLR, "convergence_check": ConvergenceCheck, "history": History, "csv_logger": History, "tensorboard": History}

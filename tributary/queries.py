@@ -780,7 +780,10 @@ def stationarity_transform(spark, sf_dir):
     return rounded(found.transform(hourly(spark, sf_dir)).df, *TYPES)
 
 
-@query()
+_adam_cells = ", ".join(f"('{e}', '{f}', {i + 1}, {j + 1})" for i, e in enumerate(TYPES) for j, f in enumerate(_FEATURES))
+
+
+@query(f"WITH RECURSIVE {_D}, z AS ({oracles.lagged('dd', TYPES, 2)}), m AS ({oracles.products([*_FEATURES, *TYPES], 'z')}), {oracles.adam_steps(len(_FEATURES), len(TYPES), 200, 0.01, '0.01 * (CASE WHEN k % 2 = 0 THEN 2 ELSE 1 END)')} SELECT effect, feature, round(w[i][k], {DIGITS}) + 0.0 AS weight FROM (VALUES {_adam_cells}) c(effect, feature, i, k), adam")
 def lag_l1_adam_fit(spark, sf_dir):
     return _weights(spark, _fit(spark, sf_dir, backend="adam", regularizer_spec={"type": "lag_dependent_l1", "l1": 0.01}, model_config={"epochs": 200, "learning_rate": 0.01}, callbacks=[{"type": "early_stopping", "patience": 20}]))
 
@@ -867,6 +870,20 @@ def training_log(spark, sf_dir):
     return rounded(spark.createDataFrame(log.rows, "run string, epoch int, loss double, rate double"), "loss", digits=6)
 
 
+_edges = (-0.5, -0.25, -0.05, 0.0, 0.05)
+_bins = ", ".join(f"({a}, {b})" for a, b in zip(("CAST('-infinity' AS DOUBLE)", *_edges), (*_edges, "CAST('infinity' AS DOUBLE)"), strict=True))
+
+
+@query(f"""{_FIT}, v AS ({_weights_sql('all', value='a[x][y]').replace(f"round(a[x][y], {DIGITS}) + 0.0", "a[x][y]")}), e AS (SELECT k, (1 - pow(0.5, k)) * weight AS weight FROM v, (VALUES (2), (4), (6)) e(k))
+SELECT 'base' AS run, CAST(k AS INTEGER) AS epoch, CAST(greatest(low, -9) AS DOUBLE) AS low, CAST(least(high, 9) AS DOUBLE) AS high, count(*) FILTER (weight >= low AND weight < high) AS n FROM e, (VALUES {_bins}) b(low, high) GROUP BY ALL""")
+def weight_histograms(spark, sf_dir):
+    """How many weights lie where, every other epoch of half steps; the outer bins are shown to nine."""
+    log = solvers.History(every=2, edges=_edges)
+    _fit(spark, sf_dir, tested_causes=["click"], callbacks=[log], model_config={"learning_rate": 0.5, "max_iter": 6, "tol": 0})
+    rows = [(run, epoch, max(low, -9.0), min(high, 9.0), n) for run, epoch, low, high, n in log.histograms if run == "base"]
+    return spark.createDataFrame(rows, "run string, epoch int, low double, high double, n long")
+
+
 @query("SELECT CAST(dense_rank() OVER (ORDER BY n_regionkey) - 1 AS INTEGER) AS segment_id, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS t, CAST(n_nationkey AS DOUBLE) AS n_nationkey, CAST(length(n_name) AS DOUBLE) AS letters FROM nation")
 def frames_ingest(spark, sf_dir):
     """A segment a pandas frame."""
