@@ -83,16 +83,18 @@ UNION ALL SELECT o.step + 1, o.id, c.yi, o.piv, {solved} FROM ({inner}) o JOIN (
 fitted AS (SELECT id, b FROM it WHERE step = {rounds})"""
 
 
-def adam_steps(p: int, m: int, epochs: int, rate: float, penalty: str) -> str:
+def adam_steps(p: int, m: int, epochs: int, rate: float, penalty: str, patience: int) -> str:
     """CTEs from m (n, a: products of p features and m effects) on: adam (w, m x p) after full-batch steps on the mean square; `penalty` is the
-    penalty's weight on column k."""
+    penalty's weight on column k. They end where the loss hasn't improved for `patience` steps."""
     each = lambda cell: f"list_transform(range(1, {m + 1}), lambda i: list_transform(range(1, {p + 1}), lambda k: {cell}))"
     zero = f"CAST({each('0')} AS DOUBLE[][])"
     slope = each(f"2 * (list_sum(list_transform(range(1, {p + 1}), lambda q: w[i][q] * a[q][k])) - a[k][{p} + i]) / (n * {m}) + {penalty} * sign(w[i][k])")
     moved = each(f"w[i][k] - {rate} * (f[i][k] / (1 - pow(0.9, t + 1))) / (sqrt(s[i][k] / (1 - pow(0.999, t + 1))) + 1e-8)")
     return f"""steps AS (SELECT 0 AS t, {zero} AS w, {zero} AS f, {zero} AS s
 UNION ALL SELECT t + 1, {moved}, f, s FROM (SELECT t, w, {each("0.9 * f[i][k] + 0.1 * g[i][k]")} AS f, {each("0.999 * s[i][k] + 0.001 * g[i][k] * g[i][k]")} AS s FROM (SELECT t, w, f, s, {slope} AS g FROM steps, m WHERE t < {epochs}))),
-adam AS (SELECT w FROM steps WHERE t = {epochs})"""
+losses AS (SELECT t, w, list_sum(list_transform(range(1, {m + 1}), lambda i: (a[{p} + i][{p} + i] + list_sum(list_transform(range(1, {p + 1}), lambda k: w[i][k] * (list_sum(list_transform(range(1, {p + 1}), lambda q: w[i][q] * a[q][k])) - 2 * a[k][{p} + i])))) / (n * {m}) + list_sum(list_transform(range(1, {p + 1}), lambda k: {penalty} * abs(w[i][k]))))) AS loss FROM steps, m WHERE t > 0),
+waits AS (SELECT t, w, t - max(CASE WHEN better THEN t END) OVER (ORDER BY t) AS waited FROM (SELECT t, w, coalesce(loss < min(loss) OVER (ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), TRUE) AS better FROM losses)),
+adam AS (SELECT w FROM waits WHERE t = (SELECT coalesce(min(t) FILTER (waited >= {patience}), {epochs}) FROM waits))"""
 
 
 def forward_errors(table: str, target: str, lag: int, folds: int) -> str:

@@ -783,7 +783,7 @@ def stationarity_transform(spark, sf_dir):
 _adam_cells = ", ".join(f"('{e}', '{f}', {i + 1}, {j + 1})" for i, e in enumerate(TYPES) for j, f in enumerate(_FEATURES))
 
 
-@query(f"WITH RECURSIVE {_D}, z AS ({oracles.lagged('dd', TYPES, 2)}), m AS ({oracles.products([*_FEATURES, *TYPES], 'z')}), {oracles.adam_steps(len(_FEATURES), len(TYPES), 200, 0.01, '0.01 * (CASE WHEN k % 2 = 0 THEN 2 ELSE 1 END)')} SELECT effect, feature, round(w[i][k], {DIGITS}) + 0.0 AS weight FROM (VALUES {_adam_cells}) c(effect, feature, i, k), adam")
+@query(f"WITH RECURSIVE {_D}, z AS ({oracles.lagged('dd', TYPES, 2)}), m AS ({oracles.products([*_FEATURES, *TYPES], 'z')}), {oracles.adam_steps(len(_FEATURES), len(TYPES), 200, 0.01, '0.01 * (CASE WHEN k % 2 = 0 THEN 2 ELSE 1 END)', 20)} SELECT effect, feature, round(w[i][k], {DIGITS}) + 0.0 AS weight FROM (VALUES {_adam_cells}) c(effect, feature, i, k), adam")
 def lag_l1_adam_fit(spark, sf_dir):
     return _weights(spark, _fit(spark, sf_dir, backend="adam", regularizer_spec={"type": "lag_dependent_l1", "l1": 0.01}, model_config={"epochs": 200, "learning_rate": 0.01}, callbacks=[{"type": "early_stopping", "patience": 20}]))
 
