@@ -607,10 +607,10 @@ def muon_fit(spark, sf_dir):
 
 
 _loss_cells = {f"{e}:{c}": (e, [f for f in _FEATURES if not f.startswith(c)]) for e in PAIR for c in ("error", "view", "none")}
-_scaled = ", ".join(f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () AS {c}" for c in (*_FEATURES, *PAIR))
+_loss_columns = ", ".join(f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () AS {c}" for c in (*_FEATURES, *PAIR))
 
 
-@query(f"""WITH RECURSIVE {_D}, z AS ({oracles.lagged('dd', TYPES, 2)}), s AS (SELECT {_scaled} FROM z), {oracles.reweighted('s', _FEATURES, _loss_cells, 'CASE WHEN abs(r) <= 0.5 THEN 1.0 ELSE 0.5 / abs(r) END', 60)},
+@query(f"""WITH RECURSIVE {_D}, z AS ({oracles.lagged('dd', TYPES, 2)}), s AS (SELECT {_loss_columns} FROM z), {oracles.reweighted('s', _FEATURES, _loss_cells, 'CASE WHEN abs(r) <= 0.5 THEN 1.0 ELSE 0.5 / abs(r) END', 60)},
 e AS (SELECT split_part(id, ':', 1) AS effect, split_part(id, ':', 2) AS cause, count(*) AS n, sum(pow(CASE split_part(id, ':', 1) WHEN '{PAIR[0]}' THEN ys[1] ELSE ys[2] END - list_dot_product(b, x), 2)) AS rss FROM fitted, v GROUP BY id),
 st AS (SELECT o.effect, o.cause, o.n - {len(_FEATURES) + 1} AS df, o.n, greatest(o.rss - e.rss, 0) / 2 / (e.rss / (o.n - {len(_FEATURES) + 1})) AS f, o.n * ln(o.rss / e.rss) AS lr FROM e o JOIN e ON e.effect = o.effect AND e.cause = 'none' WHERE o.cause <> 'none')
 SELECT effect, cause, round(f, 5) + 0.0 AS f_test, round(pow(1 + 2 * f / df, -df / 2.0), 5) + 0.0 AS p_value, round(lr, 5) + 0.0 AS lr_test FROM st""")
