@@ -69,19 +69,24 @@ def fingerprint(panel: P.Panel) -> tuple:
 def prepare(panel: P.Panel, effects: Sequence[str], config: LagConfiguration | None = None, selector=None, transformer: StationarityTransformer | None = None, x_scaler="standard", y_scaler="standard", sample_fraction: float = 1.0, max_samples: int | None = None, chunk: int | None = None) -> Prepared:
     """Reads the data: unit-root tests, lag selection (if asked for), one pass for the scalers and one for the products."""
     transformer = transformer or StationarityTransformer()
-    panel = P.indexed(transformer.fit_transform(P.indexed(panel), chunk=chunk))
-    layout = selectors.select_layout(panel, config or LagConfiguration(), selector, effects, chunk)
-    rows = lagging.lag_features(panel, layout.min_lags, layout.max_lags, effects, chunk)
-    # an effect and its own lag 0 would share a name only if lags had no suffix, so all names differ
-    names = layout.names
-    rows = rows.persist()
+    panel = P.indexed(panel)
+    # unit-root tests and selectors take several passes over the panel, scalers and products two over its features
+    source = panel.df.persist()
     try:
-        sx, sy = scaling.scaler(x_scaler).fit(rows, names), scaling.scaler(y_scaler).fit(rows, list(effects))
-        scaled = sy.transform(sx.transform(rows))
-        scaled = P.head_sample(scaled, sample_fraction, max_samples)
-        sums = G.gram(scaled, [*names, *effects])
+        panel = P.indexed(transformer.fit_transform(panel.with_df(source, panel.index, panel.whole), chunk=chunk))
+        layout = selectors.select_layout(panel, config or LagConfiguration(), selector, effects, chunk)
+        # an effect and its own lag 0 would share a name only if lags had no suffix, so all names differ
+        names = layout.names
+        rows = lagging.lag_features(panel, layout.min_lags, layout.max_lags, effects, chunk).persist()
+        try:
+            sx, sy = scaling.scaler(x_scaler).fit(rows, names), scaling.scaler(y_scaler).fit(rows, list(effects))
+            scaled = sy.transform(sx.transform(rows))
+            scaled = P.head_sample(scaled, sample_fraction, max_samples)
+            sums = G.gram(scaled, [*names, *effects])
+        finally:
+            rows.unpersist()
     finally:
-        rows.unpersist()
+        source.unpersist()
     if sums.n < 1:
         raise LagPreparationError("no rows are left once lags are taken")
     return Prepared(panel.variables, list(effects), layout, solvers.Problem.of(sums.matrix, len(names)), sx, sy, dict(transformer.orders), rows, scaled)
