@@ -190,7 +190,7 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _pairs(keys: tuple[np.ndarray, ...], own: np.ndarray, most: int = 100_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _pairs(keys: tuple[np.ndarray, ...], own: np.ndarray, most: int = 25_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places of all pairs of rows with equal keys (.., i, j), the earlier row first: inside of a block, or across two blocks."""
     change = np.ones(len(own), bool)
     change[1:] = False
@@ -376,7 +376,7 @@ def verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, threshold: flo
     return sets.unionByName(asked).repartition(*keys).sortWithinPartitions(*keys, "kind", "c").mapInArrow(run, "c long, links long, root long")
 
 
-def _common(held: np.ndarray, sizes: np.ndarray, x: np.ndarray, y: np.ndarray, most: int = 2_000_000) -> np.ndarray:
+def _common(held: np.ndarray, sizes: np.ndarray, x: np.ndarray, y: np.ndarray, most: int = 250_000) -> np.ndarray:
     """How many elements the sets x[k] and y[k] share; sets lie end to end, sorted, without repeats."""
     first = np.cumsum(sizes) - sizes
     # elements as numbers, so that (set, element) is one sorted key
