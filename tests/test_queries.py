@@ -42,6 +42,16 @@ def test_query(spark, duck, name):
         assert len(got) > 0
 
 
+@pytest.mark.parametrize("form", ["{}", "file:{}", "file://{}"])
+def test_matrix_file_in_a_shared_folder_of_any_form(spark, duck, tmp_path, monkeypatch, form):
+    """Without a scheme, too, the shared folder is Spark's, and nothing has been written to it before."""
+    get, base = type(spark.conf).get, form.format(tmp_path / "new")
+    monkeypatch.setattr(type(spark.conf), "get", lambda conf, key, *default: base if key == "spark.checkpoint.dir" else get(conf, key, *default))
+    got = Q.matrix_file_roundtrip(spark, SF).toPandas()
+    assert cells(got) == cells(duck.execute(Q.ORACLES["matrix_file_roundtrip"]).df())
+    assert len(list(tmp_path.glob("new/engine-*/case_001_newton_max_lag_1_causality.csv/part-*.csv"))) == 1
+
+
 def test_plans(spark):
     """Only needed columns are read, one window serves all lags, and nothing runs in Python."""
     plan = Q.lag_features_1_3(spark, SF)._jdf.queryExecution().executedPlan().toString()

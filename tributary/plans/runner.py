@@ -1,6 +1,6 @@
 """Runs a group of configurations over CSV segments: matrices and a summary as CSV; python -m tributary.plans.runner --config F.
 
-Files of configurations are the driver's. Data, truth and results lie where their paths say: a path with a scheme (hdfs://, file:// on a shared
+Files of configurations are the driver's. Data, truth and results lie where their paths say: a path with a scheme (hdfs://, file:/ on a shared
 disk, ..) is read and written by Spark, any other is a file of the driver's; matrices and summaries are as large as the model, not the data.
 """
 
@@ -20,8 +20,11 @@ from pyspark.sql import functions as F
 from ..errors import ConfigError
 from ..operators import metrics
 from ..sources import panel as P
+from ..sources.shared import remote
 from . import config, engine, inference
 
+#: Cells as they are: quotes doubled, line breaks within cells, nothing trimmed.
+CSV = {"header": True, "escape": '"', "multiLine": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 MATRICES = {"minimum": (), "matrices": ("p_value", "f_test", "wald_test", "lr_test", "sign")}
 
 
@@ -31,10 +34,6 @@ def file_name(idx: int, backend: str | None, params: dict, suffix: str) -> str:
     return "_".join(parts) + ".csv"
 
 
-def remote(path: str) -> bool:
-    return "://" in path
-
-
 def joined(folder: str, name: str) -> str:
     return f"{folder.rstrip('/')}/{name}" if remote(folder) else os.path.join(folder, name)
 
@@ -43,7 +42,7 @@ def write_rows(spark: SparkSession, names: Sequence[str], rows: Sequence[Sequenc
     """A small CSV file with a header; a folder with one such file where Spark writes it."""
     if remote(path):
         text = [[None if x is None else str(x) for x in r] for r in rows]
-        spark.createDataFrame(text, ", ".join(f"`{n}` string" for n in names)).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+        spark.createDataFrame(text, ", ".join(f"`{n}` string" for n in names)).coalesce(1).write.mode("overwrite").options(**CSV).csv(path)
         return
     with open(path, "w", newline="", encoding="utf-8") as f:
         out = csv.writer(f)
@@ -54,7 +53,7 @@ def write_rows(spark: SparkSession, names: Sequence[str], rows: Sequence[Sequenc
 def read_rows(spark: SparkSession, path: str) -> tuple[list[str], list[list[str | None]]]:
     """Header and rows of such a file."""
     if remote(path):
-        df = spark.read.option("header", True).csv(path)
+        df = spark.read.options(**CSV).csv(path)
         return df.columns, [list(r) for r in df.collect()]
     with open(path, encoding="utf-8", newline="") as f:
         first, *rows = csv.reader(f)

@@ -115,7 +115,7 @@ def read_csv(spark: SparkSession, paths: str | Sequence[str], index_col: int | s
 
 def resolve(path: str, base: str = ".") -> str:
     """A path relative to a folder; missing local files raise FileNotFoundError."""
-    if "://" in path:
+    if shared.remote(path):
         return path
     full = path if os.path.isabs(path) else os.path.join(base, path)
     if not os.path.exists(full):
